@@ -1,0 +1,6 @@
+"""Streaming.
+
+The exporter reads a snapshot and writes one result per request; it has no
+stream source, watermark, window or state. Nothing is built here on purpose:
+a streaming variant would be a new operator, not a rebuild.
+"""

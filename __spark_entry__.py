@@ -30,7 +30,7 @@ from regionpanel.operators.dimension import county_dimension  # noqa: E402
 from regionpanel.plans import requests as R  # noqa: E402
 from regionpanel.plans.export import export, export_frame, write_frame  # noqa: E402
 from regionpanel.plans.spec import CategoryChoice, Scope  # noqa: E402
-from regionpanel.session import checkpoint_dir, configure  # noqa: E402
+from regionpanel.session import checkpoint_dir, configure, materialise  # noqa: E402
 from regionpanel.sources.fixture import fixture_tables, stored_relations  # noqa: E402
 from regionpanel.sources.schema import META  # noqa: E402
 
@@ -284,8 +284,7 @@ def q_category_labels(spark, d):
 
 
 def _checkpointed_export(spark, d):
-    checkpoint_dir(spark)
-    return export(_tables(spark, d), R.state_full(), labelled=False).checkpoint(eager=True)
+    return materialise(export(_tables(spark, d), R.state_full()), "export")
 
 
 def q_profile_numeric(spark, d):

@@ -2,17 +2,20 @@
 
 One row per numeric column: count (non-NULL), mean, sample std, min,
 exact median, max; the extended form adds the 25 / 50 / 75 % quantiles
-(linear interpolation, as pandas and DuckDB's ``quantile_cont``).
-
-Plan: the simple statistics are one global aggregate (partial per task,
-no shuffle of rows). Exact quantiles never gather a column in one task:
-
-1. ``percentile_approx`` with accuracy A brackets each wanted order
-   statistic between two values whose ranks are off by at most n/A;
-2. per column, only rows inside the brackets are kept and reduced to
-   (value, multiplicity) pairs, and the rows below each bracket counted;
-3. the exact k-th value is picked by a running count over the bracket,
-   whose size is bounded by ~2n/A distinct values, not by n.
+(linear interpolation between order statistics, as pandas and DuckDB's
+``quantile_cont``: ``lo + (hi - lo) * frac``).
+
+Plan (never gathers a column in one task):
+
+1. ONE aggregate over the unpivoted (column, value) rows gives count, mean,
+   std, min, max and, from ``percentile_approx`` with accuracy A, a value
+   bracket around each wanted order statistic (rank error <= n/A, the
+   bracket is 2n/A ranks wide on each side);
+2. ONE aggregate over the rows tagged against the brackets: rows below a
+   bracket collapse to (count, max), rows above to min, rows inside to
+   (value, multiplicity) pairs — at most ~4n/A distinct values per bracket;
+3. ONE window per (column, quantile) over those few rows turns
+   multiplicities into ranks; the wanted ranks are picked from there.
 """
 
 from __future__ import annotations
@@ -33,115 +36,105 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value) rows of the numeric columns, NULLs dropped; NaN
-    treated as missing (pandas skips it)."""
+    """(column, value) rows of the numeric columns; NaN becomes NULL (pandas
+    skips it); NULLs are kept so an all-NULL column still has a row."""
     casted = df.select(*[qcol(c).cast("double").alias(c) for c in cols])
     long = casted.unpivot([], cols, "column", "value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """(column, p, value) exact linear-interpolated quantiles of each column."""
-    long = _long(df, cols)
+def _brackets(probs: list[float]):
     margin = 2.0 / ACCURACY
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-
-    counts = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    # ranks (0-based) of the two order statistics around position p*(n-1)
-    targets = (counts.select("column", "n", F.explode(wanted).alias("p"))
-               .withColumn("pos", F.col("p") * (F.col("n") - 1))
-               .withColumn("k_lo", F.floor("pos").cast("long"))
-               .withColumn("k_hi", F.ceil("pos").cast("long"))
-               .withColumn("frac", F.col("pos") - F.col("k_lo")))
     lo_p = [max(0.0, p - margin) for p in probs]
     hi_p = [min(1.0, p + margin) for p in probs]
-    approx = long.groupBy("column").agg(
-        F.percentile_approx("value", lo_p, ACCURACY).alias("lo_v"),
-        F.percentile_approx("value", hi_p, ACCURACY).alias("hi_v"),
-        F.min("value").alias("min_v"), F.max("value").alias("max_v"))
-    brackets = approx.select(
-        "column",
-        F.posexplode(F.arrays_zip("lo_v", "hi_v")).alias("i", "b"),
-        "min_v", "max_v",
-    ).select(
-        "column",
-        F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1).alias("p"),
-        # widen to the extremes when the margin reaches an end
-        F.when(F.element_at(F.array(*[F.lit(v) for v in lo_p]), F.col("i") + 1) <= 0, F.col("min_v"))
-        .otherwise(F.col("b.lo_v")).alias("lo"),
-        F.when(F.element_at(F.array(*[F.lit(v) for v in hi_p]), F.col("i") + 1) >= 1, F.col("max_v"))
-        .otherwise(F.col("b.hi_v")).alias("hi"),
+    return lo_p, hi_p
+
+
+def column_stats(long: DataFrame, probs: list[float]) -> DataFrame:
+    """Step 1: simple statistics + quantile brackets, one aggregate."""
+    lo_p, hi_p = _brackets(probs)
+    v = F.col("value")
+    return long.groupBy("column").agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.percentile_approx(v, lo_p, ACCURACY).alias("lo_v"),
+        F.percentile_approx(v, hi_p, ACCURACY).alias("hi_v"),
+    )
+
+
+def quantiles_from_stats(long: DataFrame, stats: DataFrame, probs: list[float]) -> DataFrame:
+    """Steps 2-3: (column, p, value) exact quantiles."""
+    lo_p, hi_p = _brackets(probs)
+    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    i = F.col("i") + 1
+    # one row per (column, p): target ranks and the value bracket
+    brackets = (stats.where(F.col("count") > 0)
+                .select("column", "count", "min", "max", "lo_v", "hi_v",
+                        F.posexplode(arr(probs)).alias("i", "p"))
+                .select(
+                    "column", "p",
+                    (F.col("p") * (F.col("count") - 1)).alias("pos"),
+                    F.when(F.element_at(arr(lo_p), i) <= 0, F.col("min"))
+                    .otherwise(F.element_at("lo_v", i)).alias("lo"),
+                    F.when(F.element_at(arr(hi_p), i) >= 1, F.col("max"))
+                    .otherwise(F.element_at("hi_v", i)).alias("hi"))
+                .withColumn("k_lo", F.floor("pos").cast("long"))
+                .withColumn("k_hi", F.ceil("pos").cast("long"))
+                .withColumn("frac", F.col("pos") - F.col("k_lo")))
+    # bounded by (#columns x #quantiles): a proven broadcast size
+    tagged = long.where(F.col("value").isNotNull()).join(
+        F.broadcast(brackets.select("column", "p", "lo", "hi")), "column")
+    val, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    side = F.when(val < lo, F.lit(0)).when(val > hi, F.lit(2)).otherwise(F.lit(1))
+    parts = (tagged.groupBy("column", "p", side.alias("side"), F.when(side == 1, val).alias("v"))
+             .agg(F.count(F.lit(1)).alias("m"), F.max(val).alias("vmax"), F.min(val).alias("vmin")))
+    w = Window.partitionBy("column", "p").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.withColumn("cum", F.sum("m").over(w)).select(
+        "column", "p",
+        # representative value of the row and the ranks it is known to hold:
+        # below-set -> its max at rank below-1; inside -> value's ranks;
+        # above-set -> its min at the first rank above the bracket
+        F.when(F.col("side") == 0, F.col("vmax")).when(F.col("side") == 2, F.col("vmin"))
+        .otherwise(F.col("v")).alias("value"),
+        F.when(F.col("side") == 0, F.col("cum") - 1).otherwise(F.col("cum") - F.col("m")).alias("first_rank"),
+        F.when(F.col("side") == 2, F.col("cum") - F.col("m")).otherwise(F.col("cum") - 1).alias("last_rank"),
     )
-    # rows below each bracket, and the (value, multiplicity) pairs inside it
-    tagged = long.join(F.broadcast(brackets), "column", "inner")
-    # ``prev_below`` / ``next_above``: the values just outside the bracket,
-    # for an order statistic one rank beyond it (the sketch's rank error is
-    # below one for n < accuracy, and the margin covers it above)
-    below = (tagged.groupBy("column", "p")
-             .agg(F.count(F.when(F.col("value") < F.col("lo"), 1)).alias("below"),
-                  F.max(F.when(F.col("value") < F.col("lo"), F.col("value"))).alias("prev_below"),
-                  F.min(F.when(F.col("value") > F.col("hi"), F.col("value"))).alias("next_above")))
-    inside = (tagged.where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
-              .groupBy("column", "p", "value").agg(F.count(F.lit(1)).alias("m")))
-    w = Window.partitionBy("column", "p").orderBy("value")
-    ranked = (inside.withColumn("cum", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .join(below.select("column", "p", "below"), ["column", "p"]).withColumn("first_rank", F.col("below") + F.col("cum") - F.col("m"))
-              .withColumn("last_rank", F.col("below") + F.col("cum") - 1))
-    t = targets.select("column", "p", "k_lo", "k_hi", "frac")
-    pick = ranked.join(t, ["column", "p"])
-    lo_val = (pick.where((F.col("first_rank") <= F.col("k_lo")) & (F.col("last_rank") >= F.col("k_lo")))
-              .select("column", "p", F.col("value").alias("v_lo"), "frac"))
-    hi_val = (pick.where((F.col("first_rank") <= F.col("k_hi")) & (F.col("last_rank") >= F.col("k_hi")))
-              .select("column", "p", F.col("value").alias("v_hi")))
-    edges = below.select("column", "p", "prev_below", "next_above")
-    v_lo = F.coalesce(F.col("v_lo"), F.col("prev_below"))
-    v_hi = F.coalesce(F.col("v_hi"), F.col("next_above"))
-    return (t.select("column", "p", "frac")
-            .join(lo_val.drop("frac"), ["column", "p"], "left")
-            .join(hi_val, ["column", "p"], "left")
-            .join(edges, ["column", "p"], "left")
-            .select("column", "p", (v_lo + (v_hi - v_lo) * F.col("frac")).alias("value")))
-
-
-def _basic(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count/mean/std/min/max per column from ONE global aggregate."""
-    aggs = []
-    for i, c in enumerate(cols):
-        v = qcol(c).cast("double")
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"),
-                 F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-        for i, c in enumerate(cols)
-    ])
-    return one.select(F.inline(rows))
+    t = brackets.select("column", "p", "k_lo", "k_hi", "frac")
+    hit = ranked.join(t, ["column", "p"])
+    at = lambda k: (F.col("first_rank") <= F.col(k)) & (F.col("last_rank") >= F.col(k))
+    picked = hit.groupBy("column", "p").agg(
+        F.max(F.when(at("k_lo"), F.col("value"))).alias("v_lo"),
+        F.max(F.when(at("k_hi"), F.col("value"))).alias("v_hi"),
+        F.first("frac").alias("frac"))
+    return picked.select("column", "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
+                         .alias("value"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """(column, p, value) exact linear-interpolated quantiles of each column."""
+    long = _long(df, cols)
+    return quantiles_from_stats(long, column_stats(long, probs), probs)
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = False,
             digits: int = ROUND) -> DataFrame:
-    """P7 (``quartiles=False``) / P8: one row per numeric column."""
+    """P7 (``quartiles=False``) / P8: one row per numeric column; mean, std
+    and interpolated quantiles rounded to ``digits`` places."""
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     if not cols:
         fields = "column string, count long, mean double, std double, min double, median double, max double"
         return spark.createDataFrame([], fields)
     probs = [0.25, 0.5, 0.75] if quartiles else [0.5]
-    basic = _basic(df, cols)
-    q = exact_quantiles(df, cols, probs)
-    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{int(p*100)}")
+    long = _long(df, cols)
+    stats = column_stats(long, probs)
+    q = quantiles_from_stats(long, stats, probs)
+    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{int(p * 100)}")
                                    for p in probs])
-    out = basic.join(qw, "column", "left")
+    out = stats.join(qw, "column", "left")
     r = lambda c, name=None: F.round(F.col(c), digits).alias(name or c)
-    head = [F.col("column"), F.col("count").cast("long").alias("count"),
-            r("mean"), r("std"), F.col("min")]
-    if quartiles:
-        mid = [r("q25"), r("q50"), r("q50", "median"), r("q75")]
-    else:
-        mid = [r("q50", "median")]
+    head = [F.col("column"), F.col("count").cast("long").alias("count"), r("mean"), r("std"), F.col("min")]
+    mid = [r("q25"), r("q50"), r("q50", "median"), r("q75")] if quartiles else [r("q50", "median")]
     return out.select(*head, *mid, F.col("max"))
 
 

@@ -61,3 +61,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a shared folder")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="regionpanel-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialise(df, label: str = "table"):
+    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+
+    Cuts the lineage (an executor lost later does not recompute the plan)
+    and lets later passes read a columnar, pruned copy. One job, unlike an
+    uncached ``checkpoint()`` which computes the plan twice.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -60,7 +60,8 @@ def scoped_facts(facts: DataFrame, tables: Tables, scope: Scope) -> DataFrame:
     """Cheapest exact pre-filter of a fact table for a scope.
 
     * county scope: the request bounds the keys -> ``IN`` / broadcast semi join;
-    * state scope on a snapshot (facts carry ``state_key``): partition filter;
+    * state scope on a snapshot (facts carry ``state_key`` and the padded
+      partition column ``state_id``): partition filter plus exact key filter;
     * otherwise none: the block is aggregated by county first (map-side
       partial aggregation collapses hot counties) and the inner join with the
       spine drops out-of-scope counties afterwards.
@@ -68,6 +69,8 @@ def scoped_facts(facts: DataFrame, tables: Tables, scope: Scope) -> DataFrame:
     if scope.kind == "county":
         return keep_keys(facts, "county_key", scope.county_keys())
     if not scope.all_states and "state_key" in facts.columns:
-        keys = [r.state_key for r in scoped_states(tables, scope).select("state_key").collect()]
-        return keep_keys(facts, "state_key", keys)
+        rows = scoped_states(tables, scope).select("state_key", "state_id").collect()
+        if "state_id" in facts.columns:
+            facts = keep_keys(facts, "state_id", [r.state_id for r in rows])
+        return keep_keys(facts, "state_key", [r.state_key for r in rows])
     return facts

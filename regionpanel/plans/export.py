@@ -27,6 +27,7 @@ from regionpanel.operators.scores import Block, score_block_list
 from regionpanel.operators.wide import census_block, resolve_census_variables, variable_label
 from regionpanel.plans.spec import ExportSpec
 from regionpanel.sources.schema import META
+from regionpanel.sources.sinks import write_frame
 from regionpanel.sources.tables import Tables
 
 
@@ -80,16 +81,6 @@ def export(tables: Tables, spec: ExportSpec, labelled: bool = False) -> DataFram
     return finish(export_frame(tables, spec), spec, dictionary)
 
 
-def write_frame(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
-    """Parquet, or CSV with one header row of the column names. The
-    single-file form (one task writes) is for small exports only."""
-    w = (df.coalesce(1) if single_file else df).write.mode("overwrite")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.parquet(path)
-
-
 def run_export(tables: Tables, spec: ExportSpec, out_dir: str, fmt: str = "parquet",
                with_profile: bool = True) -> dict:
     """Write data, column dictionary and request; profile the written

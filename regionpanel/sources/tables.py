@@ -11,8 +11,8 @@ Two ways in:
   the fixture mapping of the test tables);
 * ``Tables.load(spark, path)`` — a canonical snapshot written by
   ``write_snapshot``. There the two fact tables also carry ``state_key`` and
-  are partitioned by it, so a state-scoped export reads only its states'
-  files, and rows are range-clustered by county so that Parquet min/max
+  are partitioned by the padded ``state_id``, so a state-scoped export
+  reads only its states' files, and rows are range-clustered by county so that Parquet min/max
   statistics skip row groups for county-scoped exports.
 """
 
@@ -22,6 +22,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionpanel.functions.keys import COUNTY_WIDTH, STATE_WIDTH, pad_code, strip_code
 from regionpanel.functions.measures import measure, score
@@ -35,9 +36,9 @@ class Tables:
     states            state_key, state_id, state_name, abbrev
     counties          county_key, state_key, county_id, county_name
     census_variables  variable_id, variable_name
-    census_facts      county_key, variable_id, value (double)      [+ state_key]
+    census_facts      county_key, variable_id, value (double)   [+ state_key, state_id]
     questions         question_id, question, category
-    responses         county_key, question_id, value (decimal 18,2) [+ state_key]
+    responses         county_key, question_id, value (dec 18,2) [+ state_key, state_id]
     state_wide        state_key, state_id, <measures in stored order>
     header_dictionary ordinal, name, header  (may be None)
     """
@@ -122,14 +123,17 @@ class Tables:
 
     # -------------------------------------------------------------- snapshot
 
-    def write_snapshot(self, path: str, files_per_state: int = 8) -> None:
+    def write_snapshot(self, path: str, partitions: int | None = None) -> None:
         """Write a canonical snapshot (Parquet).
 
         Facts get ``state_key`` by one join with the county dimension and are
-        written partitioned by it. Inside a state, rows are range-partitioned
-        on (county_key, row hash): the county ranges make min/max statistics
-        useful, the row hash splits a hot county over several files instead of
-        one task.
+        written partitioned by the padded ``state_id`` (never empty, unlike
+        the key of state ``0``, which Hive-style paths would turn into NULL).
+        Inside a state, rows are range-partitioned on (county_key, row hash):
+        the county ranges make min/max statistics useful, the row hash splits
+        a hot county over several files instead of one task. ``partitions``
+        (default: ``spark.sql.shuffle.partitions``) sets the number of write
+        tasks; size it so one task writes a few hundred MB.
         """
         dims = {
             "states": self.states, "counties": self.counties,
@@ -143,27 +147,36 @@ class Tables:
 
         county_state = self.counties.select("county_key", "state_key")
         for name, df in (("census_facts", self.census_facts), ("responses", self.responses)):
-            facts = df.drop("state_key") if "state_key" in df.columns else df
-            located = facts.join(county_state, "county_key", "inner")
-            n = max(1, files_per_state)
+            facts = df.drop("state_key", "state_id")
+            located = (facts.join(county_state, "county_key", "inner")
+                       .withColumn("state_id", pad_code("state_key", STATE_WIDTH)))
+            n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             (located
-             .repartitionByRange(n, "state_key", "county_key", F.xxhash64(*facts.columns))
-             .sortWithinPartitions("state_key", "county_key")
-             .write.mode("overwrite").partitionBy("state_key")
+             .repartitionByRange(n, "state_id", "county_key", F.xxhash64(*facts.columns))
+             .sortWithinPartitions("state_id", "county_key")
+             .write.mode("overwrite").partitionBy("state_id")
              .parquet(f"{path}/{name}"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Tables":
         """Read a snapshot written by ``write_snapshot`` (already canonical)."""
         read = lambda name: spark.read.parquet(f"{path}/{name}")
+
+        def read_facts(name):
+            # partition values are text: no type inference ('06' stays '06')
+            inferred = read(name).schema
+            fields = [f if f.name != "state_id" else T.StructField("state_id", T.StringType(), True)
+                      for f in inferred.fields]
+            return spark.read.schema(T.StructType(fields)).parquet(f"{path}/{name}")
+
         try:
             header = read("header_dictionary")
         except Exception:  # absent dictionary is allowed
             header = None
         t = cls(
             states=read("states"), counties=read("counties"),
-            census_variables=read("census_variables"), census_facts=read("census_facts"),
-            questions=read("questions"), responses=read("responses"),
+            census_variables=read("census_variables"), census_facts=read_facts("census_facts"),
+            questions=read("questions"), responses=read_facts("responses"),
             state_wide=read("state_wide"), header_dictionary=header,
         )
         _check_columns(t)

@@ -1,0 +1,38 @@
+"""Driver contract: entry, queries and oracle SQL (checked here at sf0.001)."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as E
+from tests.conftest import SF_SMALL
+from tools.check_oracle import TABLES, digest
+
+
+def test_entry_runs(spark):
+    df = E.entry(spark)
+    rows = df.collect()
+    assert len(rows) > 0 and df.columns[:4] == ["state_id", "state_name", "county_id", "county_name"]
+
+
+def test_every_query_has_an_oracle_or_a_reason():
+    assert set(E.oracle_sql()) == set(E.queries())
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_matches_oracle(spark, duck, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    srows = [tuple(r) for r in df.collect()]
+    cur = duck.execute(E.oracle_sql()[name])
+    drows = cur.fetchall()
+    dcols = [d[0] for d in cur.description]
+    assert sorted(df.columns) == sorted(dcols)
+    assert len(srows) == len(drows)
+    assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]

@@ -1,0 +1,79 @@
+"""Key and label expressions (K1-K11), column and driver-side forms."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from regionpanel.functions import keys as K
+
+
+def one(spark, expr, value, dtype="string"):
+    return spark.createDataFrame([(value,)], f"x {dtype}").select(expr(F.col("x")).alias("y")).first().y
+
+
+@pytest.mark.parametrize("raw,stripped", [("06037", "6037"), ("6037", "6037"), ("0", ""), ("000", ""), ("10", "10")])
+def test_strip_code(spark, raw, stripped):
+    assert one(spark, K.strip_code, raw) == stripped
+    assert K.strip_text(raw) == stripped
+
+
+def test_strip_code_of_integer(spark):
+    assert one(spark, K.strip_code, 6037, "int") == "6037"
+
+
+@pytest.mark.parametrize("raw,width,padded", [("6", 2, "06"), ("", 2, "00"), ("", 5, "00000"),
+                                              ("6037", 5, "06037"), ("123456", 5, "12345")])
+def test_pad_code(spark, raw, width, padded):
+    assert one(spark, lambda c: K.pad_code(c, width), raw) == padded
+
+
+@pytest.mark.parametrize("raw,digits", [("06-037", "06037"), ("0a-6-0", "060"), ("Customer#000000017", "000000017")])
+def test_digits_only_removes_every_non_digit(spark, raw, digits):
+    assert one(spark, K.digits_only, raw) == digits
+    assert K.digits_text(raw) == digits
+
+
+def test_county_request_key(spark):
+    assert one(spark, K.county_request_key, " 06-037") == "6037"
+    assert K.county_request_text("00057") == "57"
+
+
+def test_split_codes(spark):
+    assert one(spark, K.split_codes, " 06037, 48201 ,,\t36061 ,") == ["06037", "48201", "36061"]
+    assert K.split_text(" 06037, 48201 ,,\t36061 ,") == ["06037", "48201", "36061"]
+    assert K.split_text(["a ", " ", 7]) == ["a", "7"]
+    assert K.split_text("") == []
+    with pytest.raises(TypeError):
+        K.split_text(3.5)
+
+
+def test_name_and_abbrev_keys(spark):
+    assert one(spark, K.name_key, "  Overall Population\t") == "overall population"
+    assert one(spark, K.abbrev_key, " ca ") == "CA"
+
+
+@pytest.mark.parametrize("label,norm", [
+    ("43: Land Area in Square Miles", "Land Area in Square Miles"),
+    ("Drives_Sum", "Drives"),
+    (" 7 : x ", "x"),
+    ("Population Density", "Population Density"),
+    ("Reg_sum", "Reg_sum"),            # case sensitive suffix
+    ("12:3: y", "3: y"),               # one leading prefix only
+])
+def test_normalise_label(spark, label, norm):
+    assert one(spark, K.normalise_label, label) == norm
+    assert K.normalise_label_text(label) == norm
+
+
+def test_quote_awkward_names(spark):
+    name = "a.b ($) #1"
+    df = spark.createDataFrame([(1.0,)], f"`{name}` double")
+    assert df.select(K.qcol(name)).columns == [name]
+    assert K.quote("x`y") == "`x``y`"
+
+
+def test_flatten_names():
+    assert K.flatten_names("a, b ,") == ["a", "b"]
+    assert K.flatten_names([["a", "b"], "c"]) == ["a", "b", "c"]
+    assert K.flatten_names({"a": 1, "b": 2}) == ["a", "b"]
+    assert K.flatten_names(7) == ["7"]
+    assert K.flatten_names(None) == []

@@ -38,9 +38,17 @@ from regionpanel.sources.schema import META  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+_LOADED: dict = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str):
-    configure(spark)
-    return fixture_tables(spark, sf_dir)
+    """The star schema of ``sf_dir``, built once per session (lazy plans:
+    every query still reads the tables when it runs)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOADED:
+        configure(spark)
+        _LOADED[key] = fixture_tables(spark, sf_dir)
+    return _LOADED[key]
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -43,13 +43,21 @@ def question_ids(tables: Tables, requested) -> list[int]:
             names.append(str(item).strip().lower())
     if not names and not ids:
         return []
-    cond = F.lit(False)
-    if names:
-        cond = cond | name_key("question").isin(sorted(set(names)))
-    if ids:
-        cond = cond | F.col("question_id").isin(sorted(set(ids)))
-    rows = tables.questions.where(cond).select("question_id").distinct().orderBy("question_id").collect()
-    return [r.question_id for r in rows]
+    names, ids = tuple(sorted(set(names))), tuple(sorted(set(ids)))
+
+    def lookup():
+        cond = F.lit(False)
+        if names:
+            cond = cond | name_key("question").isin(list(names))
+        if ids:
+            cond = cond | F.col("question_id").isin(list(ids))
+        rows = tables.questions.where(cond).select("question_id", "question").collect()
+        return {r.question_id: r.question for r in rows}
+
+    found = tables.memo(("questions", names, ids), lookup)
+    for q, text in found.items():
+        tables.memo(("question_text", q), lambda text=text: text)
+    return sorted(found)
 
 
 def question_labels(tables: Tables, qids: list[int]) -> dict[int, str]:
@@ -59,8 +67,12 @@ def question_labels(tables: Tables, qids: list[int]) -> dict[int, str]:
     suffixed `` (#id)`` (the reference raises)."""
     if not qids:
         return {}
-    rows = tables.questions.where(F.col("question_id").isin(qids)).select("question_id", "question").collect()
-    text = {r.question_id: r.question for r in rows}
+    missing = [q for q in qids if ("question_text", q) not in tables._memo]
+    if missing:
+        rows = tables.questions.where(F.col("question_id").isin(missing)).select("question_id", "question").collect()
+        for r in rows:
+            tables.memo(("question_text", r.question_id), lambda r=r: r.question)
+    text = {q: tables._memo[("question_text", q)] for q in qids if ("question_text", q) in tables._memo}
     seen, labels = set(), {}
     for q in qids:
         if q not in text:

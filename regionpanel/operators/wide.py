@@ -62,14 +62,19 @@ def resolve_census_variables(tables: Tables, requested, mandatory: bool = False)
         names += [m.lower() for m in MANDATORY_VARIABLES]
     if not names and not ids:
         return {}
-    cond = F.lit(False)
-    if names:
-        cond = cond | name_key("variable_name").isin(sorted(set(names)))
-    if ids:
-        cond = cond | F.col("variable_id").isin(sorted(set(ids)))
-    rows = (tables.census_variables.where(cond).select("variable_id", "variable_name")
-            .distinct().orderBy("variable_id").collect())
-    return {r.variable_id: r.variable_name for r in rows}
+    names, ids = tuple(sorted(set(names))), tuple(sorted(set(ids)))
+
+    def lookup():
+        cond = F.lit(False)
+        if names:
+            cond = cond | name_key("variable_name").isin(list(names))
+        if ids:
+            cond = cond | F.col("variable_id").isin(list(ids))
+        rows = (tables.census_variables.where(cond).select("variable_id", "variable_name")
+                .distinct().orderBy("variable_id").collect())
+        return {r.variable_id: r.variable_name for r in rows}
+
+    return dict(tables.memo(("census_variables", names, ids), lookup))
 
 
 def variable_label(vid: int, name: str) -> str:

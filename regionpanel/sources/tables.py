@@ -18,7 +18,7 @@ Two ways in:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +52,17 @@ class Tables:
     state_wide: DataFrame
     header_dictionary: DataFrame | None = None
     strict_measures: bool = True
+    # request-bounded dictionary lookups already collected (driver side)
+    _memo: dict = field(default_factory=dict, compare=False, repr=False)
+
+    def memo(self, key, compute):
+        """Cached small driver-side lookup (dictionary rows of one request).
+
+        A snapshot is read-only, so a lookup answered once stays valid, like
+        the reference's preloaded catalogues."""
+        if key not in self._memo:
+            self._memo[key] = compute()
+        return self._memo[key]
 
     # ------------------------------------------------------------ construction
 
@@ -109,7 +120,7 @@ class Tables:
         return cls(st, co, cv, cf, qu, rs, sw, header_dictionary, strict_measures)
 
     def with_header_dictionary(self, dictionary: DataFrame) -> "Tables":
-        return replace(self, header_dictionary=dictionary)
+        return replace(self, header_dictionary=dictionary, _memo={})
 
     # ---------------------------------------------------------------- facts
 

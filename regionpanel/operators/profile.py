@@ -62,12 +62,17 @@ def column_stats(long: DataFrame, probs: list[float]) -> DataFrame:
     )
 
 
+def _quantile_name(p: float) -> str:
+    return f"q{int(round(p * 100))}"
+
+
 def quantiles_from_stats(long: DataFrame, stats: DataFrame, probs: list[float]) -> DataFrame:
-    """Steps 2-3: (column, p, value) exact quantiles."""
+    """Steps 2-3: one row per column with a ``q<pp>`` column per quantile."""
     lo_p, hi_p = _brackets(probs)
     arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     i = F.col("i") + 1
-    # one row per (column, p): target ranks and the value bracket
+    # one row per (column, p): the value bracket and the wanted ranks;
+    # bounded by (#columns x #quantiles), so a proven broadcast size
     brackets = (stats.where(F.col("count") > 0)
                 .select("column", "count", "min", "max", "lo_v", "hi_v",
                         F.posexplode(arr(probs)).alias("i", "p"))
@@ -80,17 +85,17 @@ def quantiles_from_stats(long: DataFrame, stats: DataFrame, probs: list[float])
                     .otherwise(F.element_at("hi_v", i)).alias("hi"))
                 .withColumn("k_lo", F.floor("pos").cast("long"))
                 .withColumn("k_hi", F.ceil("pos").cast("long"))
-                .withColumn("frac", F.col("pos") - F.col("k_lo")))
-    # bounded by (#columns x #quantiles): a proven broadcast size
-    tagged = long.where(F.col("value").isNotNull()).join(
-        F.broadcast(brackets.select("column", "p", "lo", "hi")), "column")
+                .withColumn("frac", F.col("pos") - F.col("k_lo"))
+                .drop("pos"))
+    keys = ["column", "p", "k_lo", "k_hi", "frac"]
+    tagged = long.where(F.col("value").isNotNull()).join(F.broadcast(brackets), "column")
     val, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     side = F.when(val < lo, F.lit(0)).when(val > hi, F.lit(2)).otherwise(F.lit(1))
-    parts = (tagged.groupBy("column", "p", side.alias("side"), F.when(side == 1, val).alias("v"))
+    parts = (tagged.groupBy(*keys, side.alias("side"), F.when(side == 1, val).alias("v"))
              .agg(F.count(F.lit(1)).alias("m"), F.max(val).alias("vmax"), F.min(val).alias("vmin")))
     w = Window.partitionBy("column", "p").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = parts.withColumn("cum", F.sum("m").over(w)).select(
-        "column", "p",
+        *keys,
         # representative value of the row and the ranks it is known to hold:
         # below-set -> its max at rank below-1; inside -> value's ranks;
         # above-set -> its min at the first rank above the bracket
@@ -99,19 +104,21 @@ def quantiles_from_stats(long: DataFrame, stats: DataFrame, probs: list[float])
         F.when(F.col("side") == 0, F.col("cum") - 1).otherwise(F.col("cum") - F.col("m")).alias("first_rank"),
         F.when(F.col("side") == 2, F.col("cum") - F.col("m")).otherwise(F.col("cum") - 1).alias("last_rank"),
     )
-    t = brackets.select("column", "p", "k_lo", "k_hi", "frac")
-    hit = ranked.join(t, ["column", "p"])
     at = lambda k: (F.col("first_rank") <= F.col(k)) & (F.col("last_rank") >= F.col(k))
-    picked = hit.groupBy("column", "p").agg(
-        F.max(F.when(at("k_lo"), F.col("value"))).alias("v_lo"),
-        F.max(F.when(at("k_hi"), F.col("value"))).alias("v_hi"),
-        F.first("frac").alias("frac"))
-    return picked.select("column", "p", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"))
-                         .alias("value"))
+    aggs = []
+    for p in probs:
+        is_p = F.col("p") == F.lit(float(p))
+        aggs += [F.max(F.when(is_p & at("k_lo"), F.col("value"))).alias(f"lo{p}"),
+                 F.max(F.when(is_p & at("k_hi"), F.col("value"))).alias(f"hi{p}"),
+                 F.max(F.when(is_p, F.col("frac"))).alias(f"fr{p}")]
+    picked = ranked.groupBy("column").agg(*aggs)
+    return picked.select("column", *[
+        (F.col(f"`lo{p}`") + (F.col(f"`hi{p}`") - F.col(f"`lo{p}`")) * F.col(f"`fr{p}`")).alias(_quantile_name(p))
+        for p in probs])
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """(column, p, value) exact linear-interpolated quantiles of each column."""
+    """One row per column, ``q<pp>`` = exact linear-interpolated quantile."""
     long = _long(df, cols)
     return quantiles_from_stats(long, column_stats(long, probs), probs)
 
@@ -128,10 +135,7 @@ def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = Fals
     probs = [0.25, 0.5, 0.75] if quartiles else [0.5]
     long = _long(df, cols)
     stats = column_stats(long, probs)
-    q = quantiles_from_stats(long, stats, probs)
-    qw = q.groupBy("column").agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"q{int(p * 100)}")
-                                   for p in probs])
-    out = stats.join(qw, "column", "left")
+    out = stats.join(quantiles_from_stats(long, stats, probs), "column", "left")
     r = lambda c, name=None: F.round(F.col(c), digits).alias(name or c)
     head = [F.col("column"), F.col("count").cast("long").alias("count"), r("mean"), r("std"), F.col("min")]
     mid = [r("q25"), r("q50"), r("q50", "median"), r("q75")] if quartiles else [r("q50", "median")]

@@ -35,7 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
          .config("spark.driver.memory", os.environ.get("REGIONPANEL_DRIVER_MEMORY", "16g"))
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     if event_log_dir:
-        b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+        b = (b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+             .config("spark.eventLog.compress", "false"))
     for k, v in SQL_DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

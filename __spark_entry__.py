@@ -296,6 +296,10 @@ def _checkpointed_export(spark, d):
     return materialise(export(_tables(spark, d), R.state_full()), "export")
 
 
+def q_export_row_count(spark, d):
+    return P.row_count(export(_tables(spark, d), R.state_full()))
+
+
 def q_profile_numeric(spark, d):
     return P.profile(_checkpointed_export(spark, d))
 

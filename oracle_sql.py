@@ -388,6 +388,7 @@ GROUP BY county_key, question_id HAVING count(*) > 1""",
 FROM header_dictionary GROUP BY ALL""",
     "header_apply": header_apply_sql(),
     "category_labels": _with() + "SELECT DISTINCT category, category AS label FROM questions",
+    "export_row_count": f"SELECT count(*) AS n_rows FROM ({export_sql(ALL)})",
     "profile_numeric": profile_sql(False),
     "profile_extended": profile_sql(True),
     "export_state_scope": export_sql(ALL),

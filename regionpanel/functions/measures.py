@@ -32,6 +32,12 @@ def score(col: Column | str, strict: bool = True) -> Column:
     return c.cast(SCORE_TYPE) if strict else c.try_cast(SCORE_TYPE)
 
 
+def rejected(col: Column | str, target: str = "double") -> Column:
+    """True where a non-NULL text does not cast to ``target`` (K7 reject)."""
+    c = _c(col)
+    return c.isNotNull() & c.try_cast(target).isNull()
+
+
 def zero_fill(col: Column | str) -> Column:
     """Numeric or NULL -> double, NULL becomes 0.0 (K8)."""
     return F.coalesce(_c(col).cast("double"), F.lit(0.0))

@@ -59,14 +59,19 @@ def export_frame(tables: Tables, spec: ExportSpec) -> DataFrame:
 
 
 def finish(df: DataFrame, spec: ExportSpec, dictionary: DataFrame | None,
-           drop_density: bool = True, order: bool = True) -> DataFrame:
+           drop_density: bool = True, order: bool = True, drop_helpers: bool = False) -> DataFrame:
     """X3 after the merge: band filter (adds density), rename, headers, drop
-    the density helper column, final order (nulls last)."""
+    the density helper column, final order (nulls last).
+
+    L11: the reference means to drop land area too but never does (its
+    column test misses the id prefix); ``drop_helpers=True`` drops both."""
     if "county_id" in df.columns:
         df = bands.filter_by_band(df, spec.band)
     df = headers.rename_columns(df)
     if drop_density and bands.DENSITY_COLUMN in df.columns:
         df = df.drop(bands.DENSITY_COLUMN)
+    if drop_helpers and bands.LAND_AREA_COLUMN in df.columns:
+        df = df.drop(bands.LAND_AREA_COLUMN)
     if dictionary is not None:
         df = headers.apply_headers(df, dictionary)
     if order:

@@ -119,6 +119,19 @@ class Tables:
         )
         return cls(st, co, cv, cf, qu, rs, sw, header_dictionary, strict_measures)
 
+    @staticmethod
+    def measure_rejects(census_facts: DataFrame, responses: DataFrame) -> DataFrame:
+        """Stored facts whose measure text does not cast (K7): one row per
+        relation with the reject count, one aggregate each (partial counts
+        map side). Use before loading with ``strict_measures=False``."""
+        from regionpanel.functions.measures import SCORE_TYPE, rejected
+
+        cf = census_facts.agg(F.count(F.when(rejected("data"), 1)).alias("n_rejected")) \
+            .select(F.lit("census_facts").alias("relation"), "n_rejected")
+        rs = responses.agg(F.count(F.when(rejected("value", SCORE_TYPE), 1)).alias("n_rejected")) \
+            .select(F.lit("responses").alias("relation"), "n_rejected")
+        return cf.unionByName(rs)
+
     def with_header_dictionary(self, dictionary: DataFrame) -> "Tables":
         return replace(self, header_dictionary=dictionary, _memo={})
 

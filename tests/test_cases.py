@@ -197,3 +197,46 @@ def test_state_only_and_empty(t):
 def test_unknown_state_column_raises(t):
     with pytest.raises(KeyError):
         wide.state_wide_select(t, None, ["nope"])
+
+
+def test_read_header_dictionary_csv_keeps_last_duplicate(spark, scratch):
+    path = f"{scratch}/dict.csv"
+    with open(path, "w") as fh:
+        fh.write('name,header,extra\n"White, non-Hispanic population",Census Variables,x\n'
+                 "state_id,State MoVE Variables,y\nstate_id,identifier,z\n")
+    d = headers.read_header_dictionary(spark, path)
+    got = {r.key: r.header for r in headers.header_lookup(d).collect()}
+    assert got == {"White, non-Hispanic population": "Census Variables", "state_id": "identifier"}
+    bad = f"{scratch}/bad.csv"
+    with open(bad, "w") as fh:
+        fh.write("column,header\na,b\n")
+    with pytest.raises(ValueError):
+        headers.read_header_dictionary(spark, bad)
+
+
+def test_measure_rejects_and_lenient_load(spark, t):
+    facts = spark.createDataFrame([("1", 1, "12.5"), ("1", 2, "n/a"), ("2", 1, None)], S.CENSUS_FACTS)
+    resp = spark.createDataFrame([("1", 10, "x"), ("1", 11, "3")], S.RESPONSES)
+    got = {r.relation: r.n_rejected for r in Tables.measure_rejects(facts, resp).collect()}
+    assert got == {"census_facts": 1, "responses": 1}
+
+
+def test_drop_helpers_drops_land_area(t):
+    from regionpanel.plans.export import finish
+
+    spec = ExportSpec(Scope.states("CA"), (1,), ())
+    df = finish(export_frame(t, spec), spec, None, drop_helpers=True)
+    assert "43: Land Area in Square Miles" not in df.columns and "1: Overall Population" in df.columns
+    kept = finish(export_frame(t, spec), spec, None)
+    assert "43: Land Area in Square Miles" in kept.columns     # the reference's actual behaviour
+
+
+def test_wide_pivot_path_equals_conditional_path(small_tables, monkeypatch):
+    qids = list(range(0, 140, 2))                                # 70 questions > CONDITIONAL_LIMIT
+    labels = scores.question_labels(small_tables, scores.question_ids(small_tables, qids))
+    assert len(labels) > wide.CONDITIONAL_LIMIT
+    scope = Scope.states("N01, N02, N03")
+    a = sorted(map(tuple, scores.question_matrix(small_tables, scope, labels).collect()))
+    monkeypatch.setattr(wide, "CONDITIONAL_LIMIT", 1000)
+    b = sorted(map(tuple, scores.question_matrix(small_tables, scope, labels).collect()))
+    assert a == b and len(a) > 0

@@ -45,3 +45,16 @@ def test_two_row_header_csv(spark, small_tables, scratch):
     assert len(rows) == 2 + df.count()
     ids = [(r[0], r[2]) for r in rows[2:]]
     assert ids == sorted(ids)
+
+
+def test_cli_job_runs_from_a_request_file(spark, scratch):
+    from regionpanel.plans.job import main
+
+    spec = R.county_full()
+    path = f"{scratch}/request.json"
+    with open(path, "w") as fh:
+        fh.write(spec.to_json())
+    res = main(["--fixture", "/root/testdata/sf0.001", "--request", path, "--out", f"{scratch}/out",
+                "--format", "parquet"])
+    assert res["rows"] == 2
+    assert spark.read.parquet(res["profile"]).count() > 0

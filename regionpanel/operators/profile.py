@@ -10,7 +10,8 @@ Plan (never gathers a column in one task):
 1. ONE aggregate over the unpivoted (column, value) rows gives count, mean,
    std, min, max and, from ``percentile_approx`` with accuracy A, a value
    bracket around each wanted order statistic (rank error <= n/A, the
-   bracket is 2n/A ranks wide on each side);
+   bracket is 2n/A ranks wide on each side); its one row per column is
+   collected (schema-sized) so the data is read only once more;
 2. ONE aggregate over the rows tagged against the brackets: rows below a
    bracket collapse to (count, max), rows above to min, rows inside to
    (value, multiplicity) pairs — at most ~4n/A distinct values per bracket;
@@ -91,8 +92,11 @@ def quantiles_from_stats(long: DataFrame, stats: DataFrame, probs: list[float])
     tagged = long.where(F.col("value").isNotNull()).join(F.broadcast(brackets), "column")
     val, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
     side = F.when(val < lo, F.lit(0)).when(val > hi, F.lit(2)).otherwise(F.lit(1))
+    # partial counts map side, then the few bracket rows gathered per column
+    # once: the window and the final pick need no further exchange
     parts = (tagged.groupBy(*keys, side.alias("side"), F.when(side == 1, val).alias("v"))
-             .agg(F.count(F.lit(1)).alias("m"), F.max(val).alias("vmax"), F.min(val).alias("vmin")))
+             .agg(F.count(F.lit(1)).alias("m"), F.max(val).alias("vmax"), F.min(val).alias("vmin"))
+             .repartition("column"))
     w = Window.partitionBy("column", "p").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = parts.withColumn("cum", F.sum("m").over(w)).select(
         *keys,
@@ -134,7 +138,10 @@ def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = Fals
         return spark.createDataFrame([], fields)
     probs = [0.25, 0.5, 0.75] if quartiles else [0.5]
     long = _long(df, cols)
-    stats = column_stats(long, probs)
+    # one row per column reaches the driver (bounded by the schema, not the
+    # data); the quantile pass then reads the data once more
+    agg = column_stats(long, probs)
+    stats = spark.createDataFrame(agg.collect(), agg.schema)
     out = stats.join(quantiles_from_stats(long, stats, probs), "column", "left")
     r = lambda c, name=None: F.round(F.col(c), digits).alias(name or c)
     head = [F.col("column"), F.col("count").cast("long").alias("count"), r("mean"), r("std"), F.col("min")]

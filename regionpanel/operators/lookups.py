@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionpanel.functions.keys import COUNTY_WIDTH, STATE_WIDTH, name_key, pad_code
+from regionpanel.functions.keys import STATE_WIDTH, name_key, pad_code
 from regionpanel.operators.dimension import keep_keys, scoped_states
 from regionpanel.plans.spec import Scope
 from regionpanel.sources.schema import MANDATORY_VARIABLES
@@ -110,11 +110,3 @@ def questions_in_category(tables: Tables, category: str) -> DataFrame:
     """Question texts of one category."""
     return tables.questions.where(F.col("category") == F.lit(category)).select("question_id", "question")
 
-
-def code_forms(tables: Tables) -> DataFrame:
-    """K2/K3 over the county dimension: key and padded forms."""
-    return tables.counties.select(
-        "county_key", "state_key",
-        pad_code("county_key", COUNTY_WIDTH).alias("county_id"),
-        pad_code("state_key", STATE_WIDTH).alias("state_id"),
-    )

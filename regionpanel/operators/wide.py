@@ -131,14 +131,6 @@ def pivot_duplicates(tables: Tables, variables: dict[int, str] | None = None) ->
     return duplicate_keys(facts, ["county_key", "variable_id"])
 
 
-def empty_wide(tables: Tables, variables: dict[int, str]) -> DataFrame:
-    """Typed empty result with the expected columns (A4)."""
-    spark = tables.states.sparkSession
-    fields = ", ".join([f"{m} string" for m in META] +
-                       [f"`{variable_label(v, n)}` double" for v, n in variables.items()])
-    return spark.createDataFrame([], fields)
-
-
 # ----------------------------------------------------------- state projection
 
 def state_wide_select(tables: Tables, state_keys: DataFrame | None, columns: list[str]) -> DataFrame:

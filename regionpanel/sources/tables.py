@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 
 from regionpanel.functions.keys import COUNTY_WIDTH, STATE_WIDTH, pad_code, strip_code
 from regionpanel.functions.measures import measure, score
-from regionpanel.sources import schema as S
 
 
 @dataclass(frozen=True)
@@ -137,10 +136,6 @@ class Tables:
 
     # ---------------------------------------------------------------- facts
 
-    @property
-    def facts_have_state(self) -> bool:
-        return "state_key" in self.responses.columns and "state_key" in self.census_facts.columns
-
     def state_variable_columns(self) -> list[str]:
         """Measures of the wide state table (S4): every column but the key."""
         return [c for c in self.state_wide.columns if c not in ("state_key", "state_id")]

@@ -1,6 +1,6 @@
 """Command-line export job (X3), for ``spark-submit``.
 
-    spark-submit -m regionpanel.plans.job --snapshot /data/panel/v42 \
+    spark-submit --py-files regionpanel.zip regionpanel/plans/job.py --snapshot /data/panel/v42 \
         --request request.json --out /data/exports/run-7 --format csv
 
 ``--snapshot`` reads a canonical snapshot (``Tables.load``); ``--fixture``

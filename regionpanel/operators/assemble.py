@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionpanel.functions.keys import qcol
+from regionpanel.functions.keys import qcol, quote, select_sql
 from regionpanel.operators.dimension import county_dimension, scoped_states
 from regionpanel.operators.scores import Block
 from regionpanel.plans.spec import Scope
@@ -52,15 +52,15 @@ def assemble_counties(tables: Tables, scope: Scope, blocks: list[Block],
             if c in seen:          # J9: first of duplicate names wins
                 continue
             seen.add(c)
-            out.append(F.coalesce(qcol(c), F.lit(0.0)).alias(c) if c in zero else qcol(c))
+            out.append(f"coalesce({quote(c)}, 0.0) AS {quote(c)}" if c in zero else quote(c))
     if state_columns:
         sw = tables.state_wide.select("state_key", *[qcol(c) for c in state_columns])
         df = df.join(sw, "state_key", "left")
         for c in state_columns:
             if c not in seen:
                 seen.add(c)
-                out.append(qcol(c))
-    return df.select(*META, *out)
+                out.append(quote(c))
+    return select_sql(df, [*META, *out])
 
 
 def merge_outer(left: DataFrame, right: DataFrame, on=("state_id", "county_id")) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regionpanel.functions.keys import in_list
 from regionpanel.plans.spec import Scope
 from regionpanel.sources.tables import Tables
 
@@ -28,7 +29,7 @@ def keep_keys(df: DataFrame, column: str, values: list) -> DataFrame:
     ``values`` never multiply rows)."""
     values = sorted(set(values))
     if len(values) <= IN_LIST_LIMIT:
-        return df.where(F.col(column).isin(values))
+        return df.where(in_list(column, values))
     spark = df.sparkSession
     ids = spark.createDataFrame([(v,) for v in values], [column])
     return df.join(F.broadcast(ids), column, "left_semi")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionpanel.functions.keys import qcol
+from regionpanel.functions.keys import quote, select_sql
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 ACCURACY = 10000
@@ -39,7 +39,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value) rows of the numeric columns; NaN becomes NULL (pandas
     skips it); NULLs are kept so an all-NULL column still has a row."""
-    casted = df.select(*[qcol(c).cast("double").alias(c) for c in cols])
+    casted = select_sql(df, [*[f"CAST({quote(c)} AS DOUBLE) AS {quote(c)}" for c in cols]])
     long = casted.unpivot([], cols, "column", "value")
     return long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 

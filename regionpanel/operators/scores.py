@@ -19,9 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionpanel.functions.keys import name_key, qcol
-from regionpanel.functions.measures import zero_fill
+from regionpanel.functions.keys import in_list, name_key, quote, select_sql, sql_lit, zero_fill_sql
+
 from regionpanel.operators.dimension import county_dimension, scoped_facts
+from regionpanel.operators import wide as wide_ops
 from regionpanel.operators.wide import pivot_by_key
 from regionpanel.plans.spec import Scope
 from regionpanel.sources.schema import META
@@ -50,7 +51,7 @@ def question_ids(tables: Tables, requested) -> list[int]:
         if names:
             cond = cond | name_key("question").isin(list(names))
         if ids:
-            cond = cond | F.col("question_id").isin(list(ids))
+            cond = cond | in_list("question_id", ids)
         rows = tables.questions.where(cond).select("question_id", "question").collect()
         return {r.question_id: r.question for r in rows}
 
@@ -69,7 +70,7 @@ def question_labels(tables: Tables, qids: list[int]) -> dict[int, str]:
         return {}
     missing = [q for q in qids if ("question_text", q) not in tables._memo]
     if missing:
-        rows = tables.questions.where(F.col("question_id").isin(missing)).select("question_id", "question").collect()
+        rows = tables.questions.where(in_list("question_id", missing)).select("question_id", "question").collect()
         for r in rows:
             tables.memo(("question_text", r.question_id), lambda r=r: r.question)
     text = {q: tables._memo[("question_text", q)] for q in qids if ("question_text", q) in tables._memo}
@@ -89,7 +90,7 @@ def question_labels(tables: Tables, qids: list[int]) -> dict[int, str]:
 
 def category_responses(tables: Tables, scope: Scope, categories: list[str]) -> DataFrame:
     """(county_key, category, value) of responses to questions of the categories."""
-    q = tables.questions.where(F.col("category").isin(categories)).select("question_id", "category")
+    q = tables.questions.where(in_list("category", categories)).select("question_id", "category")
     r = scoped_facts(tables.responses, tables, scope).select("county_key", "question_id", "value")
     return r.join(q, "question_id", "inner").select("county_key", "category", "value")
 
@@ -107,7 +108,7 @@ def score_block(tables: Tables, scope: Scope, categories: list[str], suffix: str
     """county_key + ``<category><suffix>`` columns, zero-filled (A7 core)."""
     labels = {c: c + suffix for c in categories}
     wide = pivot_by_key(category_responses(tables, scope, categories), "category", "value", labels, "sum")
-    return wide.select("county_key", *[zero_fill(qcol(l)).alias(l) for l in labels.values()])
+    return select_sql(wide, ["county_key", *[zero_fill_sql(quote(lbl), lbl) for lbl in labels.values()]])
 
 
 def score_wide(tables: Tables, scope: Scope, categories: list[str], suffix: str = SUFFIX) -> DataFrame:
@@ -115,50 +116,38 @@ def score_wide(tables: Tables, scope: Scope, categories: list[str], suffix: str
     category never seen is a 0.0 column; requested order."""
     spine = county_dimension(tables, scope)
     block = score_block(tables, scope, categories, suffix)
-    return spine.join(block, "county_key", "inner").select(*META, *[qcol(c + suffix) for c in categories])
+    return select_sql(spine.join(block, "county_key", "inner"), [*META, *[quote(c + suffix) for c in categories]])
 
 
 # ----------------------------------------------------------- question matrix
 
-def question_cells(tables: Tables, scope: Scope, labels: dict[int, str]) -> DataFrame:
-    """county_key + one decimal sum per chosen question (NULL = no response)."""
-    r = scoped_facts(tables.responses, tables, scope).where(F.col("question_id").isin(list(labels)))
-    return pivot_by_key(r.select("county_key", "question_id", "value"), "question_id", "value", labels, "sum")
+def question_cells(tables: Tables, scope: Scope, labels: dict[int, str], total: str | None = None) -> DataFrame:
+    """county_key + one decimal sum per chosen question (NULL = no response),
+    plus the sum over all of them when ``total`` is given."""
+    r = scoped_facts(tables.responses, tables, scope).where(in_list("question_id", labels))
+    return pivot_by_key(r.select("county_key", "question_id", "value"), "question_id", "value", labels, "sum",
+                        total=total)
 
 
 def question_matrix(tables: Tables, scope: Scope, labels: dict[int, str],
                     total_col: str = "selected_total") -> DataFrame:
     """A10 + A11: every county in scope, one column per question (0.0 if no
-    response), plus the row total."""
+    response), plus the row total (summed in the aggregate, exact)."""
     spine = county_dimension(tables, scope)
-    cells = question_cells(tables, scope, labels)
+    cells = question_cells(tables, scope, labels, total="_total")
     cols = list(labels.values())
     joined = spine.join(cells, "county_key", "left")
-    dec = [F.coalesce(qcol(c), F.lit(0).cast("decimal(28,2)")) for c in cols]
-    total = sum_columns(dec)
-    return joined.select(*META, *[zero_fill(qcol(c)).alias(c) for c in cols],
-                         total.cast("double").alias(total_col))
-
-
-def sum_columns(cols):
-    if not cols:
-        return F.lit(0.0)
-    out = cols[0]
-    for c in cols[1:]:
-        out = out + c
-    return out
+    return select_sql(joined, [*META, *[zero_fill_sql(quote(c), c) for c in cols],
+                             zero_fill_sql("`_total`", total_col)])
 
 
 def question_long_dense(tables: Tables, scope: Scope, labels: dict[int, str]) -> DataFrame:
     """County x question rows for every county in scope, 0.0 if no
     response — the unpivot of the dense matrix (no cross join)."""
     wide = question_matrix(tables, scope, labels)
-    rows = F.array(*[
-        F.struct(F.lit(q).cast("long").alias("question_id"), F.lit(lbl).alias("question_name"),
-                 qcol(lbl).alias("value_sum"))
-        for q, lbl in labels.items()
-    ])
-    return wide.select(*META, F.inline(rows))
+    rows = ", ".join(f"named_struct('question_id', CAST({q} AS BIGINT), 'question_name', {sql_lit(lbl)}, "
+                     f"'value_sum', {quote(lbl)})" for q, lbl in labels.items())
+    return select_sql(wide, [*META, f"inline(array({rows}))"])
 
 
 # ------------------------------------------------------------- assembler
@@ -182,7 +171,7 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
     ``groupBy(county_key)`` of conditional sums (one scan, one exchange);
     a flag records whether the county had a response in a sum category, so
     the sum block keeps its own row set after the merge.
-    Returns (block, detail_specs, sum_columns) or None when nothing is asked.
+    Returns (aggregate, sum categories, detail specs) or None when nothing is asked.
     """
     sum_cats, details, seen = [], [], set()
     for choice in spec_categories:
@@ -202,18 +191,32 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
     all_qids = sorted({q for _, labels in details for q in labels})
     r = scoped_facts(tables.responses, tables, scope).select("county_key", "question_id", "value")
     if sum_cats:
-        q = tables.questions.where(F.col("category").isin(sum_cats) | F.col("question_id").isin(all_qids))
+        q = tables.questions.where(in_list("category", sum_cats) | in_list("question_id", all_qids))
         r = r.join(q.select("question_id", "category"), "question_id", "inner")
     else:
-        r = r.where(F.col("question_id").isin(all_qids)).withColumn("category", F.lit(None).cast("string"))
-
-    cat, qid, val = F.col("category"), F.col("question_id"), F.col("value")
+        r = r.where(in_list("question_id", all_qids)).withColumn("category", F.lit(None).cast("string"))
+
+    cat, qid = F.col("category"), F.col("question_id")
+    wide_request = len(all_qids) > wide_ops.CONDITIONAL_LIMIT
+    if wide_request:
+        # O(1) per response row: sums per (county, question) first; both
+        # aggregates below read these cells (one exchange, reused)
+        r = r.groupBy("county_key", "question_id", "category").agg(F.sum("value").alias("value"))
+    val = F.col("value")
     aggs = []
     if sum_cats:
-        aggs.append(F.max(cat.isin(sum_cats)).alias("_in_sums"))
+        aggs.append(F.max(in_list("category", sum_cats)).alias("_in_sums"))
         aggs += [F.sum(F.when(cat == F.lit(c), val)).alias(f"_s{i}") for i, c in enumerate(sum_cats)]
-    aggs += [F.sum(F.when(qid == F.lit(q), val)).alias(f"_q{q}") for q in all_qids]
-    agg = r.groupBy("county_key").agg(*aggs)
+    aggs += [F.sum(F.when(in_list("question_id", labels), val)).alias(f"_t{j}") for j, (_, labels) in enumerate(details)]
+    if wide_request:
+        agg = r.groupBy("county_key").agg(*aggs)
+        cells = r.where(in_list("question_id", all_qids)).select("county_key", "question_id", "value")
+        piv = cells.groupBy("county_key").pivot("question_id", all_qids).agg(F.first("value"))
+        piv = select_sql(piv, ["county_key", *[f"{quote(str(q))} AS `_q{q}`" for q in all_qids]])
+        agg = agg.join(piv, "county_key", "left")
+    else:
+        aggs += [F.sum(F.when(qid == F.lit(q), val)).alias(f"_q{q}") for q in all_qids]
+        agg = r.groupBy("county_key").agg(*aggs)
     return agg, sum_cats, details
 
 
@@ -231,21 +234,18 @@ def score_block_list(tables: Tables, scope: Scope, spec_categories, suffix: str
         return []
     agg, sum_cats, details = got
     out_cols, cols, zero_cols = [], [], []
-    zero = F.lit(0).cast("decimal(28,2)")
-    for category, labels in details:
-        qcols = []
+    for j, (category, labels) in enumerate(details):
         for q, lbl in labels.items():
-            cols.append(zero_fill(F.col(f"_q{q}")).alias(lbl))
-            qcols.append(F.coalesce(F.col(f"_q{q}"), zero))
+            cols.append(zero_fill_sql(f"`_q{q}`", lbl))
             out_cols.append(lbl)
-        cols.append(sum_columns(qcols).cast("double").alias(category + suffix))
+        cols.append(zero_fill_sql(f"`_t{j}`", category + suffix))
         out_cols.append(category + suffix)
     zero_cols = list(out_cols)
     marker = None
     if sum_cats:
         marker = "_in_sums"
         for i, c in enumerate(sum_cats):
-            cols.append(F.when(F.col("_in_sums"), zero_fill(F.col(f"_s{i}"))).alias(c + suffix))
+            cols.append(f"CASE WHEN `_in_sums` THEN coalesce(CAST(`_s{i}` AS DOUBLE), 0.0) END AS {quote(c + suffix)}")
             out_cols.append(c + suffix)
-    frame = agg.select("county_key", *([F.col("_in_sums")] if sum_cats else []), *cols)
+    frame = select_sql(agg, ["county_key", *(["`_in_sums`"] if sum_cats else []), *cols])
     return [Block(frame, out_cols, dense=bool(details), marker=marker, zero_cols=tuple(zero_cols))]

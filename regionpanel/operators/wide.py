@@ -7,7 +7,8 @@ schema depends on the request alone and no distinct job is needed:
 * up to ``CONDITIONAL_LIMIT`` keys: one aggregate of conditional
   expressions — a single exchange, partial aggregation map side;
 * more keys: aggregate by (county, key) first, then Spark's pivot with
-  explicit values — O(1) work per input row however wide the result.
+  explicit values — O(1) work per input row however wide the result; totals
+  are one ``aggregate(array(...))`` expression, never a deep addition chain.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionpanel.functions.keys import name_key, qcol
+from regionpanel.functions.keys import in_list, name_key, qcol, quote, select_sql, sum_sql
 from regionpanel.operators.dimension import county_dimension, scoped_facts
 from regionpanel.plans.spec import Scope
 from regionpanel.sources.schema import META, MANDATORY_VARIABLES
@@ -25,22 +26,31 @@ CONDITIONAL_LIMIT = 64
 
 
 def pivot_by_key(long: DataFrame, key: str, value: str, labels: dict, how: str = "max",
-                 group: str = "county_key") -> DataFrame:
+                 group: str = "county_key", total: str | None = None) -> DataFrame:
     """``group`` + one column per ``labels`` entry (key value -> column name).
 
     ``how`` is ``max`` (unique facts) or ``sum``; a missing cell is NULL.
+    ``total`` names an extra column holding the sum of all values of the
+    group (one aggregate, not a chain of column additions).
     """
     agg = F.max if how == "max" else F.sum
     if not labels:
         return long.select(group).distinct()
+    extra = [F.sum(value).alias(total)] if total else []
     if len(labels) <= CONDITIONAL_LIMIT:
         k = F.col(key)
         return long.groupBy(group).agg(
-            *[agg(F.when(k == F.lit(v), F.col(value))).alias(lbl) for v, lbl in labels.items()]
-        )
+            *[agg(F.when(k == F.lit(v), F.col(value))).alias(lbl) for v, lbl in labels.items()], *extra)
+    # wide request: O(1) work per input row. Cells per (group, key) first,
+    # then Spark's pivot with explicit values (PivotFirst: each cell goes to
+    # its slot by a hash lookup, not a scan of the keys).
     cell = long.groupBy(group, key).agg(agg(value).alias("_cell"))
-    wide = cell.groupBy(group).pivot(key, list(labels.keys())).agg(F.first("_cell"))
-    return wide.select(group, *[F.col(f"`{v}`").alias(lbl) for v, lbl in labels.items()])
+    wide = cell.groupBy(group).pivot(key, list(labels)).agg(F.first("_cell"))
+    slots = [quote(str(v)) for v in labels]
+    exprs = [quote(group), *[f"{slot} AS {quote(lbl)}" for slot, lbl in zip(slots, labels.values())]]
+    if total:
+        exprs.append(f"{sum_sql(slots)} AS {quote(total)}")
+    return select_sql(wide, exprs)
 
 
 # --------------------------------------------------------------- variables
@@ -69,7 +79,7 @@ def resolve_census_variables(tables: Tables, requested, mandatory: bool = False)
         if names:
             cond = cond | name_key("variable_name").isin(list(names))
         if ids:
-            cond = cond | F.col("variable_id").isin(list(ids))
+            cond = cond | in_list("variable_id", ids)
         rows = (tables.census_variables.where(cond).select("variable_id", "variable_name")
                 .distinct().orderBy("variable_id").collect())
         return {r.variable_id: r.variable_name for r in rows}
@@ -87,7 +97,7 @@ def census_long(tables: Tables, scope: Scope, variables: dict[int, str]) -> Data
     """Facts of the chosen variables in scope, one row per county x variable."""
     spine = county_dimension(tables, scope)
     facts = scoped_facts(tables.census_facts, tables, scope)
-    facts = facts.where(F.col("variable_id").isin(list(variables)))
+    facts = facts.where(in_list("variable_id", variables))
     return (
         facts.join(spine, "county_key", "inner")
         .join(tables.census_variables, "variable_id", "inner")
@@ -99,7 +109,7 @@ def census_block(tables: Tables, scope: Scope, variables: dict[int, str]) -> Dat
     """county_key + one column per variable (NULL where missing); only
     counties with at least one chosen fact."""
     facts = scoped_facts(tables.census_facts, tables, scope)
-    facts = facts.where(F.col("variable_id").isin(list(variables))).select("county_key", "variable_id", "value")
+    facts = facts.where(in_list("variable_id", variables)).select("county_key", "variable_id", "value")
     labels = {vid: variable_label(vid, name) for vid, name in variables.items()}
     return pivot_by_key(facts, "variable_id", "value", labels, "max")
 
@@ -112,7 +122,7 @@ def census_wide(tables: Tables, scope: Scope, variables: dict[int, str]) -> Data
     spine = county_dimension(tables, scope)
     block = census_block(tables, scope, variables)
     cols = [variable_label(v, n) for v, n in variables.items()]
-    return spine.join(block, "county_key", "inner").select(*META, *[qcol(c) for c in cols])
+    return select_sql(spine.join(block, "county_key", "inner"), [*META, *[quote(c) for c in cols]])
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,7 +137,7 @@ def pivot_duplicates(tables: Tables, variables: dict[int, str] | None = None) ->
     reference's pivot raises on these, ours reports them."""
     facts = tables.census_facts
     if variables:
-        facts = facts.where(F.col("variable_id").isin(list(variables)))
+        facts = facts.where(in_list("variable_id", variables))
     return duplicate_keys(facts, ["county_key", "variable_id"])
 
 

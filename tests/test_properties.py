@@ -77,3 +77,16 @@ def test_fused_blocks_equal_separate_blocks(small_tables):
             assert row["PROMO_Sum"] == sums[cid]["PROMO_Sum"]
         else:
             assert row["PROMO_Sum"] is None
+
+
+def test_wide_fused_blocks_equal_conditional(small_tables, monkeypatch):
+    """Over CONDITIONAL_LIMIT detail questions the fused block switches to
+    (county, question) sums + a bounded map; results must not change."""
+    from regionpanel.operators import wide as W
+
+    t = small_tables
+    cats = (CategoryChoice("ECONOMY", False, tuple(range(0, 150, 2))), CategoryChoice("PROMO"))
+    a = sorted(map(tuple, scores.score_blocks(t, R.ALL_STATES, cats).collect()))
+    monkeypatch.setattr(W, "CONDITIONAL_LIMIT", 1000)
+    b = sorted(map(tuple, scores.score_blocks(t, R.ALL_STATES, cats).collect()))
+    assert a == b and len(a) > 0

@@ -312,6 +312,10 @@ def q_export_state_scope(spark, d):
     return export(_tables(spark, d), R.state_full())
 
 
+def q_export_state_band(spark, d):
+    return export(_tables(spark, d), R.state_full(band="Suburban"))
+
+
 def q_export_state_only(spark, d):
     return export(_tables(spark, d), R.state_only())
 

@@ -392,6 +392,7 @@ FROM header_dictionary GROUP BY ALL""",
     "profile_numeric": profile_sql(False),
     "profile_extended": profile_sql(True),
     "export_state_scope": export_sql(ALL),
+    "export_state_band": export_sql(ALL, band="Suburban"),
     "export_state_only": export_sql(ALL, state_only=True),
     "export_county_scope": export_sql(COUNTY),
     "export_csv_roundtrip": export_sql(ALL),

@@ -236,6 +236,8 @@ def score_block_list(tables: Tables, scope: Scope, spec_categories, suffix: str
     out_cols, cols, zero_cols = [], [], []
     for j, (category, labels) in enumerate(details):
         for q, lbl in labels.items():
+            if lbl in out_cols:        # same question in two detail blocks: first wins (J9)
+                continue
             cols.append(zero_fill_sql(f"`_q{q}`", lbl))
             out_cols.append(lbl)
         cols.append(zero_fill_sql(f"`_t{j}`", category + suffix))

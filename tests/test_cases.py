@@ -240,3 +240,10 @@ def test_wide_pivot_path_equals_conditional_path(small_tables, monkeypatch):
     monkeypatch.setattr(wide, "CONDITIONAL_LIMIT", 1000)
     b = sorted(map(tuple, scores.question_matrix(small_tables, scope, labels).collect()))
     assert a == b and len(a) > 0
+
+
+def test_same_question_in_two_detail_blocks(t):
+    cats = (CategoryChoice("Reg", False, (10, 11)), CategoryChoice("Voting", False, (10, 12)))
+    got = rows(scores.score_blocks(t, Scope.states("CA"), cats))
+    assert got["06037"]["Reg_Sum"] == 6.0 and got["06037"]["Voting_Sum"] == 7.0
+    assert got["06037"]["Q ten"] == 3.0

@@ -57,21 +57,46 @@ def county_dimension(tables: Tables, scope: Scope) -> DataFrame:
     )
 
 
+SCOPE_BROADCAST_ROWS = 1_000_000
+
+
+def scope_keys_if_small(tables: Tables, scope: Scope) -> DataFrame | None:
+    """County keys of a state scope when their count is at most
+    ``SCOPE_BROADCAST_ROWS`` (a count on the county dimension: the proven
+    bound that allows a broadcast), else None. Memoised per scope."""
+    def size():
+        return county_dimension(tables, scope).count()
+
+    n = tables.memo(("scope_size", scope), size)
+    if n > SCOPE_BROADCAST_ROWS:
+        return None
+    return county_dimension(tables, scope).select("county_key")
+
+
 def scoped_facts(facts: DataFrame, tables: Tables, scope: Scope) -> DataFrame:
     """Cheapest exact pre-filter of a fact table for a scope.
 
     * county scope: the request bounds the keys -> ``IN`` / broadcast semi join;
     * state scope on a snapshot (facts carry ``state_key`` and the padded
       partition column ``state_id``): partition filter plus exact key filter;
-    * otherwise none: the block is aggregated by county first (map-side
-      partial aggregation collapses hot counties) and the inner join with the
-      spine drops out-of-scope counties afterwards.
+    * state scope on un-partitioned facts: a broadcast semi join with the
+      scope's county keys when their number is checked small — rows leave
+      before the partial aggregate; otherwise none: the block is aggregated
+      by county first (map-side partial aggregation collapses hot counties,
+      only partial aggregates shuffle) and the inner join with the spine
+      drops out-of-scope counties afterwards;
+    * every state: no filter.
     """
     if scope.kind == "county":
         return keep_keys(facts, "county_key", scope.county_keys())
-    if not scope.all_states and "state_key" in facts.columns:
+    if scope.all_states:
+        return facts
+    if "state_key" in facts.columns:
         rows = scoped_states(tables, scope).select("state_key", "state_id").collect()
         if "state_id" in facts.columns:
             facts = keep_keys(facts, "state_id", [r.state_id for r in rows])
         return keep_keys(facts, "state_key", [r.state_key for r in rows])
-    return facts
+    keys = scope_keys_if_small(tables, scope)
+    if keys is None:
+        return facts
+    return facts.join(F.broadcast(keys), "county_key", "left_semi")

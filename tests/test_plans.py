@@ -59,3 +59,24 @@ def test_snapshot_gives_same_export(snapshot, small_tables):
     a = sorted(map(tuple, export(snapshot, spec).collect()))
     b = sorted(map(tuple, export(small_tables, spec).collect()))
     assert a == b and len(a) > 0
+
+
+def test_small_state_scope_filters_facts_before_aggregating(small_tables):
+    from regionpanel.operators import dimension
+
+    spec = ExportSpec(Scope.states("N03"), R.ALL_VARIABLES, R.STATE_COLUMNS, R.full_categories())
+    p = plan_of(export(small_tables, spec))
+    assert "LeftSemi" in p
+    old = dimension.SCOPE_BROADCAST_ROWS
+    try:
+        dimension.SCOPE_BROADCAST_ROWS = 0          # too big: aggregate first, no semi join
+        fresh = small_tables.__class__(**{f: getattr(small_tables, f) for f in
+                                          ("states", "counties", "census_variables", "census_facts",
+                                           "questions", "responses", "state_wide", "header_dictionary")})
+        q = plan_of(export(fresh, spec))
+        assert "LeftSemi" not in q
+        a = sorted(map(tuple, export(small_tables, spec).collect()))
+        b = sorted(map(tuple, export(fresh, spec).collect()))
+        assert a == b and len(a) > 0
+    finally:
+        dimension.SCOPE_BROADCAST_ROWS = old

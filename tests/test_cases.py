@@ -203,7 +203,7 @@ def test_read_header_dictionary_csv_keeps_last_duplicate(spark, scratch):
     path = f"{scratch}/dict.csv"
     with open(path, "w") as fh:
         fh.write('name,header,extra\n"White, non-Hispanic population",Census Variables,x\n'
-                 "state_id,State MoVE Variables,y\nstate_id,identifier,z\n")
+                 "state_id,State Variables,y\nstate_id,identifier,z\n")
     d = headers.read_header_dictionary(spark, path)
     got = {r.key: r.header for r in headers.header_lookup(d).collect()}
     assert got == {"White, non-Hispanic population": "Census Variables", "state_id": "identifier"}

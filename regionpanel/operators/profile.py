@@ -128,9 +128,12 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = False,
-            digits: int = ROUND) -> DataFrame:
+            digits: int = ROUND, exact: bool = True) -> DataFrame:
     """P7 (``quartiles=False``) / P8: one row per numeric column; mean, std
-    and interpolated quantiles rounded to ``digits`` places."""
+    and interpolated quantiles rounded to ``digits`` places.
+
+    ``exact=False`` stops after the first aggregate and reports
+    ``percentile_approx`` (rank error <= n/10,000) instead: one pass."""
     cols = numeric_columns(df) if cols is None else cols
     spark = df.sparkSession
     if not cols:
@@ -140,9 +143,16 @@ def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = Fals
     long = _long(df, cols)
     # one row per column reaches the driver (bounded by the schema, not the
     # data); the quantile pass then reads the data once more
-    agg = column_stats(long, probs)
-    stats = spark.createDataFrame(agg.collect(), agg.schema)
-    out = stats.join(quantiles_from_stats(long, stats, probs), "column", "left")
+    if not exact:
+        v = F.col("value")
+        out = long.groupBy("column").agg(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"),
+            *[F.percentile_approx(v, p, ACCURACY).cast("double").alias(_quantile_name(p)) for p in probs])
+    else:
+        agg = column_stats(long, probs)
+        stats = spark.createDataFrame(agg.collect(), agg.schema)
+        out = stats.join(quantiles_from_stats(long, stats, probs), "column", "left")
     r = lambda c, name=None: F.round(F.col(c), digits).alias(name or c)
     head = [F.col("column"), F.col("count").cast("long").alias("count"), r("mean"), r("std"), F.col("min")]
     mid = [r("q25"), r("q50"), r("q50", "median"), r("q75")] if quartiles else [r("q50", "median")]

@@ -247,3 +247,11 @@ def test_same_question_in_two_detail_blocks(t):
     got = rows(scores.score_blocks(t, Scope.states("CA"), cats))
     assert got["06037"]["Reg_Sum"] == 6.0 and got["06037"]["Voting_Sum"] == 7.0
     assert got["06037"]["Q ten"] == 3.0
+
+
+def test_profile_approximate_option(spark):
+    df = spark.range(0, 1001).selectExpr("CAST(id AS DOUBLE) AS x")
+    exact = profile(df).first()
+    approx = profile(df, exact=False).first()
+    assert exact.median == 500.0 and abs(approx.median - 500.0) <= 1.0
+    assert (exact["count"], exact.mean) == (approx["count"], approx.mean)

@@ -29,37 +29,37 @@ from regionpanel.sources.tables import Tables
 
 def assemble_counties(tables: Tables, scope: Scope, blocks: list[Block],
                       state_columns: list[str] | None = None) -> DataFrame:
-    """Spine + blocks (+ state variables) -> META + block columns in order."""
+    """Spine + blocks (+ state variables) -> META + block columns in order.
+
+    A column name already taken by an earlier block is dropped from the
+    later one before its join (J9: the first wins), so no join ever carries
+    two columns of one name."""
     spine = county_dimension(tables, scope)
     df = spine
     keep = F.lit(False)
+    out, seen = [], set(META) | set(spine.columns)
     for i, b in enumerate(blocks):
         present = f"_present{i}"
-        df = df.join(b.frame.withColumn(present, F.lit(True)), "county_key", "left")
+        fresh = [c for c in b.columns if c not in seen]
+        seen.update(fresh)
+        extra = [b.marker] if b.marker else []
+        frame = select_sql(b.frame, ["county_key", *[quote(c) for c in extra + fresh]])
+        df = df.join(frame.withColumn(present, F.lit(True)), "county_key", "left")
         if b.dense:
             keep = F.lit(True)
         elif b.marker:
             keep = keep | F.coalesce(F.col(b.marker), F.lit(False))
         else:
             keep = keep | F.col(present).isNotNull()
+        zero = set(b.zero_cols)
+        out += [f"coalesce({quote(c)}, 0.0) AS {quote(c)}" if c in zero else quote(c) for c in fresh]
     if blocks:
         df = df.where(keep)
-
-    out, seen = [], set(META)
-    for b in blocks:
-        zero = set(b.zero_cols)
-        for c in b.columns:
-            if c in seen:          # J9: first of duplicate names wins
-                continue
-            seen.add(c)
-            out.append(f"coalesce({quote(c)}, 0.0) AS {quote(c)}" if c in zero else quote(c))
     if state_columns:
-        sw = tables.state_wide.select("state_key", *[qcol(c) for c in state_columns])
+        fresh = [c for c in dict.fromkeys(state_columns) if c not in seen]
+        sw = tables.state_wide.select("state_key", *[qcol(c) for c in fresh])
         df = df.join(sw, "state_key", "left")
-        for c in state_columns:
-            if c not in seen:
-                seen.add(c)
-                out.append(quote(c))
+        out += [quote(c) for c in fresh]
     return select_sql(df, [*META, *out])
 
 

@@ -255,3 +255,17 @@ def test_profile_approximate_option(spark):
     approx = profile(df, exact=False).first()
     assert exact.median == 500.0 and abs(approx.median - 500.0) <= 1.0
     assert (exact["count"], exact.mean) == (approx["count"], approx.mean)
+
+
+def test_colliding_names_first_block_wins(spark, t):
+    """A question whose text equals a census label: the census column wins."""
+    from regionpanel.operators.assemble import assemble_counties
+    from regionpanel.operators.scores import Block
+
+    v = wide.resolve_census_variables(t, [1])
+    census = wide.census_block(t, Scope.states("CA"), v)
+    other = census.selectExpr("county_key", "`1: Overall Population` * 0 AS `1: Overall Population`", "1.0 AS y")
+    df = assemble_counties(t, Scope.states("CA"), [Block(census, ["1: Overall Population"]),
+                                                   Block(other, ["1: Overall Population", "y"])])
+    got = rows(df)
+    assert df.columns.count("1: Overall Population") == 1 and got["06037"]["1: Overall Population"] == 1000.0

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from regionpanel.functions.keys import COUNTY_WIDTH, STATE_WIDTH, pad_code, strip_code
 from regionpanel.functions.measures import measure, score
+from regionpanel.sources import schema as S
 
 
 @dataclass(frozen=True)
@@ -176,6 +177,27 @@ class Tables:
              .write.mode("overwrite").partitionBy("state_id")
              .parquet(f"{path}/{name}"))
 
+    @classmethod
+    def read_stored(cls, spark: SparkSession, path: str, fmt: str = "parquet",
+                    header_dictionary: DataFrame | None = None, strict_measures: bool = True) -> "Tables":
+        """S1 from files: one folder per stored relation under ``path``
+        (``states/``, ``counties/`` ...), read with the declared schemas (no
+        inference, so a drifted file fails at read rather than mid-job); the
+        wide state table keeps whatever measures it has."""
+        def read(name, schema=None):
+            r = spark.read.format(fmt)
+            if fmt == "csv":
+                r = r.option("header", True)
+            if schema is not None:
+                r = r.schema(schema)
+            return r.load(f"{path}/{name}")
+
+        stored = {name: read(name, schema) for name, schema in S.STORED.items()}
+        state_wide = read("state_wide") if fmt != "csv" else \
+            spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/state_wide")
+        return cls.from_stored(**stored, state_wide=state_wide.withColumn("state_id", F.col("state_id").cast("string")),
+                               header_dictionary=header_dictionary, strict_measures=strict_measures)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Tables":
         """Read a snapshot written by ``write_snapshot`` (already canonical)."""

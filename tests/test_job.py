@@ -58,3 +58,16 @@ def test_cli_job_runs_from_a_request_file(spark, scratch):
                 "--format", "parquet"])
     assert res["rows"] == 2
     assert spark.read.parquet(res["profile"]).count() > 0
+
+
+def test_read_stored_relations_from_files(spark, small_tables, scratch):
+    from regionpanel.sources.fixture import stored_relations
+    from regionpanel.sources.tables import Tables
+
+    for name, df in stored_relations(spark, "/root/testdata/sf0.001").items():
+        df.write.mode("overwrite").parquet(f"{scratch}/stored/{name}")
+    t = Tables.read_stored(spark, f"{scratch}/stored", header_dictionary=small_tables.header_dictionary)
+    spec = R.state_full()
+    a = sorted(map(tuple, export(t, spec).collect()))
+    b = sorted(map(tuple, export(small_tables, spec).collect()))
+    assert a == b and len(a) > 0

@@ -253,6 +253,16 @@ def q_score_blocks_state(spark, d):
     return SC.score_blocks(_tables(spark, d), R.ALL_STATES, R.full_categories())
 
 
+def q_question_matrix_category(spark, d):
+    t = _tables(spark, d)
+    qids = [r.question_id for r in lookups.questions_in_category(t, R.DETAIL_CATEGORY).select("question_id").collect()]
+    return SC.question_matrix(t, R.ALL_STATES, SC.question_labels(t, sorted(qids)))
+
+
+def q_score_blocks_county(spark, d):
+    return SC.score_blocks(_tables(spark, d), Scope.counties(R.COUNTY_CODES), R.full_categories())
+
+
 def _density_base(spark, d):
     t = _tables(spark, d)
     return W.census_wide(t, R.ALL_STATES, _vars(t, R.DENSITY_VARIABLES))

@@ -173,7 +173,8 @@ def score_wide(scope: str, cats) -> str:
 
 def dense_long_cte(qids, name: str = "dl") -> str:
     """Reference shape: selected counties x selected questions, left join responses."""
-    return f"""sel_q AS (SELECT question_id, question AS question_name FROM questions WHERE question_id IN ({_lit_list(qids)})),
+    ids = qids if isinstance(qids, str) else _lit_list(qids)       # a subquery or literal ids
+    return f"""sel_q AS (SELECT question_id, question AS question_name FROM questions WHERE question_id IN ({ids})),
 {name} AS (
   SELECT s.state_id, s.state_name, s.county_id, s.county_name, q.question_id, q.question_name,
          COALESCE(SUM(r.value), 0) AS value_sum
@@ -379,6 +380,12 @@ GROUP BY county_key, question_id HAVING count(*) > 1""",
     "score_blocks_state": _with(_scope_spine(ALL), matrix_cte(R.DETAIL_QUESTIONS, R.DETAIL_CATEGORY + "_Sum", "em"),
                                 score_wide_cte(R.SUM_CATEGORIES, "sw")) +
     "SELECT * FROM " + _outer_merge([("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", "em")), ("sw", "sw")]) + " mg",
+    "question_matrix_category": _with(_scope_spine(ALL),
+                                      matrix_cte(f"SELECT question_id FROM questions WHERE category = '{R.DETAIL_CATEGORY}'",
+                                                 "selected_total")) + f"SELECT * FROM {matrix_expr('selected_total')} m",
+    "score_blocks_county": _with(_scope_spine(COUNTY), matrix_cte(R.DETAIL_QUESTIONS, R.DETAIL_CATEGORY + "_Sum", "em"),
+                                 score_wide_cte(R.SUM_CATEGORIES, "sw")) +
+    "SELECT * FROM " + _outer_merge([("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", "em")), ("sw", "sw")]) + " mg",
     "density": _density_sql(None),
     "density_band": _density_sql(None, with_band=True),
     "density_rural": _density_sql("Rural"),

@@ -100,8 +100,8 @@ def run_export(tables: Tables, spec: ExportSpec, out_dir: str, fmt: str = "parqu
             .parquet(f"{out_dir}/columns")
     spark.createDataFrame([(spec.to_json(),)], "request string").coalesce(1).write.mode("overwrite") \
         .text(f"{out_dir}/request")
-    written = (spark.read.parquet(data_path) if fmt == "parquet"
-               else spark.read.schema(df.schema).option("header", True).csv(data_path))
+    reader = spark.read.format(fmt).schema(df.schema)
+    written = (reader.option("header", True) if fmt == "csv" else reader).load(data_path)
     result = {"data": data_path, "rows": written.count()}
     if with_profile:
         prof_path = f"{out_dir}/profile"

@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> dict:
     src.add_argument("--fixture", help="directory of the TPC-H-like test tables")
     ap.add_argument("--request", required=True, help="ExportSpec JSON (path or literal)")
     ap.add_argument("--out", required=True, help="output directory")
-    ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
+    ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json"])
     ap.add_argument("--no-profile", action="store_true")
     args = ap.parse_args(argv)
 

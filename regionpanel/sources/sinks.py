@@ -18,12 +18,18 @@ from regionpanel.functions.keys import qcol
 from regionpanel.operators.headers import two_row_header
 
 
+FORMATS = ("parquet", "csv", "orc", "json")
+
+
 def write_frame(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
-    w = (df.coalesce(1) if single_file else df).write.mode("overwrite")
+    """Distributed write (one task per partition). ``single_file`` funnels
+    everything through one task: small exports only."""
+    if fmt not in FORMATS:
+        raise ValueError(f"format must be one of {FORMATS}")
+    w = (df.coalesce(1) if single_file else df).write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.parquet(path)
+        w = w.option("header", True)
+    w.save(path)
 
 
 def write_two_row_csv(df: DataFrame, path: str, order_by: tuple[str, ...] = ("state_id", "county_id")) -> None:

@@ -71,3 +71,21 @@ def test_read_stored_relations_from_files(spark, small_tables, scratch):
     a = sorted(map(tuple, export(t, spec).collect()))
     b = sorted(map(tuple, export(small_tables, spec).collect()))
     assert a == b and len(a) > 0
+
+
+def test_read_stored_from_csv_and_export_formats(spark, small_tables, scratch):
+    from regionpanel.sources.fixture import stored_relations
+    from regionpanel.sources.sinks import write_frame
+    from regionpanel.sources.tables import Tables
+
+    for name, df in stored_relations(spark, "/root/testdata/sf0.001").items():
+        df.write.mode("overwrite").option("header", True).csv(f"{scratch}/csv/{name}")
+    t = Tables.read_stored(spark, f"{scratch}/csv", fmt="csv", header_dictionary=small_tables.header_dictionary)
+    spec = R.county_full()
+    expected = sorted(map(tuple, export(small_tables, spec).collect()))
+    assert sorted(map(tuple, export(t, spec).collect())) == expected
+    df = export(small_tables, spec)
+    for fmt in ("orc", "json"):
+        write_frame(df, f"{scratch}/out-{fmt}", fmt)
+        back = spark.read.format(fmt).schema(df.schema).load(f"{scratch}/out-{fmt}")
+        assert sorted(map(tuple, back.collect())) == expected

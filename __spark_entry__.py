@@ -28,9 +28,9 @@ from regionpanel.operators import wide as W  # noqa: E402
 from regionpanel.operators.assemble import attach_state, merge_outer, state_frame  # noqa: E402
 from regionpanel.operators.dimension import county_dimension  # noqa: E402
 from regionpanel.plans import requests as R  # noqa: E402
-from regionpanel.plans.export import export, export_frame  # noqa: E402
+from regionpanel.plans.export import export  # noqa: E402
 from regionpanel.sources.sinks import write_frame  # noqa: E402
-from regionpanel.plans.spec import CategoryChoice, Scope  # noqa: E402
+from regionpanel.plans.spec import Scope  # noqa: E402
 from regionpanel.session import checkpoint_dir, configure, materialise  # noqa: E402
 from regionpanel.sources.fixture import fixture_tables, stored_relations  # noqa: E402
 from regionpanel.sources.schema import META  # noqa: E402
@@ -358,4 +358,4 @@ def oracle_sql() -> dict[str, str]:
     return {k: v for k, v in ORACLE.items() if k in _QUERIES}
 
 
-__all__ = ["entry", "queries", "oracle_sql", "CategoryChoice", "export_frame"]
+__all__ = ["entry", "queries", "oracle_sql"]

@@ -303,11 +303,11 @@ def q_category_labels(spark, d):
 
 
 def _checkpointed_export(spark, d):
-    return materialise(export(_tables(spark, d), R.state_full()), "export")
+    return materialise(export(_tables(spark, d), R.state_full(), ordered=False), "export")
 
 
 def q_export_row_count(spark, d):
-    return P.row_count(export(_tables(spark, d), R.state_full()))
+    return P.row_count(export(_tables(spark, d), R.state_full(), ordered=False))
 
 
 def q_profile_numeric(spark, d):

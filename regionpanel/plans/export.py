@@ -80,10 +80,14 @@ def finish(df: DataFrame, spec: ExportSpec, dictionary: DataFrame | None,
     return df
 
 
-def export(tables: Tables, spec: ExportSpec, labelled: bool = False) -> DataFrame:
-    """The finished export of a request (one plan, nothing executed)."""
+def export(tables: Tables, spec: ExportSpec, labelled: bool = False, ordered: bool = True) -> DataFrame:
+    """The finished export of a request (one plan, nothing executed).
+
+    ``ordered=False`` skips the final global sort (a sampling job and a
+    range shuffle) for consumers that do not care about row order, such as
+    the profile or a row count."""
     dictionary = tables.header_dictionary if labelled else None
-    return finish(export_frame(tables, spec), spec, dictionary)
+    return finish(export_frame(tables, spec), spec, dictionary, order=ordered)
 
 
 def run_export(tables: Tables, spec: ExportSpec, out_dir: str, fmt: str = "parquet",

@@ -90,3 +90,20 @@ def test_wide_fused_blocks_equal_conditional(small_tables, monkeypatch):
     monkeypatch.setattr(W, "CONDITIONAL_LIMIT", 1000)
     b = sorted(map(tuple, scores.score_blocks(t, R.ALL_STATES, cats).collect()))
     assert a == b and len(a) > 0
+
+
+def test_results_do_not_depend_on_partitioning(spark, small_tables):
+    from regionpanel.plans.export import export
+    from regionpanel.operators.profile import profile
+
+    spec = R.state_full()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for n in ("1", "7", "37"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            df = export(small_tables, spec)
+            results.append((sorted(map(tuple, df.collect())), sorted(map(tuple, profile(df).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]

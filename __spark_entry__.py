@@ -44,7 +44,7 @@ _LOADED: dict = {}
 def _tables(spark: SparkSession, sf_dir: str):
     """The star schema of ``sf_dir``, built once per session (lazy plans:
     every query still reads the tables when it runs)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    key = (id(spark), spark.conf.get("spark.app.id", ""), sf_dir)
     if key not in _LOADED:
         configure(spark)
         _LOADED[key] = fixture_tables(spark, sf_dir)

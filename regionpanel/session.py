@@ -44,24 +44,37 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_LOCAL_DIRS: dict = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster it must be set by the cluster (a shared file system); only a
-    local-mode session without one gets a fresh temporary folder.
+    local-mode session without one gets a fresh temporary folder. Works on a
+    classic session and, through session settings only, on a remote one.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) session: no SparkContext on this side
+        sc = None
+    if sc is not None and sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and sc is not None:
+        conf = sc.getConf().get("spark.checkpoint.dir", None)
+    if conf:
+        if sc is not None:
+            sc.setCheckpointDir(conf)
+            return sc.getCheckpointDir()
+        return conf
+    master = sc.master if sc is not None else (spark.conf.get("spark.master", "") or "")
+    if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; a cluster needs a shared folder")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="regionpanel-ckpt-"))
-    return sc.getCheckpointDir()
+    if sc is not None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="regionpanel-ckpt-"))
+        return sc.getCheckpointDir()
+    return _LOCAL_DIRS.setdefault(id(spark), tempfile.mkdtemp(prefix="regionpanel-ckpt-"))
 
 
 def materialise(df, label: str = "table"):

@@ -114,11 +114,19 @@ def census_block(tables: Tables, scope: Scope, variables: dict[int, str]) -> Dat
     return pivot_by_key(facts, "variable_id", "value", labels, "max")
 
 
-def census_wide(tables: Tables, scope: Scope, variables: dict[int, str]) -> DataFrame:
+def census_wide(tables: Tables, scope: Scope, variables: dict[int, str], strict: bool = False) -> DataFrame:
     """A3: one row per county in scope with at least one chosen fact.
 
     Deviation: a requested variable without any fact is a NULL column (the
-    schema depends on the request only)."""
+    schema depends on the request only). ``strict=True`` first runs the
+    uniqueness check (one job, stops at the first duplicate) and raises like
+    the reference's pivot; otherwise a duplicate keeps its largest value."""
+    if strict:
+        dup = pivot_duplicates(tables, variables).limit(1).collect()
+        if dup:
+            r = dup[0]
+            raise ValueError(f"duplicate census facts: county {r.county_key!r}, variable {r.variable_id} "
+                             f"({r.n_rows} rows)")
     spine = county_dimension(tables, scope)
     block = census_block(tables, scope, variables)
     cols = [variable_label(v, n) for v, n in variables.items()]

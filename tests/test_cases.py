@@ -269,3 +269,10 @@ def test_colliding_names_first_block_wins(spark, t):
                                                    Block(other, ["1: Overall Population", "y"])])
     got = rows(df)
     assert df.columns.count("1: Overall Population") == 1 and got["06037"]["1: Overall Population"] == 1000.0
+
+
+def test_strict_pivot_raises_on_duplicates(t):
+    v = wide.resolve_census_variables(t, [1, 5])
+    with pytest.raises(ValueError, match="duplicate census facts"):
+        wide.census_wide(t, Scope.states("CA"), v, strict=True)
+    assert wide.census_wide(t, Scope.states("CA"), wide.resolve_census_variables(t, [1]), strict=True).count() > 0

@@ -122,7 +122,7 @@ def census_wide(tables: Tables, scope: Scope, variables: dict[int, str], strict:
     uniqueness check (one job, stops at the first duplicate) and raises like
     the reference's pivot; otherwise a duplicate keeps its largest value."""
     if strict:
-        dup = pivot_duplicates(tables, variables).limit(1).collect()
+        dup = pivot_duplicates(tables, variables, scope).limit(1).collect()
         if dup:
             r = dup[0]
             raise ValueError(f"duplicate census facts: county {r.county_key!r}, variable {r.variable_id} "
@@ -140,10 +140,15 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
             .where(F.col("n_rows") > 1))
 
 
-def pivot_duplicates(tables: Tables, variables: dict[int, str] | None = None) -> DataFrame:
-    """(county, variable) pairs with more than one census fact; the
-    reference's pivot raises on these, ours reports them."""
-    facts = tables.census_facts
+def pivot_duplicates(tables: Tables, variables: dict[int, str] | None = None,
+                     scope: Scope | None = None) -> DataFrame:
+    """(county, variable) pairs with more than one census fact (within the
+    scope and variables, when given); the reference's pivot raises on these,
+    ours reports them."""
+    facts = tables.census_facts if scope is None else scoped_facts(tables.census_facts, tables, scope)
+    if scope is not None and scope.kind == "state" and not scope.all_states and "state_key" not in facts.columns:
+        keys = county_dimension(tables, scope).select("county_key")
+        facts = facts.join(keys, "county_key", "left_semi")
     if variables:
         facts = facts.where(in_list("variable_id", variables))
     return duplicate_keys(facts, ["county_key", "variable_id"])

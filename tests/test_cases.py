@@ -276,3 +276,8 @@ def test_strict_pivot_raises_on_duplicates(t):
     with pytest.raises(ValueError, match="duplicate census facts"):
         wide.census_wide(t, Scope.states("CA"), v, strict=True)
     assert wide.census_wide(t, Scope.states("CA"), wide.resolve_census_variables(t, [1]), strict=True).count() > 0
+
+
+def test_strict_pivot_ignores_duplicates_out_of_scope(t):
+    v = wide.resolve_census_variables(t, [1, 5])
+    assert wide.census_wide(t, Scope.states("TX"), v, strict=True).count() == 1

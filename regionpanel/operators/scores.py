@@ -88,11 +88,22 @@ def question_labels(tables: Tables, qids: list[int]) -> dict[int, str]:
 
 # ------------------------------------------------------------ category sums
 
+def with_category(tables: Tables, responses: DataFrame, keep) -> DataFrame:
+    """Responses with their question's category, restricted by ``keep``
+    (a predicate over ``category`` / ``question_id``). A snapshot stores the
+    category on each response (filter pushed into the scan, no join);
+    otherwise the question dictionary is joined (inner: unknown questions
+    drop out, as in the reference)."""
+    if "category" in responses.columns:
+        return responses.where(keep)
+    q = tables.questions.select("question_id", "category")
+    return responses.join(q, "question_id", "inner").where(keep)
+
+
 def category_responses(tables: Tables, scope: Scope, categories: list[str]) -> DataFrame:
     """(county_key, category, value) of responses to questions of the categories."""
-    q = tables.questions.where(in_list("category", categories)).select("question_id", "category")
-    r = scoped_facts(tables.responses, tables, scope).select("county_key", "question_id", "value")
-    return r.join(q, "question_id", "inner").select("county_key", "category", "value")
+    r = scoped_facts(tables.responses, tables, scope)
+    return with_category(tables, r, in_list("category", categories)).select("county_key", "category", "value")
 
 
 def score_long(tables: Tables, scope: Scope, categories: list[str]) -> DataFrame:
@@ -189,12 +200,13 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
         return None
 
     all_qids = sorted({q for _, labels in details for q in labels})
-    r = scoped_facts(tables.responses, tables, scope).select("county_key", "question_id", "value")
+    r = scoped_facts(tables.responses, tables, scope)
     if sum_cats:
-        q = tables.questions.where(in_list("category", sum_cats) | in_list("question_id", all_qids))
-        r = r.join(q.select("question_id", "category"), "question_id", "inner")
+        keep = in_list("category", sum_cats) | in_list("question_id", all_qids)
+        r = with_category(tables, r, keep).select("county_key", "question_id", "category", "value")
     else:
-        r = r.where(in_list("question_id", all_qids)).withColumn("category", F.lit(None).cast("string"))
+        r = (r.where(in_list("question_id", all_qids)).select("county_key", "question_id", "value")
+             .withColumn("category", F.lit(None).cast("string")))
 
     cat, qid = F.col("category"), F.col("question_id")
     wide_request = len(all_qids) > wide_ops.CONDITIONAL_LIMIT

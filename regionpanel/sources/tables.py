@@ -38,7 +38,7 @@ class Tables:
     census_variables  variable_id, variable_name
     census_facts      county_key, variable_id, value (double)   [+ state_key, state_id]
     questions         question_id, question, category
-    responses         county_key, question_id, value (dec 18,2) [+ state_key, state_id]
+    responses         county_key, question_id, value (dec 18,2) [+ state_key, state_id, category]
     state_wide        state_key, state_id, <measures in stored order>
     header_dictionary ordinal, name, header  (may be None)
     """
@@ -166,7 +166,11 @@ class Tables:
             self.header_dictionary.write.mode("overwrite").parquet(f"{path}/header_dictionary")
 
         county_state = self.counties.select("county_key", "state_key")
-        for name, df in (("census_facts", self.census_facts), ("responses", self.responses)):
+        # responses carry their question's category (a read-only snapshot):
+        # category sums then filter the scan instead of joining the dictionary
+        categories = self.questions.select("question_id", "category")
+        responses = self.responses.drop("category").join(categories, "question_id", "left")
+        for name, df in (("census_facts", self.census_facts), ("responses", responses)):
             facts = df.drop("state_key", "state_id")
             located = (facts.join(county_state, "county_key", "inner")
                        .withColumn("state_id", pad_code("state_key", STATE_WIDTH)))

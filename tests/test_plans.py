@@ -80,3 +80,12 @@ def test_small_state_scope_filters_facts_before_aggregating(small_tables):
         assert a == b and len(a) > 0
     finally:
         dimension.SCOPE_BROADCAST_ROWS = old
+
+
+def test_snapshot_category_sums_need_no_dictionary_join(snapshot, small_tables):
+    df = scores.score_wide(snapshot, Scope.states("N01, N03"), ["PROMO", "SMALL"])
+    p = plan_of(df)
+    assert "/questions" not in p and "In(category, [PROMO,SMALL])" in p
+    a = sorted(map(tuple, df.collect()))
+    b = sorted(map(tuple, scores.score_wide(small_tables, Scope.states("N01, N03"), ["PROMO", "SMALL"]).collect()))
+    assert a == b and len(a) > 0

@@ -8,8 +8,6 @@ sum exactly, cast the total to double last.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +39,3 @@ def rejected(col: Column | str, target: str = "double") -> Column:
 def zero_fill(col: Column | str) -> Column:
     """Numeric or NULL -> double, NULL becomes 0.0 (K8)."""
     return F.coalesce(_c(col).cast("double"), F.lit(0.0))
-
-
-def row_total(cols: list[Column]) -> Column:
-    """Sum across columns, NULL skipped (A11); 0.0 for no columns."""
-    if not cols:
-        return F.lit(0.0)
-    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cols])

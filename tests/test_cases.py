@@ -281,3 +281,17 @@ def test_strict_pivot_raises_on_duplicates(t):
 def test_strict_pivot_ignores_duplicates_out_of_scope(t):
     v = wide.resolve_census_variables(t, [1, 5])
     assert wide.census_wide(t, Scope.states("TX"), v, strict=True).count() == 1
+
+
+def test_small_public_helpers(spark, t):
+    from regionpanel.functions.measures import zero_fill
+    from regionpanel.operators.lookups import state_variable_names
+    from regionpanel.operators.profile import exact_quantiles
+
+    df = spark.createDataFrame([(None,), (2.5,)], "x double")
+    assert [r.y for r in df.select(zero_fill("x").alias("y")).collect()] == [0.0, 2.5]
+    assert state_variable_names(t) == [AWKWARD, "Rank"]
+    swapped = t.with_header_dictionary(spark.createDataFrame([(0, "Rank", "G")], "ordinal long, name string, header string"))
+    assert swapped.header_dictionary.count() == 1 and swapped.states is t.states
+    q = exact_quantiles(spark.range(1, 101).selectExpr("CAST(id AS DOUBLE) AS v"), ["v"], [0.1, 0.5, 0.9]).first()
+    assert (q.q10, q.q50, q.q90) == pytest.approx((10.9, 50.5, 90.1))

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionpanel.functions.keys import in_list, name_key, quote, select_sql, sql_lit, zero_fill_sql
+from regionpanel.functions.keys import in_list, name_key, quote, select_sql, sql_lit, sum_sql, zero_fill_sql
 
 from regionpanel.operators.dimension import county_dimension, scoped_facts
 from regionpanel.operators import wide as wide_ops
@@ -143,13 +143,27 @@ def question_cells(tables: Tables, scope: Scope, labels: dict[int, str], total:
 def question_matrix(tables: Tables, scope: Scope, labels: dict[int, str],
                     total_col: str = "selected_total") -> DataFrame:
     """A10 + A11: every county in scope, one column per question (0.0 if no
-    response), plus the row total (summed in the aggregate, exact)."""
+    response), plus the row total (summed in the aggregate, exact).
+
+    Few questions: one conditional aggregate by county, joined to the spine.
+    Many questions: the (county, question) sums — narrow rows, as many as
+    non-empty cells — are joined to the spine first and pivoted after, so
+    no wide row is ever shuffled or sorted; the pivot's grouping is already
+    satisfied by the join's partitioning on county_key."""
     spine = county_dimension(tables, scope)
-    cells = question_cells(tables, scope, labels, total="_total")
     cols = list(labels.values())
+    if len(labels) <= wide_ops.CONDITIONAL_LIMIT:
+        cells = question_cells(tables, scope, labels, total="_total")
+        joined = spine.join(cells, "county_key", "left")
+        return select_sql(joined, [*META, *[zero_fill_sql(quote(c), c) for c in cols],
+                                   zero_fill_sql("`_total`", total_col)])
+    r = scoped_facts(tables.responses, tables, scope).where(in_list("question_id", labels))
+    cells = r.groupBy("county_key", "question_id").agg(F.sum("value").alias("_v"))
     joined = spine.join(cells, "county_key", "left")
-    return select_sql(joined, [*META, *[zero_fill_sql(quote(c), c) for c in cols],
-                             zero_fill_sql("`_total`", total_col)])
+    wide = joined.groupBy("county_key", *META).pivot("question_id", list(labels)).agg(F.first("_v"))
+    slots = [quote(str(q)) for q in labels]
+    return select_sql(wide, [*META, *[zero_fill_sql(s, c) for s, c in zip(slots, cols)],
+                             zero_fill_sql(sum_sql(slots), total_col)])
 
 
 def question_long_dense(tables: Tables, scope: Scope, labels: dict[int, str]) -> DataFrame:

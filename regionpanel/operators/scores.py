@@ -159,7 +159,11 @@ def question_matrix(tables: Tables, scope: Scope, labels: dict[int, str],
                                    zero_fill_sql("`_total`", total_col)])
     r = scoped_facts(tables.responses, tables, scope).where(in_list("question_id", labels))
     cells = r.groupBy("county_key", "question_id").agg(F.sum("value").alias("_v"))
-    joined = spine.join(cells, "county_key", "left")
+    # the join needs both sides hashed on county_key anyway; numbering the
+    # partitions keeps AQE from coalescing them by input size: the input is
+    # narrow, the pivot's output is not
+    n = int(tables.states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = spine.repartition(n, "county_key").join(cells.repartition(n, "county_key"), "county_key", "left")
     wide = joined.groupBy("county_key", *META).pivot("question_id", list(labels)).agg(F.first("_v"))
     slots = [quote(str(q)) for q in labels]
     return select_sql(wide, [*META, *[zero_fill_sql(s, c) for s, c in zip(slots, cols)],
@@ -228,6 +232,10 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
         # O(1) per response row: sums per (county, question) first; both
         # aggregates below read these cells (one exchange, reused)
         r = r.groupBy("county_key", "question_id", "category").agg(F.sum("value").alias("value"))
+        # both aggregates below group by county: one numbered exchange serves
+        # both, and AQE does not squeeze the wide pivot into a single task
+        n = int(tables.states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        r = r.repartition(n, "county_key")
     val = F.col("value")
     aggs = []
     if sum_cats:

@@ -45,7 +45,10 @@ def pivot_by_key(long: DataFrame, key: str, value: str, labels: dict, how: str =
     # then Spark's pivot with explicit values (PivotFirst: each cell goes to
     # its slot by a hash lookup, not a scan of the keys).
     cell = long.groupBy(group, key).agg(agg(value).alias("_cell"))
-    wide = cell.groupBy(group).pivot(key, list(labels)).agg(F.first("_cell"))
+    # numbered partitions: AQE would size the pivot stage by its narrow input
+    # and may squeeze it into one task, though its output is wide
+    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = cell.repartition(n, group).groupBy(group).pivot(key, list(labels)).agg(F.first("_cell"))
     slots = [quote(str(v)) for v in labels]
     exprs = [quote(group), *[f"{slot} AS {quote(lbl)}" for slot, lbl in zip(slots, labels.values())]]
     if total:

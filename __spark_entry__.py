@@ -72,6 +72,10 @@ def q_column_scan(spark, d):
     return lookups.column_values(_tables(spark, d).questions, "category")
 
 
+def q_variable_names(spark, d):
+    return lookups.fact_variable_names(_tables(spark, d))
+
+
 def q_question_catalogue(spark, d):
     return lookups.column_values(_tables(spark, d).questions, ["question", "category"])
 
@@ -139,6 +143,11 @@ def q_census_variable_lookup(spark, d):
     return lookups.census_variable_lookup(t, t.header_dictionary.select("name"))
 
 
+def q_mandatory_variables(spark, d):
+    t = _tables(spark, d)
+    return lookups.mandatory_variables(t, t.questions.select(F.col("category").alias("name")))
+
+
 def q_catalogue_search(spark, d):
     return lookups.catalogue_search(_tables(spark, d).questions, "question", R.SEARCH_TEXT)
 

@@ -329,6 +329,11 @@ ORACLE: dict[str, str] = {
     "snapshot_row_counts": _row_counts(),
     "column_scan": _with() + "SELECT category FROM questions",
     "question_catalogue": _with() + "SELECT question, category FROM questions",
+    "variable_names": _with() + """SELECT v.name AS name FROM census_facts f
+JOIN census_variables v ON v.variable_id = f.variable_id""",
+    "mandatory_variables": _with() + """SELECT variable_id, name AS variable_name FROM census_variables
+WHERE lower(trim(name)) IN (SELECT lower(trim(category)) FROM questions
+                            UNION ALL SELECT 'land area in square miles' UNION ALL SELECT 'overall population')""",
     "state_variable_list": _with() + f"""SELECT '{FX.STATE_COUNT_COLUMN}' AS variable, count(*) AS n_states FROM csw
 UNION ALL SELECT '{FX.STATE_BALANCE_COLUMN}', count(*) FROM csw""",
     "split_trim_codes": _SPLIT,

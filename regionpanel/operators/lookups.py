@@ -88,12 +88,25 @@ def census_variable_lookup(tables: Tables, names) -> DataFrame:
 
 
 def mandatory_variables(tables: Tables, requested) -> DataFrame:
-    """Requested variables plus population and land area (if they exist)."""
+    """Requested variables plus population and land area (if they exist).
+
+    ``requested`` is a list of names or a DataFrame with a ``name`` column."""
+    if isinstance(requested, DataFrame):
+        spark = requested.sparkSession
+        fixed = spark.createDataFrame([(m,) for m in MANDATORY_VARIABLES], "name string")
+        return census_variable_lookup(tables, requested.select("name").unionByName(fixed))
     names = [str(n).strip().lower() for n in requested if str(n).strip()]
     names += [m.lower() for m in MANDATORY_VARIABLES]
     return census_variable_lookup(tables, names)
 
 
+def fact_variable_names(tables: Tables) -> DataFrame:
+    """S2 over the fact table: the variable name of every census fact,
+    duplicates kept, no order."""
+    return tables.census_facts.join(tables.census_variables, "variable_id", "inner") \
+        .select(F.col("variable_name").alias("name"))
+
+
 def catalogue_search(df: DataFrame, column: str, query: str) -> DataFrame:
     """Case-insensitive substring search; an empty query keeps all."""
     q = (query or "").strip().lower()

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionpanel.functions.keys import qcol, quote, select_sql
+from regionpanel.functions.keys import in_list, qcol, quote, select_sql, zero_fill_sql
 from regionpanel.operators.dimension import county_dimension, scoped_states
 from regionpanel.operators.scores import Block
 from regionpanel.plans.spec import Scope
@@ -38,12 +38,18 @@ def assemble_counties(tables: Tables, scope: Scope, blocks: list[Block],
     df = spine
     keep = F.lit(False)
     out, seen = [], set(META) | set(spine.columns)
+    cells, slots = [], {}                       # long detail cells pivoted at the end
     for i, b in enumerate(blocks):
         present = f"_present{i}"
         fresh = [c for c in b.columns if c not in seen]
         seen.update(fresh)
         extra = [b.marker] if b.marker else []
-        frame = select_sql(b.frame, ["county_key", *[quote(c) for c in extra + fresh]])
+        from_cells = {lbl: q for q, lbl in (b.cell_labels or {}).items() if lbl in fresh}
+        if from_cells:
+            cells.append(b.cells.where(in_list("question_id", list(from_cells.values()))))
+            slots.update(from_cells)
+        narrow = [c for c in fresh if c not in from_cells]
+        frame = select_sql(b.frame, ["county_key", *[quote(c) for c in extra + narrow]])
         df = df.join(frame.withColumn(present, F.lit(True)), "county_key", "left")
         if b.dense:
             keep = F.lit(True)
@@ -52,7 +58,8 @@ def assemble_counties(tables: Tables, scope: Scope, blocks: list[Block],
         else:
             keep = keep | F.col(present).isNotNull()
         zero = set(b.zero_cols)
-        out += [f"coalesce({quote(c)}, 0.0) AS {quote(c)}" if c in zero else quote(c) for c in fresh]
+        out += [zero_fill_sql(quote(str(from_cells[c])), c) if c in from_cells
+                else f"coalesce({quote(c)}, 0.0) AS {quote(c)}" if c in zero else quote(c) for c in fresh]
     if blocks:
         df = df.where(keep)
     if state_columns:
@@ -60,6 +67,16 @@ def assemble_counties(tables: Tables, scope: Scope, blocks: list[Block],
         sw = tables.state_wide.select("state_key", *[qcol(c) for c in fresh])
         df = df.join(sw, "state_key", "left")
         out += [quote(c) for c in fresh]
+    if cells:
+        # one row per county already; the long cells join on county_key and
+        # the pivot groups by that row (its partitioning is the join's)
+        long = cells[0]
+        for c in cells[1:]:
+            long = long.unionByName(c)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        joined = df.repartition(n, "county_key").join(long.repartition(n, "county_key"), "county_key", "left")
+        df = joined.groupBy(*[qcol(c) for c in df.columns]).pivot("question_id", sorted(set(slots.values()))) \
+            .agg(F.first("_v"))
     return select_sql(df, [*META, *out])
 
 

@@ -191,6 +191,10 @@ class Block:
     dense: bool = False
     marker: str | None = None          # boolean column: row belongs to the block
     zero_cols: tuple[str, ...] = ()    # filled with 0.0 after the merge (dense parts)
+    # wide detail selections: (county_key, question_id, _v) cells, pivoted by
+    # the assembler after every narrow join; cell_labels maps id -> column
+    cells: DataFrame | None = None
+    cell_labels: dict | None = None
 
 
 def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str = SUFFIX):
@@ -200,7 +204,8 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
     ``groupBy(county_key)`` of conditional sums (one scan, one exchange);
     a flag records whether the county had a response in a sum category, so
     the sum block keeps its own row set after the merge.
-    Returns (aggregate, sum categories, detail specs) or None when nothing is asked.
+    Returns (aggregate, sum categories, detail specs, long detail cells or
+    None) or None when nothing is asked.
     """
     sum_cats, details, seen = [], [], set()
     for choice in spec_categories:
@@ -243,15 +248,15 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
         aggs += [F.sum(F.when(cat == F.lit(c), val)).alias(f"_s{i}") for i, c in enumerate(sum_cats)]
     aggs += [F.sum(F.when(in_list("question_id", labels), val)).alias(f"_t{j}") for j, (_, labels) in enumerate(details)]
     if wide_request:
+        # narrow aggregates here; the detail cells stay long and are pivoted
+        # by the assembler after the narrow joins (no wide row is sorted)
         agg = r.groupBy("county_key").agg(*aggs)
-        cells = r.where(in_list("question_id", all_qids)).select("county_key", "question_id", "value")
-        piv = cells.groupBy("county_key").pivot("question_id", all_qids).agg(F.first("value"))
-        piv = select_sql(piv, ["county_key", *[f"{quote(str(q))} AS `_q{q}`" for q in all_qids]])
-        agg = agg.join(piv, "county_key", "left")
-    else:
-        aggs += [F.sum(F.when(qid == F.lit(q), val)).alias(f"_q{q}") for q in all_qids]
-        agg = r.groupBy("county_key").agg(*aggs)
-    return agg, sum_cats, details
+        cells = (r.where(in_list("question_id", all_qids))
+                 .select("county_key", "question_id", F.col("value").alias("_v")))
+        return agg, sum_cats, details, cells
+    aggs += [F.sum(F.when(qid == F.lit(q), val)).alias(f"_q{q}") for q in all_qids]
+    agg = r.groupBy("county_key").agg(*aggs)
+    return agg, sum_cats, details, None
 
 
 def score_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str = SUFFIX) -> DataFrame:
@@ -266,13 +271,16 @@ def score_block_list(tables: Tables, scope: Scope, spec_categories, suffix: str
     got = response_blocks(tables, scope, spec_categories, suffix)
     if got is None:
         return []
-    agg, sum_cats, details = got
-    out_cols, cols, zero_cols = [], [], []
+    agg, sum_cats, details, cells = got
+    out_cols, cols, zero_cols, cell_labels = [], [], [], {}
     for j, (category, labels) in enumerate(details):
         for q, lbl in labels.items():
             if lbl in out_cols:        # same question in two detail blocks: first wins (J9)
                 continue
-            cols.append(zero_fill_sql(f"`_q{q}`", lbl))
+            if cells is None:
+                cols.append(zero_fill_sql(f"`_q{q}`", lbl))
+            else:
+                cell_labels[q] = lbl
             out_cols.append(lbl)
         cols.append(zero_fill_sql(f"`_t{j}`", category + suffix))
         out_cols.append(category + suffix)
@@ -284,4 +292,5 @@ def score_block_list(tables: Tables, scope: Scope, spec_categories, suffix: str
             cols.append(f"CASE WHEN `_in_sums` THEN coalesce(CAST(`_s{i}` AS DOUBLE), 0.0) END AS {quote(c + suffix)}")
             out_cols.append(c + suffix)
     frame = select_sql(agg, ["county_key", *(["`_in_sums`"] if sum_cats else []), *cols])
-    return [Block(frame, out_cols, dense=bool(details), marker=marker, zero_cols=tuple(zero_cols))]
+    return [Block(frame, out_cols, dense=bool(details), marker=marker, zero_cols=tuple(zero_cols),
+                  cells=cells, cell_labels=cell_labels or None)]

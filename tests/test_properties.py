@@ -107,3 +107,19 @@ def test_results_do_not_depend_on_partitioning(spark, small_tables):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_wide_export_equals_conditional_export(small_tables, monkeypatch):
+    """A full export whose detail selection is wide (cells pivoted after the
+    census, sum and state joins) equals the single-aggregate path."""
+    from regionpanel.operators import wide as W
+    from regionpanel.plans.export import export
+
+    cats = (CategoryChoice("ECONOMY", False, tuple(range(0, 150, 2))), CategoryChoice("PROMO"),
+            CategoryChoice("Registration"))
+    spec = ExportSpec(Scope.states("N01, N02, N05"), R.ALL_VARIABLES, R.STATE_COLUMNS, cats, band="Suburban")
+    a = export(small_tables, spec)
+    monkeypatch.setattr(W, "CONDITIONAL_LIMIT", 1000)
+    b = export(small_tables, spec)
+    assert a.columns == b.columns
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and a.count() > 0

@@ -174,11 +174,11 @@ def score_wide(scope: str, cats) -> str:
 def dense_long_cte(qids, name: str = "dl") -> str:
     """Reference shape: selected counties x selected questions, left join responses."""
     ids = qids if isinstance(qids, str) else _lit_list(qids)       # a subquery or literal ids
-    return f"""sel_q AS (SELECT question_id, question AS question_name FROM questions WHERE question_id IN ({ids})),
+    return f"""{name}_q AS (SELECT question_id, question AS question_name FROM questions WHERE question_id IN ({ids})),
 {name} AS (
   SELECT s.state_id, s.state_name, s.county_id, s.county_name, q.question_id, q.question_name,
          COALESCE(SUM(r.value), 0) AS value_sum
-  FROM scope_spine s CROSS JOIN sel_q q
+  FROM scope_spine s CROSS JOIN {name}_q q
   LEFT JOIN cr r ON r.county_key = s.county_key AND r.question_id = q.question_id
   GROUP BY s.state_id, s.state_name, s.county_id, s.county_name, q.question_id, q.question_name)"""
 
@@ -254,6 +254,34 @@ def export_sql(scope: str, band: str = "All", state_only: bool = False) -> str:
   FROM {merged} mg LEFT JOIN stb ON mg.state_id = stb.state_id) fin {where}"""
 
 
+def export_sql_for(scope: str, variables, details, sums, state_cols, band: str = "All",
+                   mandatory: bool = True) -> str:
+    """Export SQL for any request: census ids, detail blocks [(category,
+    question ids)], summed categories, state columns, band (the reference's
+    full outer merges; state columns by state id; band filter; rename)."""
+    ids = sorted(set(variables) | ({1, 43} if mandatory else set()))
+    ctes, frames = [_scope_spine(scope)], []
+    if ids:
+        ctes.append(census_wide_cte(scope, ids, "cw"))
+        frames.append(("cw", "cw"))
+    for j, (cat, qids) in enumerate(details):
+        ctes.append(matrix_cte(list(qids), cat + "_Sum", f"em{j}"))
+        frames.append((f"em{j}", matrix_expr(cat + "_Sum", f"em{j}")))
+    if sums:
+        ctes.append(score_wide_cte(list(sums), "sw"))
+        frames.append(("sw", "sw"))
+    ctes.append(_state_block(list(state_cols)) if state_cols else "")
+    merged = _outer_merge(frames)
+    state_sel = "".join(", stb." + _ident(c) for c in state_cols)
+    state_join = "LEFT JOIN stb ON mg.state_id = stb.state_id" if state_cols else ""
+    cats = set(sums) | {c for c, _ in details}
+    rename = " RENAME (Registration_Sum AS Drives_Sum)" if "Registration" in cats else ""
+    pop, area = _ident("1: Overall Population"), _ident("43: Land Area in Square Miles")
+    where = "" if band == "All" else f"WHERE {_band_expr(pop, area)} = '{band}'"
+    return _with(*ctes) + f"""SELECT *{rename} FROM (
+  SELECT mg.*{state_sel} FROM {merged} mg {state_join}) fin {where}"""
+
+
 def _band_expr(pop: str, area: str) -> str:
     p, a = f"CAST({pop} AS DOUBLE)", f"CAST({area} AS DOUBLE)"
     return f"""(CASE WHEN {p} IS NULL OR {a} IS NULL THEN NULL

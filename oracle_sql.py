@@ -304,8 +304,8 @@ def _density_sql(band: str | None, with_band: bool = False) -> str:
 
 # ---------------------------------------------------------------- profile
 
-def profile_sql(quartiles: bool) -> str:
-    base = export_sql(ALL)
+def profile_sql(quartiles: bool, base: str | None = None) -> str:
+    base = base or export_sql(ALL)
     stats = ["count(v)::BIGINT AS count", "round(avg(v), 6) AS mean", "round(stddev_samp(v), 6) AS std",
              "min(v) AS min"]
     if quartiles:

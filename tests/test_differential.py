@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import oracle_sql as O
+from regionpanel.operators.profile import profile
 from regionpanel.plans.export import export
 from regionpanel.plans.spec import CategoryChoice, ExportSpec, Scope
 from tests.conftest import SF_SMALL
@@ -69,3 +70,11 @@ def test_random_export_equals_oracle(small_tables, duck, req):
     assert sorted(df.columns) == sorted(dcols), spec
     assert len(rows) == len(drows), spec
     assert digest(df.columns, rows)[0] == digest(dcols, drows)[0], spec
+    if rows:
+        # the exact-quantile profile of the same export, against DuckDB's
+        prof = profile(df, quartiles=True)
+        prows = [tuple(r) for r in prof.collect()]
+        cur = duck.execute(O.profile_sql(True, sql))
+        qrows = cur.fetchall()
+        qcols = [d[0] for d in cur.description]
+        assert digest(prof.columns, prows)[0] == digest(qcols, qrows)[0], spec

@@ -27,7 +27,7 @@ from regionpanel.operators.scores import Block, score_block_list
 from regionpanel.operators.wide import census_block, resolve_census_variables, variable_label
 from regionpanel.plans.spec import ExportSpec
 from regionpanel.sources.schema import META
-from regionpanel.sources.sinks import write_frame
+from regionpanel.sources.sinks import write_frame, write_two_row_csv
 from regionpanel.sources.tables import Tables
 
 
@@ -91,14 +91,20 @@ def export(tables: Tables, spec: ExportSpec, labelled: bool = False, ordered: bo
 
 
 def run_export(tables: Tables, spec: ExportSpec, out_dir: str, fmt: str = "parquet",
-               with_profile: bool = True) -> dict:
+               with_profile: bool = True, two_row_header: bool = False) -> dict:
     """Write data, column dictionary and request; profile the written
-    data. Returns paths and the row count."""
+    data. Returns paths and the row count.
+
+    ``two_row_header`` (CSV only) also writes the reference's download form:
+    one file with a group row and a label row (one task: small exports)."""
     spark = tables.states.sparkSession
     dictionary = tables.header_dictionary
     df = export(tables, spec, labelled=dictionary is not None)
     data_path = f"{out_dir}/data"
     write_frame(df, data_path, fmt)
+    if two_row_header and fmt == "csv":
+        write_two_row_csv(spark.read.schema(df.schema).option("header", True).csv(data_path),
+                          f"{out_dir}/download")
     if dictionary is not None:
         headers.column_dictionary(df, dictionary).coalesce(1).write.mode("overwrite") \
             .parquet(f"{out_dir}/columns")

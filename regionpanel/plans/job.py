@@ -40,6 +40,8 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--out", required=True, help="output directory")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json"])
     ap.add_argument("--no-profile", action="store_true")
+    ap.add_argument("--two-row-header", action="store_true",
+                    help="CSV only: also write one file with group and label header rows")
     args = ap.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName("regionpanel-export").getOrCreate())
@@ -49,7 +51,8 @@ def main(argv: list[str] | None = None) -> dict:
     else:
         from regionpanel.sources.fixture import fixture_tables
         tables = fixture_tables(spark, args.fixture)
-    result = run_export(tables, _request(args.request), args.out, args.format, not args.no_profile)
+    result = run_export(tables, _request(args.request), args.out, args.format, not args.no_profile,
+                        args.two_row_header)
     print(json.dumps(result))
     return result
 

@@ -89,3 +89,11 @@ def test_read_stored_from_csv_and_export_formats(spark, small_tables, scratch):
         write_frame(df, f"{scratch}/out-{fmt}", fmt)
         back = spark.read.format(fmt).schema(df.schema).load(f"{scratch}/out-{fmt}")
         assert sorted(map(tuple, back.collect())) == expected
+
+
+def test_run_export_with_two_row_download(spark, small_tables, scratch):
+    res = run_export(small_tables, R.state_full(), scratch, fmt="csv", with_profile=False, two_row_header=True)
+    files = glob.glob(f"{scratch}/download/part-*.csv")
+    with open(files[0], newline="") as fh:
+        rows = list(csv.reader(fh))
+    assert rows[0][:4] == ["identifier"] * 4 and len(rows) == 2 + res["rows"]

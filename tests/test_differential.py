@@ -78,3 +78,60 @@ def test_random_export_equals_oracle(small_tables, duck, req):
         qrows = cur.fetchall()
         qcols = [d[0] for d in cur.description]
         assert digest(prof.columns, prows)[0] == digest(qcols, qrows)[0], spec
+
+
+def _same(df, duck, sql):
+    rows = [tuple(r) for r in df.collect()]
+    cur = duck.execute(sql)
+    drows = cur.fetchall()
+    dcols = [d[0] for d in cur.description]
+    assert sorted(df.columns) == sorted(dcols)
+    assert len(rows) == len(drows)
+    assert digest(df.columns, rows)[0] == digest(dcols, drows)[0]
+
+
+@st.composite
+def scopes(draw):
+    kind = draw(st.sampled_from(["all", "state", "county"]))
+    if kind == "all":
+        return Scope.states(None), "all"
+    if kind == "state":
+        ab = draw(st.lists(st.integers(0, 30), min_size=1, max_size=4))
+        text = " , ".join(f"{'n' if a % 2 else 'N'}{a:02d}" for a in ab)
+        return Scope.states(text), "state:" + text
+    ids = draw(st.lists(st.integers(0, 160), min_size=1, max_size=6))
+    text = ", ".join(str(i).zfill(draw(st.integers(1, 6))) for i in ids)
+    return Scope.counties(text), "county:" + text
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(scopes(), st.lists(st.sampled_from([1, 11, 12, 13, 14, 15, 43]), min_size=1, unique=True),
+       st.lists(st.sampled_from(CATEGORIES + ["Registration"]), min_size=1, max_size=3, unique=True),
+       st.lists(st.integers(0, 199), min_size=1, max_size=5, unique=True))
+def test_random_long_forms_equal_oracle(small_tables, duck, scope, variables, cats, qids):
+    from regionpanel.operators import scores, wide
+
+    sc, osc = scope
+    t = small_tables
+    _same(wide.census_long(t, sc, wide.resolve_census_variables(t, variables)), duck, O.census_long(osc, variables))
+    _same(scores.score_long(t, sc, cats), duck, O.score_long(osc, cats))
+    labels = scores.question_labels(t, sorted(qids))
+    _same(scores.question_long_dense(t, sc, labels), duck, O.question_long_dense(osc, sorted(qids)))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="Nn0123456789 zZ", min_size=1, max_size=5), min_size=1, max_size=5),
+       st.lists(st.text(alphabet="0123456789-", min_size=1, max_size=7), min_size=1, max_size=5))
+def test_random_lookups_equal_oracle(small_tables, duck, abbrevs, codes):
+    from regionpanel.operators import lookups
+
+    a_text = ",".join(abbrevs)
+    c_text = ",".join(codes)
+    if any(x.strip() for x in abbrevs):
+        _same(lookups.state_ids(small_tables, a_text), duck,
+              O._with() + f"SELECT state_id FROM cs WHERE state_key IN ({O._abbrevs(a_text)})")
+    if any(x.strip() for x in codes):
+        _same(lookups.county_names(small_tables, c_text), duck,
+              O._with() + f"SELECT county_name FROM cc WHERE county_key IN ({O._codes(c_text)})")
+        _same(lookups.states_of_counties(small_tables, c_text), duck,
+              O._with() + f"SELECT DISTINCT lpad(state_key, 2, '0') AS state_id FROM cc WHERE county_key IN ({O._codes(c_text)})")

@@ -58,17 +58,27 @@ def county_dimension(tables: Tables, scope: Scope) -> DataFrame:
 
 
 SCOPE_BROADCAST_ROWS = 1_000_000
+SPINE_BROADCAST_ROWS = 200_000
+
+
+def scope_size(tables: Tables, scope: Scope) -> int:
+    """Counties in the scope: one count on the county dimension, memoised."""
+    return tables.memo(("scope_size", scope), lambda: county_dimension(tables, scope).count())
+
+
+def sized_spine(tables: Tables, scope: Scope) -> DataFrame:
+    """The spine for an INNER join with a block: broadcast when a count
+    proves it small (the block then keeps its partitioning and the spine is
+    not shuffled), a plain shuffle-join side otherwise."""
+    spine = county_dimension(tables, scope)
+    return F.broadcast(spine) if scope_size(tables, scope) <= SPINE_BROADCAST_ROWS else spine
 
 
 def scope_keys_if_small(tables: Tables, scope: Scope) -> DataFrame | None:
     """County keys of a state scope when their count is at most
     ``SCOPE_BROADCAST_ROWS`` (a count on the county dimension: the proven
     bound that allows a broadcast), else None. Memoised per scope."""
-    def size():
-        return county_dimension(tables, scope).count()
-
-    n = tables.memo(("scope_size", scope), size)
-    if n > SCOPE_BROADCAST_ROWS:
+    if scope_size(tables, scope) > SCOPE_BROADCAST_ROWS:
         return None
     return county_dimension(tables, scope).select("county_key")
 

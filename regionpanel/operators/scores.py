@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from regionpanel.functions.keys import in_list, name_key, quote, select_sql, sql_lit, sum_sql, zero_fill_sql
 
-from regionpanel.operators.dimension import county_dimension, scoped_facts
+from regionpanel.operators.dimension import county_dimension, scoped_facts, sized_spine
 from regionpanel.operators import wide as wide_ops
 from regionpanel.operators.wide import pivot_by_key
 from regionpanel.plans.spec import Scope
@@ -108,7 +108,7 @@ def category_responses(tables: Tables, scope: Scope, categories: list[str]) -> D
 
 def score_long(tables: Tables, scope: Scope, categories: list[str]) -> DataFrame:
     """SUM(value) per county x category, inner joins (no zero rows)."""
-    spine = county_dimension(tables, scope)
+    spine = sized_spine(tables, scope)
     agg = (category_responses(tables, scope, categories)
            .groupBy("county_key", "category").agg(F.sum("value").alias("score")))
     return (spine.join(agg, "county_key", "inner")
@@ -125,7 +125,7 @@ def score_block(tables: Tables, scope: Scope, categories: list[str], suffix: str
 def score_wide(tables: Tables, scope: Scope, categories: list[str], suffix: str = SUFFIX) -> DataFrame:
     """One row per county with a response in a chosen category; a
     category never seen is a 0.0 column; requested order."""
-    spine = county_dimension(tables, scope)
+    spine = sized_spine(tables, scope)
     block = score_block(tables, scope, categories, suffix)
     return select_sql(spine.join(block, "county_key", "inner"), [*META, *[quote(c + suffix) for c in categories]])
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionpanel.functions.keys import in_list, name_key, qcol, quote, select_sql, sum_sql
-from regionpanel.operators.dimension import county_dimension, scoped_facts
+from regionpanel.operators.dimension import county_dimension, scoped_facts, sized_spine
 from regionpanel.plans.spec import Scope
 from regionpanel.sources.schema import META, MANDATORY_VARIABLES
 from regionpanel.sources.tables import Tables
@@ -98,7 +98,7 @@ def variable_label(vid: int, name: str) -> str:
 
 def census_long(tables: Tables, scope: Scope, variables: dict[int, str]) -> DataFrame:
     """Facts of the chosen variables in scope, one row per county x variable."""
-    spine = county_dimension(tables, scope)
+    spine = sized_spine(tables, scope)
     facts = scoped_facts(tables.census_facts, tables, scope)
     facts = facts.where(in_list("variable_id", variables))
     return (
@@ -130,7 +130,7 @@ def census_wide(tables: Tables, scope: Scope, variables: dict[int, str], strict:
             r = dup[0]
             raise ValueError(f"duplicate census facts: county {r.county_key!r}, variable {r.variable_id} "
                              f"({r.n_rows} rows)")
-    spine = county_dimension(tables, scope)
+    spine = sized_spine(tables, scope)
     block = census_block(tables, scope, variables)
     cols = [variable_label(v, n) for v, n in variables.items()]
     return select_sql(spine.join(block, "county_key", "inner"), [*META, *[quote(c) for c in cols]])

@@ -232,26 +232,11 @@ def _outer_merge(frames: list[tuple[str, str]]) -> str:
 
 
 def export_sql(scope: str, band: str = "All", state_only: bool = False) -> str:
-    """Whole export: census wide, ECONOMY matrix (total ECONOMY_Sum), sums,
-    merged by full outer joins; state columns left-joined by state_id;
-    band filter; Registration_Sum renamed Drives_Sum; density dropped."""
-    state_cols = list(R.STATE_COLUMNS)
+    """The registered requests (``regionpanel.plans.requests``) as SQL."""
     if state_only:
-        return _with(_scope_spine(scope), _state_block(state_cols)) + "SELECT * FROM stb"
-    ctes = [
-        _scope_spine(scope),
-        census_wide_cte(scope, R.ALL_VARIABLES, "cw"),
-        matrix_cte(R.DETAIL_QUESTIONS, R.DETAIL_CATEGORY + "_Sum", "em"),
-        score_wide_cte(R.SUM_CATEGORIES, "sw"),
-        _state_block(state_cols),
-    ]
-    merged = _outer_merge([("cw", "cw"), ("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", "em")), ("sw", "sw")])
-    pop, area = _ident("1: Overall Population"), _ident("43: Land Area in Square Miles")
-    band_expr = _band_expr(pop, area)
-    where = "" if band == "All" else f"WHERE {band_expr} = '{band}'"
-    return _with(*ctes) + f"""SELECT * RENAME (Registration_Sum AS Drives_Sum) FROM (
-  SELECT mg.*, {", ".join("stb." + _ident(c) for c in state_cols)}
-  FROM {merged} mg LEFT JOIN stb ON mg.state_id = stb.state_id) fin {where}"""
+        return _with(_scope_spine(scope), _state_block(list(R.STATE_COLUMNS))) + "SELECT * FROM stb"
+    return export_sql_for(scope, R.ALL_VARIABLES, [(R.DETAIL_CATEGORY, list(R.DETAIL_QUESTIONS))],
+                          list(R.SUM_CATEGORIES), list(R.STATE_COLUMNS), band)
 
 
 def export_sql_for(scope: str, variables, details, sums, state_cols, band: str = "All",

@@ -295,3 +295,19 @@ def test_small_public_helpers(spark, t):
     assert swapped.header_dictionary.count() == 1 and swapped.states is t.states
     q = exact_quantiles(spark.range(1, 101).selectExpr("CAST(id AS DOUBLE) AS v"), ["v"], [0.1, 0.5, 0.9]).first()
     assert (q.q10, q.q50, q.q90) == pytest.approx((10.9, 50.5, 90.1))
+
+
+def test_bad_measure_text_strict_raises_lenient_nulls(spark):
+    states = spark.createDataFrame([("1", "One", "S1")], S.STATES)
+    counties = spark.createDataFrame([("5", "01", "c5")], S.COUNTIES)
+    variables = spark.createDataFrame([(1, "Overall Population")], S.CENSUS_VARIABLES)
+    facts = spark.createDataFrame([("5", 1, "n/a")], S.CENSUS_FACTS)
+    questions = spark.createDataFrame([(1, "q", "A")], S.QUESTIONS)
+    responses = spark.createDataFrame([("5", 1, "2.5")], S.RESPONSES)
+    sw = spark.createDataFrame([("01", 1.0)], "state_id string, x double")
+    v = {1: "Overall Population"}
+    strict = Tables.from_stored(states, counties, variables, facts, questions, responses, sw)
+    with pytest.raises(Exception):
+        wide.census_wide(strict, Scope.states("S1"), v).collect()
+    lenient = Tables.from_stored(states, counties, variables, facts, questions, responses, sw, strict_measures=False)
+    assert wide.census_wide(lenient, Scope.states("S1"), v).first()["1: Overall Population"] is None

@@ -36,8 +36,11 @@ def main(argv: list[str] | None = None) -> dict:
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--snapshot", help="canonical snapshot written by Tables.write_snapshot")
     src.add_argument("--fixture", help="directory of the TPC-H-like test tables")
-    ap.add_argument("--request", required=True, help="ExportSpec JSON (path or literal)")
-    ap.add_argument("--out", required=True, help="output directory")
+    src.add_argument("--stored", help="folder of stored-form relations (Tables.read_stored)")
+    ap.add_argument("--stored-format", default="parquet", choices=["parquet", "csv", "orc", "json"])
+    ap.add_argument("--write-snapshot", help="write the canonical snapshot here and stop")
+    ap.add_argument("--request", help="ExportSpec JSON (path or literal)")
+    ap.add_argument("--out", help="output directory")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json"])
     ap.add_argument("--no-profile", action="store_true")
     ap.add_argument("--two-row-header", action="store_true",
@@ -45,12 +48,21 @@ def main(argv: list[str] | None = None) -> dict:
     args = ap.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName("regionpanel-export").getOrCreate())
+    from regionpanel.sources.tables import Tables
     if args.snapshot:
-        from regionpanel.sources.tables import Tables
         tables = Tables.load(spark, args.snapshot)
+    elif args.stored:
+        tables = Tables.read_stored(spark, args.stored, args.stored_format)
     else:
         from regionpanel.sources.fixture import fixture_tables
         tables = fixture_tables(spark, args.fixture)
+    if args.write_snapshot:
+        tables.write_snapshot(args.write_snapshot)
+        result = {"snapshot": args.write_snapshot}
+        print(json.dumps(result))
+        return result
+    if not args.request or not args.out:
+        ap.error("--request and --out are required for an export")
     result = run_export(tables, _request(args.request), args.out, args.format, not args.no_profile,
                         args.two_row_header)
     print(json.dumps(result))

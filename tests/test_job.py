@@ -97,3 +97,12 @@ def test_run_export_with_two_row_download(spark, small_tables, scratch):
     with open(files[0], newline="") as fh:
         rows = list(csv.reader(fh))
     assert rows[0][:4] == ["identifier"] * 4 and len(rows) == 2 + res["rows"]
+
+
+def test_cli_writes_a_snapshot_then_exports_from_it(spark, scratch):
+    from regionpanel.plans.job import main
+
+    main(["--fixture", "/root/testdata/sf0.001", "--write-snapshot", f"{scratch}/snap"])
+    res = main(["--snapshot", f"{scratch}/snap", "--request", R.county_full().to_json(), "--out", f"{scratch}/out",
+                "--no-profile"])
+    assert res["rows"] == 2

@@ -1,7 +1,7 @@
 """DuckDB oracle SQL for every registered query.
 
-Written independently of the Spark plans and in the shapes the reference
-uses (cross join + left join for the dense matrix, full outer merges of wide
+Written independently of the Spark plans as the plain SQL of the semantics
+(cross join + left join for the dense matrix, full outer merges of wide
 blocks, ``PIVOT`` for question columns named by their text), over the same
 fixture mapping (FIXTURES.md §2) of the pre-registered TPC-H-like views.
 Measures follow the fixed-point rule: survey sums in DECIMAL(18,2), cast to

@@ -1,5 +1,5 @@
 """Random export requests: the Spark export equals DuckDB SQL built for the
-same request in the reference's shapes (full outer merges, cross-join dense
+same request as plain SQL of the semantics (full outer merges, cross-join dense
 matrices), on the sf0.001 tables."""
 
 import duckdb

@@ -72,7 +72,7 @@ def column_dictionary(df: DataFrame, dictionary: DataFrame, default: str = DEFAU
     labels = label_map(spark, SUM_LABELS, "column", "friendly")
     return (cols.withColumn("key", normalise_label("column"))
             .join(header_lookup(dictionary), "key", "left")
-            .join(labels, "column", "left")
+            .join(F.broadcast(labels), "column", "left")          # fixed eight rows
             .select("ordinal", "column",
                     F.coalesce("header", F.lit(default)).alias("group"),
                     F.coalesce("friendly", "column").alias("label")))
@@ -106,5 +106,5 @@ def category_labels(categories: DataFrame, column: str = "category") -> DataFram
     """P5: category -> display description (the key itself when unknown)."""
     spark = categories.sparkSession
     m = label_map(spark, CATEGORY_LABELS, column, "description")
-    return (categories.join(m, column, "left")
+    return (categories.join(F.broadcast(m), column, "left")        # fixed eight rows
             .select(column, F.coalesce("description", column).alias("label")))

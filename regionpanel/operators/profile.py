@@ -152,9 +152,9 @@ def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = Fals
     else:
         agg = column_stats(long, probs)
         stats = spark.createDataFrame(agg.collect(), agg.schema)
-        # the quantiles are one row per column (schema-sized): a proven broadcast
-    # bound, and the build side a left join can use
-    out = stats.join(F.broadcast(quantiles_from_stats(long, stats, probs)), "column", "left")
+        # the quantiles are one row per column (schema-sized): a proven
+        # broadcast bound, and the build side a left join can use
+        out = stats.join(F.broadcast(quantiles_from_stats(long, stats, probs)), "column", "left")
     r = lambda c, name=None: F.round(F.col(c), digits).alias(name or c)
     head = [F.col("column"), F.col("count").cast("long").alias("count"), r("mean"), r("std"), F.col("min")]
     mid = [r("q25"), r("q50"), r("q50", "median"), r("q75")] if quartiles else [r("q50", "median")]

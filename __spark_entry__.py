@@ -343,6 +343,25 @@ def q_export_county_scope(spark, d):
     return export(_tables(spark, d), R.county_full())
 
 
+_SNAPSHOTS: dict = {}
+
+
+def q_export_snapshot_roundtrip(spark, d):
+    """The production path: the tables written once as a canonical snapshot
+    (facts partitioned by state, categories on responses) in the checkpoint
+    folder, loaded back, exported."""
+    import uuid
+
+    from regionpanel.sources.tables import Tables
+
+    key = (id(spark), spark.conf.get("spark.app.id", ""), d)
+    if key not in _SNAPSHOTS:
+        path = f"{checkpoint_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+        _tables(spark, d).write_snapshot(path)
+        _SNAPSHOTS[key] = Tables.load(spark, path)
+    return export(_SNAPSHOTS[key], R.state_full())
+
+
 def q_export_csv_roundtrip(spark, d):
     import uuid
 

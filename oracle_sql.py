@@ -421,4 +421,5 @@ FROM header_dictionary GROUP BY ALL""",
     "export_state_only": export_sql(ALL, state_only=True),
     "export_county_scope": export_sql(COUNTY),
     "export_csv_roundtrip": export_sql(ALL),
+    "export_snapshot_roundtrip": export_sql(ALL),
 }

@@ -376,14 +376,30 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _llm():
+    """The training-data operators and the corpus pipeline, where they are installed."""
+    try:
+        import corpus_pipeline
+        from regionpanel.llm import queries as llm_queries
+        from regionpanel.llm import sql as llm_sql
+    except ModuleNotFoundError as e:
+        if e.name not in ("corpus_pipeline", "regionpanel.llm", "regionpanel.llm.queries", "regionpanel.llm.sql"):
+            raise
+        return {}, {}
+    sql = dict(llm_sql.ORACLE)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return llm_queries.queries() | {"pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(_QUERIES) | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import ORACLE
 
-    return {k: v for k, v in ORACLE.items() if k in _QUERIES}
+    return {k: v for k, v in ORACLE.items() if k in _QUERIES} | _llm()[1]
 
 
 __all__ = ["entry", "queries", "oracle_sql"]

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import suffix_dedup
+from . import minhash_hamming, suffix_dedup
 from .common import read_table
 
 
+def op4_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return minhash_hamming.near_duplicates(read_table(spark, d, "documents"), 2)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.removal_digest(read_table(spark, d, "documents"), 50)
 

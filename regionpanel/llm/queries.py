@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_hamming, suffix_dedup
+from . import fingerprints, minhash_hamming, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -12,9 +12,17 @@ def op4_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return minhash_hamming.near_duplicates(read_table(spark, d, "documents"), 2)
 
 
+def op6_document_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.chained_fingerprints(read_table(spark, d, "documents"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
     return suffix_dedup.removal_digest(read_table(spark, d, "documents"), 50)
 
 
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scores(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}

@@ -2,4 +2,9 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from . import chat, url_lists
+
+ORACLE: dict[str, str] = {
+    "op7_chat_formatting": chat.oracle(),
+    "op10_url_filters": url_lists.oracle(),
+}

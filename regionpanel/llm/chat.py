@@ -70,7 +70,7 @@ def attachments(parts: Column) -> Column:
 
 def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans [(start, end)),
-    attachments [(turn, type, ref, part, tokens)], expanded_tokens."""
+    attachments [(turn, part, type, ref, tokens)], expanded_tokens."""
     content = F.coalesce(F.col(parts), F.array().cast(PARTS)) if parts else text_part(F.coalesce("text", F.lit("")))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("parts"))
     rows = rows.select("conv_id", "turn", "role", "parts", F.array_join(F.transform("parts", visit), "").alias("body"))
@@ -83,7 +83,7 @@ def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFram
     span = F.when(F.col("role") == "assistant",
                   F.struct(F.col("begin").alias("start"), (F.col("begin") + F.length("body")).alias("end")))
     own = F.transform(attachments(F.col("parts")), lambda a: F.struct(
-        F.col("place").alias("turn"), a["type"].alias("type"), a["ref"].alias("ref"), a["part"].alias("part"), a["tokens"].alias("tokens")))
+        F.col("place").alias("turn"), a["part"].alias("part"), a["type"].alias("type"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
     grouped = rows.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("pieces"),
         F.sort_array(F.collect_list(span)).alias("loss_spans"),

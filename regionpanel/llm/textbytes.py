@@ -96,7 +96,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = WORD_BY_SPACE):
         n = len(data)
-        inside = word_bytes[data]
+        inside = word_bytes[LOWER[data]]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:

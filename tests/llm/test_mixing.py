@@ -1,0 +1,71 @@
+from collections import Counter
+
+import pytest
+
+from regionpanel.llm import mixing as M
+from tests.llm import cases
+
+
+def test_no_source_is_a_block_off_its_share():
+    share = M.cycle_shares({"a": 0.5, "b": 0.3, "c": 0.1999, "d": 0.0001}, 1000)
+    assert sum(share.values()) == 1000 and min(share.values()) >= 1
+    seen = Counter()
+    for t, s in enumerate(M.edf_cycle(share), 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - share[k] * t / 1000) < 1 for k in share)
+
+
+def test_many_odd_weights():
+    share = M.cycle_shares({f"s{i}": (i * 7919 % 101) + 1 for i in range(97)}, 2000)
+    seen = Counter()
+    for t, s in enumerate(M.edf_cycle(share), 1):
+        seen[s] += 1
+        assert all(abs(seen[k] - share[k] * t / 2000) < 1 for k in share)
+
+
+def sequential(counts, share, cycle, block_rows):
+    """The order of sources, row by row, from a plain walk over the slots."""
+    left, order, line = dict(counts), [], M.edf_cycle(share)
+    slot = 0
+    while any(left.values()):
+        s = line[slot % cycle]
+        take = min(block_rows, left[s])
+        order += [s] * take
+        left[s] -= take
+        slot += 1
+    return order
+
+
+def test_order_equals_a_sequential_walk(spark):
+    counts = {"sa": 700, "sb": 90, "sc": 333, "": 50}
+    rows = [(i, f"t{i}", s[1:] if s else None) for s, n in counts.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = M.cycle_shares({s: n ** M.ALPHA for s, n in counts.items()}, 100)
+    out = M.mix(df, block_rows=7, cycle=100).orderBy("mix_position").collect()
+    assert [r.mix_position for r in out] == list(range(len(rows)))
+    assert ["" if r.source is None else "s" + r.source for r in out] == sequential(counts, share, 100, 7)
+    assert sorted((r.doc_id, r.text, r.source or "") for r in out) == sorted((i, t, s or "") for i, t, s in rows)
+
+
+def test_given_weights_hold_until_the_first_exhaustion(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(3000)], "doc_id long, source string")
+    out = M.mix(df, {"a": 0.25, "b": 0.75}, block_rows=10, cycle=100).orderBy("mix_position").collect()
+    inside = [r for r in out if r.in_mix]
+    assert len(inside) > 1200
+    for n in range(100, len(inside), 100):
+        assert abs(sum(r.source == "b" for r in inside[:n]) - 0.75 * n) <= 20
+    assert len(out) == 3000
+
+
+def test_awkward_rows(spark):
+    df = cases.docs(spark)
+    out = M.mix(df)
+    assert out.columns[:len(df.columns)] == df.columns
+    rows = out.collect()
+    assert sorted(r.mix_position for r in rows) == list(range(df.count()))
+    assert M.mix(cases.empty(spark)).collect() == []
+
+
+def test_too_many_sources_raise():
+    with pytest.raises(ValueError):
+        M.cycle_shares({str(i): 1 for i in range(60)}, 100)

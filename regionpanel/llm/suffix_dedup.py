@@ -3,7 +3,7 @@
 A byte is removed when a string of ``length`` bytes that covers it also starts
 in a document with a smaller id.
 
-1. **Parse.**  A rolling hash over ``GRAM`` bytes triggers phrase borders: the
+1. **Parse.**  A rolling hash over short grams of bytes triggers phrase borders: the
    trigger of a window (the ``length`` bytes from one start) is its leftmost
    smallest gram hash, and a phrase is a maximal run of starts with the same
    trigger, read to the end of its last window.  Every window lies in exactly
@@ -13,9 +13,10 @@ in a document with a smaller id.
 2. **Dictionary.**  Phrases are shuffled by trigger and sorted; equal phrases
    collapse to one dictionary entry with its first document.  All later
    occurrences (the parse) are repeats as a whole.
-3. **Suffix order of the dictionary.**  Only entries that share a trigger and
-   ``GRAM`` plus about a third of a window around it with a different entry
-   can share a window with it; their suffixes, cut at ``length`` bytes (the
+3. **Suffix order of the dictionary.**  The windows of a phrase fall into
+   thirds by where they hold the trigger; the windows of a third share a core.
+   Only entries whose trigger and core another entry has too can share a
+   window with it; the suffixes of that third, cut at ``length`` bytes (the
    operator asks for no longer common prefix), are grouped and each group's
    first document marks the others.  The depth-limited order is kept as 128-bit
    window hashes sorted in buckets: equal neighbours are the suffix array's
@@ -47,22 +48,33 @@ from .common import partitions, python_batches, staged
 _U = np.uint64
 LAST = (1 << 63) - 1
 BLOCK = "dest int, kind int, ids binary, body binary"
-#: one phrase record: trigger, phrase hash, left and right half hashes, document, first and last start
-PHRASE = np.dtype([("g", "<u8"), ("p", "<u8"), ("l", "<u2"), ("r", "<u2"), ("d", "<i4"), ("a", "<i4"), ("n", "<u2")])
+THIRDS = ("x", "y", "z")
+#: one phrase record: trigger, phrase hash, hashes of the cores of its window thirds (0: no window there),
+#: document, first start, number of further starts, offset of the trigger from the first start
+PHRASE = np.dtype([("g", "<u4"), ("p", "<u8"), ("x", "<u2"), ("y", "<u2"), ("z", "<u2"), ("d", "<i4"), ("a", "<i4"),
+                   ("n", "<u2"), ("o", "<u2")])
+#: a document in a block: its id and a hash of its text
+DOC = np.dtype([("k", "<i8"), ("th", "<i4")])
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("d", "<i4"), ("a", "<i4")])
 RUN = np.dtype([("a", "<i4"), ("b", "<i4")])
 
 
 def gram_size(length: int) -> int:
-    return max(4, length * 16 // 50)
+    return max(4, length * 8 // 50)
+
+
+def third(t: int, length: int) -> tuple[int, int]:
+    """Smallest and largest offset of the trigger in the windows of one third."""
+    width = length - gram_size(length) + 1
+    return width * t // 3, width * (t + 1) // 3 - 1
 
 
 def parse(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Phrase records of the documents in one slice; ``d`` is the index in the slice."""
+    """Phrase records of the documents in one slice (``d`` is the index in the slice) and their triggers."""
     k = gram_size(length)
     n = len(data)
     if n < length:
-        return np.zeros(0, PHRASE), None
+        return np.zeros(0, PHRASE), np.zeros(0, np.uint64)
     prefix = T.prefix_hash(T.BYTE_CODES[data])
     at = np.arange(n - k + 1)
     gram = T.range_hash(prefix, at, at + k)
@@ -77,7 +89,7 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int):
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:len(owner)]
     start = np.flatnonzero(np.arange(len(owner)) + length <= offsets[doc + 1])
     if not len(start):
-        return np.zeros(0, PHRASE), None
+        return np.zeros(0, PHRASE), np.zeros(0, np.uint64)
     new = np.ones(len(start), bool)
     new[1:] = (owner[start[1:]] != owner[start[:-1]]) | (doc[start[1:]] != doc[start[:-1]])
     first = np.flatnonzero(new)
@@ -85,17 +97,18 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int):
     e = start[np.append(first[1:], len(start)) - 1]
     i = owner[a]
     out = np.empty(len(a), PHRASE)
-    out["g"] = gram[i]
+    out["g"] = gram[i].astype(np.uint32)
     out["p"] = T.mix(T.range_hash(prefix, a, e + length) + (i - a).astype(np.uint64))
-    half = (length - k + 1) // 2
-    left = np.maximum(i - half, 0)
-    out["l"] = np.where(a <= i - half, 1 + (T.range_hash(prefix, left, i + k) % _U(65535)), 0)
-    right = np.minimum(i + length + 1 - half, n)
-    out["r"] = np.where(e > i - half, 1 + (T.range_hash(prefix, i, right) % _U(65535)), 0)
+    for t, name in enumerate(THIRDS):  # a core is the part that all windows of a third share
+        lo, hi = third(t, length)
+        has = (a <= i - lo) & (e >= i - hi)
+        core = 1 + T.range_hash(prefix, np.where(has, i - lo, 0), np.where(has, i - hi + length, 0)) % _U(65535)
+        out[name] = np.where(has, core, 0)
     out["d"] = doc[a]
     out["a"] = a - offsets[doc[a]]
     out["n"] = e - a
-    return out, prefix
+    out["o"] = i - a
+    return out, gram[i]
 
 
 def merge_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,8 +125,8 @@ def merge_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-FLAGS = "k long, th long, kind int, runs binary"
-_FLAGS = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("kind", pa.int32()), ("runs", pa.binary())])
+FLAGS = "k long, th int, kind int, runs binary"
+_FLAGS = pa.schema([("k", pa.int64()), ("th", pa.int32()), ("kind", pa.int32()), ("runs", pa.binary())])
 _BLOCK = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())])
 WHOLE, SUFFIXES = 1, 2  # all windows of the run are repeats / its windows must be compared
 
@@ -134,10 +147,16 @@ def _flags(ids: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, kind: i
     blobs = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()),
                                                            pa.py_buffer(runs.tobytes())])
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[docs, 0], pa.int64()), pa.array(ids[docs, 1], pa.int64()),
+        [pa.array(ids["k"][docs]), pa.array(ids["th"][docs]),
          pa.array(np.full(len(docs), kind, np.int32)), blobs], schema=_FLAGS)
 
 
+def _docs(batch: pa.RecordBatch) -> np.ndarray:
+    ids = np.empty(batch.num_rows, DOC)
+    ids["k"], ids["th"] = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    return ids
+
+
 def _blocks(records: np.ndarray, key: np.ndarray, ids: np.ndarray, dests: int):
     """One row for each destination, with the documents it names."""
     dest = (T.mix(key) % _U(dests)).astype(np.int32)
@@ -158,12 +177,12 @@ def _blocks(records: np.ndarray, key: np.ndarray, ids: np.ndarray, dests: int):
 
 def _passing(flags: pa.RecordBatch, dests: int) -> pa.RecordBatch:
     """Marks made in the map task travel through the same shuffle."""
-    k, th = (flags.column(i).to_numpy() for i in (0, 1))
-    ids = np.stack([k, th], 1)
+    ids = np.empty(flags.num_rows, DOC)
+    ids["k"], ids["th"] = flags.column(0).to_numpy(), flags.column(1).to_numpy()
+    cuts = (np.arange(len(ids) + 1) * DOC.itemsize).astype(np.int32)
     return pa.RecordBatch.from_arrays(
-        [pa.array(((k ^ th) % dests).astype(np.int32)), flags.column(2),
-         pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer((np.arange(len(k) + 1) * 16).astype(np.int32).tobytes()),
-                                                     pa.py_buffer(ids.tobytes())]),
+        [pa.array(((ids["k"] ^ ids["th"]) % dests).astype(np.int32)), flags.column(2),
+         pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(ids.tobytes())]),
          flags.column(3)], schema=_BLOCK)
 
 
@@ -192,20 +211,19 @@ def _phrase_blocks(length: int, dests: int):
     def run(batches):
         for batch in batches:
             data, offsets = T.text_column(batch)
-            ids = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], 1)
+            ids = _docs(batch)
             for i, j in T.slices(offsets, 4 * T.SLICE_BYTES):
-                rec, _ = parse(*T.slice_text(data, offsets, i, j), length)
+                rec, trigger = parse(*T.slice_text(data, offsets, i, j), length)
                 if not len(rec):
                     continue
                 own = ids[i:j]
-                order, _, smallest = _first_docs((rec["g"], rec["p"]), own[rec["d"], 0])
+                order, _, smallest = _first_docs((rec["g"], rec["p"]), own["k"][rec["d"]])
                 keep = np.zeros(len(rec), bool)
                 keep[order[smallest]] = True
                 if not keep.all():
                     seen = rec[~keep]
                     yield _passing(_flags(own, seen["d"], seen["a"], seen["a"] + seen["n"], WHOLE), dests)
-                sent = rec[keep]
-                yield pa.RecordBatch.from_pydict(_blocks(sent, sent["g"], own, dests), _BLOCK)
+                yield pa.RecordBatch.from_pydict(_blocks(rec[keep], trigger[keep], own, dests), _BLOCK)
     return run
 
 
@@ -216,10 +234,10 @@ def _gather(batches, dtype):
     for batch in batches:
         rows = batch.to_pydict()
         for kind, doc_ids, body in zip(rows["kind"], rows["ids"], rows["body"]):
-            own = np.frombuffer(doc_ids, np.int64).reshape(-1, 2)
+            own = np.frombuffer(doc_ids, DOC)
             if kind:
-                passed["k"].append(int(own[0, 0]))
-                passed["th"].append(int(own[0, 1]))
+                passed["k"].append(int(own["k"][0]))
+                passed["th"].append(int(own["th"][0]))
                 passed["kind"].append(kind)
                 passed["runs"].append(body)
                 continue
@@ -229,7 +247,7 @@ def _gather(batches, dtype):
             records.append(rec)
             ids.append(own)
     rec = np.concatenate(records) if records else np.zeros(0, dtype)
-    return rec, np.concatenate(ids) if ids else np.zeros((0, 2), np.int64), passed
+    return rec, np.concatenate(ids) if ids else np.zeros(0, DOC), passed
 
 
 def _shared(g: np.ndarray, half: np.ndarray, phrase: np.ndarray, entry: np.ndarray):
@@ -255,14 +273,17 @@ def _dictionary(length: int):
             yield pa.RecordBatch.from_pydict(passed, _FLAGS)
         if not len(rec):
             return
-        order, group, smallest = _first_docs((rec["g"], rec["p"]), ids[rec["d"], 0])
+        order, group, smallest = _first_docs((rec["g"], rec["p"]), ids["k"][rec["d"]])
         rec = rec[order]
-        left = _shared(rec["g"], rec["l"], group, smallest)
-        right = _shared(rec["g"], rec["r"], group, smallest)
         a, b = rec["a"], rec["a"] + rec["n"]
-        for mask, kind in ((~smallest, WHOLE), (left | right, SUFFIXES)):
+        if not smallest.all():
+            yield _flags(ids, rec["d"][~smallest], a[~smallest], b[~smallest], WHOLE)
+        for t, name in enumerate(THIRDS):
+            lo, hi = third(t, length)
+            mask = _shared(rec["g"], rec[name], group, smallest)
             if mask.any():
-                yield _flags(ids, rec["d"][mask], a[mask], b[mask], kind)
+                trigger = a[mask] + rec["o"][mask].astype(np.int32)
+                yield _flags(ids, rec["d"][mask], np.maximum(a[mask], trigger - hi), np.minimum(b[mask], trigger - lo), SUFFIXES)
     return run
 
 
@@ -271,7 +292,7 @@ def _window_blocks(length: int, dests: int):
         for batch in batches:
             data, offsets = T.text_column(batch)
             checks = batch.column(batch.schema.get_field_index("check")).to_pylist()
-            ids = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)], 1)
+            ids = _docs(batch)
             for i, j in T.slices(offsets, 4 * T.SLICE_BYTES):
                 part, off = T.slice_text(data, offsets, i, j)
                 prefix = T.prefix_hash(T.BYTE_CODES[part])
@@ -290,7 +311,7 @@ def _window_blocks(length: int, dests: int):
                 rec["h1"] = T.range_hash(prefix, at, at + length)
                 rec["h2"] = T.range_hash(again, at, at + length)
                 own = ids[i:j]
-                order, _, smallest = _first_docs((rec["h1"], rec["h2"]), own[rec["d"], 0])
+                order, _, smallest = _first_docs((rec["h1"], rec["h2"]), own["k"][rec["d"]])
                 keep = np.zeros(len(rec), bool)
                 keep[order[smallest]] = True
                 if not keep.all():
@@ -312,17 +333,15 @@ def _suffix_runs(batches):
         yield pa.RecordBatch.from_pydict(passed, _FLAGS)
     if not len(rec):
         return
-    order, _, smallest = _first_docs((rec["h1"], rec["h2"]), ids[rec["d"], 0])
+    order, _, smallest = _first_docs((rec["h1"], rec["h2"]), ids["k"][rec["d"]])
     rec = rec[order]
     if not smallest.all():
         later = rec[~smallest]
         yield _flags(ids, later["d"], later["a"], later["a"], WHOLE)
 
 
-def _per_doc(flags: DataFrame) -> DataFrame:
-    return flags.groupBy("k", "th").agg(
-        F.collect_list(F.when(F.col("kind") == WHOLE, F.col("runs"))).alias("full"),
-        F.collect_list(F.when(F.col("kind") == SUFFIXES, F.col("runs"))).alias("check"))
+def _per_doc(flags: DataFrame, kind: int, name: str) -> DataFrame:
+    return flags.where(F.col("kind") == kind).groupBy("k", "th").agg(F.collect_list("runs").alias(name))
 
 
 def repeated_runs(docs: DataFrame, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,24 +349,22 @@ def repeated_runs(docs: DataFrame, length: int, id_col: str = "doc_id", text_col
     ``length``-byte strings that also start in a document with a smaller id."""
     spark = docs.sparkSession
     python_batches(spark)
-    dests = 4 * partitions(spark)
+    dests = 2 * partitions(spark)
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"),
-        F.xxhash64(F.col(text_col)).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+        F.hash(F.col(text_col)).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     with_text = keyed.select("k", "th", F.col(f"row.{text_col}").alias("text"))
     flags = staged(
         with_text.mapInArrow(_phrase_blocks(length, dests), BLOCK)
         .repartition(partitions(spark), "dest")
         .mapInArrow(_dictionary(length), FLAGS), "phrase-flags")
-    whole = _per_doc(flags)
-    marked = keyed.repartition(partitions(spark), "k", "th").join(whole, ["k", "th"], "left")
-    windows = (marked.select("k", "th", F.col(f"row.{text_col}").alias("text"), "check")
-               .mapInArrow(_window_blocks(length, dests), BLOCK)
-               .repartition(partitions(spark), "dest")
-               .mapInArrow(_suffix_runs, FLAGS))
-    parts = _per_doc(windows).select("k", "th", F.col("full").alias("part"))
-    return marked.join(parts, ["k", "th"], "left").select(
-        "row.*", F.concat(F.coalesce("full", F.array()), F.coalesce("part", F.array())).alias("_runs"))
+    windows = staged(
+        with_text.join(_per_doc(flags, SUFFIXES, "check"), ["k", "th"]).select("k", "th", "text", "check")
+        .mapInArrow(_window_blocks(length, dests), BLOCK)
+        .repartition(partitions(spark), "dest")
+        .mapInArrow(_suffix_runs, FLAGS), "window-flags")
+    runs = _per_doc(flags.unionByName(windows), WHOLE, "_runs")
+    return keyed.join(runs, ["k", "th"], "left").select("row.*", F.coalesce("_runs", F.array()).alias("_runs"))
 
 
 def covered(blobs, length: int, n: int):

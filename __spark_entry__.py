@@ -31,9 +31,10 @@ from regionpanel.plans import requests as R  # noqa: E402
 from regionpanel.plans.export import export  # noqa: E402
 from regionpanel.sources.sinks import write_frame  # noqa: E402
 from regionpanel.plans.spec import Scope  # noqa: E402
-from regionpanel.session import checkpoint_dir, configure, materialise  # noqa: E402
+from regionpanel.session import checkpoint_dir, configure, materialise, release  # noqa: E402
 from regionpanel.sources.fixture import fixture_tables, stored_relations  # noqa: E402
 from regionpanel.sources.schema import META  # noqa: E402
+from regionpanel.sources.tables import Tables  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -248,28 +249,119 @@ def q_question_long_dense_county(spark, d):
     return SC.question_long_dense(t, Scope.counties(R.COUNTY_CODES), _matrix_labels(t))
 
 
-def q_question_matrix_state(spark, d):
+def _by_id(t, df, qids=R.DETAIL_QUESTIONS):
+    """Question columns named ``q<id>``: their texts are data, SQL cannot name
+    them ahead. ``question_matrix_names`` compares the texts themselves."""
+    ids = {label: f"q{q}" for q, label in SC.question_labels(t, SC.question_ids(t, qids)).items()}
+    return df.select(*[K.qcol(c).alias(ids.get(c, c)) for c in df.columns])
+
+
+def _matrix(spark, d, scope, qids):
     t = _tables(spark, d)
-    return SC.question_matrix(t, R.ALL_STATES, _matrix_labels(t))
+    return _by_id(t, SC.question_matrix(t, scope, SC.question_labels(t, SC.question_ids(t, qids))), qids)
+
+
+def q_question_matrix_state(spark, d):
+    return _matrix(spark, d, R.ALL_STATES, R.MATRIX_QUESTIONS)
 
 
 def q_question_matrix_county(spark, d):
+    return _matrix(spark, d, Scope.counties(R.COUNTY_CODES), R.MATRIX_QUESTIONS)
+
+
+def q_question_matrix_64(spark, d):
+    return _matrix(spark, d, R.ALL_STATES, tuple(range(1, 65)))
+
+
+def q_question_matrix_65(spark, d):
+    return _matrix(spark, d, R.ALL_STATES, tuple(range(1, 66)))
+
+
+def q_question_matrix_names(spark, d):
+    """The matrix under its question texts, column by column."""
     t = _tables(spark, d)
-    return SC.question_matrix(t, Scope.counties(R.COUNTY_CODES), _matrix_labels(t))
+    wide = SC.question_matrix(t, R.ALL_STATES, _matrix_labels(t))
+    return wide.unpivot(["county_id"], [K.qcol(c) for c in wide.columns if c not in META], "column", "value")
+
+
+def q_empty_question_matrix(spark, d):
+    return SC.question_matrix(_tables(spark, d), R.ALL_STATES, {})
 
 
 def q_score_blocks_state(spark, d):
-    return SC.score_blocks(_tables(spark, d), R.ALL_STATES, R.full_categories())
+    t = _tables(spark, d)
+    return _by_id(t, SC.score_blocks(t, R.ALL_STATES, R.full_categories()))
 
 
 def q_question_matrix_category(spark, d):
+    """Every question of a category: their number grows with the data, so the
+    result stays long (a wide frame is for a named list of questions)."""
     t = _tables(spark, d)
-    qids = [r.question_id for r in lookups.questions_in_category(t, R.DETAIL_CATEGORY).select("question_id").collect()]
-    return SC.question_matrix(t, R.ALL_STATES, SC.question_labels(t, sorted(qids)))
+    return SC.question_sums(t, R.ALL_STATES, R.DETAIL_CATEGORY)
 
 
 def q_score_blocks_county(spark, d):
-    return SC.score_blocks(_tables(spark, d), Scope.counties(R.COUNTY_CODES), R.full_categories())
+    t = _tables(spark, d)
+    return _by_id(t, SC.score_blocks(t, Scope.counties(R.COUNTY_CODES), R.full_categories()))
+
+
+def q_score_fraction(spark, d):
+    """Survey values with more than two decimals: sums of doubles, compared to six places."""
+    stored = stored_relations(spark, d)
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
+    share = (F.col("l_extendedprice").cast("double") * F.col("l_discount").cast("double") / 997).cast("string")
+    stored["responses"] = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_custkey").cast("string").alias("county_id"), F.col("l_partkey").cast("long").alias("question_id"), share.alias("value"))
+    out = SC.score_wide(Tables.from_stored(**stored), R.ALL_STATES, ["PROMO", "SMALL"])
+    return out.select(*META, *[F.round(c, 6).alias(c) for c in ("PROMO_Sum", "SMALL_Sum")])
+
+
+def q_wide_code_merge(spark, d):
+    """County codes of seven digits, alike in their first five: ids stay whole and rows apart."""
+    stored = stored_relations(spark, d)
+    longer = F.concat(F.lit("9990"), F.lpad(F.col("county_id"), 9, "0"))
+    for name in ("counties", "census_facts", "responses"):
+        stored[name] = stored[name].withColumn("county_id", longer)
+    t = Tables.from_stored(**stored)
+    left = W.census_wide(t, R.ALL_STATES, W.resolve_census_variables(t, [11]))
+    return merge_outer(left, SC.score_wide(t, R.ALL_STATES, ["PROMO"]))
+
+
+def q_census_duplicate_check(spark, d):
+    """Census facts stored twice (every fact of variable 12 once more): the cells the pivot refuses."""
+    stored = stored_relations(spark, d)
+    facts = stored["census_facts"]
+    stored["census_facts"] = facts.unionByName(facts.where(F.col("variable_id") == 12))
+    return W.pivot_duplicates(Tables.from_stored(**stored))
+
+
+_STATES = Scope.states(R.STATE_ABBREVS)
+_MORE_STATES = Scope.states("N00, n03,N07")
+
+
+def q_census_wide_states(spark, d):
+    t = _tables(spark, d)
+    return W.census_wide(t, _STATES, _vars(t, R.BASIC_VARIABLES))
+
+
+def q_census_long_states(spark, d):
+    t = _tables(spark, d)
+    return W.census_long(t, _MORE_STATES, _vars(t, R.ALL_VARIABLES))
+
+
+def q_score_wide_states(spark, d):
+    return SC.score_wide(_tables(spark, d), _STATES, list(R.SUM_CATEGORIES))
+
+
+def q_export_states(spark, d):
+    t = _tables(spark, d)
+    return _by_id(t, export(t, R.state_full(_MORE_STATES)))
+
+
+def q_export_states_snapshot(spark, d):
+    t = _snapshot(spark, d)
+    return _by_id(t, export(t, R.state_full(_MORE_STATES)))
 
 
 def _density_base(spark, d):
@@ -303,16 +395,32 @@ def q_header_lookup(spark, d):
 
 def q_header_apply(spark, d):
     t = _tables(spark, d)
-    return headers.column_dictionary(export(t, R.state_full()), t.header_dictionary)
+    return headers.column_dictionary(_by_id(t, export(t, R.state_full())), t.header_dictionary)
+
+
+def q_header_csv(spark, d):
+    """The header dictionary written as CSV beside the data, read back by its reader and looked up."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark)}/header-{uuid.uuid4().hex}"
+    (_tables(spark, d).header_dictionary.orderBy("ordinal", "name").coalesce(1)
+     .select("name", "header", F.lit("x").alias("note")).write.option("header", True).csv(path))
+    return headers.header_lookup(headers.read_header_dictionary(spark, path))
 
 
 def q_category_labels(spark, d):
+    """Categories of the questions, the known ones among them by part size."""
     t = _tables(spark, d)
-    return headers.category_labels(t.questions.select("category").distinct())
+    known = F.array(*[F.lit(c) for c in ("Reg", "Voting", "Abuses", "pollworkers", "Registration", "dropboxes", "Vote Centers",
+                                        "Ease of Registration")])
+    mapped = t.questions.select(F.explode(F.array("category", F.element_at(known, (F.col("question_id") % 8 + 1).cast("int"))))
+                                .alias("category"))
+    return headers.category_labels(mapped.distinct())
 
 
 def _checkpointed_export(spark, d):
-    return materialise(export(_tables(spark, d), R.state_full(), ordered=False), "export")
+    t = _tables(spark, d)
+    return materialise(_by_id(t, export(t, R.state_full(), ordered=False)), "export")
 
 
 def q_export_row_count(spark, d):
@@ -320,19 +428,33 @@ def q_export_row_count(spark, d):
 
 
 def q_profile_numeric(spark, d):
-    return P.profile(_checkpointed_export(spark, d))
+    return _profiled(spark, d, P.profile)
 
 
 def q_profile_extended(spark, d):
-    return P.profile(_checkpointed_export(spark, d), quartiles=True)
+    return _profiled(spark, d, lambda df, digits: P.profile(df, quartiles=True, digits=digits))
+
+
+def q_profile_default3(spark, d):
+    return _profiled(spark, d, P.profile_extended)
+
+
+def _profiled(spark, d, of):
+    """Rounded to six places for the comparison only."""
+    df = _checkpointed_export(spark, d)
+    out = of(df, digits=6)  # runs its passes now
+    release(df)
+    return out
 
 
 def q_export_state_scope(spark, d):
-    return export(_tables(spark, d), R.state_full())
+    t = _tables(spark, d)
+    return _by_id(t, export(t, R.state_full()))
 
 
 def q_export_state_band(spark, d):
-    return export(_tables(spark, d), R.state_full(band="Suburban"))
+    t = _tables(spark, d)
+    return _by_id(t, export(t, R.state_full(band="Suburban")))
 
 
 def q_export_state_only(spark, d):
@@ -340,32 +462,61 @@ def q_export_state_only(spark, d):
 
 
 def q_export_county_scope(spark, d):
-    return export(_tables(spark, d), R.county_full())
+    t = _tables(spark, d)
+    return _by_id(t, export(t, R.county_full()))
+
+
+def q_export_job(spark, d):
+    """The whole job: data, column dictionary, request and profile written, all read back and told apart by ``part``."""
+    import uuid
+
+    from regionpanel.plans.export import read_request, run_export
+
+    t = _tables(spark, d)
+    out = f"{checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    spec = R.state_full(Scope.states(None), band="Suburban")
+    run_export(t, spec, out, fmt="csv")
+    assert read_request(spark, out) == spec
+    schema = export(t, spec, ordered=False).schema
+    data = _by_id(t, spark.read.schema(schema).option("header", True).csv(f"{out}/data"))
+    ids = {label: f"q{q}" for q, label in SC.question_labels(t, SC.question_ids(t, R.DETAIL_QUESTIONS)).items()}
+    named = lambda c: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in ids.items()], F.col(c))
+    cells = data.unpivot(["county_id"], [K.qcol(c) for c in data.columns if c not in META], "name", "v")
+    measured = cells.select(F.lit("data").alias("part"), F.concat_ws("|", "county_id", "name").alias("name"), F.round("v", 6).alias("value"))
+    columns = spark.read.parquet(f"{out}/columns").select(
+        F.lit("columns").alias("part"), F.concat_ws("|", named("column"), "group").alias("name"), F.col("ordinal").cast("double").alias("value"))
+    prof = spark.read.parquet(f"{out}/profile").select(
+        F.lit("profile").alias("part"), named("column").alias("name"), F.round("median", 6).alias("value"))
+    return measured.unionByName(columns).unionByName(prof)
 
 
 _SNAPSHOTS: dict = {}
 
 
-def q_export_snapshot_roundtrip(spark, d):
-    """The production path: the tables written once as a canonical snapshot
-    (facts partitioned by state, categories on responses) in the checkpoint
-    folder, loaded back, exported."""
+def _snapshot(spark, d):
+    """The tables written once as a canonical snapshot in the checkpoint folder and loaded back."""
     import uuid
 
-    from regionpanel.sources.tables import Tables
-
     key = (id(spark), spark.conf.get("spark.app.id", ""), d)
     if key not in _SNAPSHOTS:
         path = f"{checkpoint_dir(spark)}/snapshot-{uuid.uuid4().hex}"
         _tables(spark, d).write_snapshot(path)
         _SNAPSHOTS[key] = Tables.load(spark, path)
-    return export(_SNAPSHOTS[key], R.state_full())
+    return _SNAPSHOTS[key]
+
+
+def q_export_snapshot_roundtrip(spark, d):
+    """The production path: the tables written once as a canonical snapshot
+    (facts partitioned by state, categories on responses), loaded, exported."""
+    t = _snapshot(spark, d)
+    return _by_id(t, export(t, R.state_full()))
 
 
 def q_export_csv_roundtrip(spark, d):
     import uuid
 
-    df = export(_tables(spark, d), R.state_full())
+    t = _tables(spark, d)
+    df = _by_id(t, export(t, R.state_full()))
     path = f"{checkpoint_dir(spark)}/csv-roundtrip-{uuid.uuid4().hex}"
     write_frame(df, path, "csv")
     return spark.read.schema(df.schema).option("header", True).csv(path)

@@ -2,16 +2,15 @@
 
 Written independently of the Spark plans as the plain SQL of the semantics
 (cross join + left join for the dense matrix, full outer merges of wide
-blocks, ``PIVOT`` for question columns named by their text), over the same
+blocks, conditional sums for question columns named ``q<id>``), over the same
 fixture mapping (FIXTURES.md §2) of the pre-registered TPC-H-like views.
-Measures follow the fixed-point rule: survey sums in DECIMAL(18,2), cast to
-DOUBLE last; mean / std / quantiles rounded to 6 places.
+Survey values are doubles; mean / std / quantiles are rounded to 6 places.
+Every statement can be stored as a view (no PIVOT without a value list).
 """
 
 from __future__ import annotations
 
 from regionpanel.plans import requests as R
-from regionpanel.operators import headers as H
 from regionpanel.sources import fixture as FX
 
 
@@ -19,6 +18,10 @@ def _strip(x: str) -> str:
     return f"regexp_replace(CAST({x} AS STRING), '^0+', '')"
 
 
+def _pad(x: str, width: int) -> str:
+    return f"lpad({x}, greatest(length({x}), {width})::INT, '0')"
+
+
 def _lit_list(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
 
@@ -75,9 +78,9 @@ header_dictionary AS (
 cs AS (SELECT {_strip('state_id')} AS state_key, lpad({_strip('state_id')}, 2, '0') AS state_id,
               name AS state_name, abbrev FROM states),
 cc AS (SELECT {_strip('county_id')} AS county_key, {_strip('state_id')} AS state_key,
-              lpad({_strip('county_id')}, 5, '0') AS county_id, name AS county_name FROM counties),
+              {_pad(_strip('county_id'), 5)} AS county_id, name AS county_name FROM counties),
 cf AS (SELECT {_strip('county_id')} AS county_key, variable_id, CAST(data AS DOUBLE) AS value FROM census_facts),
-cr AS (SELECT {_strip('county_id')} AS county_key, question_id, CAST(value AS DECIMAL(18,2)) AS value FROM responses),
+cr AS (SELECT {_strip('county_id')} AS county_key, question_id, CAST(value AS DOUBLE) AS value FROM responses),
 csw AS (SELECT {_strip('state_id')} AS state_key, lpad({_strip('state_id')}, 2, '0') AS state_id,
                "{FX.STATE_COUNT_COLUMN}", "{FX.STATE_BALANCE_COLUMN}" FROM state_wide),
 spine AS (SELECT cc.state_key, cc.county_key, cs.state_id, cs.state_name, cc.county_id, cc.county_name
@@ -91,7 +94,7 @@ def _with(*ctes: str) -> str:
 
 def _codes(text: str) -> str:
     """Typed county codes -> canonical keys (split, trim, all non-digits out, zeros stripped)."""
-    items = [p.strip() for p in text.split(",") if p.strip()]
+    items = [p.strip() for p in text.split(",") if any("0" <= c <= "9" for c in p)] or ["none"]
     return (f"SELECT DISTINCT regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^0+', '') AS county_key "
             f"FROM (SELECT UNNEST([{_lit_list(items)}]) AS x)")
 
@@ -189,22 +192,22 @@ def question_long_dense(scope: str, qids) -> str:
 
 
 def matrix_cte(qids, total: str, name: str = "qm") -> str:
-    """CTEs feeding a matrix; the PIVOT itself must sit in a FROM clause of
-    the main query (DuckDB resolves dynamic PIVOT columns there only)."""
+    """CTEs feeding a matrix."""
     return dense_long_cte(qids, name + "_long") + f""",
-{name}_src AS (SELECT {META}, question_name, CAST(value_sum AS DOUBLE) AS v FROM {name}_long),
+{name}_src AS (SELECT {META}, question_id, CAST(value_sum AS DOUBLE) AS v FROM {name}_long),
 {name}_tot AS (SELECT state_id, county_id, CAST(SUM(value_sum) AS DOUBLE) AS {_ident(total)}
                FROM {name}_long GROUP BY state_id, county_id)"""
 
 
-def matrix_expr(total: str, name: str = "qm") -> str:
-    """Table expression of the matrix (use in a FROM clause)."""
-    return (f"(SELECT p.*, t.{_ident(total)} FROM (PIVOT {name}_src ON question_name USING first(v) "
+def matrix_expr(total: str, qids, name: str = "qm", names=None) -> str:
+    """Table expression of the matrix: one column per question, ``q<id>`` or its name in ``names``."""
+    cols = ", ".join(f"max(CASE WHEN question_id = {q} THEN v END) AS {_ident((names or {}).get(q, f'q{q}'))}" for q in sorted(qids))
+    return (f"(SELECT p.*, t.{_ident(total)} FROM (SELECT {META}, {cols} FROM {name}_src "
             f"GROUP BY {META}) p JOIN {name}_tot t USING (state_id, county_id))")
 
 
 def question_matrix(scope: str, qids, total: str = "selected_total") -> str:
-    return _with(_scope_spine(scope), matrix_cte(qids, total)) + f"SELECT * FROM {matrix_expr(total)} m"
+    return _with(_scope_spine(scope), matrix_cte(qids, total)) + f"SELECT * FROM {matrix_expr(total, qids)} m"
 
 
 def _state_block(cols, scope_cte: str = "scope_spine") -> str:
@@ -240,7 +243,7 @@ def export_sql(scope: str, band: str = "All", state_only: bool = False) -> str:
 
 
 def export_sql_for(scope: str, variables, details, sums, state_cols, band: str = "All",
-                   mandatory: bool = True) -> str:
+                   mandatory: bool = True, names=None) -> str:
     """Export SQL for any request: census ids, detail blocks [(category,
     question ids)], summed categories, state columns, band (the reference's
     full outer merges; state columns by state id; band filter; rename)."""
@@ -251,7 +254,7 @@ def export_sql_for(scope: str, variables, details, sums, state_cols, band: str =
         frames.append(("cw", "cw"))
     for j, (cat, qids) in enumerate(details):
         ctes.append(matrix_cte(list(qids), cat + "_Sum", f"em{j}"))
-        frames.append((f"em{j}", matrix_expr(cat + "_Sum", f"em{j}")))
+        frames.append((f"em{j}", matrix_expr(cat + "_Sum", list(qids), f"em{j}", names)))
     if sums:
         ctes.append(score_wide_cte(list(sums), "sw"))
         frames.append(("sw", "sw"))
@@ -306,18 +309,21 @@ GROUP BY "column"
 """
 
 
-_SUM_LABEL_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in H.SUM_LABELS.items())
+#: fixed values: the labels of the score sums
+_SUM_LABEL_VALUES = """('Reg_Sum', 'Provison of Information About Registration (Overall Score)'),
+  ('Voting_Sum', 'Provision of Information About Voting (Overall Score)'),
+  ('Abuses_Sum', 'History of Voting Rights Abuses in County'),
+  ('pollworkers_Sum', 'Availability of Poll Workers (Overall Score)'),
+  ('Drives_Sum', 'Registration Drives'), ('dropboxes_Sum', 'Drop Box Availability'),
+  ('Vote Centers_Sum', 'Vote Center Availability'),
+  ('Ease of Registration_Sum', 'Ease of Registration (Overall Score)')"""
 
 
 def header_apply_sql() -> str:
     base = export_sql(ALL)
     return _with(f"""hl AS (SELECT {_LABEL.replace('label', 'name')} AS key, arg_max(header, ordinal) AS header
   FROM header_dictionary GROUP BY ALL)""", f"""d AS (SELECT column_name AS "column", row_number() OVER () - 1 AS pos FROM (DESCRIBE {base}))""",
-        f"""qc AS (SELECT question AS "column", row_number() OVER (ORDER BY question_id) - 1 AS qrank
-  FROM questions WHERE question_id IN ({_lit_list(R.DETAIL_QUESTIONS)}))""",
-        """cols AS (SELECT d."column", CAST(CASE WHEN qc.qrank IS NULL THEN d.pos
-  ELSE (SELECT min(pos) FROM d JOIN qc USING ("column")) + qc.qrank END AS INTEGER) AS ordinal
-  FROM d LEFT JOIN qc USING ("column"))""",
+        """cols AS (SELECT "column", CAST(pos AS INTEGER) AS ordinal FROM d)""",
         f"lbl AS (SELECT * FROM (VALUES {_SUM_LABEL_VALUES}) t(\"column\", friendly))") + f"""
 SELECT c.ordinal, c."column", COALESCE(hl.header, 'Other') AS "group", COALESCE(lbl.friendly, c."column") AS label
 FROM cols c LEFT JOIN hl ON hl.key = {_LABEL.replace('label', 'c."column"')} LEFT JOIN lbl ON lbl."column" = c."column"
@@ -397,13 +403,33 @@ GROUP BY county_key, question_id HAVING count(*) > 1""",
     "question_matrix_county": question_matrix(COUNTY, R.MATRIX_QUESTIONS),
     "score_blocks_state": _with(_scope_spine(ALL), matrix_cte(R.DETAIL_QUESTIONS, R.DETAIL_CATEGORY + "_Sum", "em"),
                                 score_wide_cte(R.SUM_CATEGORIES, "sw")) +
-    "SELECT * FROM " + _outer_merge([("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", "em")), ("sw", "sw")]) + " mg",
-    "question_matrix_category": _with(_scope_spine(ALL),
-                                      matrix_cte(f"SELECT question_id FROM questions WHERE category = '{R.DETAIL_CATEGORY}'",
-                                                 "selected_total")) + f"SELECT * FROM {matrix_expr('selected_total')} m",
+    "SELECT * FROM " + _outer_merge([("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", R.DETAIL_QUESTIONS, "em")), ("sw", "sw")]) + " mg",
+    "question_matrix_category": _with(_scope_spine(ALL)) + f"""SELECT {META}, q.question_id, q.question AS question_name, SUM(r.value) AS value_sum
+FROM scope_spine s JOIN cr r ON r.county_key = s.county_key JOIN questions q ON q.question_id = r.question_id
+WHERE q.category = '{R.DETAIL_CATEGORY}' GROUP BY ALL""",
+    "question_matrix_64": question_matrix(ALL, range(1, 65)),
+    "question_matrix_65": question_matrix(ALL, range(1, 66)),
+    "question_matrix_names": _with(_scope_spine(ALL), dense_long_cte(R.MATRIX_QUESTIONS)) + """SELECT county_id, question_name AS "column", value_sum AS value FROM dl
+UNION ALL SELECT county_id, 'selected_total', SUM(value_sum) FROM dl GROUP BY county_id""",
+    "empty_question_matrix": _with(_scope_spine(ALL)) + f"SELECT {META}, 0.0::DOUBLE AS selected_total FROM scope_spine WHERE false",
+    "score_fraction": _with(_scope_spine(ALL), """fr AS (SELECT ltrim(CAST(o_custkey AS STRING), '0') AS county_key, l_partkey AS question_id,
+  CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE) / 997 AS value FROM orders JOIN lineitem ON o_orderkey = l_orderkey)""") + f"""
+SELECT {META}, round(COALESCE(SUM(CASE WHEN category = 'PROMO' THEN value END), 0), 6) AS "PROMO_Sum",
+  round(COALESCE(SUM(CASE WHEN category = 'SMALL' THEN value END), 0), 6) AS "SMALL_Sum"
+FROM scope_spine s JOIN fr USING (county_key) JOIN questions q USING (question_id)
+WHERE category IN ('PROMO', 'SMALL') GROUP BY {META}""",
+    "wide_code_merge": _with(_scope_spine(ALL), census_wide_cte(ALL, [11]), score_wide_cte(["PROMO"])) + """
+SELECT * REPLACE ('9990' || lpad(ltrim(county_id, '0'), 9, '0') AS county_id)
+FROM cw FULL JOIN (SELECT * EXCLUDE (state_name, county_name) FROM sw) r USING (state_id, county_id)""",
+    "census_duplicate_check": _with() + "SELECT county_key, variable_id, 2 * count(*) AS n_rows FROM cf WHERE variable_id = 12 GROUP BY ALL",
+    "census_wide_states": census_wide("state:" + R.STATE_ABBREVS, R.BASIC_VARIABLES),
+    "census_long_states": census_long("state:N00, n03,N07", R.ALL_VARIABLES),
+    "score_wide_states": score_wide("state:" + R.STATE_ABBREVS, R.SUM_CATEGORIES),
+    "export_states": export_sql("state:N00, n03,N07"),
+    "export_states_snapshot": export_sql("state:N00, n03,N07"),
     "score_blocks_county": _with(_scope_spine(COUNTY), matrix_cte(R.DETAIL_QUESTIONS, R.DETAIL_CATEGORY + "_Sum", "em"),
                                  score_wide_cte(R.SUM_CATEGORIES, "sw")) +
-    "SELECT * FROM " + _outer_merge([("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", "em")), ("sw", "sw")]) + " mg",
+    "SELECT * FROM " + _outer_merge([("em", matrix_expr(R.DETAIL_CATEGORY + "_Sum", R.DETAIL_QUESTIONS, "em")), ("sw", "sw")]) + " mg",
     "density": _density_sql(None),
     "density_band": _density_sql(None, with_band=True),
     "density_rural": _density_sql("Rural"),
@@ -412,10 +438,30 @@ GROUP BY county_key, question_id HAVING count(*) > 1""",
     "header_lookup": _with() + f"""SELECT {_LABEL.replace('label', 'name')} AS key, arg_max(header, ordinal) AS header
 FROM header_dictionary GROUP BY ALL""",
     "header_apply": header_apply_sql(),
-    "category_labels": _with() + "SELECT DISTINCT category, category AS label FROM questions",
+    "header_csv": _with() + f"""SELECT {_LABEL.replace('label', 'name')} AS key, arg_max(header, ordinal) AS header
+FROM header_dictionary GROUP BY ALL""",
+    "category_labels": _with() + """SELECT DISTINCT category, coalesce(label, category) AS label FROM (
+  SELECT category FROM questions UNION ALL
+  SELECT ['Reg', 'Voting', 'Abuses', 'pollworkers', 'Registration', 'dropboxes', 'Vote Centers', 'Ease of Registration'][question_id % 8 + 1] FROM questions)
+LEFT JOIN (VALUES
+  ('Reg', 'The Provision of Information About Registration (5 item additive scale)'),
+  ('Voting', 'The Provision of Information About Voting'),
+  ('Abuses', 'History of Voting Rights Abuses in County (3 item Likert scale)'),
+  ('pollworkers', 'Availability of Poll Workers (6 item additive scale)'),
+  ('Registration', 'Registration Drives (dichotomous 0/1)'),
+  ('dropboxes', 'Alternative Voting: Drop Boxes (dichotomous 0/1)'),
+  ('Vote Centers', 'Alternative Voting: Vote Centers (dichotomous 0/1)'),
+  ('Ease of Registration', 'Ease of Registration (4 item additive scale)')) m(category, label) USING (category)""",
     "export_row_count": f"SELECT count(*) AS n_rows FROM ({export_sql(ALL)})",
     "profile_numeric": profile_sql(False),
     "profile_extended": profile_sql(True),
+    "profile_default3": f"""SELECT * FROM ({profile_sql(True)}) WHERE "column" IN
+  ('1: Overall Population', '11: Order value 1-URGENT', '12: Order value 2-HIGH')""",
+    "export_job": f"""SELECT 'data' AS part, county_id || '|' || name AS name, round(v, 6) AS value
+FROM ({export_sql(ALL, band="Suburban")}) UNPIVOT INCLUDE NULLS
+  (v FOR name IN (COLUMNS(* EXCLUDE (state_id, state_name, county_id, county_name))))
+UNION ALL SELECT 'columns', "column" || '|' || "group", ordinal::DOUBLE FROM ({header_apply_sql()})
+UNION ALL SELECT 'profile', "column", median FROM ({profile_sql(False, export_sql(ALL, band="Suburban"))})""",
     "export_state_scope": export_sql(ALL),
     "export_state_band": export_sql(ALL, band="Suburban"),
     "export_state_only": export_sql(ALL, state_only=True),

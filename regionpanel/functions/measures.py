@@ -1,9 +1,9 @@
 """Measure expressions.
 
-Facts store measures as text. Census values are cast to double as they are
-(no arithmetic on them). Survey values are summed in fixed point so that a
-sum does not depend on the order rows arrive in: cast to ``decimal(18,2)``,
-sum exactly, cast the total to double last.
+Facts store measures as text. Census and survey values alike are cast to
+double, whatever their number of decimals, and summed as doubles; sums of
+whole numbers are exact, sums of fractions may differ in the last bits with
+the order rows arrive in.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCORE_TYPE = "decimal(18,2)"
+SCORE_TYPE = "double"
 
 
 def _c(col: Column | str) -> Column:
@@ -25,7 +25,7 @@ def measure(col: Column | str, strict: bool = True) -> Column:
 
 
 def score(col: Column | str, strict: bool = True) -> Column:
-    """Text -> fixed-point score value used by every sum."""
+    """Text -> survey value used by every sum."""
     c = _c(col)
     return c.cast(SCORE_TYPE) if strict else c.try_cast(SCORE_TYPE)
 

@@ -74,6 +74,7 @@ def assemble_counties(tables: Tables, scope: Scope, blocks: list[Block],
         for c in cells[1:]:
             long = long.unionByName(c)
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.withColumn("_row", F.monotonically_increasing_id())  # alike rows stay apart
         joined = df.repartition(n, "county_key").join(long.repartition(n, "county_key"), "county_key", "left")
         df = joined.groupBy(*[qcol(c) for c in df.columns]).pivot("question_id", sorted(set(slots.values()))) \
             .agg(F.first("_v"))

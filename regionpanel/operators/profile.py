@@ -5,23 +5,27 @@ exact median, max; the extended form adds the 25 / 50 / 75 % quantiles
 (linear interpolation between order statistics, as pandas and DuckDB's
 ``quantile_cont``: ``lo + (hi - lo) * frac``).
 
-Plan (never gathers a column in one task):
-
-1. ONE aggregate over the unpivoted (column, value) rows gives count, mean,
-   std, min, max and, from ``percentile_approx`` with accuracy A, a value
-   bracket around each wanted order statistic (rank error <= n/A, the
-   bracket is 2n/A ranks wide on each side); its one row per column is
-   collected (schema-sized) so the data is read only once more;
-2. ONE aggregate over the rows tagged against the brackets: rows below a
-   bracket collapse to (count, max), rows above to min, rows inside to
-   (value, multiplicity) pairs — at most ~4n/A distinct values per bracket;
-3. ONE window per (column, quantile) over those few rows turns
-   multiplicities into ranks; the wanted ranks are picked from there.
+The data stays columnar and no column is gathered in one task:
+
+1. ONE global aggregate (partials per task) gives count, mean, std, min, max
+   of every column and, from ``percentile_approx``, a value bracket around
+   each wanted order statistic;
+2. a global aggregate counts the values below and inside each bracket. A
+   bracket with more than ``GATHER`` values is narrowed by the same sketch
+   over its inside only (each pass divides it by thousands), one with a
+   single distinct value is settled;
+3. what is left, at most ``GATHER`` values per column and quantile, is listed
+   and the wanted ranks are read off.
+
+The driver sees a few numbers per column (schema-sized). If a bracket ever
+misses a wanted rank the profile fails rather than report a wrong quantile.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,139 +33,142 @@ from regionpanel.functions.keys import quote, select_sql
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 ACCURACY = 10000
-ROUND = 6
+GATHER = 2000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
-def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value) rows of the numeric columns; NaN becomes NULL (pandas
-    skips it); NULLs are kept so an all-NULL column still has a row."""
-    casted = select_sql(df, [*[f"CAST({quote(c)} AS DOUBLE) AS {quote(c)}" for c in cols]])
-    long = casted.unpivot([], cols, "column", "value")
-    return long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-
-
-def _brackets(probs: list[float]):
-    margin = 2.0 / ACCURACY
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
-    return lo_p, hi_p
-
-
-def column_stats(long: DataFrame, probs: list[float]) -> DataFrame:
-    """Step 1: simple statistics + quantile brackets, one aggregate."""
-    lo_p, hi_p = _brackets(probs)
-    v = F.col("value")
-    return long.groupBy("column").agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile_approx(v, lo_p, ACCURACY).alias("lo_v"),
-        F.percentile_approx(v, hi_p, ACCURACY).alias("hi_v"),
-    )
+def _values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The numeric columns as doubles ``v0, v1, ...``; NaN becomes NULL (pandas skips it)."""
+    return select_sql(df, [f"nullif(CAST({quote(c)} AS DOUBLE), CAST('NaN' AS DOUBLE)) AS v{i}" for i, c in enumerate(cols)])
+
+
+def _around(k_lo: int, k_hi: int, below: int, inside: int) -> tuple[float, float]:
+    """Probabilities, within the bracket, that are sure to enclose both ranks."""
+    margin = 2.0 / ACCURACY + 1.0 / inside
+    return max(0.0, (k_lo - below) / inside - margin), min(1.0, (k_hi + 1 - below) / inside + margin)
+
+
+def _order_statistics(values: DataFrame, stats: list[dict], probs: list[float]) -> dict:
+    """(column number, probability) -> exact interpolated quantile."""
+    open_, found = {}, {}
+    for i, s in enumerate(stats):
+        for p in probs:
+            if not s["count"]:
+                found[i, p] = None
+                continue
+            pos = p * (s["count"] - 1)
+            lo, hi = (s["min"], s["max"]) if s["count"] <= GATHER else s["near"][p]
+            open_[i, p] = {"pos": pos, "k": (math.floor(pos), math.ceil(pos)), "lo": lo, "hi": hi}
+
+    def settle(key, item, sorted_values):
+        k_lo, k_hi = item["k"]
+        if not item["below"] <= k_lo <= k_hi < item["below"] + item["inside"]:
+            raise RuntimeError(f"quantile bracket of column {key[0]} misses rank {k_lo}..{k_hi}")
+        at = lambda k: sorted_values(k - item["below"])
+        found[key] = at(k_lo) + (at(k_hi) - at(k_lo)) * (item["pos"] - k_lo)
+
+    while open_:
+        inside = lambda key: F.when(F.col(f"v{key[0]}").between(open_[key]["lo"], open_[key]["hi"]), F.col(f"v{key[0]}"))
+        keys = list(open_)
+        row = values.agg(*[f(k) for k in keys for f in (
+            lambda k: F.count(F.when(F.col(f"v{k[0]}") < open_[k]["lo"], 1)), lambda k: F.count(inside(k)))]).first()
+        for n, key in enumerate(keys):
+            open_[key] |= {"below": row[2 * n], "inside": row[2 * n + 1]}
+            if open_[key]["lo"] == open_[key]["hi"]:
+                settle(key, open_[key], lambda _, v=open_[key]["lo"]: v)
+        open_ = {k: v for k, v in open_.items() if k not in found}
+        small = [k for k, v in open_.items() if v["inside"] <= GATHER]
+        if small:
+            row = values.agg(*[F.sort_array(F.collect_list(inside(k))) for k in small]).first()
+            for n, key in enumerate(small):
+                settle(key, open_[key], lambda r, got=row[n]: got[r])
+            open_ = {k: v for k, v in open_.items() if k not in found}
+        if open_:
+            keys = list(open_)
+            narrow = [_around(*open_[k]["k"], open_[k]["below"], open_[k]["inside"]) for k in keys]
+            row = values.agg(*[F.percentile_approx(inside(k), list(at), ACCURACY) for k, at in zip(keys, narrow)]).first()
+            for n, key in enumerate(keys):
+                lo, hi = row[n]
+                if (lo, hi) == (open_[key]["lo"], open_[key]["hi"]):  # heavy ties at an end: halve by value instead
+                    v, middle = F.col(f"v{key[0]}"), lo + (hi - lo) / 2
+                    under, last, first = values.agg(F.count(F.when(v <= middle, 1)), F.max(F.when(v <= middle, v)),
+                                                    F.min(F.when(v > middle, v))).first()
+                    k_lo, k_hi = open_[key]["k"]
+                    if k_lo < under <= k_hi:  # the two ranks lie on either side
+                        found[key] = last + (first - last) * (open_[key]["pos"] - k_lo)
+                    lo, hi = (lo, last) if k_hi < under else (first, hi)
+                open_[key] |= {"lo": lo, "hi": hi}
+            open_ = {k: v for k, v in open_.items() if k not in found}
+    return found
 
 
 def _quantile_name(p: float) -> str:
     return f"q{int(round(p * 100))}"
 
 
-def quantiles_from_stats(long: DataFrame, stats: DataFrame, probs: list[float]) -> DataFrame:
-    """Steps 2-3: one row per column with a ``q<pp>`` column per quantile."""
-    lo_p, hi_p = _brackets(probs)
-    arr = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    i = F.col("i") + 1
-    # one row per (column, p): the value bracket and the wanted ranks;
-    # bounded by (#columns x #quantiles), so a proven broadcast size
-    brackets = (stats.where(F.col("count") > 0)
-                .select("column", "count", "min", "max", "lo_v", "hi_v",
-                        F.posexplode(arr(probs)).alias("i", "p"))
-                .select(
-                    "column", "p",
-                    (F.col("p") * (F.col("count") - 1)).alias("pos"),
-                    F.when(F.element_at(arr(lo_p), i) <= 0, F.col("min"))
-                    .otherwise(F.element_at("lo_v", i)).alias("lo"),
-                    F.when(F.element_at(arr(hi_p), i) >= 1, F.col("max"))
-                    .otherwise(F.element_at("hi_v", i)).alias("hi"))
-                .withColumn("k_lo", F.floor("pos").cast("long"))
-                .withColumn("k_hi", F.ceil("pos").cast("long"))
-                .withColumn("frac", F.col("pos") - F.col("k_lo"))
-                .drop("pos"))
-    keys = ["column", "p", "k_lo", "k_hi", "frac"]
-    tagged = long.where(F.col("value").isNotNull()).join(F.broadcast(brackets), "column")
-    val, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    side = F.when(val < lo, F.lit(0)).when(val > hi, F.lit(2)).otherwise(F.lit(1))
-    # partial counts map side, then the few bracket rows gathered per column
-    # once: the window and the final pick need no further exchange
-    parts = (tagged.groupBy(*keys, side.alias("side"), F.when(side == 1, val).alias("v"))
-             .agg(F.count(F.lit(1)).alias("m"), F.max(val).alias("vmax"), F.min(val).alias("vmin"))
-             .repartition("column"))
-    w = Window.partitionBy("column", "p").orderBy("side", "v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parts.withColumn("cum", F.sum("m").over(w)).select(
-        *keys,
-        # representative value of the row and the ranks it is known to hold:
-        # below-set -> its max at rank below-1; inside -> value's ranks;
-        # above-set -> its min at the first rank above the bracket
-        F.when(F.col("side") == 0, F.col("vmax")).when(F.col("side") == 2, F.col("vmin"))
-        .otherwise(F.col("v")).alias("value"),
-        F.when(F.col("side") == 0, F.col("cum") - 1).otherwise(F.col("cum") - F.col("m")).alias("first_rank"),
-        F.when(F.col("side") == 2, F.col("cum") - F.col("m")).otherwise(F.col("cum") - 1).alias("last_rank"),
-    )
-    at = lambda k: (F.col("first_rank") <= F.col(k)) & (F.col("last_rank") >= F.col(k))
+def _statistics(values: DataFrame, n: int, probs: list[float]) -> list[dict]:
+    """Simple statistics and first brackets of every column, one aggregate."""
+    margin = 2.0 / ACCURACY
+    ends = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
     aggs = []
-    for p in probs:
-        is_p = F.col("p") == F.lit(float(p))
-        aggs += [F.max(F.when(is_p & at("k_lo"), F.col("value"))).alias(f"lo{p}"),
-                 F.max(F.when(is_p & at("k_hi"), F.col("value"))).alias(f"hi{p}"),
-                 F.max(F.when(is_p, F.col("frac"))).alias(f"fr{p}")]
-    picked = ranked.groupBy("column").agg(*aggs)
-    return picked.select("column", *[
-        (F.col(f"`lo{p}`") + (F.col(f"`hi{p}`") - F.col(f"`lo{p}`")) * F.col(f"`fr{p}`")).alias(_quantile_name(p))
-        for p in probs])
+    for i in range(n):
+        v = F.col(f"v{i}")
+        aggs += [F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.max(v), F.percentile_approx(v, ends + probs, ACCURACY)]
+    row = values.agg(*[a.alias(f"a{j}") for j, a in enumerate(aggs)]).first()
+    out = []
+    for i in range(n):
+        count, mean, std, low, high, near = row[6 * i:6 * i + 6]
+        m = len(probs)
+        near = near or [None] * (3 * m)
+        # an end at 0 or 1 is the column's own end
+        bracket = {p: (low if ends[j] <= 0 else near[j], high if ends[m + j] >= 1 else near[m + j]) for j, p in enumerate(probs)}
+        out.append({"count": count, "mean": mean, "std": std, "min": low, "max": high, "near": bracket,
+                    "approx": dict(zip(probs, near[2 * m:]))})
+    return out
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
     """One row per column, ``q<pp>`` = exact linear-interpolated quantile."""
-    long = _long(df, cols)
-    return quantiles_from_stats(long, column_stats(long, probs), probs)
+    values = _values(df, cols)
+    got = _order_statistics(values, _statistics(values, len(cols), probs), probs)
+    rows = [(c, *[got[i, p] for p in probs]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{_quantile_name(p)} double" for p in probs))
 
 
 def profile(df: DataFrame, cols: list[str] | None = None, quartiles: bool = False,
-            digits: int = ROUND, exact: bool = True) -> DataFrame:
-    """P7 (``quartiles=False``) / P8: one row per numeric column; mean, std
-    and interpolated quantiles rounded to ``digits`` places.
+            digits: int | None = None, exact: bool = True) -> DataFrame:
+    """P7 (``quartiles=False``) / P8: one row per numeric column. Runs its
+    aggregates at once; the result is one small row per column. ``digits``
+    rounds mean, std and quantiles (only if asked).
 
-    ``exact=False`` stops after the first aggregate and reports
-    ``percentile_approx`` (rank error <= n/10,000) instead: one pass."""
+    ``exact=False`` reports ``percentile_approx`` (rank error <= n/10,000)
+    from the first aggregate instead: one pass."""
     cols = numeric_columns(df) if cols is None else cols
+    probs = [0.25, 0.5, 0.75] if quartiles else [0.5]
+    names = ["q25", "q50", "median", "q75"] if quartiles else ["median"]
+    schema = ", ".join(["column string, count long, mean double, std double, min double",
+                        *[f"{n} double" for n in names], "max double"])
     spark = df.sparkSession
     if not cols:
-        fields = "column string, count long, mean double, std double, min double, median double, max double"
-        return spark.createDataFrame([], fields)
-    probs = [0.25, 0.5, 0.75] if quartiles else [0.5]
-    long = _long(df, cols)
-    # one row per column reaches the driver (bounded by the schema, not the
-    # data); the quantile pass then reads the data once more
-    if not exact:
-        v = F.col("value")
-        out = long.groupBy("column").agg(
-            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max"),
-            *[F.percentile_approx(v, p, ACCURACY).cast("double").alias(_quantile_name(p)) for p in probs])
-    else:
-        agg = column_stats(long, probs)
-        stats = spark.createDataFrame(agg.collect(), agg.schema)
-        # the quantiles are one row per column (schema-sized): a proven
-        # broadcast bound, and the build side a left join can use
-        out = stats.join(F.broadcast(quantiles_from_stats(long, stats, probs)), "column", "left")
-    r = lambda c, name=None: F.round(F.col(c), digits).alias(name or c)
-    head = [F.col("column"), F.col("count").cast("long").alias("count"), r("mean"), r("std"), F.col("min")]
-    mid = [r("q25"), r("q50"), r("q50", "median"), r("q75")] if quartiles else [r("q50", "median")]
-    return out.select(*head, *mid, F.col("max"))
-
-
-def profile_extended(df: DataFrame, cols: list[str] | None = None, digits: int = ROUND) -> DataFrame:
+        return spark.createDataFrame([], schema)
+    values = _values(df, cols)
+    stats = _statistics(values, len(cols), probs)
+    got = (_order_statistics(values, stats, probs) if exact
+           else {(i, p): s["approx"][p] for i, s in enumerate(stats) for p in probs})
+    rows = []
+    for i, (c, s) in enumerate(zip(cols, stats)):
+        q = [got[i, p] for p in ([0.25, 0.5, 0.5, 0.75] if quartiles else [0.5])]
+        rows.append((c, s["count"], s["mean"], s["std"], s["min"], *q, s["max"]))
+    out = spark.createDataFrame(rows, schema)
+    if digits is not None:
+        out = out.select(*[F.round(c, digits).alias(c) if c in ("mean", "std", *names) else F.col(c) for c in out.columns])
+    return out
+
+
+def profile_extended(df: DataFrame, cols: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Quartiles for the chosen numeric columns; by default the first
     three, as the reference's selection box starts."""
     return profile(df, numeric_columns(df)[:3] if cols is None else cols, quartiles=True, digits=digits)

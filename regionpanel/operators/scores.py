@@ -9,7 +9,7 @@ Which counties each block yields (kept as in the reference):
 The dense matrix is built without the counties x questions product: the
 responses of the chosen questions are pivoted by county and left-joined to
 the spine, then zero-filled. The long dense form unpivots that result.
-Sums run in fixed point (``decimal(18,2)``) and become double last.
+Values are summed as doubles.
 """
 
 from __future__ import annotations
@@ -115,6 +115,16 @@ def score_long(tables: Tables, scope: Scope, categories: list[str]) -> DataFrame
             .select(*META, "category", F.col("score").cast("double").alias("county_category_score")))
 
 
+def question_sums(tables: Tables, scope: Scope, category: str) -> DataFrame:
+    """County x question sums of every question of a category that has
+    responses, long: the number of questions is data, not request."""
+    r = scoped_facts(tables.responses, tables, scope).drop("category")
+    cells = r.groupBy("county_key", "question_id").agg(F.sum("value").alias("value_sum"))
+    asked = tables.questions.where(F.col("category") == category).select("question_id", F.col("question").alias("question_name"))
+    return (sized_spine(tables, scope).join(cells.join(asked, "question_id"), "county_key", "inner")
+            .select(*META, "question_id", "question_name", "value_sum"))
+
+
 def score_block(tables: Tables, scope: Scope, categories: list[str], suffix: str = SUFFIX) -> DataFrame:
     """county_key + ``<category><suffix>`` columns, zero-filled (A7 core)."""
     labels = {c: c + suffix for c in categories}
@@ -133,7 +143,7 @@ def score_wide(tables: Tables, scope: Scope, categories: list[str], suffix: str
 # ----------------------------------------------------------- question matrix
 
 def question_cells(tables: Tables, scope: Scope, labels: dict[int, str], total: str | None = None) -> DataFrame:
-    """county_key + one decimal sum per chosen question (NULL = no response),
+    """county_key + one sum per chosen question (NULL = no response),
     plus the sum over all of them when ``total`` is given."""
     r = scoped_facts(tables.responses, tables, scope).where(in_list("question_id", labels))
     return pivot_by_key(r.select("county_key", "question_id", "value"), "question_id", "value", labels, "sum",
@@ -152,6 +162,8 @@ def question_matrix(tables: Tables, scope: Scope, labels: dict[int, str],
     satisfied by the join's partitioning on county_key."""
     spine = county_dimension(tables, scope)
     cols = list(labels.values())
+    if not labels:  # nothing asked: a typed empty frame
+        return spine.select(*META, F.lit(0.0).alias(total_col)).where(F.lit(False))
     if len(labels) <= wide_ops.CONDITIONAL_LIMIT:
         cells = question_cells(tables, scope, labels, total="_total")
         joined = spine.join(cells, "county_key", "left")
@@ -163,8 +175,10 @@ def question_matrix(tables: Tables, scope: Scope, labels: dict[int, str],
     # partitions keeps AQE from coalescing them by input size: the input is
     # narrow, the pivot's output is not
     n = int(tables.states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows of the spine stay apart even if two are alike, as on the other side of the limit
+    spine = spine.withColumn("_row", F.monotonically_increasing_id())
     joined = spine.repartition(n, "county_key").join(cells.repartition(n, "county_key"), "county_key", "left")
-    wide = joined.groupBy("county_key", *META).pivot("question_id", list(labels)).agg(F.first("_v"))
+    wide = joined.groupBy("county_key", "_row", *META).pivot("question_id", list(labels)).agg(F.first("_v"))
     slots = [quote(str(q)) for q in labels]
     return select_sql(wide, [*META, *[zero_fill_sql(s, c) for s, c in zip(slots, cols)],
                              zero_fill_sql(sum_sql(slots), total_col)])
@@ -174,6 +188,9 @@ def question_long_dense(tables: Tables, scope: Scope, labels: dict[int, str]) ->
     """County x question rows for every county in scope, 0.0 if no
     response — the unpivot of the dense matrix (no cross join)."""
     wide = question_matrix(tables, scope, labels)
+    if not labels:
+        return wide.select(*META, F.lit(0).cast("long").alias("question_id"), F.lit("").alias("question_name"),
+                           F.lit(0.0).alias("value_sum"))
     rows = ", ".join(f"named_struct('question_id', CAST({q} AS BIGINT), 'question_name', {sql_lit(lbl)}, "
                      f"'value_sum', {quote(lbl)})" for q, lbl in labels.items())
     return select_sql(wide, [*META, f"inline(array({rows}))"])

@@ -29,22 +29,30 @@ def pivot_by_key(long: DataFrame, key: str, value: str, labels: dict, how: str =
                  group: str = "county_key", total: str | None = None) -> DataFrame:
     """``group`` + one column per ``labels`` entry (key value -> column name).
 
-    ``how`` is ``max`` (unique facts) or ``sum``; a missing cell is NULL.
+    ``how`` is ``sum``, ``max`` (the largest of a cell's values) or
+    ``unique`` (the aggregate itself fails on a cell with two values, so no
+    extra pass is needed to notice them); a missing cell is NULL.
     ``total`` names an extra column holding the sum of all values of the
     group (one aggregate, not a chain of column additions).
     """
-    agg = F.max if how == "max" else F.sum
+    agg = F.sum if how == "sum" else F.max
+
+    def checked(cell, count):
+        text = f"duplicate facts of one {group} for {key} "
+        return F.when(count > 1, F.raise_error(F.lit(text)).cast("double")).otherwise(cell) if how == "unique" else cell
+
     if not labels:
         return long.select(group).distinct()
     extra = [F.sum(value).alias(total)] if total else []
     if len(labels) <= CONDITIONAL_LIMIT:
         k = F.col(key)
         return long.groupBy(group).agg(
-            *[agg(F.when(k == F.lit(v), F.col(value))).alias(lbl) for v, lbl in labels.items()], *extra)
+            *[checked(agg(F.when(k == F.lit(v), F.col(value))), F.count(F.when(k == F.lit(v), 1))).alias(lbl)
+              for v, lbl in labels.items()], *extra)
     # wide request: O(1) work per input row. Cells per (group, key) first,
     # then Spark's pivot with explicit values (PivotFirst: each cell goes to
     # its slot by a hash lookup, not a scan of the keys).
-    cell = long.groupBy(group, key).agg(agg(value).alias("_cell"))
+    cell = long.groupBy(group, key).agg(checked(agg(value), F.count(F.lit(1))).alias("_cell"))
     # numbered partitions: AQE would size the pivot stage by its narrow input
     # and may squeeze it into one task, though its output is wide
     n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -108,30 +116,26 @@ def census_long(tables: Tables, scope: Scope, variables: dict[int, str]) -> Data
     )
 
 
-def census_block(tables: Tables, scope: Scope, variables: dict[int, str]) -> DataFrame:
+def census_block(tables: Tables, scope: Scope, variables: dict[int, str], duplicates: str = "raise") -> DataFrame:
     """county_key + one column per variable (NULL where missing); only
-    counties with at least one chosen fact."""
+    counties with at least one chosen fact. A second fact of one county and
+    variable fails the job (as the reference's pivot does) unless
+    ``duplicates="largest"`` asks to keep the largest."""
+    if duplicates not in ("raise", "largest"):
+        raise ValueError("duplicates must be 'raise' or 'largest'")
     facts = scoped_facts(tables.census_facts, tables, scope)
     facts = facts.where(in_list("variable_id", variables)).select("county_key", "variable_id", "value")
     labels = {vid: variable_label(vid, name) for vid, name in variables.items()}
-    return pivot_by_key(facts, "variable_id", "value", labels, "max")
+    return pivot_by_key(facts, "variable_id", "value", labels, "unique" if duplicates == "raise" else "max")
 
 
-def census_wide(tables: Tables, scope: Scope, variables: dict[int, str], strict: bool = False) -> DataFrame:
+def census_wide(tables: Tables, scope: Scope, variables: dict[int, str], duplicates: str = "raise") -> DataFrame:
     """A3: one row per county in scope with at least one chosen fact.
 
     Deviation: a requested variable without any fact is a NULL column (the
-    schema depends on the request only). ``strict=True`` first runs the
-    uniqueness check (one job, stops at the first duplicate) and raises like
-    the reference's pivot; otherwise a duplicate keeps its largest value."""
-    if strict:
-        dup = pivot_duplicates(tables, variables, scope).limit(1).collect()
-        if dup:
-            r = dup[0]
-            raise ValueError(f"duplicate census facts: county {r.county_key!r}, variable {r.variable_id} "
-                             f"({r.n_rows} rows)")
+    schema depends on the request only). ``duplicates``: see ``census_block``."""
     spine = sized_spine(tables, scope)
-    block = census_block(tables, scope, variables)
+    block = census_block(tables, scope, variables, duplicates)
     cols = [variable_label(v, n) for v, n in variables.items()]
     return select_sql(spine.join(block, "county_key", "inner"), [*META, *[quote(c) for c in cols]])
 

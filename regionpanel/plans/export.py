@@ -37,17 +37,19 @@ def census_variables_of(tables: Tables, spec: ExportSpec) -> dict[int, str]:
     return resolve_census_variables(tables, spec.census_variables, spec.mandatory_variables)
 
 
-def export_frame(tables: Tables, spec: ExportSpec) -> DataFrame:
+def export_frame(tables: Tables, spec: ExportSpec, duplicates: str = "raise") -> DataFrame:
     """X1 (state scope) / X2 (county scope) before band filter and labels.
 
     Nothing county-level asked -> the state frame alone (state_id + state
     columns). Nothing at all -> a typed empty frame of the meta columns.
+    Two census facts of one county and variable fail the job unless
+    ``duplicates="largest"``.
     """
     variables = census_variables_of(tables, spec)
     blocks: list[Block] = []
     if variables:
         labels = [variable_label(v, n) for v, n in variables.items()]
-        blocks.append(Block(census_block(tables, spec.scope, variables), labels))
+        blocks.append(Block(census_block(tables, spec.scope, variables, duplicates), labels))
     blocks += score_block_list(tables, spec.scope, spec.categories, spec.sum_suffix)
     state_cols = list(spec.state_variables)
     if not blocks:
@@ -80,14 +82,17 @@ def finish(df: DataFrame, spec: ExportSpec, dictionary: DataFrame | None,
     return df
 
 
-def export(tables: Tables, spec: ExportSpec, labelled: bool = False, ordered: bool = True) -> DataFrame:
-    """The finished export of a request (one plan, nothing executed).
+def export(tables: Tables, spec: ExportSpec, labelled: bool = False, ordered: bool = True,
+           duplicates: str = "raise") -> DataFrame:
+    """The finished export of a request, as one plan. Building it runs only
+    small jobs: the lookups of the requested names and, for a state scope, a
+    count of the scope's counties (both memoised on ``tables``).
 
     ``ordered=False`` skips the final global sort (a sampling job and a
     range shuffle) for consumers that do not care about row order, such as
     the profile or a row count."""
     dictionary = tables.header_dictionary if labelled else None
-    return finish(export_frame(tables, spec), spec, dictionary, order=ordered)
+    return finish(export_frame(tables, spec, duplicates), spec, dictionary, order=ordered)
 
 
 def run_export(tables: Tables, spec: ExportSpec, out_dir: str, fmt: str = "parquet",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from regionpanel.functions.keys import county_request_text, flatten_names, split_text
+from regionpanel.functions.keys import county_request_text, digits_text, split_text
 
 BANDS = ("All", "Rural", "Suburban", "Urban")
 
@@ -45,8 +45,9 @@ class Scope:
 
     def county_keys(self) -> list[str]:
         """Canonical county keys of the request, de-duplicated (J4 deviation:
-        a code typed twice, even in two forms, counts once)."""
-        return sorted({county_request_text(c) for c in self.codes or ()})
+        a code typed twice, even in two forms, counts once; a code without
+        any digit names no county)."""
+        return sorted({county_request_text(c) for c in self.codes or () if digits_text(c)})
 
 
 @dataclass(frozen=True)
@@ -70,8 +71,8 @@ class ExportSpec:
 
     def __post_init__(self):
         if self.band not in BANDS:
-            # the reference keeps every row for an unknown band; say so loudly
-            object.__setattr__(self, "band", "All")
+            # deviation: the reference silently keeps every row for an unknown band
+            raise ValueError(f"band must be one of {BANDS}, not {self.band!r}")
 
     @classmethod
     def build(cls, scope: Scope, census=(), state=(), categories=None, band="All",
@@ -87,7 +88,7 @@ class ExportSpec:
                 cats.append(CategoryChoice(name, bool(opts.get("sum_scores", True)),
                                            tuple(opts.get("selected_questions", ()))))
         census_list = census if isinstance(census, (list, tuple)) else split_text(census)
-        return cls(scope, tuple(census_list), tuple(flatten_names(state)), tuple(cats), band,
+        return cls(scope, tuple(census_list), tuple(split_text(state)), tuple(cats), band,
                    mandatory)
 
     def sum_categories(self) -> list[str]:

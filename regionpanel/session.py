@@ -74,7 +74,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if sc is not None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="regionpanel-ckpt-"))
         return sc.getCheckpointDir()
-    return _LOCAL_DIRS.setdefault(id(spark), tempfile.mkdtemp(prefix="regionpanel-ckpt-"))
+    if id(spark) not in _LOCAL_DIRS:
+        _LOCAL_DIRS[id(spark)] = tempfile.mkdtemp(prefix="regionpanel-ckpt-")
+    return _LOCAL_DIRS[id(spark)]
+
+
+def release(df) -> None:
+    """Delete a table written by ``materialise`` once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, label: str = "table"):

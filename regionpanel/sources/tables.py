@@ -38,7 +38,7 @@ class Tables:
     census_variables  variable_id, variable_name
     census_facts      county_key, variable_id, value (double)   [+ state_key, state_id]
     questions         question_id, question, category
-    responses         county_key, question_id, value (dec 18,2) [+ state_key, state_id, category]
+    responses         county_key, question_id, value (double) [+ state_key, state_id, category]
     state_wide        state_key, state_id, <measures in stored order>
     header_dictionary ordinal, name, header  (may be None)
     """
@@ -141,6 +141,15 @@ class Tables:
         """Measures of the wide state table (S4): every column but the key."""
         return [c for c in self.state_wide.columns if c not in ("state_key", "state_id")]
 
+    def check_keys(self) -> None:
+        """One row per county and per state key, else ``ValueError`` (a code
+        stored in two forms, ``6037`` and ``06037``, is one key): a repeated
+        key would repeat every measure of its county. Two small aggregates."""
+        for name, key in (("counties", "county_key"), ("states", "state_key")):
+            twice = (getattr(self, name).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(3).collect())
+            if twice:
+                raise ValueError(f"{name}: repeated {key} {sorted(str(r[key]) for r in twice)}")
+
     # -------------------------------------------------------------- snapshot
 
     def write_snapshot(self, path: str, partitions: int | None = None) -> None:
@@ -160,6 +169,9 @@ class Tables:
             "census_variables": self.census_variables, "questions": self.questions,
             "state_wide": self.state_wide,
         }
+        self.check_keys()
+        spark = self.states.sparkSession
+        _delete(spark, f"{path}/{MANIFEST}")  # until the new one is written last, nothing here is a snapshot
         for name, df in dims.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         if self.header_dictionary is not None:
@@ -180,6 +192,9 @@ class Tables:
              .sortWithinPartitions("state_id", "county_key")
              .write.mode("overwrite").partitionBy("state_id")
              .parquet(f"{path}/{name}"))
+        written = [*dims, "census_facts", "responses"] + (["header_dictionary"] if self.header_dictionary is not None else [])
+        spark.createDataFrame([(r,) for r in sorted(written)], "value string").coalesce(1).write.mode("overwrite") \
+            .text(f"{path}/{MANIFEST}")
 
     @classmethod
     def read_stored(cls, spark: SparkSession, path: str, fmt: str = "parquet",
@@ -214,10 +229,10 @@ class Tables:
                       for f in inferred.fields]
             return spark.read.schema(T.StructType(fields)).parquet(f"{path}/{name}")
 
-        try:
-            header = read("header_dictionary")
-        except Exception:  # absent dictionary is allowed
-            header = None
+        if not _exists(spark, f"{path}/{MANIFEST}"):
+            raise ValueError(f"{path} holds no finished snapshot (no {MANIFEST})")
+        listed = {r.value for r in spark.read.text(f"{path}/{MANIFEST}").collect()}
+        header = read("header_dictionary") if "header_dictionary" in listed else None
         t = cls(
             states=read("states"), counties=read("counties"),
             census_variables=read("census_variables"), census_facts=read_facts("census_facts"),
@@ -225,24 +240,43 @@ class Tables:
             state_wide=read("state_wide"), header_dictionary=header,
         )
         _check_columns(t)
+        t.check_keys()
         return t
 
 
+MANIFEST = "manifest"
+
 _REQUIRED = {
-    "states": {"state_key", "state_id", "state_name", "abbrev"},
-    "counties": {"county_key", "state_key", "county_id", "county_name"},
-    "census_variables": {"variable_id", "variable_name"},
-    "census_facts": {"county_key", "variable_id", "value"},
-    "questions": {"question_id", "question", "category"},
-    "responses": {"county_key", "question_id", "value"},
-    "state_wide": {"state_key", "state_id"},
+    "states": {"state_key": "string", "state_id": "string", "state_name": "string", "abbrev": "string"},
+    "counties": {"county_key": "string", "state_key": "string", "county_id": "string", "county_name": "string"},
+    "census_variables": {"variable_id": "int", "variable_name": "string"},
+    "census_facts": {"county_key": "string", "variable_id": "int", "value": "double"},
+    "questions": {"question_id": "bigint", "question": "string", "category": "string"},
+    "responses": {"county_key": "string", "question_id": "bigint", "value": "double"},
+    "state_wide": {"state_key": "string", "state_id": "string"},
 }
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def _check_columns(t: Tables) -> None:
-    """A snapshot that misses a column fails here, not half way through a job."""
+    """A snapshot that misses a column, or holds one of another type, fails
+    here, not half way through a job."""
     for name, need in _REQUIRED.items():
-        have = set(getattr(t, name).columns)
-        missing = need - have
-        if missing:
-            raise ValueError(f"snapshot relation {name!r} lacks columns {sorted(missing)}")
+        have = dict(getattr(t, name).dtypes)
+        wrong = {c: have.get(c) for c, kind in need.items() if have.get(c) != kind}
+        if wrong:
+            raise ValueError(f"snapshot relation {name!r}: wrong or missing columns {wrong}")

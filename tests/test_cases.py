@@ -120,7 +120,7 @@ def test_merge_gap_and_state_missing(t):
 
 def test_merge_outer_literal_keeps_left_names_only(t):
     v = wide.resolve_census_variables(t, [5])
-    left = wide.census_wide(t, Scope.states("CA"), v)
+    left = wide.census_wide(t, Scope.states("CA"), v, duplicates="largest")
     right = scores.score_wide(t, Scope.states("CA"), ["Reg"])
     got = rows(merge_outer(left, right))
     assert got["06400"]["county_name"] is None and got["06400"]["Reg_Sum"] == 5.0
@@ -271,16 +271,85 @@ def test_colliding_names_first_block_wins(spark, t):
     assert df.columns.count("1: Overall Population") == 1 and got["06037"]["1: Overall Population"] == 1000.0
 
 
-def test_strict_pivot_raises_on_duplicates(t):
+def test_pivot_raises_on_duplicates_unless_told(t):
     v = wide.resolve_census_variables(t, [1, 5])
-    with pytest.raises(ValueError, match="duplicate census facts"):
-        wide.census_wide(t, Scope.states("CA"), v, strict=True)
-    assert wide.census_wide(t, Scope.states("CA"), wide.resolve_census_variables(t, [1]), strict=True).count() > 0
+    with pytest.raises(Exception, match="duplicate facts"):
+        wide.census_wide(t, Scope.states("CA"), v).collect()
+    with pytest.raises(Exception, match="duplicate facts"):
+        export(t, ExportSpec(Scope.states("CA"), (1, 5))).collect()
+    assert export(t, ExportSpec(Scope.states("CA"), (1, 5)), duplicates="largest").count() > 0
+    assert wide.census_wide(t, Scope.states("CA"), v, duplicates="largest").count() > 0
+    assert wide.census_wide(t, Scope.states("CA"), wide.resolve_census_variables(t, [1])).count() > 0
 
 
-def test_strict_pivot_ignores_duplicates_out_of_scope(t):
+def test_pivot_ignores_duplicates_out_of_scope(t):
     v = wide.resolve_census_variables(t, [1, 5])
-    assert wide.census_wide(t, Scope.states("TX"), v, strict=True).count() == 1
+    assert wide.census_wide(t, Scope.counties("48201"), v).count() == 1
+
+
+def _stored(spark, counties, facts=(), responses=(), questions=((1, "q", "Reg"),)):
+    f = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    return Tables.from_stored(
+        f([("06", "California", "CA")], "state_id string, name string, abbrev string"),
+        f(counties, "county_id string, state_id string, name string"),
+        f([(1, "Overall Population")], "variable_id int, name string"),
+        f(facts, "county_id string, variable_id int, data string"),
+        f(questions, "question_id long, question string, category string"),
+        f(responses, "county_id string, question_id long, value string"),
+        f([("06", 1.0)], "state_id string, Rank double"))
+
+
+def test_survey_values_keep_their_decimals(spark):
+    t = _stored(spark, [("6037", "06", "LA")], responses=[("6037", 1, x) for x in ("0.125", "0.333", "0.004", "1e17")][:3])
+    assert scores.score_wide(t, Scope.states("CA"), ["Reg"]).first()["Reg_Sum"] == pytest.approx(0.462)
+    big = _stored(spark, [("6037", "06", "LA")], responses=[("6037", 1, "1e17")])
+    assert scores.score_wide(big, Scope.states("CA"), ["Reg"]).first()["Reg_Sum"] == 1e17
+
+
+def test_long_codes_stay_whole(spark):
+    from regionpanel.operators.assemble import merge_outer
+
+    t = _stored(spark, [("123451", "06", "A"), ("123452", "06", "B")], [("123451", 1, "1"), ("123452", 1, "2")],
+                [("123451", 1, "3"), ("123452", 1, "4")])
+    out = merge_outer(wide.census_wide(t, Scope.states("CA"), {1: "Overall Population"}), scores.score_wide(t, Scope.states("CA"), ["Reg"]))
+    assert sorted((r.county_id, r["1: Overall Population"], r.Reg_Sum) for r in out.collect()) == [("123451", 1.0, 3.0), ("123452", 2.0, 4.0)]
+
+
+def test_repeated_county_rows_on_both_sides_of_the_limit(spark):
+    questions = [(i, f"q{i}", "Reg") for i in range(1, 66)]
+    t = _stored(spark, [("6037", "06", "LA"), ("06037", "06", "LA")], responses=[("6037", 1, "2")], questions=questions)
+    for n in (64, 65):
+        labels = scores.question_labels(t, list(range(1, n + 1)))
+        assert [r.q1 for r in scores.question_matrix(t, Scope.states("CA"), labels).collect()] == [2.0, 2.0]
+    with pytest.raises(ValueError, match="repeated county_key"):
+        t.check_keys()
+
+
+def test_profile_does_not_round(spark):
+    df = spark.createDataFrame([(1e-7,), (3e-7,)], "x double")
+    r = profile(df).first()
+    assert r.mean == pytest.approx(2e-7) and r.median == pytest.approx(2e-7) and r["std"] > 0
+
+
+def test_profile_of_many_values_and_heavy_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.normal(size=30_000), np.full(20_000, 0.25), np.full(9_999, 7.0)])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    r = profile(df, quartiles=True).first()
+    assert (r.q25, r.q50, r.q75) == pytest.approx(tuple(np.quantile(values, [0.25, 0.5, 0.75])))
+
+
+def test_code_without_digits_names_no_county(spark):
+    t = _stored(spark, [("0", "06", "Zero"), ("6037", "06", "LA")], [("0", 1, "1"), ("6037", 1, "2")])
+    assert export(t, ExportSpec(Scope.counties("abc"), (1,))).collect() == []
+    assert [r.county_id for r in export(t, ExportSpec(Scope.counties("abc, 00"), (1,))).collect()] == ["00000"]
+
+
+def test_empty_question_list_is_a_typed_empty_frame(t):
+    assert scores.question_matrix(t, Scope.states("CA"), {}).collect() == []
+    assert scores.question_long_dense(t, Scope.states("CA"), {}).columns[-3:] == ["question_id", "question_name", "value_sum"]
 
 
 def test_small_public_helpers(spark, t):

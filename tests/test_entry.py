@@ -19,6 +19,11 @@ def test_every_query_has_an_oracle_or_a_reason():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+def test_every_oracle_can_be_a_view(duck):
+    for name, sql in E.oracle_sql().items():
+        duck.sql(sql).create_view(f"o_{name}")
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

@@ -21,7 +21,7 @@ def test_strip_code_of_integer(spark):
 
 
 @pytest.mark.parametrize("raw,width,padded", [("6", 2, "06"), ("", 2, "00"), ("", 5, "00000"),
-                                              ("6037", 5, "06037"), ("123456", 5, "12345")])
+                                              ("6037", 5, "06037"), ("123456", 5, "123456")])
 def test_pad_code(spark, raw, width, padded):
     assert one(spark, lambda c: K.pad_code(c, width), raw) == padded
 
@@ -35,6 +35,7 @@ def test_digits_only_removes_every_non_digit(spark, raw, digits):
 def test_county_request_key(spark):
     assert one(spark, K.county_request_key, " 06-037") == "6037"
     assert K.county_request_text("00057") == "57"
+    assert one(spark, K.county_request_key, "abc") is None and one(spark, K.county_request_key, "0") == ""
 
 
 def test_split_codes(spark):
@@ -61,7 +62,6 @@ def test_name_and_abbrev_keys(spark):
 ])
 def test_normalise_label(spark, label, norm):
     assert one(spark, K.normalise_label, label) == norm
-    assert K.normalise_label_text(label) == norm
 
 
 def test_quote_awkward_names(spark):
@@ -69,11 +69,3 @@ def test_quote_awkward_names(spark):
     df = spark.createDataFrame([(1.0,)], f"`{name}` double")
     assert df.select(K.qcol(name)).columns == [name]
     assert K.quote("x`y") == "`x``y`"
-
-
-def test_flatten_names():
-    assert K.flatten_names("a, b ,") == ["a", "b"]
-    assert K.flatten_names([["a", "b"], "c"]) == ["a", "b", "c"]
-    assert K.flatten_names({"a": 1, "b": 2}) == ["a", "b"]
-    assert K.flatten_names(7) == ["7"]
-    assert K.flatten_names(None) == []

@@ -7,7 +7,7 @@ from regionpanel.plans.spec import CategoryChoice, ExportSpec, Scope
 
 def test_spec_json_round_trip():
     spec = ExportSpec.build(Scope.counties(" 06037, 6037,48201 "), census="Overall Population, 43",
-                            state=[["a.b ($) #1", "Rank"]],
+                            state=["a.b ($) #1", "Rank"],
                             categories=["Reg", ("Abuses", {"sum_scores": False, "selected_questions": ["q", 7]})],
                             band="Urban")
     assert ExportSpec.from_json(spec.to_json()) == spec
@@ -16,7 +16,8 @@ def test_spec_json_round_trip():
 
 
 def test_unknown_band_keeps_everything():
-    assert ExportSpec(band="Metro").band == "All"
+    with pytest.raises(ValueError):
+        ExportSpec(band="Metro")
 
 
 def test_scope_keys():

@@ -7,8 +7,8 @@ spine afterwards, so names never travel with facts through a shuffle.
 
 Parameter lists (user input) become either a literal ``IN`` (pushed into
 the Parquet reader) or, past ``IN_LIST_LIMIT`` items, a broadcast semi join
-against a DataFrame of the list. Both sizes are bounded by the request, so
-this broadcast never grows with the data.
+against a DataFrame of the list; past ``LIST_BROADCAST`` items the semi join
+is left to shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from regionpanel.plans.spec import Scope
 from regionpanel.sources.tables import Tables
 
 IN_LIST_LIMIT = 5000
+LIST_BROADCAST = 1_000_000
 SPINE_COLUMNS = ["state_key", "county_key", "state_id", "state_name", "county_id", "county_name"]
 
 
@@ -32,7 +33,7 @@ def keep_keys(df: DataFrame, column: str, values: list) -> DataFrame:
         return df.where(in_list(column, values))
     spark = df.sparkSession
     ids = spark.createDataFrame([(v,) for v in values], [column])
-    return df.join(F.broadcast(ids), column, "left_semi")
+    return df.join(F.broadcast(ids) if len(values) <= LIST_BROADCAST else ids, column, "left_semi")
 
 
 def scoped_states(tables: Tables, scope: Scope) -> DataFrame:

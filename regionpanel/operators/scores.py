@@ -251,8 +251,10 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
     cat, qid = F.col("category"), F.col("question_id")
     wide_request = len(all_qids) > wide_ops.CONDITIONAL_LIMIT
     if wide_request:
-        # O(1) per response row: sums per (county, question) first; both
+        # O(1) per response row: sums per (county, asked question) first, all
+        # other questions of a summed category as one cell per category; both
         # aggregates below read these cells (one exchange, reused)
+        r = r.withColumn("question_id", F.when(in_list("question_id", all_qids), qid))
         r = r.groupBy("county_key", "question_id", "category").agg(F.sum("value").alias("value"))
         # both aggregates below group by county: one numbered exchange serves
         # both, and AQE does not squeeze the wide pivot into a single task

@@ -96,15 +96,15 @@ def export(tables: Tables, spec: ExportSpec, labelled: bool = False, ordered: bo
 
 
 def run_export(tables: Tables, spec: ExportSpec, out_dir: str, fmt: str = "parquet",
-               with_profile: bool = True, two_row_header: bool = False) -> dict:
+               with_profile: bool = True, two_row_header: bool = False, duplicates: str = "raise") -> dict:
     """Write data, column dictionary and request; profile the written
     data. Returns paths and the row count.
 
     ``two_row_header`` (CSV only) also writes the reference's download form:
-    one file with a group row and a label row (one task: small exports)."""
+    a group row and a label row above the sorted data, in parts."""
     spark = tables.states.sparkSession
     dictionary = tables.header_dictionary
-    df = export(tables, spec, labelled=dictionary is not None)
+    df = export(tables, spec, labelled=dictionary is not None, duplicates=duplicates)
     data_path = f"{out_dir}/data"
     write_frame(df, data_path, fmt)
     if two_row_header and fmt == "csv":

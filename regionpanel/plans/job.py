@@ -38,13 +38,18 @@ def main(argv: list[str] | None = None) -> dict:
     src.add_argument("--fixture", help="directory of the TPC-H-like test tables")
     src.add_argument("--stored", help="folder of stored-form relations (Tables.read_stored)")
     ap.add_argument("--stored-format", default="parquet", choices=["parquet", "csv", "orc", "json"])
+    ap.add_argument("--header-dictionary", help="CSV with name and header columns: groups the exported columns "
+                    "(a snapshot written with it keeps it)")
+    ap.add_argument("--lenient", action="store_true",
+                    help="stored relations only: measure texts that are no numbers become NULL instead of failing")
+    ap.add_argument("--keep-largest", action="store_true", help="a repeated census fact keeps its largest value instead of failing")
     ap.add_argument("--write-snapshot", help="write the canonical snapshot here and stop")
     ap.add_argument("--request", help="ExportSpec JSON (path or literal)")
     ap.add_argument("--out", help="output directory")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json"])
     ap.add_argument("--no-profile", action="store_true")
     ap.add_argument("--two-row-header", action="store_true",
-                    help="CSV only: also write one file with group and label header rows")
+                    help="CSV only: also write the download form with group and label header rows")
     args = ap.parse_args(argv)
 
     spark = configure(SparkSession.builder.appName("regionpanel-export").getOrCreate())
@@ -52,10 +57,14 @@ def main(argv: list[str] | None = None) -> dict:
     if args.snapshot:
         tables = Tables.load(spark, args.snapshot)
     elif args.stored:
-        tables = Tables.read_stored(spark, args.stored, args.stored_format)
+        tables = Tables.read_stored(spark, args.stored, args.stored_format, strict_measures=not args.lenient)
+        tables.check_keys()
     else:
         from regionpanel.sources.fixture import fixture_tables
         tables = fixture_tables(spark, args.fixture)
+    if args.header_dictionary:
+        from regionpanel.operators.headers import read_header_dictionary
+        tables = tables.with_header_dictionary(read_header_dictionary(spark, args.header_dictionary))
     if args.write_snapshot:
         tables.write_snapshot(args.write_snapshot)
         result = {"snapshot": args.write_snapshot}
@@ -64,7 +73,7 @@ def main(argv: list[str] | None = None) -> dict:
     if not args.request or not args.out:
         ap.error("--request and --out are required for an export")
     result = run_export(tables, _request(args.request), args.out, args.format, not args.no_profile,
-                        args.two_row_header)
+                        args.two_row_header, "largest" if args.keep_largest else "raise")
     print(json.dumps(result))
     return result
 

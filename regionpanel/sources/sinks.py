@@ -4,15 +4,14 @@
   or the schema with column metadata (Parquet). The column dictionary is
   written beside it by the job.
 * ``write_two_row_csv``: the reference's download format — a group row and
-  a label row above the data, in ONE file. A single file means a single
-  writing task, so this form is for exports small enough for one task; the
-  header rows come from the schema, never from collected data.
+  a label row above the data — as a folder: the first part file holds the two
+  header rows (from the schema, never from collected data), the others the
+  sorted body; concatenated in name order they are the download.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from regionpanel.functions.keys import qcol
 from regionpanel.operators.headers import two_row_header
@@ -21,27 +20,20 @@ from regionpanel.operators.headers import two_row_header
 FORMATS = ("parquet", "csv", "orc", "json")
 
 
-def write_frame(df: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
-    """Distributed write (one task per partition). ``single_file`` funnels
-    everything through one task: small exports only."""
+def write_frame(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Distributed write (one task per partition)."""
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}")
-    w = (df.coalesce(1) if single_file else df).write.mode("overwrite").format(fmt)
+    w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
     w.save(path)
 
 
 def write_two_row_csv(df: DataFrame, path: str, order_by: tuple[str, ...] = ("state_id", "county_id")) -> None:
-    spark = df.sparkSession
-    groups, labels = two_row_header(df)
     names = [f"c{i}" for i in range(len(df.columns))]
-    head = spark.createDataFrame([(0, *groups), (1, *labels)], ["_row", *names])
-    keys = [c for c in order_by if c in df.columns]
-    body = df.select(F.lit(2).alias("_row"),
-                     *[qcol(c).cast("string").alias(n) for c, n in zip(df.columns, names)],
-                     *[qcol(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    head = head.select("_row", *names, *[F.lit(None).cast("string").alias(f"_k{i}") for i in range(len(keys))])
-    out = head.unionByName(body).orderBy("_row", *[F.col(f"_k{i}").asc_nulls_last() for i in range(len(keys))])
-    (out.select(*names).coalesce(1).write.mode("overwrite")
-     .option("header", False).option("emptyValue", "").csv(path))
+    head = df.sparkSession.createDataFrame([tuple(r) for r in two_row_header(df)], ", ".join(f"{n} string" for n in names)).coalesce(1)
+    keys = [qcol(c).asc_nulls_last() for c in order_by if c in df.columns]
+    body = df.orderBy(*keys) if keys else df
+    body = body.select(*[qcol(c).cast("string").alias(n) for c, n in zip(df.columns, names)])
+    head.union(body).write.mode("overwrite").option("header", False).option("emptyValue", "").csv(path)

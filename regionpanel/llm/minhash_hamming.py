@@ -2,22 +2,30 @@
 
 A document is the set of its distinct ``k``-word shingles.  Its signature holds
 ``SYMBOLS`` MinHash values of 8 bits.  Two sets of Jaccard similarity s differ
-in about (1 - s) * SYMBOLS symbols, so pairs at the link threshold stay within
-``RADIUS`` differing symbols but for a chance of a few in 100,000 at exactly
-the threshold (far less above it).
+in about (1 - s) of their symbols.  A short signature makes the keys; documents
+that meet another one get a long one of ``LONG`` symbols, in which pairs at the
+link threshold stay within ``REACH`` differing symbols but for a chance of a
+few in 100,000 at exactly the threshold (far less above it).
 
 1. Documents with equal sets are one class (a shuffle with map-side combine);
    only class representatives go on.
 2. **Multi-index join.**  A signature is cut into ``CHUNKS`` chunks.  By the
-   pigeonhole principle two signatures within ``RADIUS`` differ in at most
-   ``RADIUS // CHUNKS`` = 1 symbol of some chunk.  Each chunk gives one key
+   pigeonhole principle two signatures at most ``RADIUS`` = 2 * CHUNKS - 1
+   apart differ in at most 1 symbol of some chunk.  Each chunk gives one key
    for each symbol that may differ (the chunk without that symbol), so every
-   pair within the radius meets under a key: no pair is lost.
-3. Under a key all members are compared with its smallest member (star).
-   Signature distance first, then links are confirmed on the full sets with
-   100 * intersection >= 80 * union.  Only where a key still holds several
-   components are members of different components compared pairwise; so a
-   group of thousands of copies costs a star, not its square, and no
+   pair within the radius meets under a key: none is lost.  Pairs further
+   apart meet unless every chunk has two errors; at similarity 0.8 that is a
+   chance of 3 in 100,000.  Six symbols of a key keep unrelated texts apart
+   at any corpus size in sight.
+3. Under a key all members are compared with its smallest member (star),
+   then, in ``ROUNDS`` rounds, those in other components than the smallest
+   one with a random member of it.  Signature distance first (``REACH``), then
+   links are confirmed on the full sets with 100 * intersection >= 80 * union.
+   Only where a key still holds several components are signatures of members
+   of different components compared, in blocks of at most ``BLOCK`` rows a
+   side that are dealt out by key and block pair; a pair comes out once, at
+   the first key it shares, and only within reach.  A group of thousands of
+   copies thus makes rows for stars and near pairs, not for its square, and no
    component is lost.
 4. Components by contraction with hashed priorities (a few joins, each round
    written to the shared folder).
@@ -39,25 +47,30 @@ from pyspark.sql.window import Window
 from . import textbytes as T
 from .common import partitions, python_batches, release, staged
 
-SYMBOLS = 96
-RADIUS = 35
-CHUNKS = 18
+CHUNKS = 12
+SYMBOLS = 7 * CHUNKS
+RADIUS = 2 * CHUNKS - 1
+LONG = 400
+REACH = 111
+BLOCK = 1000
+ROUNDS = 1
+SALTS = 8
 #: first symbol of each chunk
 BORDERS = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
 
 _U = np.uint64
 _rng = np.random.default_rng(71)
-_XOR = _rng.integers(0, 1 << 63, SYMBOLS, dtype=np.int64).astype(np.uint64)
-_MUL = _rng.integers(0, 1 << 62, SYMBOLS, dtype=np.int64).astype(np.uint64) * _U(2) + _U(1)
+_XOR = _rng.integers(0, 1 << 63, LONG, dtype=np.int64).astype(np.uint64)
+_MUL = _rng.integers(0, 1 << 62, LONG, dtype=np.int64).astype(np.uint64) * _U(2) + _U(1)
 
 
-def signatures(value: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """(documents, SYMBOLS) bytes; rows of documents without shingles are zero."""
+def signatures(value: np.ndarray, cuts: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    """(documents, symbols) bytes; rows of documents without shingles are zero."""
     n = len(cuts) - 1
-    out = np.zeros((n, SYMBOLS), np.uint8)
+    out = np.zeros((n, symbols), np.uint8)
     full = np.flatnonzero(np.diff(cuts) > 0)
     if len(full):
-        for s in range(SYMBOLS):
+        for s in range(symbols):
             smallest = np.minimum.reduceat((value ^ _XOR[s]) * _MUL[s], cuts[full])
             out[full, s] = (T.mix(smallest) >> _U(56)).astype(np.uint8)
     return out
@@ -113,16 +126,18 @@ def _keys(batches):
         total = np.stack([value[:, BORDERS[c]:BORDERS[c + 1]].sum(1) for c in range(CHUNKS)], 1)
         keys = np.stack([total[:, c] - value[:, i] + _U(i) for c, i in pick], 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(T.mix(keys).ravel().astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS))],
-            names=["key", "id"])
+            [pa.array(T.mix(keys).ravel().astype(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), SYMBOLS)),
+             pa.array(np.tile(np.array([i for _, i in pick], np.int32), n))], names=["key", "id", "no"])
+
+
+def _matrix(column: pa.Array, symbols: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, symbols)
 
 
 def _near(batches):
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
-        a = np.frombuffer(b"".join(left.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-        b = np.frombuffer(b"".join(right.to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-        keep = (a != b).sum(1) <= RADIUS
+        keep = (_matrix(left, LONG) != _matrix(right, LONG)).sum(1) <= REACH
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))],
                                          names=["a", "b"])
 
@@ -131,11 +146,70 @@ def _full_sets(k: int):
     def run(batches):
         for batch in batches:
             for i, j, value, cuts in _sets_of(batch, k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _blobs(value, cuts * 8)],
-                                                 names=["id", "shingles"])
+                sig = signatures(value, cuts, LONG)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), _blobs(value, cuts * 8), _blobs(sig, np.arange(j - i + 1) * LONG)],
+                    names=["id", "shingles", "long"])
     return run
 
 
+def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first key that each row of ``a`` and ``b`` share."""
+    wrong = a != b
+    out = np.full(len(a), -1)
+    for c in range(CHUNKS - 1, -1, -1):
+        part = wrong[:, BORDERS[c]:BORDERS[c + 1]]
+        errors = part.sum(1)
+        out = np.where(errors == 0, BORDERS[c], np.where(errors == 1, BORDERS[c] + part.argmax(1), out))
+    return out
+
+
+def _pairs_of(group: dict):
+    """Pairs of one block pair that differ in component, are in reach and share this key first."""
+    order = np.argsort(group["id"], kind="stable")
+    ids, c, side = group["id"][order], group["c"][order], group["side"][order]
+    short, long, no = group["sig"][order], group["long"][order], group["no"][0]
+    step = max(1, (16 << 20) // (LONG * max(len(ids), 1)))
+    for i in range(0, len(ids), step):
+        j = min(i + step, len(ids))
+        ask = (c[i:j, None] != c[None, :]) & (ids[i:j, None] < ids[None, :])
+        if group["two"]:
+            ask &= side[i:j, None] != side[None, :]
+        x, y = np.nonzero(ask)
+        for at in range(0, len(x), 1 << 15):
+            p, q = x[at:at + (1 << 15)] + i, y[at:at + (1 << 15)]
+            near = (long[p] != long[q]).sum(1) <= REACH
+            p, q = p[near], q[near]
+            first = _first_key(short[p], short[q]) == no
+            if first.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p[first]]), pa.array(ids[q[first]])], names=["a", "b"])
+
+
+def _across(batches):
+    """Rows sorted by (key, g1, g2); one group is at most two blocks of about ``BLOCK`` rows."""
+    held, at = [], None
+
+    def flush():
+        if held:
+            whole = pa.Table.from_batches(held)
+            col = lambda n: whole.column(n).combine_chunks()
+            yield from _pairs_of({"id": col("id").to_numpy(), "c": col("c").to_numpy(), "side": col("side").to_numpy(),
+                                  "no": col("no").to_numpy(), "sig": _matrix(col("sig"), SYMBOLS), "long": _matrix(col("long"), LONG),
+                                  "two": at[1] != at[2]})
+            held.clear()
+
+    for batch in batches:
+        key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))).tolist() + [len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            now = tuple(key[lo])
+            if now != at:
+                yield from flush()
+                at = now
+            held.append(batch.slice(lo, hi - lo))
+    yield from flush()
+
+
 def _confirm(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -154,20 +228,17 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) within the radius whose full sets pass the threshold."""
-    sig = classes.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    other = classes.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    near = staged(pairs.join(sig, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"),
-                  "near-pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_full_sets(k), "id long, shingles binary"),
-                  "near-sets")
+def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int, in_reach: bool = False) -> DataFrame:
+    """The pairs (a, b) within reach whose full sets pass the threshold."""
+    sig = sets.select(F.col("id").alias("a"), F.col("long").alias("sa"))
+    other = sets.select(F.col("id").alias("b"), F.col("long").alias("sb"))
+    near = staged(pairs if in_reach else pairs.join(sig, "a").join(other, "b").select("a", "b", "sa", "sb")
+                  .mapInArrow(_near, "a long, b long"), "near-pairs")
     links = staged(
         near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         .select("a", "b", "xa", "xb").mapInArrow(_confirm(num, den), "a long, b long"), "links")
-    release(near, sets)
+    release(near)
     return links
 
 
@@ -217,32 +288,56 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     by_key = Window.partitionBy("key")
     members = staged(
-        classes.mapInArrow(_keys, "key long, id long").repartition(n, "key")
-        .select("key", "id", F.min("id").over(by_key).alias("hub"), F.count("id").over(by_key).alias("n"))
+        classes.mapInArrow(_keys, "key long, id long, no int").repartition(n, "key")
+        .select("key", "id", "no", F.min("id").over(by_key).alias("hub"), F.count("id").over(by_key).alias("n"))
         .where("n > 1"), "members")
+    # one shuffle of the texts, at every size: the full sets of all documents that meet another one
+    ids = members.select("id").distinct()
+    sets = staged(texts.join(ids.hint("shuffle_merge"), "id", "left_semi").select("id", "text")
+                  .mapInArrow(_full_sets(k), "id long, shingles binary, long binary"), "sets")
+
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(texts, classes, stars, k, num, den)
+    links = _links(sets, stars, num, den)
     found = staged(components(links), "found")
-
-    # keys whose members are still in several components: compare across components
-    placed = (members.where("n > 2").select("key", "id").join(found, "id", "left")
-              .select("key", "id", F.coalesce("component", "id").alias("c")))
-    mixed = staged(placed.select("key", "id", "c", F.min("c").over(by_key).alias("lo"), F.max("c").over(by_key).alias("hi"),
-                                 F.min("id").over(by_key).alias("hub"))
-                   .where("lo < hi and id <> hub").select("key", "id", "c"), "mixed")
-    x, y = (mixed.select("key", F.col("id").alias(i), F.col("c").alias(f"c{i}")) for i in ("a", "b"))
-    across = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = _links(texts, classes, across, k, num, den)
-    if not more.isEmpty():
-        found = staged(components(links.unionByName(more)), "found")
-    release(members, mixed, links, more)
-
-    own = sketch.where("n_shingles > 0 and doc_id is not null").select("s1", "s2", "n_shingles", "doc_id")
-    ids = own.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    placed = (ids.join(found, "id", "left")
-              .select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id")))
-    return (sketch.drop("sig").join(placed, ["s1", "s2", "n_shingles"], "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # keys of three and more members may still hold several components
+    mixed = members.where("n > 2").select("key", "no", "id")
+    for turn in range(ROUNDS + 1):
+        lows = Window.partitionBy("key")
+        placed = (mixed.select("key", "no", "id").join(found, "id", "left").select("key", "no", "id", F.coalesce("component", "id").alias("c"))
+                  .select("key", "no", "id", "c", F.count("id").over(lows).alias("n"), F.min("c").over(lows).alias("lo"), F.max("c").over(lows).alias("hi"))
+                  .where("lo < hi"))
+        last = turn == ROUNDS
+        if not last:  # members outside the smallest component meet a random one of its members
+            pick = F.min(F.when(F.col("c") == F.col("lo"), F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id"))).over(lows)
+            placed = placed.withColumn("pick", pick["id"])
+        kept = staged(placed, "mixed")
+        if last:  # what is left is compared across components
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            side = F.pmod(F.hash("id"), blocks)
+            dealt = (kept.select("key", "no", "id", "c", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+                     .select("key", F.least("side", "other").alias("g1"), F.greatest("side", "other").alias("g2"), "no", "id", "c", "side"))
+            pairs = (dealt.join(classes, "id").join(sets.select("id", "long"), "id")
+                     .select("key", "g1", "g2", "no", "id", "c", "side", "sig", "long")
+                     .repartition(n, "key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(_across, "a long, b long"))
+        else:
+            pairs = kept.where("c <> lo").select(F.least("pick", "id").alias("a"), F.greatest("pick", "id").alias("b")).distinct()
+        more = _links(sets, pairs, num, den, in_reach=last)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = staged(components(links), "found")
+        mixed = kept
+
+    # a set held by many documents is dealt over SALTS rows; one document's own salt is enough for the rest
+    sizes = (sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles")
+             .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS))
+    placed = (sizes.join(found, "id", "left")
+              .select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("component_id"),
+                      F.explode(F.when(F.col("n") == 1, F.array(salt("id"))).otherwise(
+                          F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("salt")))
+    return (sketch.select("doc_id", "n_shingles", "s1", "s2", salt("doc_id").alias("salt"))
+            .join(placed, ["s1", "s2", "n_shingles", "salt"], "left")
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 

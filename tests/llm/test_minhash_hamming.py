@@ -60,6 +60,16 @@ def test_edited_copies(spark):
     assert run(cases.plain(spark, texts), 2) == brute(list(enumerate(texts, 1)), 2)
 
 
+def test_small_blocks_and_no_random_rounds_give_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(300)]
+    base = [rng.choice(vocab) for _ in range(80)]
+    texts = [" ".join(rng.choice(vocab) if rng.random() < 0.12 else w for w in base) for _ in range(90)]
+    monkeypatch.setattr(M, "ROUNDS", 0)
+    monkeypatch.setattr(M, "BLOCK", 7)
+    assert run(cases.plain(spark, texts), 2) == brute(list(enumerate(texts, 1)), 2)
+
+
 def test_chain_reaches_the_smallest_id(spark):
     words = [f"w{i}" for i in range(140)]
     texts = [" ".join(words[i * 4:i * 4 + 60]) for i in range(20)][::-1]  # neighbours share 56 of 60 words

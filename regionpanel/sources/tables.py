@@ -161,8 +161,8 @@ class Tables:
         Inside a state, rows are range-partitioned on (county_key, row hash):
         the county ranges make min/max statistics useful, the row hash splits
         a hot county over several files instead of one task. ``partitions``
-        (default: ``spark.sql.shuffle.partitions``) sets the number of write
-        tasks; size it so one task writes a few hundred MB.
+        sets the number of write tasks; by default one for each 256 MB that
+        the facts' input files hold, and ``spark.sql.shuffle.partitions`` at least.
         """
         dims = {
             "states": self.states, "counties": self.counties,
@@ -186,7 +186,7 @@ class Tables:
             facts = df.drop("state_key", "state_id")
             located = (facts.join(county_state, "county_key", "inner")
                        .withColumn("state_id", pad_code("state_key", STATE_WIDTH)))
-            n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(facts) // WRITE_BYTES))
             (located
              .repartitionByRange(n, "state_id", "county_key", F.xxhash64(*facts.columns))
              .sortWithinPartitions("state_id", "county_key")
@@ -245,6 +245,7 @@ class Tables:
 
 
 MANIFEST = "manifest"
+WRITE_BYTES = 256 << 20
 
 _REQUIRED = {
     "states": {"state_key": "string", "state_id": "string", "state_name": "string", "abbrev": "string"},
@@ -262,6 +263,16 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the files a frame reads (folder summaries, not one call per file)."""
+    spark = df.sparkSession
+    total = 0
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        p, fs = _path(spark, folder)
+        total += fs.getContentSummary(p).getLength()
+    return total
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     p, fs = _path(spark, path)
     return fs.exists(p)

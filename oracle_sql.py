@@ -94,7 +94,9 @@ def _with(*ctes: str) -> str:
 
 def _codes(text: str) -> str:
     """Typed county codes -> canonical keys (split, trim, all non-digits out, zeros stripped)."""
-    items = [p.strip() for p in text.split(",") if any("0" <= c <= "9" for c in p)] or ["none"]
+    items = [p.strip() for p in text.split(",") if any("0" <= c <= "9" for c in p)]
+    if not items:
+        return "SELECT 'no county' AS county_key"
     return (f"SELECT DISTINCT regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^0+', '') AS county_key "
             f"FROM (SELECT UNNEST([{_lit_list(items)}]) AS x)")
 

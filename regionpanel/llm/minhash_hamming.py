@@ -17,15 +17,15 @@ few in 100,000 at exactly the threshold (far less above it).
    apart meet unless every chunk has two errors; at similarity 0.8 that is a
    chance of 3 in 100,000.  Six symbols of a key keep unrelated texts apart
    at any corpus size in sight.
-3. Under a key all members are compared with its smallest member (star),
-   then, in ``ROUNDS`` rounds, those in other components than the smallest
-   one with a random member of it.  Signature distance first (``REACH``), then
+3. Keys of two members give their pair.  The members of larger keys stand in a
+   random order in each of ``ROUNDS`` rounds, and a document is compared with
+   its next neighbour of another component in two of its keys.  Signature distance first (``REACH``), then
    links are confirmed on the full sets with 100 * intersection >= 80 * union.
    Only where a key still holds several components are signatures of members
    of different components compared, in blocks of at most ``BLOCK`` rows a
    side that are dealt out by key and block pair; a pair comes out once, at
    the first key it shares, and only within reach.  A group of thousands of
-   copies thus makes rows for stars and near pairs, not for its square, and no
+   copies thus makes rows for a few neighbours and near pairs, not for its square, and no
    component is lost.
 4. Components by contraction with hashed priorities (a few joins, each round
    written to the shared folder).
@@ -50,10 +50,10 @@ from .common import partitions, python_batches, release, staged
 CHUNKS = 12
 SYMBOLS = 7 * CHUNKS
 RADIUS = 2 * CHUNKS - 1
-LONG = 400
-REACH = 111
+LONG = 800
+REACH = 204
 BLOCK = 1000
-ROUNDS = 1
+ROUNDS = 3
 SALTS = 8
 #: first symbol of each chunk
 BORDERS = [SYMBOLS * i // CHUNKS for i in range(CHUNKS + 1)]
@@ -289,15 +289,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     by_key = Window.partitionBy("key")
     members = staged(
         classes.mapInArrow(_keys, "key long, id long, no int").repartition(n, "key")
-        .select("key", "id", "no", F.min("id").over(by_key).alias("hub"), F.count("id").over(by_key).alias("n"))
+        .select("key", "id", "no", F.min("id").over(by_key).alias("least"), F.count("id").over(by_key).alias("n"))
         .where("n > 1"), "members")
     # one shuffle of the texts, at every size: the full sets of all documents that meet another one
     ids = members.select("id").distinct()
     sets = staged(texts.join(ids.hint("shuffle_merge"), "id", "left_semi").select("id", "text")
                   .mapInArrow(_full_sets(k), "id long, shingles binary, long binary"), "sets")
 
-    stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = _links(sets, stars, num, den)
+    twos = members.where("n = 2 and id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+    links = _links(sets, twos, num, den)
     found = staged(components(links), "found")
     # keys of three and more members may still hold several components
     mixed = members.where("n > 2").select("key", "no", "id")
@@ -307,9 +307,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                   .select("key", "no", "id", "c", F.count("id").over(lows).alias("n"), F.min("c").over(lows).alias("lo"), F.max("c").over(lows).alias("hi"))
                   .where("lo < hi"))
         last = turn == ROUNDS
-        if not last:  # members outside the smallest component meet a random one of its members
-            pick = F.min(F.when(F.col("c") == F.col("lo"), F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id"))).over(lows)
-            placed = placed.withColumn("pick", pick["id"])
+        if not last:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("key", "id", F.lit(turn)))
+            placed = placed.withColumn("next", F.lead("id").over(order)).withColumn("nc", F.lead("c").over(order))
         kept = staged(placed, "mixed")
         if last:  # what is left is compared across components
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -320,7 +320,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                      .select("key", "g1", "g2", "no", "id", "c", "side", "sig", "long")
                      .repartition(n, "key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(_across, "a long, b long"))
         else:
-            pairs = kept.where("c <> lo").select(F.least("pick", "id").alias("a"), F.greatest("pick", "id").alias("b")).distinct()
+            draw = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "next")
+            drawn = kept.where("c <> nc").groupBy("id").agg(F.min(draw).alias("x"), F.max(draw).alias("y"))
+            pairs = (drawn.select("id", F.explode(F.array("x.next", "y.next")).alias("next"))
+                     .select(F.least("next", "id").alias("a"), F.greatest("next", "id").alias("b")).distinct())
         more = _links(sets, pairs, num, den, in_reach=last)
         if not more.isEmpty():
             links = links.unionByName(more)

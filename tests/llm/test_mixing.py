@@ -1,4 +1,6 @@
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 
@@ -69,3 +71,49 @@ def test_awkward_rows(spark):
 def test_too_many_sources_raise():
     with pytest.raises(ValueError):
         M.cycle_shares({str(i): 1 for i in range(60)}, 100)
+
+
+@pytest.mark.parametrize("weights", [
+    [0.5] + [0.5 / 19] * 19, [n ** M.ALPHA for n in [100_000] + [10_526] * 19], [0.5] + [0.5 / 1000] * 1000])
+def test_no_source_is_a_block_off_its_given_weight(weights):
+    whole = list(M.integer_weights(dict(enumerate(weights))).values())
+    exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    seen, every = Counter(), 1 if len(weights) < 100 else 97
+    for t, (i, _) in enumerate(islice(M.walk(whole, [10 ** 9] * len(whole)), 25_000), 1):
+        seen[i] += 1
+        assert abs(seen[i] - exact[i] * t) < 1
+        if t % every == 0:
+            assert all(abs(seen[k] - x * t) < 1 for k, x in enumerate(exact))
+
+
+def test_a_walk_goes_on_from_any_state():
+    weights, blocks = [5, 0, 3, 1, 7], [40, 6, 9, 30, 55]
+    line = [(i, (list(d), c, e)) for i, (d, c, e) in M.walk(weights, blocks)]
+    assert Counter(i for i, _ in line) == dict(enumerate(blocks)) and [i for i, _ in line[-6:]] == [1] * 6
+    for at in range(0, len(line), 13):
+        assert [i for i, _ in M.walk(weights, blocks, line[at][1])] == [i for i, _ in line[at:]]
+
+
+def test_rows_follow_the_given_weights(spark, monkeypatch):
+    monkeypatch.setattr(M, "SEGMENT", 16)
+    df = spark.createDataFrame([(i, f"s{max(0, i % 39 - 19)}") for i in range(7800)], "doc_id long, source string")
+    weights = {f"s{k}": 0.5 if k == 0 else 0.5 / 19 for k in range(20)}
+    out = M.mix(df, weights, block_rows=4).orderBy("mix_position").collect()
+    assert [r.mix_position for r in out] == list(range(7800)) and len({r.doc_id for r in out}) == 7800
+    inside = [r for r in out if r.in_mix]
+    assert len(inside) >= 7000
+    seen = Counter()
+    for n, r in enumerate(inside, 1):
+        seen[r.source] += 1
+        if n % 4 == 0:
+            assert all(abs(seen[k] / 4 - w * n / 4) < 1.0001 for k, w in weights.items())
+    assert all(len({r.source for r in out if r.mix_slot == s}) == 1 for s in range(0, 1900, 100))
+
+
+def test_weights_out_of_range(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(90)], "doc_id long, source string")
+    out = M.mix(df, {"a": 1.0, "b": 0.0}, block_rows=5).orderBy("mix_position").collect()
+    assert [r.source for r in out] == ["a"] * 60 + ["b"] * 30
+    for bad in ({"a": -1.0, "b": 1.0}, {"a": 0.0, "b": 0.0}):
+        with pytest.raises(ValueError):
+            M.mix(df, bad)

@@ -31,6 +31,7 @@ from .common import python_batches
 
 BLOCK = 3
 SURGE = 0.25
+WEIGHT = 4
 
 #: fixed values: elements by their role in a page
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select")
@@ -47,6 +48,11 @@ WORDS = ("ad ads advert adverts advertisement advertising adsense banner promo p
          "overlay subscribe subscription newsletter signup login share sharing social related recommended toolbar pagination pager "
          "copyright legal disclaimer paywall").split()
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+#: words of what others put on the page
+FOREIGN = set("ad ads advert adverts advertisement advertising adsense promo promoted promotion sponsor sponsored sponsors comment "
+              "comments disqus replies respond reply discussion notice notices cookie cookies consent gdpr related recommended".split())
+#: the words after these tell what a wrapper has or lacks, not what it is
+TELLS = {"no", "non", "not", "has", "have", "with", "without"}
 _WORDS = set(WORDS)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -56,11 +62,17 @@ _SPACE = re.compile(r"\s+")
 _PIECE = re.compile(r"[A-Za-z]+")
 
 
-def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
+#: how much of the weighted text lifts a class word
+_LAYOUT, _OTHERS = 0.5, 0.9
+
+
+def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool | float:
+    """True: boilerplate whatever it holds; a number: boilerplate by a class word, up to that share of the text."""
     if tag in BOILER:
         return not (tag == "header" and in_article)
-    if not attrs or tag in ("body", "html", "article", "main"):
+    if not attrs or tag in ("body", "html"):
         return False
+    share = 0.0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -71,46 +83,52 @@ def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             for word in value.split():
-                pieces = _PIECE.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", word))
-                if any(p.lower() in _WORDS for p in pieces):
-                    return True
-    return False
+                for piece in _PIECE.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", word)):
+                    piece = piece.lower()
+                    if piece in TELLS:
+                        break
+                    if piece in _WORDS:
+                        share = max(share, _OTHERS if piece in FOREIGN else _LAYOUT)
+    return share or False
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length in the curve, inside a marked article) of every content line."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, is it boilerplate, is it an article
-    held: list[str] = []
-    linked = boiler = article = anchors = 0
+    """(text, length without links, inside a marked article) of every content line."""
+    out: list[tuple[str, int, int, tuple]] = []  # text, length, articles around, class-condemned elements around
+    stack: list[tuple] = []  # element, is it boilerplate, is it an article, condemned elements from here on
+    held: list[tuple[str, bool]] = []
+    soft: list[tuple[float, bool, tuple]] = []  # of each condemned element: share that lifts it, is it an article, those around
+    marks: list[tuple] = []  # condemned elements around each article
+    boiler = article = anchors = 0
+    around: tuple = ()
+
+    def plain(parts):
+        return _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
 
     def flush():
-        nonlocal linked
         if held:
-            text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+            text = plain(t for t, _ in held)
             if text:
-                out.append((text, max(0, len(text) - linked), article > 0))
+                out.append((text, len(plain(t for t, link in held if not link)), article, around))
             held.clear()
-        linked = 0
 
     def close(depth: int):
-        nonlocal boiler, article, anchors
+        nonlocal boiler, article, anchors, around
         while len(stack) > depth:
-            tag, bad, art = stack.pop()
-            if tag not in INLINE:
+            tag, bad, art, outer = stack.pop()
+            if tag not in INLINE or outer != around:
                 flush()
             boiler -= bad
             article -= art
             anchors -= tag == "a"
+            around = outer
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at:m.start()] if m else page[at:]
         if text and not boiler:
-            held.append(text)
-            if anchors:
-                linked += len(text)
+            held.append((text, anchors > 0))
         if not m:
             break
         at = m.end()
@@ -125,7 +143,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 if stack[depth][0] in ("article", "main", "body") and tag in INLINE | {"p", "li"}:
                     break
             if tag == "br" and not boiler:
-                held.append(" ")
+                held.append((" ", False))
             continue
         if tag in RAW:
             if not m.group(3).rstrip().endswith("/"):
@@ -136,7 +154,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if tag == "hr":
                 flush()
             elif not boiler:
-                held.append(" ")
+                held.append((" ", False))
             continue
         if tag not in INLINE:
             while stack and stack[-1][0] in INLINE:  # a block ends open inline elements
@@ -146,16 +164,38 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             flush()
         if m.group(3).rstrip().endswith("/"):
             continue
-        bad = not boiler and _is_boiler(tag, m.group(3), article > 0)
+        kind = not boiler and _is_boiler(tag, m.group(3), article > 0)
+        bad = kind is True
         art = tag in ("article", "main") or 'role="main"' in m.group(3)
-        if bad:
+        if kind:
             flush()
-        stack.append((tag, bad, art))
+        outer = around
+        if kind and not bad:
+            soft.append((kind, art, around))
+            around += (len(soft) - 1,)
+        elif art and not boiler and not bad:
+            marks.append(around)
+        stack.append((tag, bad, art, outer))
         boiler += bad
         article += art
         anchors += tag == "a"
     flush()
-    return out
+    return _lifted(out, soft, marks)
+
+
+def _lifted(found, soft, marks):
+    """The lines outside condemned elements, after lifting those that hold the page's text."""
+    def marked(articles, around):
+        return articles > sum(soft[e][1] for e in around)
+
+    inside, whole = [0] * len(soft), 0
+    for text, size, articles, around in found:
+        weight = WEIGHT * len(text) if marked(articles, around) else size
+        whole += weight
+        for e in around:
+            inside[e] += weight
+    keeps = [inside[e] > share * whole and (share == _LAYOUT or all(e in m for m in marks)) for e, (share, _, _) in enumerate(soft)]
+    return [(text, size, articles > 0) for text, size, articles, around in found if all(keeps[e] for e in around)]
 
 
 def main_text(page: str | None) -> str:

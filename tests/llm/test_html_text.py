@@ -38,3 +38,15 @@ def test_query_rows(spark):
 def test_long_page_is_linear():
     page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "<a title='" + "<p>" * 1000
     assert M.main_text(page).count(LONG) == 20_000
+
+
+@pytest.mark.parametrize("page", [
+    f"<div id=page class=no-sidebar><article><p>{LONG}</p><p>Be.</p></article></div>",
+    f"<div class='content-with-sidebar'><p>{LONG}</p><p>Be.</p></div><div class=sidebar><p>Some other things</p></div>",
+    f"<body><div class='has-share-buttons'><p>{LONG}</p><p>Be.</p></div>",
+    f"<div class='post-header-and-content'><article><p>{LONG}</p><p>Be.</p></article><div class=comments><p>{LONG} {LONG}</p></div></div>",
+    f"<div class='site-menu'><main><p>{LONG}</p><p>Be.</p></main></div><article class='related'><p>{LONG}</p></article>",
+    f"<article><p>{LONG}</p><p>Be.</p></article><div class=ad><p>{LONG * 9}</p></div>",
+])
+def test_class_words_of_wrappers(page):
+    assert M.main_text(page) == f"{LONG}\nBe."

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame
 from .common import python_batches
 
 BLOCK = 3
-SURGE = 0.25
+SURGE = 30
+SURGE_SHARE = 0.25
 WEIGHT = 4
 
 #: fixed values: elements by their role in a page
@@ -198,6 +200,23 @@ def _lifted(found, soft, marks):
     return [(text, size, articles > 0) for text, size, articles, around in found if all(keeps[e] for e in around)]
 
 
+def _surges(size: list, surge: float):
+    """[start, end) of every run from surge to dive."""
+    window = [sum(size[i:i + BLOCK]) for i in range(len(size))]
+    i = last = 0
+    while i < len(window):
+        if window[i] >= surge and size[i] > 0:
+            j = i
+            while j < len(window) and window[j] > 0:  # the dive: a whole window without text
+                j += 1
+            while near := [k for k in range(max(last, i - BLOCK), i) if size[k] > 0]:  # back to the first line of the text
+                i = near[0]
+            yield i, j
+            i = last = j
+        else:
+            i += 1
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -206,21 +225,11 @@ def main_text(page: str | None) -> str:
     if marked:  # outside a marked article no line has length
         return "\n".join(x[0] for x in marked)
     size = [x[1] for x in found]
-    window = [sum(size[i:i + BLOCK]) for i in range(len(size))]
-    if not window or max(window) == 0:
+    some = [n for n in size if n]
+    if not some:
         return ""
-    surge = SURGE * max(window)
-    kept, i = [], 0
-    while i < len(window):
-        if window[i] >= surge and size[i] > 0:
-            j = i
-            while j < len(window) and window[j] > 0:  # the dive: a whole window without text
-                j += 1
-            kept += [x[0] for x in found[i:j] if x[1] > 0]
-            i = j
-        else:
-            i += 1
-    return "\n".join(kept)
+    spans = _surges(size, min(SURGE, SURGE_SHARE * BLOCK * median(some)))
+    return "\n".join(text for i, j in spans for text, _, _ in found[i:j])
 
 
 def _extract(batches):

@@ -40,6 +40,23 @@ def test_long_page_is_linear():
     assert M.main_text(page).count(LONG) == 20_000
 
 
+def test_one_long_paragraph_hides_nothing():
+    page = "<h2>Title</h2>" + f"<p>{'x' * 20}</p>" * 3 + f"<p>{'y' * 5000}</p>"
+    assert M.main_text(page) == "\n".join(["Title"] + ["x" * 20] * 3 + ["y" * 5000])
+    links = "<div><a href='/a'>A link</a></div>" * 3
+    assert M.main_text(f"<p>{'x' * 35}</p>{links}<p>{'y' * 5000}</p>") == "x" * 35 + "\n" + "y" * 5000
+
+
+def test_short_lines_before_the_surge_and_link_lines_inside_stay():
+    page = f"<div>On</div><div><a href='/a'>All</a></div><div>By</div><p>{LONG}</p><p><a href='/a'>A whole line</a></p><p>{LONG}</p><p>{LONG}</p>"
+    assert M.main_text(page) == f"On\nAll\nBy\n{LONG}\nA whole line\n{LONG}\n{LONG}"
+
+
+def test_links_are_counted_decoded():
+    assert M.lines("<p>See <a>A &amp; B &mdash;   C</a></p>") == [("See A & B \u2014 C", 3, False)]
+    assert M.main_text("<p>See <a>A &amp; B &mdash; C</a></p>") == "See A & B \u2014 C"
+
+
 @pytest.mark.parametrize("page", [
     f"<div id=page class=no-sidebar><article><p>{LONG}</p><p>Be.</p></article></div>",
     f"<div class='content-with-sidebar'><p>{LONG}</p><p>Be.</p></div><div class=sidebar><p>Some other things</p></div>",

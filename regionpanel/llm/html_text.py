@@ -1,18 +1,28 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines: block elements end a line, inline ones do not;
-``br`` is white space.  A line's length is the text it brings as content:
-nothing inside scripts, styles, menus, headers, footers, sidebars, forms,
-notices, adverts or reader comments (by element, role, or the words of class
-and id), links count for nothing in the curve, and if the page marks an
-article (or main part) nothing outside it counts.
+``br`` is white space.  A line's length is the text it brings as content, in
+decoded characters: nothing inside scripts, styles, menus, headers, footers,
+sidebars, forms, notices, adverts or reader comments (by element, role, or the
+words of class and id), and links count for nothing in the curve.
+
+A word of class or id condemns no element with more than half of the page's
+text, where text in a marked article (or main part) weighs ``WEIGHT`` times; for
+adverts, notices and reader comments (``FOREIGN``) it takes nine tenths and no
+article elsewhere.  Words after no, has, with and the like say nothing.
 
 Lengths are summed over sliding windows of ``BLOCK`` lines.  Where the sum
-rises over the surge threshold the text begins, where it falls to nothing it
-ends; the threshold is a share of the page's highest window, so short articles
-have a surge too.  All content lines between surge and dive are kept, however
-short, in page order; a marked article is taken from its first to its last
-content line.
+rises over the surge threshold the text begins, back to the first line less
+than a window away; where it falls to nothing it ends.  All lines between are
+kept, short or links, in page order.  The threshold is ``SURGE`` characters, or
+a share of the median line if that is less, so short pages have a surge too and
+no single paragraph moves it.
+
+An article mark is a weight and a boundary in that curve: lines in it weigh
+``WEIGHT`` times and their links count, no window crosses its ends, a ``WEIGHT``-th
+of the threshold is a surge in it, it is then taken from its first to its last
+line, and other lines need ``WEIGHT`` times the threshold.  If the unmarked lines outweigh the marked ones
+the mark says nothing (a teaser beside a plain body).
 
 Null or empty html gives the empty string.  Truncated pages end with their
 last line; unclosed elements end with their parent.  Repeated rows give
@@ -23,6 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from itertools import groupby
 from statistics import median
 
 import pyarrow as pa
@@ -221,15 +232,23 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    marked = [x for x in found if x[2]]
-    if marked:  # outside a marked article no line has length
-        return "\n".join(x[0] for x in marked)
-    size = [x[1] for x in found]
+    inside = WEIGHT * sum(len(text) for text, _, art in found if art)
+    if inside <= sum(size for _, size, art in found if not art):
+        found = [(text, size, False) for text, size, _ in found]
+    size = [WEIGHT * len(text) if art else n for text, n, art in found]
     some = [n for n in size if n]
     if not some:
         return ""
-    spans = _surges(size, min(SURGE, SURGE_SHARE * BLOCK * median(some)))
-    return "\n".join(text for i, j in spans for text, _, _ in found[i:j])
+    surge = min(SURGE, SURGE_SHARE * BLOCK * median(some))
+    kept, at, boundary = [], 0, any(art for *_, art in found)
+    for art, run in groupby(found, key=lambda x: x[2]):
+        run = list(run)
+        spans = list(_surges(size[at:at + len(run)], surge / WEIGHT if art else WEIGHT * SURGE if boundary else surge))
+        at += len(run)
+        if art and spans:
+            spans = [(0, len(run))]
+        kept += [text for i, j in spans for text, _, _ in run[i:j]]
+    return "\n".join(kept)
 
 
 def _extract(batches):

@@ -40,6 +40,19 @@ def test_long_page_is_linear():
     assert M.main_text(page).count(LONG) == 20_000
 
 
+def test_a_teaser_mark_does_not_hide_a_plain_body():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(20))
+    for teaser in (f"<article><p>{LONG}</p></article>", "<article class=related><p>More here of this and that</p></article>"):
+        text = M.main_text(f"<body><div>{body}</div>{teaser}</body>")
+        assert all(f"{LONG} {i}" in text.split("\n") for i in range(20))
+
+
+def test_a_mark_is_a_weight_and_a_boundary():
+    article = f"<article><p><a href='/a'>First</a></p><p>{LONG * 3}</p><p><a href='/a'>Last</a></p></article>"
+    assert M.main_text(f"<div>Some tag line</div>{article}<div>Printed on paper</div>") == f"First\n{LONG * 3}\nLast"
+    assert M.main_text(f"{article}<div><p>{LONG}</p><p>{LONG}</p></div>") == f"First\n{LONG * 3}\nLast\n{LONG}\n{LONG}"
+
+
 def test_one_long_paragraph_hides_nothing():
     page = "<h2>Title</h2>" + f"<p>{'x' * 20}</p>" * 3 + f"<p>{'y' * 5000}</p>"
     assert M.main_text(page) == "\n".join(["Title"] + ["x" * 20] * 3 + ["y" * 5000])

@@ -6,21 +6,30 @@ are typed placeholders.  A name is a capitalised word inside a sentence, or a
 listed first name.  Windows of ``WINDOW`` canonical words are hash-joined:
 an equal window means an equal template whatever stands in its slots.
 
+A window whose words are equal as they stand (case aside) is evidence too,
+whatever its words are: every window also joins by a hash of its raw words.
+Windows with fewer than ``MIN_PLAIN`` ordinary words join by that hash only.
+
 Hits of one document, item and diagonal (offset between the two word
 positions) are checked for slot consistency: each value of the item must
-always have become the same value of the document, and no two the same one; so
-a re-parameterised question is caught and a chance meeting of placeholders is
-not.  The share of an item's words covered by consistent diagonals decides.
+always have become the same value of the document, and no two the same one.
+A changed value that breaks this drops the windows that hold it; the others
+stay.  A diagonal on which one value became two others is no copy of the
+template and drops whole.  The share of an item's words covered by the windows
+left decides.
+
+Items shorter than ``WINDOW`` words are one window of their own length, and
+documents are cut into windows of each such length that occurs (seven at
+most); so an item of one word is found wherever that word stands.
 
 Benchmark windows are counted; up to ``BROADCAST_WINDOWS`` their hashes go to
 every task, which then sends only windows that hit, and the join is a
 broadcast; beyond it all windows go through a shuffle join.  The rows are the
-same.  Windows with fewer than ``MIN_PLAIN`` ordinary words are no evidence.
+same.
 
-Null or empty text or item: no windows, not contaminated.  Items shorter than
-``WINDOW`` words count as one window and match only an equally short text.
-Rows sharing an id (nulls too) are one document.  An empty table of items
-marks nothing.  Extra columns are never read.
+Null or empty text or item: no windows, not contaminated.  Rows sharing an id
+(nulls too) are one document.  An empty table of items marks nothing.  Extra
+columns are never read.
 """
 
 from __future__ import annotations
@@ -55,6 +64,7 @@ _BLANK[[32, 9]] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?:;\n\r\"(|"]] = True
 _MARKS = T.mix(np.array([11, 22, 33], np.uint64))
+_RAW = _U(0x5851F42D4C957F2D)
 
 
 def _hashes(words) -> np.ndarray:
@@ -91,37 +101,51 @@ def canonical(words: T.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(kind > 0, _MARKS[kind - 1], words.hash), kind
 
 
-def _windows(wanted):
-    """Rows (id, pos, window, n_words, values): values are the slots' raw hashes in order."""
+def _runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of ``k`` words, documents not regarded."""
+    acc = h[:len(h) - k + 1] + _U(k)
+    for i in range(1, k):
+        acc = T.mix(acc * _U(3) + h[i:len(h) - k + 1 + i])
+    return T.mix(acc)
+
+
+def _windows(wanted, short=None):
+    """Rows (id, pos, window, n_words, size, raw, slots): slots are the raw hashes of a template's slots in order.
+
+    Windows have ``WINDOW`` words, or a length in ``short``; without it, an item below ``WINDOW`` words is one window."""
     def run(batches):
         for batch in batches:
             data, offsets = T.text_column(batch)
             for i, j in T.slices(offsets):
                 words = T.Words(*T.slice_text(data, offsets, i, j), T.WORD_ALNUM)
                 code, kind = canonical(words)
-                doc, value = words.shingles(WINDOW, code)
-                short = np.flatnonzero((words.counts > 0) & (words.counts < WINDOW))
-                n = len(words.hash)
-                full = np.flatnonzero(words.doc[:max(n - WINDOW + 1, 0)] == words.doc[WINDOW - 1:])
-                at = np.concatenate([full, words.first[short]]).astype(np.int64)
-                size = np.minimum(words.counts[doc], WINDOW)
                 plain = np.concatenate([[0], np.cumsum(kind == 0)])
-                keep = (plain[at + size] - plain[at] >= MIN_PLAIN)
-                if wanted is not None:
-                    keep &= _found(value, wanted) if len(wanted) else False
-                hit = np.flatnonzero(keep)
-                if not len(hit):
-                    continue
-                slots = [words.hash[a:a + s][kind[a:a + s] > 0].astype(np.int64) for a, s in zip(at[hit], size[hit])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(doc[hit])),
-                     pa.array(at[hit] - words.first[doc[hit]]), pa.array(value[hit].astype(np.int64)),
-                     pa.array(words.counts[doc[hit]], pa.int64()), pa.array(slots, pa.list_(pa.int64()))],
-                    names=["id", "pos", "window", "n_words", "slots"])
+                for k in range(1, WINDOW + 1):
+                    if len(words.hash) < k or short is not None and k < WINDOW and k not in short:
+                        continue
+                    at = np.flatnonzero(words.doc[:len(words.hash) - k + 1] == words.doc[k - 1:])
+                    if short is None and k < WINDOW:
+                        at = at[words.counts[words.doc[at]] == k]
+                    ordinary = plain[at + k] - plain[at]
+                    template = (ordinary >= MIN_PLAIN) & (ordinary < k)
+                    same = at if k < WINDOW else at[ordinary >= k]
+                    for raw, starts, value in ((True, same, _runs(words.hash, k)[same] ^ _RAW), (False, at[template], _runs(code, k)[at[template]])):
+                        if wanted is not None:
+                            hit = _found(value, wanted) if len(wanted) else np.zeros(len(value), bool)
+                            starts, value = starts[hit], value[hit]
+                        if not len(starts):
+                            continue
+                        doc, n = words.doc[starts], len(starts)
+                        slots = [() if raw else words.hash[a:a + k][kind[a:a + k] > 0].astype(np.int64) for a in starts]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(starts - words.first[doc], pa.int64()),
+                             pa.array(value.astype(np.int64)), pa.array(words.counts[doc], pa.int64()),
+                             pa.array(np.full(n, k), pa.int64()), pa.array(np.full(n, raw)), pa.array(slots, pa.list_(pa.int64()))],
+                            names=["id", "pos", "window", "n_words", "size", "raw", "slots"])
     return run
 
 
-_ROW = "id long, pos long, window long, n_words long, slots array<long>"
+_ROW = "id long, pos long, window long, n_words long, size long, raw boolean, slots array<long>"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
@@ -133,25 +157,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     distinct = items.select("window").distinct().limit(BROADCAST_WINDOWS + 1)
     hashes = [r["window"] for r in distinct.collect()]
     wanted = np.sort(np.array(hashes, np.int64).astype(np.uint64)) if len(hashes) <= BROADCAST_WINDOWS else None
+    short = {r["n_words"] for r in items.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect()}
     right = items.select(F.col("id").alias("item_id"), F.col("pos").alias("b_pos"), "window",
-                         F.col("n_words").alias("item_words"), F.col("slots").alias("b_slots"))
+                         F.col("n_words").alias("item_words"), F.col("size").alias("b_size"), F.col("raw").alias("b_raw"), F.col("slots").alias("b_slots"))
     if wanted is not None and items.count() <= 4 * BROADCAST_WINDOWS:
         right = F.broadcast(right)
-    hits = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).mapInArrow(_windows(wanted), _ROW)
-            .join(right, "window").where(F.size("slots") == F.size("b_slots"))
-            .select("id", "item_id", "item_words", "b_pos", (F.col("pos") - F.col("b_pos")).alias("diagonal"),
-                    F.arrays_zip(F.col("b_slots").alias("b"), F.col("slots").alias("d")).alias("pairs")))
-    # one diagonal has at most as many hits as the item has words: the lists stay that short
-    lines = (hits.groupBy("id", "item_id", "item_words", "diagonal")
-             .agg(F.collect_set("b_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")))
-    of = lambda f: F.size(F.array_distinct(F.col(f"pairs.{f}")))
-    lines = lines.where((of("b") == F.size("pairs")) & (of("d") == F.size("pairs")))
-    found = (lines.select("id", "item_id", "item_words", F.explode("at").alias("at"),
-                          F.exists("pairs", lambda p: p["b"] != p["d"]).alias("changed"))
-             .groupBy("id", "item_id", "item_words").agg(F.countDistinct("at").alias("hits"), F.max("changed").alias("changed")))
-    covered = F.least(F.lit(1.0), (F.col("hits") + WINDOW - 1) / F.greatest("item_words", F.lit(1)))
-    return (found.select(F.col("id").alias("doc_id"), "item_id", "hits", covered.alias("coverage"), "changed")
-            .where(F.col("coverage") >= min_cover))
+    hits = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).mapInArrow(_windows(wanted, short), _ROW)
+            .join(right, "window").where((F.size("slots") == F.size("b_slots")) & (F.col("size") == F.col("b_size")) & (F.col("raw") == F.col("b_raw")))
+            .select("id", "item_id", "item_words", (F.col("pos") - F.col("b_pos")).alias("diagonal"), F.struct(
+                "b_pos", "size", "raw", F.array_distinct(F.arrays_zip(F.col("b_slots").alias("b"), F.col("slots").alias("d"))).alias("pairs")).alias("w")))
+    # one diagonal has at most twice as many hits as the item has words: the lists stay that short
+    lines = hits.groupBy("id", "item_id", "item_words", "diagonal").agg(F.collect_set("w").alias("ws"))
+    lines = lines.withColumn("pairs", F.array_distinct(F.flatten("ws.pairs")))
+    lines = lines.withColumn("new", F.filter("pairs", lambda p: p["b"] != p["d"]))
+    lines = (lines.withColumn("torn", F.size("new") > F.size(F.array_distinct("new.b")))
+             .withColumn("bad", F.filter("new", lambda p: F.exists("pairs", lambda q: (q["b"] == p["b"]) != (q["d"] == p["d"])))))
+    lines = lines.where(~F.col("torn") & (F.size("bad") == 0))
+    kept = F.filter("ws", lambda w: ~F.arrays_overlap(w["pairs"], F.col("bad")))
+    lines = lines.withColumn("ws", kept).where(F.size("ws") > 0)
+    covers = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.sequence(w["b_pos"], w["b_pos"] + w["size"] - 1))))
+    found = (lines.select("id", "item_id", "item_words", F.transform("ws", lambda w: w["b_pos"]).alias("at"), covers.alias("words"),
+                          F.exists(F.flatten("ws.pairs"), lambda p: p["b"] != p["d"]).alias("changed"))
+             .groupBy("id", "item_id", "item_words").agg(
+                 F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("hits"),
+                 F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("covered"),
+                 F.max("changed").alias("changed")))
+    covered = F.least(F.lit(1.0), F.col("covered") / F.greatest("item_words", F.lit(1)))
+    return (found.withColumn("coverage", covered).where(F.col("coverage") >= min_cover)
+            .select(F.col("id").alias("doc_id"), "item_id", "hits", "coverage", "changed"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -58,3 +58,12 @@ def test_shuffle_join_beyond_the_broadcast_bound_gives_the_same_rows(spark, monk
     small = sorted(map(tuple, M.leaks(df, b).collect()))
     monkeypatch.setattr(M, "BROADCAST_WINDOWS", 3)
     assert sorted(map(tuple, M.leaks(df, b).collect())) == small and len(small) == 2
+
+
+def test_short_items_are_found_inside_documents(spark):
+    bench = [(1, "What is the capital of France?", "x", "y"), (2, "Name 3 rivers", "x", "y"), (3, "What is the capital of Norway", "x", "y")]
+    rows = found(spark, ["And then they asked: what is the capital of France? Nobody knew the answer to that.",
+                         "Please name 3 rivers that run through the old town and two that do not", "Please name 4 rivers of it", cases.STORY], bench)
+    # the two questions about a capital are one template; too few ordinary words are left in "Name 4 rivers"
+    assert [rows[i].n_items for i in range(1, 5)] == [2, 1, 0, 0]
+    assert rows[1].contaminated and rows[1].coverage == 1.0 and rows[2].item_id == 2

@@ -128,8 +128,7 @@ def _windows(wanted, short=None):
                         at = at[words.counts[words.doc[at]] == k]
                     ordinary = plain[at + k] - plain[at]
                     template = (ordinary >= MIN_PLAIN) & (ordinary < k)
-                    same = at if k < WINDOW else at[ordinary >= k]
-                    for raw, starts, value in ((True, same, _runs(words.hash, k)[same] ^ _RAW), (False, at[template], _runs(code, k)[at[template]])):
+                    for raw, starts, value in ((True, at, _runs(words.hash, k)[at] ^ _RAW), (False, at[template], _runs(code, k)[at[template]])):
                         if wanted is not None:
                             hit = _found(value, wanted) if len(wanted) else np.zeros(len(value), bool)
                             starts, value = starts[hit], value[hit]
@@ -172,7 +171,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     lines = lines.withColumn("new", F.filter("pairs", lambda p: p["b"] != p["d"]))
     lines = (lines.withColumn("torn", F.size("new") > F.size(F.array_distinct("new.b")))
              .withColumn("bad", F.filter("new", lambda p: F.exists("pairs", lambda q: (q["b"] == p["b"]) != (q["d"] == p["d"])))))
-    lines = lines.where(~F.col("torn") & (F.size("bad") == 0))
+    lines = lines.where("not torn")
     kept = F.filter("ws", lambda w: ~F.arrays_overlap(w["pairs"], F.col("bad")))
     lines = lines.withColumn("ws", kept).where(F.size("ws") > 0)
     covers = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.sequence(w["b_pos"], w["b_pos"] + w["size"] - 1))))

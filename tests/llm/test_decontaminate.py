@@ -67,3 +67,24 @@ def test_short_items_are_found_inside_documents(spark):
     # the two questions about a capital are one template; too few ordinary words are left in "Name 4 rivers"
     assert [rows[i].n_items for i in range(1, 5)] == [2, 1, 0, 0]
     assert rows[1].contaminated and rows[1].coverage == 1.0 and rows[2].item_id == 2
+
+
+#: one number twice
+TWICE = ("The old mill grinds 5 sacks of corn in the morning and another 5 sacks of rye after noon while the miller and the "
+         "young helper carry the full sacks over the bridge to the baker in the village below")
+
+
+def test_copies_of_numbers_are_found(spark):
+    bench = [(1, "1 2 3 4 5 6 7 8 9 10 12 14 16 18 kg", "x", "y")]
+    rows = found(spark, ["So: 1 2 3 4 5 6 7 8 9 10 12 14 16 18 kg. Done", "So: 1 2 3 4 5 6 7 9 9 11 12 14 17 18 kg. Done"], bench)
+    assert rows[1].contaminated and rows[1].coverage == 1.0 and not rows[1].reparameterised
+    assert not rows[2].contaminated
+
+
+def test_a_conflicting_slot_drops_its_windows_only(spark):
+    bench = [(1, TWICE, "x", "y"), (2, TWICE.replace("grinds 5", "grinds 3"), "x", "y")]
+    rows = M.leaks(cases.plain(spark, [TWICE.replace("another 5", "another 6")]), items(spark, bench[:1]), 0.0).collect()
+    assert len(rows) == 1 and rows[0].coverage > 0.9
+    rows = M.leaks(cases.plain(spark, [TWICE.replace("5 sacks", "4 sacks")]), items(spark, bench[1:]), 0.0).collect()
+    assert len(rows) == 1 and 0.5 < rows[0].coverage < 1
+    assert not rows[0].changed

@@ -15,8 +15,9 @@ positions) are checked for slot consistency: each value of the item must
 always have become the same value of the document, and no two the same one.
 A changed value that breaks this drops the windows that hold it; the others
 stay.  A diagonal on which one value became two others is no copy of the
-template and drops whole.  The share of an item's words covered by the windows
-left decides.
+template and drops whole, unless ``RUN_WORDS`` words in a row are equal.  The
+share of an item's words covered by the windows left decides, or a run of
+``RUN_WORDS`` equal words whatever its share of a long item.
 
 Items shorter than ``WINDOW`` words are one window of their own length, and
 documents are cut into windows of each such length that occurs (seven at
@@ -45,6 +46,7 @@ from .common import python_batches
 WINDOW = 8
 MIN_PLAIN = 4
 MIN_COVER = 0.5
+RUN_WORDS = 25
 BROADCAST_WINDOWS = 500_000
 
 #: fixed values
@@ -170,19 +172,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     lines = lines.withColumn("pairs", F.array_distinct(F.flatten("ws.pairs")))
     lines = lines.withColumn("new", F.filter("pairs", lambda p: p["b"] != p["d"]))
     lines = (lines.withColumn("torn", F.size("new") > F.size(F.array_distinct("new.b")))
-             .withColumn("bad", F.filter("new", lambda p: F.exists("pairs", lambda q: (q["b"] == p["b"]) != (q["d"] == p["d"])))))
-    lines = lines.where("not torn")
-    kept = F.filter("ws", lambda w: ~F.arrays_overlap(w["pairs"], F.col("bad")))
+             .withColumn("bad", F.filter("new", lambda p: F.exists("pairs", lambda q: (q["b"] == p["b"]) != (q["d"] == p["d"]))))
+             .withColumn("same", F.array_sort(F.transform(F.filter("ws", lambda w: w["raw"]), lambda w: w["b_pos"]))))
+    # a run of equal windows: so many positions later the position is so many higher
+    more = RUN_WORDS - WINDOW
+    long = F.coalesce(F.exists(F.zip_with("same", F.slice("same", more + 1, F.greatest(F.size("same"), F.lit(1))),
+                                          lambda x, y: y - x == more), lambda x: F.coalesce(x, F.lit(False))), F.lit(False))
+    lines = lines.withColumn("long", long).where("long or not torn")
+    kept = F.filter("ws", lambda w: F.when(F.col("torn"), w["raw"]).otherwise(~F.arrays_overlap(w["pairs"], F.col("bad"))))
     lines = lines.withColumn("ws", kept).where(F.size("ws") > 0)
     covers = F.array_distinct(F.flatten(F.transform("ws", lambda w: F.sequence(w["b_pos"], w["b_pos"] + w["size"] - 1))))
-    found = (lines.select("id", "item_id", "item_words", F.transform("ws", lambda w: w["b_pos"]).alias("at"), covers.alias("words"),
+    found = (lines.select("id", "item_id", "item_words", "long", F.transform("ws", lambda w: w["b_pos"]).alias("at"), covers.alias("words"),
                           F.exists(F.flatten("ws.pairs"), lambda p: p["b"] != p["d"]).alias("changed"))
              .groupBy("id", "item_id", "item_words").agg(
                  F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("hits"),
                  F.size(F.array_distinct(F.flatten(F.collect_set("words")))).alias("covered"),
-                 F.max("changed").alias("changed")))
+                 F.max("changed").alias("changed"), F.max("long").alias("long")))
     covered = F.least(F.lit(1.0), F.col("covered") / F.greatest("item_words", F.lit(1)))
-    return (found.withColumn("coverage", covered).where(F.col("coverage") >= min_cover)
+    return (found.withColumn("coverage", covered).where((F.col("coverage") >= min_cover) | F.col("long"))
             .select(F.col("id").alias("doc_id"), "item_id", "hits", "coverage", "changed"))
 
 

@@ -88,3 +88,11 @@ def test_a_conflicting_slot_drops_its_windows_only(spark):
     rows = M.leaks(cases.plain(spark, [TWICE.replace("5 sacks", "4 sacks")]), items(spark, bench[1:]), 0.0).collect()
     assert len(rows) == 1 and 0.5 < rows[0].coverage < 1
     assert not rows[0].changed
+
+
+def test_a_long_equal_run_of_a_long_item(spark):
+    item = " ".join(f"thing{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
+    quote = lambda n: "So it went: " + " ".join(item.split()[100:100 + n]) + " and no more"
+    rows = found(spark, [quote(120), quote(M.RUN_WORDS), quote(M.RUN_WORDS - 1)], [(1, item, "x", "y")])
+    assert [rows[i].contaminated for i in (1, 2, 3)] == [True, True, False]
+    assert rows[1].coverage == 0.4

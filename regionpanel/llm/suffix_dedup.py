@@ -13,14 +13,13 @@ in a document with a smaller id.
 2. **Dictionary.**  Phrases are shuffled by trigger and sorted; equal phrases
    collapse to one dictionary entry with its first document.  All later
    occurrences (the parse) are repeats as a whole.
-3. **Suffix order of the dictionary.**  The windows of a phrase fall into
+3. **Windows of the dictionary.**  The windows of a phrase fall into
    thirds by where they hold the trigger; the windows of a third share a core.
    Only entries whose trigger and core another entry has too can share a
-   window with it; the suffixes of that third, cut at ``length`` bytes (the
-   operator asks for no longer common prefix), are grouped and each group's
-   first document marks the others.  The depth-limited order is kept as 128-bit
-   window hashes sorted in buckets: equal neighbours are the suffix array's
-   runs with a common prefix of ``length`` or more.
+   window with it; the windows of that third are grouped by equal 128-bit
+   hashes of their ``length`` bytes and each group's first document marks the
+   others.  This replaces suffix arrays of dictionary and parse: no order of
+   suffixes is built, since only equality to that depth is asked.
 
 Both shuffles move numpy blocks keyed by trigger or window hash; occurrences
 that a map task already sees in an earlier document of its own slice are

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat, decontaminate, fingerprints, html_text, licenses, minhash_hamming, mixing, suffix_dedup, toxicity,
-               url_lists)
+from . import (chat, decontaminate, fingerprints, html_text, licenses, minhash_hamming, mixing, resampling, simhash_vptree,
+               suffix_dedup, toxicity, url_lists, whitening)
 from .common import read_table
 
 
@@ -50,5 +50,17 @@ def op10_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_lists.filtered_captures(read_table(spark, d, "pages"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return simhash_vptree.near_duplicates(read_table(spark, d, "documents"), 3, 3)
+
+
+def op12_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resampling.resample(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")).drop("n_words")
+
+
+def op13_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, d, "embeddings"), 32)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op") and callable(fn)}

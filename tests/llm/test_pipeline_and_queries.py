@@ -12,7 +12,7 @@ from tools.check_oracle import TABLES, digest
 
 def test_registered():
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and set(sql.ORACLE) <= set(queries.queries())
 
 

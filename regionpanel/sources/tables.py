@@ -163,15 +163,20 @@ class Tables:
         a hot county over several files instead of one task. ``partitions``
         sets the number of write tasks; by default one for each 256 MB that
         the facts' input files hold, and ``spark.sql.shuffle.partitions`` at least.
+
+        A finished snapshot is never written over (``versions.SnapshotStore``
+        publishes a new one beside it); what a broken write left is.
         """
         dims = {
             "states": self.states, "counties": self.counties,
             "census_variables": self.census_variables, "questions": self.questions,
             "state_wide": self.state_wide,
         }
-        self.check_keys()
         spark = self.states.sparkSession
-        _delete(spark, f"{path}/{MANIFEST}")  # until the new one is written last, nothing here is a snapshot
+        if _exists(spark, f"{path}/{MANIFEST}"):
+            raise ValueError(f"{path} holds a finished snapshot; readers may be at work on it: write a new version "
+                             "(regionpanel.sources.versions.SnapshotStore)")
+        self.check_keys()
         for name, df in dims.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         if self.header_dictionary is not None:
@@ -278,11 +283,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p, fs = _path(spark, path)
-    fs.delete(p, True)
-
-
 def _check_columns(t: Tables) -> None:
     """A snapshot that misses a column, or holds one of another type, fails
     here, not half way through a job."""

@@ -50,7 +50,7 @@ RADIUS = 3
 #: fingerprints that shape the top tree, at most about
 SAMPLE = 1 << 17
 #: smallest and largest number of fingerprints a leaf of the top tree is planned for
-LEAF_LEAST, LEAF_MOST = 1 << 13, 1 << 20
+LEAF_LEAST, LEAF_MOST = 1 << 15, 1 << 20
 #: a block of so many is compared bit by bit
 BLOCK = 512
 #: distances in one slab of a comparison
@@ -268,7 +268,8 @@ def links(points: DataFrame, radius: int = RADIUS, leaf: int | None = None) -> D
     some = np.sort(np.array([r.f for r in drawn.collect()], np.int64)).view(_U)
     some = np.random.default_rng(5).permutation(some)
     nodes = spark.sparkContext.broadcast(grow(some, leaf * min(1.0, len(some) / max(n, 1)), radius))
-    return (points.select("f").mapInArrow(_place(nodes, radius), "shard int, f long")
+    # the table may lie in few files: its rows are dealt out, eight bytes each, before each goes to several shards
+    return (points.select("f").repartition(partitions(spark)).mapInArrow(_place(nodes, radius), "shard int, f long")
             .repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(_search(radius), "a long, b long"))
 
 
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, n_docs of its component."""
     prints = staged(fingerprints(docs, words, id_col, text_col), "prints")
     points = staged(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "points")
-    found = staged(components(links(points, radius, leaf)).select(F.col("id").alias("f"), "component"), "print-components")
+    found = staged(components(staged(links(points, radius, leaf), "print-links")).select(F.col("id").alias("f"), "component"), "print-components")
     placed = points.join(found, "f", "left").select("f", "least", "n", F.coalesce("component", "f").alias("c"))
     whole = placed.groupBy("c").agg(F.min("least").alias("component_id"), F.sum("n").alias("n_docs"))
     of = placed.select("f", "c").join(whole, "c").select("f", "component_id", "n_docs")

@@ -90,6 +90,40 @@ def merge_outer(left: DataFrame, right: DataFrame, on=("state_id", "county_id"))
     return left.join(right.drop(*shared), on, "full")
 
 
+def merge_all(blocks: list[DataFrame], on=("state_id", "county_id")) -> DataFrame:
+    """J7 over any number of blocks in ONE shuffle: what successive
+    ``merge_outer`` calls from left to right give for blocks with one row per key.
+
+    Every block becomes rows of (keys, block number, its own measures as one
+    struct, null in the place of every other block's); their union is grouped
+    by the keys once and the structs are opened again. A column that several
+    blocks have is taken from the first of them only (J9); a row that only
+    later blocks have keeps NULL there. Rows of NULL keys meet, as in the
+    reference's merge. A key twice in one block would multiply rows there; here
+    it fails the job."""
+    on = list(on)
+    if not blocks:
+        raise ValueError("no blocks to merge")
+    seen, owned = set(on), []
+    for b in blocks:
+        owned.append([c for c in b.columns if c not in seen])
+        seen.update(owned[-1])
+    bodies = [F.struct(*[qcol(c).alias(f"c{j}") for j, c in enumerate(cols)], F.lit(True).alias("here")) for cols in owned]
+    kinds = [b.select(body.alias("x")).schema["x"].dataType for b, body in zip(blocks, bodies)]
+    key = [f"_k{i}" for i in range(len(on))]
+    tagged = None
+    for i, b in enumerate(blocks):
+        rows = b.select(*[qcol(c).alias(k) for c, k in zip(on, key)],
+                        *[bodies[i].alias(f"_b{j}") if i == j else F.lit(None).cast(kind).alias(f"_b{j}") for j, kind in enumerate(kinds)])
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    merged = tagged.groupBy(*key).agg(*[x for j in range(len(blocks)) for x in (
+        F.first(f"_b{j}", ignorenulls=True).alias(f"_b{j}"), F.count(f"_b{j}").alias(f"_n{j}"))])
+    once = F.greatest(*[f"_n{j}" for j in range(len(blocks))], F.lit(0)) <= 1
+    checked = merged.where(F.when(once, F.lit(True)).otherwise(F.raise_error(F.lit(f"a block has two rows of one {', '.join(on)}")).cast("boolean")))
+    return checked.select(*[F.col(k).alias(c) for c, k in zip(on, key)],
+                          *[F.col(f"_b{i}.c{j}").alias(c) for i, cols in enumerate(owned) for j, c in enumerate(cols)])
+
+
 def attach_state(df: DataFrame, state_frame: DataFrame, on: str = "state_id") -> DataFrame:
     """State variables onto county rows; rows without state data kept."""
     shared = [c for c in state_frame.columns if c in set(df.columns) and c != on]

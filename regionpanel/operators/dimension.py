@@ -13,6 +13,8 @@ is left to shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +113,10 @@ def scoped_facts(facts: DataFrame, tables: Tables, scope: Scope) -> DataFrame:
     if keys is None:
         return facts
     return facts.join(F.broadcast(keys), "county_key", "left_semi")
+
+
+def by_county(tables: Tables, relation: str, scope: Scope, block) -> DataFrame:
+    """``block`` (facts -> one row per county) over a scoped fact relation: over
+    each of its parts that share no county, put together."""
+    parts = [block(scoped_facts(facts, tables, scope)) for facts in tables.county_parts(relation)]
+    return reduce(DataFrame.unionByName, parts)

@@ -9,6 +9,8 @@ export, and the same facts stamped into column metadata.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +46,25 @@ CATEGORY_LABELS = {
 RENAMES = {"Registration_Sum": "Drives_Sum"}
 
 
-def read_header_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with ``name`` and ``header`` columns (others ignored); file
-    order is kept in ``ordinal`` so that a later duplicate wins."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    missing = {"name", "header"} - set(raw.columns)
-    if missing:
-        raise ValueError(f"header dictionary lacks columns {sorted(missing)}")
-    return raw.select(F.monotonically_increasing_id().alias("ordinal"), "name", "header")
+def read_header_dictionary(spark: SparkSession, path) -> DataFrame:
+    """CSV files with ``name`` and ``header`` columns (others ignored).
+
+    ``path`` is a file, a folder or a list of files. ``ordinal`` says where an
+    entry stands - place of the file (in the list, else by its name), byte at
+    which the split starts, row in the split - so that a later duplicate wins
+    under any number of splits, tasks and files. Rows of one split are read in
+    order by one task, which numbers them."""
+    parts = []
+    for i, one in enumerate([path] if isinstance(path, str) else path):
+        raw = spark.read.option("header", True).option("multiLine", True).csv(one)
+        missing = {"name", "header"} - set(raw.columns)
+        if missing:
+            raise ValueError(f"header dictionary lacks columns {sorted(missing)}")
+        at = F.col("_metadata")
+        place = F.struct(F.lit(i).alias("given"), at["file_path"].alias("file"), at["file_block_start"].alias("start"),
+                         F.monotonically_increasing_id().alias("row"))
+        parts.append(raw.select(place.alias("ordinal"), "name", "header"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def header_lookup(dictionary: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from regionpanel.functions.keys import in_list, name_key, quote, select_sql, sql_lit, sum_sql, zero_fill_sql
 
-from regionpanel.operators.dimension import county_dimension, scoped_facts, sized_spine
+from regionpanel.operators.dimension import by_county, county_dimension, scoped_facts, sized_spine
 from regionpanel.operators import wide as wide_ops
 from regionpanel.operators.wide import pivot_by_key
 from regionpanel.plans.spec import Scope
@@ -128,7 +128,8 @@ def question_sums(tables: Tables, scope: Scope, category: str) -> DataFrame:
 def score_block(tables: Tables, scope: Scope, categories: list[str], suffix: str = SUFFIX) -> DataFrame:
     """county_key + ``<category><suffix>`` columns, zero-filled (A7 core)."""
     labels = {c: c + suffix for c in categories}
-    wide = pivot_by_key(category_responses(tables, scope, categories), "category", "value", labels, "sum")
+    wide = by_county(tables, "responses", scope, lambda r: pivot_by_key(
+        with_category(tables, r, in_list("category", categories)).select("county_key", "category", "value"), "category", "value", labels, "sum"))
     return select_sql(wide, ["county_key", *[zero_fill_sql(quote(lbl), lbl) for lbl in labels.values()]])
 
 
@@ -145,9 +146,9 @@ def score_wide(tables: Tables, scope: Scope, categories: list[str], suffix: str
 def question_cells(tables: Tables, scope: Scope, labels: dict[int, str], total: str | None = None) -> DataFrame:
     """county_key + one sum per chosen question (NULL = no response),
     plus the sum over all of them when ``total`` is given."""
-    r = scoped_facts(tables.responses, tables, scope).where(in_list("question_id", labels))
-    return pivot_by_key(r.select("county_key", "question_id", "value"), "question_id", "value", labels, "sum",
-                        total=total)
+    return by_county(tables, "responses", scope, lambda r: pivot_by_key(
+        r.where(in_list("question_id", labels)).select("county_key", "question_id", "value"), "question_id", "value", labels, "sum",
+        total=total))
 
 
 def question_matrix(tables: Tables, scope: Scope, labels: dict[int, str],
@@ -240,17 +241,19 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
         return None
 
     all_qids = sorted({q for _, labels in details for q in labels})
-    r = scoped_facts(tables.responses, tables, scope)
-    if sum_cats:
-        keep = in_list("category", sum_cats) | in_list("question_id", all_qids)
-        r = with_category(tables, r, keep).select("county_key", "question_id", "category", "value")
-    else:
-        r = (r.where(in_list("question_id", all_qids)).select("county_key", "question_id", "value")
-             .withColumn("category", F.lit(None).cast("string")))
+
+    def asked(r: DataFrame) -> DataFrame:
+        """Responses that some block needs, with their category where a sum needs it."""
+        if sum_cats:
+            keep = in_list("category", sum_cats) | in_list("question_id", all_qids)
+            return with_category(tables, r, keep).select("county_key", "question_id", "category", "value")
+        return (r.where(in_list("question_id", all_qids)).select("county_key", "question_id", "value")
+                .withColumn("category", F.lit(None).cast("string")))
 
     cat, qid = F.col("category"), F.col("question_id")
     wide_request = len(all_qids) > wide_ops.CONDITIONAL_LIMIT
     if wide_request:
+        r = asked(scoped_facts(tables.responses, tables, scope))
         # O(1) per response row: sums per (county, asked question) first, all
         # other questions of a summed category as one cell per category; both
         # aggregates below read these cells (one exchange, reused)
@@ -274,7 +277,7 @@ def response_blocks(tables: Tables, scope: Scope, spec_categories, suffix: str =
                  .select("county_key", "question_id", F.col("value").alias("_v")))
         return agg, sum_cats, details, cells
     aggs += [F.sum(F.when(qid == F.lit(q), val)).alias(f"_q{q}") for q in all_qids]
-    agg = r.groupBy("county_key").agg(*aggs)
+    agg = by_county(tables, "responses", scope, lambda r: asked(r).groupBy("county_key").agg(*aggs))
     return agg, sum_cats, details, None
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionpanel.functions.keys import in_list, name_key, qcol, quote, select_sql, sum_sql
-from regionpanel.operators.dimension import county_dimension, scoped_facts, sized_spine
+from regionpanel.operators.dimension import by_county, county_dimension, scoped_facts, sized_spine
 from regionpanel.plans.spec import Scope
 from regionpanel.sources.schema import META, MANDATORY_VARIABLES
 from regionpanel.sources.tables import Tables
@@ -123,10 +123,10 @@ def census_block(tables: Tables, scope: Scope, variables: dict[int, str], duplic
     ``duplicates="largest"`` asks to keep the largest."""
     if duplicates not in ("raise", "largest"):
         raise ValueError("duplicates must be 'raise' or 'largest'")
-    facts = scoped_facts(tables.census_facts, tables, scope)
-    facts = facts.where(in_list("variable_id", variables)).select("county_key", "variable_id", "value")
     labels = {vid: variable_label(vid, name) for vid, name in variables.items()}
-    return pivot_by_key(facts, "variable_id", "value", labels, "unique" if duplicates == "raise" else "max")
+    return by_county(tables, "census_facts", scope, lambda facts: pivot_by_key(
+        facts.where(in_list("variable_id", variables)).select("county_key", "variable_id", "value"),
+        "variable_id", "value", labels, "unique" if duplicates == "raise" else "max"))
 
 
 def census_wide(tables: Tables, scope: Scope, variables: dict[int, str], duplicates: str = "raise") -> DataFrame:

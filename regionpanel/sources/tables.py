@@ -13,12 +13,18 @@ Two ways in:
   ``write_snapshot``. There the two fact tables also carry ``state_key`` and
   are partitioned by the padded ``state_id``, so a state-scoped export
   reads only its states' files, and rows are range-clustered by county so that Parquet min/max
-  statistics skip row groups for county-scoped exports.
+  statistics skip row groups for county-scoped exports. With ``layout="bucketed"``
+  the facts are bucketed and sorted by ``county_key`` instead: an aggregate by
+  county then needs no exchange. Rows of *hot* counties (more than
+  ``HOT_BUCKETS`` average buckets each) lie apart, unbucketed, so that no
+  bucket holds one; they are aggregated as any frame is and put beside the rest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +60,8 @@ class Tables:
     strict_measures: bool = True
     # request-bounded dictionary lookups already collected (driver side)
     _memo: dict = field(default_factory=dict, compare=False, repr=False)
+    # bucketed layout: relation -> (its whole frame, frames without a common county)
+    _apart: dict = field(default_factory=dict, compare=False, repr=False)
 
     def memo(self, key, compute):
         """Cached small driver-side lookup (dictionary rows of one request).
@@ -150,9 +158,16 @@ class Tables:
             if twice:
                 raise ValueError(f"{name}: repeated {key} {sorted(str(r[key]) for r in twice)}")
 
+    def county_parts(self, name: str) -> list[DataFrame]:
+        """Frames that make up a fact relation and share no county: an
+        aggregate by county may be taken of each by itself."""
+        whole = getattr(self, name)
+        kept, parts = self._apart.get(name, (None, [whole]))
+        return parts if kept is whole else [whole]
+
     # -------------------------------------------------------------- snapshot
 
-    def write_snapshot(self, path: str, partitions: int | None = None) -> None:
+    def write_snapshot(self, path: str, partitions: int | None = None, layout: str = "state") -> None:
         """Write a canonical snapshot (Parquet).
 
         Facts get ``state_key`` by one join with the county dimension and are
@@ -164,6 +179,9 @@ class Tables:
         sets the number of write tasks; by default one for each 256 MB that
         the facts' input files hold, and ``spark.sql.shuffle.partitions`` at least.
 
+        ``layout="bucketed"`` writes the facts in that many buckets of
+        ``county_key`` instead (see the module's text).
+
         A finished snapshot is never written over (``versions.SnapshotStore``
         publishes a new one beside it); what a broken write left is.
         """
@@ -176,7 +194,10 @@ class Tables:
         if _exists(spark, f"{path}/{MANIFEST}"):
             raise ValueError(f"{path} holds a finished snapshot; readers may be at work on it: write a new version "
                              "(regionpanel.sources.versions.SnapshotStore)")
+        if layout not in ("state", "bucketed"):
+            raise ValueError("layout must be 'state' or 'bucketed'")
         self.check_keys()
+        notes = []
         for name, df in dims.items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
         if self.header_dictionary is not None:
@@ -192,13 +213,16 @@ class Tables:
             located = (facts.join(county_state, "county_key", "inner")
                        .withColumn("state_id", pad_code("state_key", STATE_WIDTH)))
             n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(facts) // WRITE_BYTES))
+            if layout == "bucketed":
+                notes += _write_bucketed(located, f"{path}/{name}", name, n)
+                continue
             (located
              .repartitionByRange(n, "state_id", "county_key", F.xxhash64(*facts.columns))
              .sortWithinPartitions("state_id", "county_key")
              .write.mode("overwrite").partitionBy("state_id")
              .parquet(f"{path}/{name}"))
         written = [*dims, "census_facts", "responses"] + (["header_dictionary"] if self.header_dictionary is not None else [])
-        spark.createDataFrame([(r,) for r in sorted(written)], "value string").coalesce(1).write.mode("overwrite") \
+        spark.createDataFrame([(r,) for r in sorted(written) + notes], "value string").coalesce(1).write.mode("overwrite") \
             .text(f"{path}/{MANIFEST}")
 
     @classmethod
@@ -238,11 +262,18 @@ class Tables:
             raise ValueError(f"{path} holds no finished snapshot (no {MANIFEST})")
         listed = {r.value for r in spark.read.text(f"{path}/{MANIFEST}").collect()}
         header = read("header_dictionary") if "header_dictionary" in listed else None
+        buckets = dict(note.split("=", 1)[1].split(":") for note in listed if note.startswith("buckets="))
+        apart = {}
+        for name in ("census_facts", "responses"):
+            parts = [read_facts(name)] if name not in buckets else _read_bucketed(spark, f"{path}/{name}", int(buckets[name]))
+            if f"hot={name}" in listed:
+                parts.append(read_facts(f"{name}_hot"))
+            apart[name] = (reduce(DataFrame.unionByName, parts), parts)
         t = cls(
             states=read("states"), counties=read("counties"),
-            census_variables=read("census_variables"), census_facts=read_facts("census_facts"),
-            questions=read("questions"), responses=read_facts("responses"),
-            state_wide=read("state_wide"), header_dictionary=header,
+            census_variables=read("census_variables"), census_facts=apart["census_facts"][0],
+            questions=read("questions"), responses=apart["responses"][0],
+            state_wide=read("state_wide"), header_dictionary=header, _apart=apart,
         )
         _check_columns(t)
         t.check_keys()
@@ -251,6 +282,43 @@ class Tables:
 
 MANIFEST = "manifest"
 WRITE_BYTES = 256 << 20
+#: a county with more rows than so many average buckets is hot
+HOT_BUCKETS = 2
+
+
+def _write_bucketed(facts: DataFrame, path: str, name: str, buckets: int) -> list[str]:
+    """Facts in ``buckets`` sorted buckets of county_key, hot counties beside them; notes for the manifest.
+
+    Fewer than ``buckets / HOT_BUCKETS`` counties can be hot, which bounds the
+    list that is broadcast. The table entry made for the write is dropped; the
+    files stay."""
+    import uuid
+
+    spark = facts.sparkSession
+    per_county = facts.groupBy("county_key").agg(F.count(F.lit(1)).alias("n"))
+    total = facts.count()
+    hot = [r.county_key for r in per_county.where(F.col("n") > HOT_BUCKETS * total / buckets).select("county_key").collect()]
+    cold = facts
+    if hot:
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], "county_key string"))
+        cold = facts.join(keys, "county_key", "left_anti")
+        hashed = F.xxhash64(*facts.columns)
+        (facts.join(keys, "county_key", "left_semi").repartitionByRange(buckets, "county_key", hashed)
+         .write.mode("overwrite").parquet(f"{path}_hot"))
+    table = f"regionpanel_write_{uuid.uuid4().hex}"
+    (cold.repartition(buckets, "county_key").write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "county_key").sortBy("county_key").saveAsTable(table))
+    spark.sql(f"DROP TABLE {table}")
+    return [f"buckets={name}:{buckets}"] + ([f"hot={name}"] if hot else [])
+
+
+def _read_bucketed(spark: SparkSession, path: str, buckets: int) -> list[DataFrame]:
+    """The bucketed files under a table entry of this session, which tells Spark how they lie."""
+    table = "regionpanel_" + hashlib.sha256(path.encode()).hexdigest()[:32]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY (county_key) SORTED BY (county_key) "
+              f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return [spark.table(table)]
 
 _REQUIRED = {
     "states": {"state_key": "string", "state_id": "string", "state_name": "string", "abbrev": "string"},

@@ -37,7 +37,7 @@ def exchanges_below_fact_aggregates(df):
                 if depth(up) < at:
                     at = depth(up)
                     above.append(up)
-                    if re.search(r"Aggregate\(key=\[county_key[^\]]*\], functions=\[(?!partial_)", up):
+                    if re.search(r"Aggregate\(keys=\[county_key[^\]]*\], functions=\[(?!partial_)", up):
                         break
             found.append(sum("Exchange" in x for x in above))
     return found

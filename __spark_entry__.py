@@ -522,6 +522,166 @@ def q_export_csv_roundtrip(spark, d):
     return spark.read.schema(df.schema).option("header", True).csv(path)
 
 
+def _fresh(spark, name):
+    import uuid
+
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_KEPT: dict = {}
+
+
+def _kept(spark, d, name, make):
+    """What ``make`` gives, once per session and data folder."""
+    key = (id(spark), spark.conf.get("spark.app.id", ""), d, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def q_snapshot_versions(spark, d):
+    """Two published versions (the second without responses up to 25): the first is read after the second is there."""
+    from dataclasses import replace
+
+    from regionpanel.sources.versions import SnapshotStore
+
+    def make():
+        store, t = SnapshotStore(spark, _fresh(spark, "versions")), _tables(spark, d)
+        store.publish_tables(t)
+        store.publish_tables(replace(t, responses=t.responses.where("value > 25"), _memo={}), based_on=1)
+        return store
+
+    store = _kept(spark, d, "versions", make)
+    one = lambda v: SC.score_wide(store.load(v), R.ALL_STATES, list(R.SUM_CATEGORIES)).withColumn("version", F.lit(v))
+    return one(1).unionByName(one(2))
+
+
+def q_export_bucketed(spark, d):
+    """The full export on a snapshot whose facts are bucketed by county."""
+    def make():
+        path = _fresh(spark, "bucketed")
+        _tables(spark, d).write_snapshot(path, layout="bucketed")
+        return Tables.load(spark, path)
+
+    t = _kept(spark, d, "bucketed", make)
+    return _by_id(t, export(t, R.state_full()))
+
+
+def _partial_cells(spark, d):
+    """Partial sums of the responses of orders before 1997, then two changes:
+    the later ones added, those of returned items withdrawn."""
+    from regionpanel.operators.partials import PartialStore
+
+    def make():
+        o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+        li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag")
+        r = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
+            K.strip_code("o_custkey").alias("county_key"), F.col("l_partkey").cast("long").alias("question_id"),
+            F.col("l_quantity").cast("double").alias("value"), (F.col("o_orderdate") < "1997-01-01").alias("early"), "l_returnflag")
+        store = PartialStore(spark, _fresh(spark, "partials"))
+        store.create(r.where("early"))
+        store.change("later", added=r.where("not early"))
+        store.change("returned", withdrawn=r.where("l_returnflag = 'R'"))
+        return store
+
+    return _kept(spark, d, "partials", make).read()
+
+
+def q_score_incremental(spark, d):
+    from regionpanel.operators import partials
+
+    return partials.score_wide(_tables(spark, d), _partial_cells(spark, d), R.ALL_STATES, list(R.SUM_CATEGORIES))
+
+
+def q_question_incremental(spark, d):
+    from regionpanel.operators import partials
+
+    t = _tables(spark, d)
+    return partials.question_long_dense(t, _partial_cells(spark, d), R.ALL_STATES, _matrix_labels(t))
+
+
+def q_merge_blocks(spark, d):
+    """Four blocks with clashing columns and rows that only later blocks have, in one shuffle."""
+    from regionpanel.operators.assemble import merge_all
+
+    t = _tables(spark, d)
+    return merge_all([W.census_wide(t, _MORE_STATES, _vars(t, [1, 11])), W.census_wide(t, R.ALL_STATES, _vars(t, [11, 12])),
+                      SC.score_wide(t, R.ALL_STATES, ["PROMO"]), SC.score_wide(t, _STATES, ["SMALL", "PROMO"])])
+
+
+def q_profile_states(spark, d):
+    """The extended profile of three states of a written export, from its stored sketches and one pass."""
+    from regionpanel.operators import sketches
+
+    def make():
+        df, path = _checkpointed_export(spark, d), _fresh(spark, "sketches")
+        sketches.write_sketches(df, path)
+        return df, spark.read.parquet(path)
+
+    df, kept = _kept(spark, d, "sketches", make)
+    return sketches.profile_from(df, kept, ["00", "03", "07"], quartiles=True, digits=6)
+
+
+def q_export_reuse(spark, d):
+    """A narrower request answered from the stored result of the full one."""
+    from regionpanel.plans.results import ResultStore
+    from regionpanel.plans.spec import ExportSpec
+
+    t = _tables(spark, d)
+
+    def make():
+        store = ResultStore(spark, _fresh(spark, "results"))
+        store.store(t, 1, R.state_full())
+        return store
+
+    narrow = ExportSpec(_MORE_STATES, (11, 12), (R.STATE_COLUMNS[1],), (R.full_categories()[0], R.full_categories()[2]), "Suburban")
+    return _by_id(t, _kept(spark, d, "results", make).answer(t, 1, narrow))
+
+
+def q_measure_rejects(spark, d):
+    """Facts with texts that are no numbers and without codes, told apart while they are written: observed and written counts."""
+    from regionpanel.sources.quarantine import OK, load_facts
+
+    stored = stored_relations(spark, d)
+    stored["census_facts"] = stored["census_facts"].withColumn("data", F.when(
+        (F.col("variable_id") == 43) & F.col("data").endswith("7"), F.concat(F.lit("about "), "data")).otherwise(F.col("data")))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_linenumber")
+    quantity = F.col("l_quantity").cast("string")
+    stored["responses"] = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.when(F.col("l_linenumber") != 5, F.col("o_custkey").cast("string")).alias("county_id"), F.col("l_partkey").cast("long").alias("question_id"),
+        F.when(F.col("l_returnflag") == "R", F.concat(quantity, F.lit(" units"))).otherwise(quantity).alias("value"))
+    loaded, refused, counts = load_facts(stored, _fresh(spark, "facts"))
+    seen = spark.createDataFrame([(r, why, n) for r, c in counts.items() for why, n in c.items() if n],
+                                 "relation string, reason string, n_observed long")
+    fine = [loaded[r].agg(F.lit(r).alias("relation"), F.lit(OK).alias("reason"), F.count(F.lit(1)).alias("n_written")) for r in counts]
+    written = fine[0].unionByName(fine[1]).unionByName(refused.groupBy("relation", "reason").agg(F.count(F.lit(1)).alias("n_written")))
+    return seen.join(written, ["relation", "reason"], "full")
+
+
+def q_export_download(spark, d):
+    """The download as one file, read back without its two header rows."""
+    from regionpanel.sources.sinks import write_download
+
+    t = _tables(spark, d)
+    df = _by_id(t, export(t, R.state_full(), labelled=True, ordered=False))
+    path = f"{_fresh(spark, 'download')}.csv"
+    write_download(df, path)
+    lines = spark.read.schema(", ".join(f"c{i} string" for i in range(len(df.columns)))).csv(path)
+    body = lines.where("c2 not in ('identifier', 'county_id', 'Other')")
+    return body.select(*[F.col(f"c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(df.schema.fields)])
+
+
+def q_header_files(spark, d):
+    """A header dictionary in two files of several splits: the second file's entries win."""
+    t = _tables(spark, d)
+    q, first, second = t.questions, _fresh(spark, "headers"), _fresh(spark, "headers")
+    (q.select(F.col("question").alias("name"), F.lit("Question").alias("header"))
+     .unionByName(q.select(F.col("category").alias("name"), F.lit("Category").alias("header"))).write.option("header", True).csv(first))
+    t.header_dictionary.select("name", "header").write.option("header", True).csv(second)
+    return headers.header_lookup(headers.read_header_dictionary(spark, [first, second]))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -471,3 +471,43 @@ UNION ALL SELECT 'profile', "column", median FROM ({profile_sql(False, export_sq
     "export_csv_roundtrip": export_sql(ALL),
     "export_snapshot_roundtrip": export_sql(ALL),
 }
+
+_JOINED = "FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+assert _JOINED in FIXTURE
+
+
+def _responses_where(sql: str, condition: str) -> str:
+    """The same query over the responses of some order lines only."""
+    return sql.replace(_JOINED, _JOINED[:-1] + f" WHERE {condition})")
+
+
+_MERGED = _with(_scope_spine(ALL),
+                census_wide_cte(ALL, [1, 11], "b1a"), census_wide_cte(ALL, [11, 12], "b2a"),
+                score_wide_cte(["PROMO"], "b3"), score_wide_cte(["SMALL", "PROMO"], "b4a")) + f"""
+SELECT * FROM (SELECT * FROM b1a WHERE state_id IN ('00', '03', '07')) b1
+FULL JOIN (SELECT * EXCLUDE (state_name, county_name, "11: Order value 1-URGENT") FROM b2a) b2 USING (state_id, county_id)
+FULL JOIN (SELECT * EXCLUDE (state_name, county_name) FROM b3) b3 USING (state_id, county_id)
+FULL JOIN (SELECT * EXCLUDE (state_name, county_name, "PROMO_Sum") FROM b4a WHERE state_id IN ('03', '07')) b4 USING (state_id, county_id)"""
+
+ORACLE |= {
+    "snapshot_versions": f"""SELECT *, 1 AS version FROM ({score_wide(ALL, R.SUM_CATEGORIES)})
+UNION ALL SELECT *, 2 FROM ({_responses_where(score_wide(ALL, R.SUM_CATEGORIES), "l_quantity > 25")})""",
+    "export_bucketed": export_sql(ALL),
+    "score_incremental": _responses_where(score_wide(ALL, R.SUM_CATEGORIES), "l_returnflag <> 'R'"),
+    "question_incremental": _responses_where(question_long_dense(ALL, R.MATRIX_QUESTIONS), "l_returnflag <> 'R'"),
+    "merge_blocks": _MERGED,
+    "profile_states": profile_sql(True, export_sql("state:N00, n03,N07")),
+    "export_reuse": export_sql_for("state:N00, n03,N07", [11, 12], [(R.DETAIL_CATEGORY, list(R.DETAIL_QUESTIONS))], ["SMALL"],
+                                   [R.STATE_COLUMNS[1]], "Suburban"),
+    "measure_rejects": _with() + """, z AS (
+  SELECT 'census_facts' AS relation, CASE WHEN variable_id = 43 AND data LIKE '%7' THEN 'not a number' ELSE 'ok' END AS reason FROM census_facts
+  UNION ALL
+  SELECT 'responses', CASE WHEN l_linenumber = 5 THEN 'no region code' WHEN l_returnflag = 'R' THEN 'not a number' ELSE 'ok' END
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT relation, reason, count(*) AS n_observed, count(*) AS n_written FROM z GROUP BY ALL""",
+    "export_download": export_sql(ALL),
+    "header_files": _with() + f"""SELECT key, arg_max(header, place) AS header FROM (
+  SELECT {_LABEL.replace('label', 'name')} AS key, header, ordinal + 1 AS place FROM header_dictionary
+  UNION ALL SELECT {_LABEL.replace('label', 'category')}, 'Category', 0 FROM questions
+  UNION ALL SELECT {_LABEL.replace('label', 'question')}, 'Question', -1 FROM questions) GROUP BY key""",
+}

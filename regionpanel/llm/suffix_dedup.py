@@ -10,21 +10,29 @@ in a document with a smaller id.
    one phrase, and equal windows have equal triggers at equal offsets, so
    phrases of repeated text are equal wherever it stands (prefix-free: phrases
    overlap by a window, none can be split differently in another context).
+   Equal phrases that follow each other (a long run of one byte, a short period)
+   are one record with a count.
 2. **Dictionary.**  Phrases are shuffled by trigger and sorted; equal phrases
    collapse to one dictionary entry with its first document.  All later
    occurrences (the parse) are repeats as a whole.
-3. **Windows of the dictionary.**  The windows of a phrase fall into
-   thirds by where they hold the trigger; the windows of a third share a core.
-   Only entries whose trigger and core another entry has too can share a
-   window with it; the windows of that third are grouped by equal 128-bit
-   hashes of their ``length`` bytes and each group's first document marks the
-   others.  This replaces suffix arrays of dictionary and parse: no order of
-   suffixes is built, since only equality to that depth is asked.
-
-Both shuffles move numpy blocks keyed by trigger or window hash; occurrences
-that a map task already sees in an earlier document of its own slice are
-marked there and not sent as keys, so a passage held by a third of the corpus
-costs one record per slice.  Nothing is collected, sampled or capped.
+3. **Suffixes of the dictionary.**  The windows of a phrase fall into thirds by
+   where they hold the trigger; the windows of a third share a core.  Only
+   entries whose trigger and core another entry has too can share a window with
+   it.  The bytes of such a third travel to the task of their (trigger, core);
+   there the suffixes that start in them are put into byte order to the depth of
+   ``length`` (a suffix array cut at that depth), which brings equal ones
+   together: all but those of the smallest document are repeats.  A third
+   travels and comes back as one record, whatever the number of tasks.
+4. **Corpus order.**  Every suffix of the corpus lies in one occurrence of one
+   phrase, so the marks of a dictionary entry hold where the entry occurs first
+   and the parse (step 2) gives its other occurrences.
+
+Suffixes are compared byte by byte; phrases by 64-bit hashes.  A (trigger,
+core) that over ``HOT`` thirds share is dealt out once more by the windows
+themselves.  A map task that has already met a phrase or a third in a smaller
+document marks it there and does not send it, so a passage held by a third of
+the corpus costs about one record a task.  Blocks are sorted by Spark and taken
+one destination at a time; nothing is collected, sampled or capped.
 
 Null text is empty; texts shorter than ``length`` keep all bytes; rows with a
 null id count as after all others; rows sharing an id never repeat each other;
@@ -48,13 +56,19 @@ _U = np.uint64
 LAST = (1 << 63) - 1
 BLOCK = "dest int, kind int, ids binary, body binary"
 THIRDS = ("x", "y", "z")
+#: thirds of one (trigger, core) that one task compares at most; bytes it compares at once
+HOT, CHUNK = 50_000, 4 << 20
+#: thirds that a map task remembers, and the bytes of phrase records meant for one destination
+SEEN, DEST_BYTES = 1 << 16, 32 << 20
 #: one phrase record: trigger, phrase hash, hashes of the cores of its window thirds (0: no window there),
-#: document, first start, number of further starts, offset of the trigger from the first start
+#: document, first start, number of further starts, offset of the trigger from the first start,
+#: how often the phrase follows itself
 PHRASE = np.dtype([("g", "<u4"), ("p", "<u8"), ("x", "<u2"), ("y", "<u2"), ("z", "<u2"), ("d", "<i4"), ("a", "<i4"),
-                   ("n", "<u2"), ("o", "<u2")])
+                   ("n", "<u2"), ("o", "<u2"), ("r", "<u4")])
+#: a third to be compared: its (trigger, core), first start, further starts, and how often it recurs at which step
+THIRD = np.dtype([("key", "<u8"), ("a", "<i4"), ("n", "<u2"), ("step", "<u2"), ("r", "<u4")])
 #: a document in a block: its id and a hash of its text
 DOC = np.dtype([("k", "<i8"), ("th", "<i4")])
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("d", "<i4"), ("a", "<i4")])
 RUN = np.dtype([("a", "<i4"), ("b", "<i4")])
 
 
@@ -107,7 +121,17 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int):
     out["a"] = a - offsets[doc[a]]
     out["n"] = e - a
     out["o"] = i - a
-    return out, gram[i]
+    again = np.zeros(len(out), bool)
+    again[1:] = (out["p"][1:] == out["p"][:-1]) & (out["g"][1:] == out["g"][:-1]) & (out["d"][1:] == out["d"][:-1]) \
+        & (out["n"][1:] == out["n"][:-1]) & (a[1:] == e[:-1] + 1)
+    lead = np.flatnonzero(~again)
+    out["r"][lead] = np.diff(np.append(lead, len(out))) - 1
+    return out[lead], gram[i][lead]
+
+
+def last_start(rec: np.ndarray) -> np.ndarray:
+    """Last start of each record, its repeats included."""
+    return rec["a"] + (rec["n"].astype(np.int64) + 1) * (rec["r"].astype(np.int64) + 1) - 1
 
 
 def merge_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,31 +245,41 @@ def _phrase_blocks(length: int, dests: int):
                 keep[order[smallest]] = True
                 if not keep.all():
                     seen = rec[~keep]
-                    yield _passing(_flags(own, seen["d"], seen["a"], seen["a"] + seen["n"], WHOLE), dests)
+                    yield _passing(_flags(own, seen["d"], seen["a"], last_start(seen), WHOLE), dests)
                 yield pa.RecordBatch.from_pydict(_blocks(rec[keep], trigger[keep], own, dests), _BLOCK)
     return run
 
 
-def _gather(batches, dtype):
-    """All records of a task's blocks, with their documents renumbered, and the marks passing through."""
+def _destinations(batches):
+    """The blocks of one destination at a time, from rows sorted by it: (records,
+    their documents, marks that pass through)."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if row[0] != at and rows:
+                yield _joined(rows)
+                rows = []
+            at = row[0]
+            rows.append(row)
+    if rows:
+        yield _joined(rows)
+
+
+def _joined(rows):
     records, ids, base = [], [], 0
     passed = {"k": [], "th": [], "kind": [], "runs": []}
-    for batch in batches:
-        rows = batch.to_pydict()
-        for kind, doc_ids, body in zip(rows["kind"], rows["ids"], rows["body"]):
-            own = np.frombuffer(doc_ids, DOC)
-            if kind:
-                passed["k"].append(int(own["k"][0]))
-                passed["th"].append(int(own["th"][0]))
-                passed["kind"].append(kind)
-                passed["runs"].append(body)
-                continue
-            rec = _unpack(body, dtype)
-            rec["d"] += base
-            base += len(own)
-            records.append(rec)
-            ids.append(own)
-    rec = np.concatenate(records) if records else np.zeros(0, dtype)
+    for _, kind, doc_ids, body in rows:
+        own = np.frombuffer(doc_ids, DOC)
+        if kind:
+            for name, value in zip(passed, (int(own["k"][0]), int(own["th"][0]), kind, body)):
+                passed[name].append(value)
+            continue
+        rec = _unpack(body, PHRASE)
+        rec["d"] += base
+        base += len(own)
+        records.append(rec)
+        ids.append(own)
+    rec = np.concatenate(records) if records else np.zeros(0, PHRASE)
     return rec, np.concatenate(ids) if ids else np.zeros(0, DOC), passed
 
 
@@ -265,59 +299,165 @@ def _shared(g: np.ndarray, half: np.ndarray, phrase: np.ndarray, entry: np.ndarr
     return out
 
 
+def _packed(ids: np.ndarray, d: np.ndarray, records: np.ndarray, kind: int) -> pa.RecordBatch:
+    """One row for each document with its records."""
+    order = np.argsort(d, kind="stable")
+    d, records = d[order], records[order]
+    cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+    docs = d[cuts]
+    at = (np.append(cuts, len(d)) * records.dtype.itemsize).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(records.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(ids["k"][docs]), pa.array(ids["th"][docs]),
+                                       pa.array(np.full(len(docs), kind, np.int32)), blobs], schema=_FLAGS)
+
+
 def _dictionary(length: int):
     def run(batches):
-        rec, ids, passed = _gather(batches, PHRASE)
-        if passed["k"]:
-            yield pa.RecordBatch.from_pydict(passed, _FLAGS)
-        if not len(rec):
-            return
-        order, group, smallest = _first_docs((rec["g"], rec["p"]), ids["k"][rec["d"]])
-        rec = rec[order]
-        a, b = rec["a"], rec["a"] + rec["n"]
-        if not smallest.all():
-            yield _flags(ids, rec["d"][~smallest], a[~smallest], b[~smallest], WHOLE)
-        for t, name in enumerate(THIRDS):
-            lo, hi = third(t, length)
-            mask = _shared(rec["g"], rec[name], group, smallest)
-            if mask.any():
-                trigger = a[mask] + rec["o"][mask].astype(np.int32)
-                yield _flags(ids, rec["d"][mask], np.maximum(a[mask], trigger - hi), np.minimum(b[mask], trigger - lo), SUFFIXES)
+        for rec, ids, passed in _destinations(batches):
+            if passed["k"]:
+                yield pa.RecordBatch.from_pydict(passed, _FLAGS)
+            if not len(rec):
+                continue
+            order, group, smallest = _first_docs((rec["g"], rec["p"]), ids["k"][rec["d"]])
+            rec = rec[order]
+            if not smallest.all():
+                later = rec[~smallest]
+                yield _flags(ids, later["d"], later["a"], last_start(later), WHOLE)
+            for t, name in enumerate(THIRDS):
+                lo, hi = third(t, length)
+                mask = _shared(rec["g"], rec[name], group, smallest)
+                if mask.any():
+                    some = rec[mask]
+                    trigger = some["a"] + some["o"].astype(np.int32)
+                    out = np.empty(len(some), THIRD)
+                    out["key"] = T.mix((some["g"].astype(np.uint64) << _U(32)) | (some[name].astype(np.uint64) << _U(2)) | _U(t))
+                    out["a"] = np.maximum(some["a"], trigger - hi)
+                    out["n"] = np.minimum(some["a"] + some["n"].astype(np.int32), trigger - lo) - out["a"]
+                    out["step"], out["r"] = some["n"] + 1, some["r"]
+                    yield _packed(ids, some["d"], out, SUFFIXES)
     return run
 
 
-def _window_blocks(length: int, dests: int):
+RUNS = "key long, k long, th int, a int, n int, step int, r int, body binary"
+_RUNS = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("th", pa.int32()), ("a", pa.int32()), ("n", pa.int32()),
+                   ("step", pa.int32()), ("r", pa.int32()), ("body", pa.binary())])
+
+
+class _Sent:
+    """Thirds on their way out of a map task; one that a smaller document had there is marked instead (n = -1)."""
+
+    def __init__(self):
+        self.seen: dict = {}
+
+    def rows(self, thirds):
+        out = {name: [] for name in _RUNS.names}
+        for key, k, th, a, n, step, r, body in thirds:
+            first = self.seen.get(body)
+            if first is not None and first < k:
+                starts = a + np.arange(r + 1, dtype=np.int64) * step
+                runs = merge_runs(starts, starts + n)
+                n, body = -1, runs.tobytes()
+            elif first is None or k < first:
+                if len(self.seen) >= SEEN:
+                    self.seen.clear()
+                self.seen[body] = k
+            for name, value in zip(out, (key, k, th, a, n, step, r, body)):
+                out[name].append(value)
+        return pa.RecordBatch.from_pydict(out, _RUNS)
+
+
+def _thirds(length: int):
+    """The bytes of the thirds to be compared."""
     def run(batches):
+        sent = _Sent()
         for batch in batches:
             data, offsets = T.text_column(batch)
             checks = batch.column(batch.schema.get_field_index("check")).to_pylist()
             ids = _docs(batch)
-            for i, j in T.slices(offsets, 4 * T.SLICE_BYTES):
-                part, off = T.slice_text(data, offsets, i, j)
-                prefix = T.prefix_hash(T.BYTE_CODES[part])
-                again = T.prefix_hash(T.mix(T.BYTE_CODES[part]))
-                starts, docs = [], []
-                for d in range(i, j):
-                    runs = merge_runs(*_run_columns(checks[d] or ()))
-                    for a, b in runs:
-                        starts.append(np.arange(a, b + 1))
-                        docs.append(np.full(b - a + 1, d - i))
-                if not starts:
+
+            def of_batch():
+                for d in np.argsort(ids["k"], kind="stable").tolist():
+                    text, k, th = data[offsets[d]:offsets[d + 1]], int(ids["k"][d]), int(ids["th"][d])
+                    rec = np.frombuffer(b"".join(checks[d] or ()), THIRD)
+                    for key, a, n, step, r in zip(rec["key"].astype(np.int64).tolist(), rec["a"].tolist(), rec["n"].tolist(),
+                                                  rec["step"].tolist(), rec["r"].tolist()):
+                        yield key, k, th, a, n, step, r, text[a:a + n + length].tobytes()
+
+            yield sent.rows(of_batch())
+    return run
+
+
+def _single_windows(length: int):
+    """Thirds as single windows, each keyed by itself."""
+    def run(batches):
+        sent = _Sent()
+        for batch in batches:
+            def of_batch():
+                for key, k, th, a, n, step, r, body in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                    for at in range(n + 1):
+                        window = body[at:at + length]
+                        own = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True)
+                        yield own, k, th, a + at, 0, step, r, window
+            yield sent.rows(of_batch())
+    return run
+
+
+def suffix_order(bodies: np.ndarray, starts: np.ndarray, length: int, k: np.ndarray):
+    """(order, marks): the suffixes from ``starts`` in byte order to the depth of ``length``,
+    equal ones by document, and which of them have an equal one in a smaller document."""
+    width = -(-length // 8) * 8
+    depth = np.zeros((len(starts), width), np.uint8)
+    depth[:, :length] = np.lib.stride_tricks.sliding_window_view(bodies, length)[starts]
+    words = depth.view(">u8").astype(np.uint64)
+    order = np.lexsort((k, *words.T[::-1]))
+    words = words[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (words[1:] != words[:-1]).any(1)
+    first = np.flatnonzero(new)
+    least = k[order][first]
+    return order, k[order] > least[np.cumsum(new) - 1]
+
+
+def _compared(length: int):
+    """Rows sorted by key: the starts whose suffix a smaller document has too."""
+    def compare(rows):
+        k, th, a, n, step, r = (np.array([x[i] for x in rows], np.int64) for i in range(1, 7))
+        sizes = np.array([len(x[7]) for x in rows], np.int64)
+        row = np.repeat(np.arange(len(rows)), n + 1)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+        starts = np.repeat(np.cumsum(sizes) - sizes, n + 1) + within
+        order, marked = suffix_order(np.frombuffer(b"".join(x[7] for x in rows), np.uint8), starts, length, k[row])
+        found = np.sort(order[marked])
+        if len(found):
+            again = r[row[found]] + 1
+            which = np.repeat(found, again)
+            turn = np.arange(len(which)) - np.repeat(np.cumsum(again) - again, again)
+            at = a[row[which]] + within[which] + turn * step[row[which]]
+            ids = np.empty(len(rows), DOC)
+            ids["k"], ids["th"] = k, th
+            ids, doc = np.unique(ids, return_inverse=True)
+            yield _flags(ids, doc[row[which]], at, at, WHOLE)
+
+    def run(batches):
+        rows, size, at = [], 0, None
+        passed = {name: [] for name in _FLAGS.names}
+        for batch in batches:
+            for x in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if x[4] < 0:
+                    for name, value in zip(passed, (x[1], x[2], WHOLE, x[7])):
+                        passed[name].append(value)
                     continue
-                rec = np.empty(sum(map(len, starts)), WINDOW)
-                rec["a"], rec["d"] = np.concatenate(starts), np.concatenate(docs)
-                at = off[rec["d"]] + rec["a"]
-                rec["h1"] = T.range_hash(prefix, at, at + length)
-                rec["h2"] = T.range_hash(again, at, at + length)
-                own = ids[i:j]
-                order, _, smallest = _first_docs((rec["h1"], rec["h2"]), own["k"][rec["d"]])
-                keep = np.zeros(len(rec), bool)
-                keep[order[smallest]] = True
-                if not keep.all():
-                    seen = rec[~keep]
-                    yield _passing(_flags(own, seen["d"], seen["a"], seen["a"], WHOLE), dests)
-                sent = rec[keep]
-                yield pa.RecordBatch.from_pydict(_blocks(sent, sent["h1"], own, dests), _BLOCK)
+                if size >= CHUNK and x[0] != at:
+                    yield from compare(rows)
+                    rows, size = [], 0
+                at = x[0]
+                rows.append(x)
+                size += (x[4] + 1) * length
+            if passed["k"]:
+                yield pa.RecordBatch.from_pydict(passed, _FLAGS)
+                passed = {name: [] for name in _FLAGS.names}
+        if rows:
+            yield from compare(rows)
     return run
 
 
@@ -326,19 +466,6 @@ def _run_columns(blobs):
     return runs["a"], runs["b"]
 
 
-def _suffix_runs(batches):
-    rec, ids, passed = _gather(batches, WINDOW)
-    if passed["k"]:
-        yield pa.RecordBatch.from_pydict(passed, _FLAGS)
-    if not len(rec):
-        return
-    order, _, smallest = _first_docs((rec["h1"], rec["h2"]), ids["k"][rec["d"]])
-    rec = rec[order]
-    if not smallest.all():
-        later = rec[~smallest]
-        yield _flags(ids, later["d"], later["a"], later["a"], WHOLE)
-
-
 def _per_doc(flags: DataFrame, kind: int, name: str) -> DataFrame:
     return flags.where(F.col("kind") == kind).groupBy("k", "th").agg(F.collect_list("runs").alias(name))
 
@@ -348,20 +475,27 @@ def repeated_runs(docs: DataFrame, length: int, id_col: str = "doc_id", text_col
     ``length``-byte strings that also start in a document with a smaller id."""
     spark = docs.sparkSession
     python_batches(spark)
-    dests = 2 * partitions(spark)
+    n = partitions(spark)
+    # the scan's size, times what compression saves and records add: it shapes the blocks only
+    expected = 4 * int(str(docs.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    dests = n * min(1 << 10, max(2, -(-expected // (n * DEST_BYTES))))
     keyed = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("k"),
         F.hash(F.col(text_col)).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     with_text = keyed.select("k", "th", F.col(f"row.{text_col}").alias("text"))
     flags = staged(
         with_text.mapInArrow(_phrase_blocks(length, dests), BLOCK)
-        .repartition(partitions(spark), "dest")
+        .repartition(n, "dest").sortWithinPartitions("dest")
         .mapInArrow(_dictionary(length), FLAGS), "phrase-flags")
-    windows = staged(
+    thirds = staged(
         with_text.join(_per_doc(flags, SUFFIXES, "check"), ["k", "th"]).select("k", "th", "text", "check")
-        .mapInArrow(_window_blocks(length, dests), BLOCK)
-        .repartition(partitions(spark), "dest")
-        .mapInArrow(_suffix_runs, FLAGS), "window-flags")
+        .mapInArrow(_thirds(length), RUNS), "thirds")
+    hot = staged(thirds.where("n >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HOT).select("key"), "hot-thirds")
+    asked = thirds
+    if not hot.isEmpty():
+        single = thirds.where("n >= 0").join(hot, "key", "left_semi").select(*_RUNS.names).mapInArrow(_single_windows(length), RUNS)
+        asked = thirds.where("n < 0").unionByName(thirds.where("n >= 0").join(hot, "key", "left_anti").select(*_RUNS.names)).unionByName(single)
+    windows = staged(asked.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared(length), FLAGS), "window-flags")
     runs = _per_doc(flags.unionByName(windows), WHOLE, "_runs")
     return keyed.join(runs, ["k", "th"], "left").select("row.*", F.coalesce("_runs", F.array()).alias("_runs"))
 

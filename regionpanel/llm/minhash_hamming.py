@@ -21,13 +21,18 @@ few in 100,000 at exactly the threshold (far less above it).
    random order in each of ``ROUNDS`` rounds, and a document is compared with
    its next neighbour of another component in two of its keys.  Signature distance first (``REACH``), then
    links are confirmed on the full sets with 100 * intersection >= 80 * union.
-   Only where a key still holds several components are signatures of members
-   of different components compared, in blocks of at most ``BLOCK`` rows a
-   side that are dealt out by key and block pair; a pair comes out once, at
-   the first key it shares, and only within reach.  A group of thousands of
-   copies thus makes rows for a few neighbours and near pairs, not for its square, and no
-   component is lost.
-4. Components by contraction with hashed priorities (a few joins, each round
+   A round compares two pairs a document, however large its group.
+4. **What is left.**  Members of keys that still hold several components form
+   *zones* (chains of shared keys).  In a zone only *stragglers* - all but the
+   members of its largest component - can have missed a link, so stragglers are
+   held against all members, in cells of at most ``BLOCK`` rows or
+   ``BLOCK_BYTES`` bytes a side, dealt out by zone and block pair: a row travels
+   once for each block of the other side, not once for each key.  A task tests
+   shared key, long signature and full sets in turn, skips pairs that are joined
+   already and sends one link for each component it joins: no row is made for a
+   pair, so a group of thousands of near copies makes rows in proportion to its
+   size, and no component is lost.
+5. Components by contraction with hashed priorities (a few joins, each round
    written to the shared folder).
 
 Null or empty text: no shingles, linked with nothing.  Fewer than ``k`` words:
@@ -53,6 +58,8 @@ RADIUS = 2 * CHUNKS - 1
 LONG = 800
 REACH = 204
 BLOCK = 1000
+#: bytes of one side of a cell, signatures and sets
+BLOCK_BYTES = 32 << 20
 ROUNDS = 3
 SALTS = 8
 #: first symbol of each chunk
@@ -153,61 +160,102 @@ def _full_sets(k: int):
     return run
 
 
-def _first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of the first key that each row of ``a`` and ``b`` share."""
+def _share_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each row of ``a`` and ``b`` agrees in some chunk but for one symbol at most."""
     wrong = a != b
-    out = np.full(len(a), -1)
-    for c in range(CHUNKS - 1, -1, -1):
-        part = wrong[:, BORDERS[c]:BORDERS[c + 1]]
-        errors = part.sum(1)
-        out = np.where(errors == 0, BORDERS[c], np.where(errors == 1, BORDERS[c] + part.argmax(1), out))
-    return out
-
+    return np.stack([wrong[:, BORDERS[c]:BORDERS[c + 1]].sum(1) <= 1 for c in range(CHUNKS)], 1).any(1)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets of distinct values pass den * intersection >= num * union."""
+    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common * den >= num * (len(both) - common)
+
+
+class _Roots:
+    """Components of a cell's rows, numbered by what the rows came with."""
+
+    def __init__(self, c):
+        self.up = {x: x for x in c}
+
+    def of(self, x):
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+
+def _cell_links(rows: dict, num: int, den: int):
+    """Links between stragglers and members of one cell that join components."""
+    roots, c = _Roots(rows["c"].tolist()), rows["c"].tolist()
+    ids, short, long, sets = rows["id"], rows["sig"], rows["long"], rows["shingles"]
+    members = np.flatnonzero(~rows["straggler"])
+    links = []
+    for s in np.flatnonzero(rows["straggler"]).tolist():
+        apart = members[(ids[members] != ids[s]) & np.array([roots.of(c[m]) != roots.of(c[s]) for m in members.tolist()], bool)]
+        for at in range(0, len(apart), 4096):
+            some = apart[at:at + 4096]
+            some = some[_share_key(short[some], short[s:s + 1])]
+            distance = (long[some] != long[s:s + 1]).sum(1)
+            some = some[np.argsort(distance, kind="stable")[:int((distance <= REACH).sum())]]
+            mine = np.frombuffer(sets[s], np.uint64)
+            for m in some.tolist():
+                x, y = roots.of(c[s]), roots.of(c[m])
+                if x != y and _similar(mine, np.frombuffer(sets[m], np.uint64), num, den):
+                    roots.up[max(x, y)] = min(x, y)
+                    links.append((int(ids[s]), int(ids[m])))
+    if links:
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _cells(num: int, den: int):
+    """Rows sorted by (zone, mb, sb): a cell's members and stragglers together."""
+    def of(held):
+        whole = pa.Table.from_batches(held)
+        col = lambda n: whole.column(n).combine_chunks()
+        yield from _cell_links({"id": col("id").to_numpy(), "c": col("c").to_numpy(), "straggler": col("straggler").to_numpy(zero_copy_only=False),
+                                "sig": _matrix(col("sig"), SYMBOLS), "long": _matrix(col("long"), LONG), "shingles": col("shingles").to_pylist()}, num, den)
 
-def _pairs_of(group: dict):
-    """Pairs of one block pair that differ in component, are in reach and share this key first."""
-    order = np.argsort(group["id"], kind="stable")
-    ids, c, side = group["id"][order], group["c"][order], group["side"][order]
-    short, long, no = group["sig"][order], group["long"][order], group["no"][0]
-    step = max(1, (16 << 20) // (LONG * max(len(ids), 1)))
-    for i in range(0, len(ids), step):
-        j = min(i + step, len(ids))
-        ask = (c[i:j, None] != c[None, :]) & (ids[i:j, None] < ids[None, :])
-        if group["two"]:
-            ask &= side[i:j, None] != side[None, :]
-        x, y = np.nonzero(ask)
-        for at in range(0, len(x), 1 << 15):
-            p, q = x[at:at + (1 << 15)] + i, y[at:at + (1 << 15)]
-            near = (long[p] != long[q]).sum(1) <= REACH
-            p, q = p[near], q[near]
-            first = _first_key(short[p], short[q]) == no
-            if first.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[p[first]]), pa.array(ids[q[first]])], names=["a", "b"])
-
-
-def _across(batches):
-    """Rows sorted by (key, g1, g2); one group is at most two blocks of about ``BLOCK`` rows."""
-    held, at = [], None
-
-    def flush():
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))).tolist() + [len(key)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                now = tuple(key[lo])
+                if now != at and held:
+                    yield from of(held)
+                    held = []
+                at = now
+                held.append(batch.slice(lo, hi - lo))
         if held:
-            whole = pa.Table.from_batches(held)
-            col = lambda n: whole.column(n).combine_chunks()
-            yield from _pairs_of({"id": col("id").to_numpy(), "c": col("c").to_numpy(), "side": col("side").to_numpy(),
-                                  "no": col("no").to_numpy(), "sig": _matrix(col("sig"), SYMBOLS), "long": _matrix(col("long"), LONG),
-                                  "two": at[1] != at[2]})
-            held.clear()
+            yield from of(held)
+    return run
 
-    for batch in batches:
-        key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-        cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))).tolist() + [len(key)]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            now = tuple(key[lo])
-            if now != at:
-                yield from flush()
-                at = now
-            held.append(batch.slice(lo, hi - lo))
-    yield from flush()
+
+def _zone_cells(mixed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(zone, mb, sb, id, c, straggler) from the (key, id, c) rows of keys with several components."""
+    order = Window.partitionBy("key").orderBy("id")
+    chain = mixed.select(F.col("id").alias("a"), F.lead("id").over(order).alias("b")).where(F.col("b").isNotNull()).distinct()
+    zones = components(staged(chain, "chain")).select("id", F.col("component").alias("zone"))
+    members = staged(mixed.select("id", "c").distinct().join(zones, "id").join(classes.select("id", "n_shingles"), "id")
+                     .select("zone", "id", "c", (F.col("n_shingles") * 8 + SYMBOLS + LONG).alias("bytes")), "zone-members")
+    sizes = members.groupBy("zone", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    most = F.max_by(F.struct("c", "n", "bytes"), F.struct("n", "c"))
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    zone = sizes.groupBy("zone").agg(most.alias("giant"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select(
+        "zone", F.col("giant.c").alias("giant"), parts(F.col("n"), F.col("bytes")).alias("of_m"),
+        parts(F.col("n") - F.col("giant.n"), F.col("bytes") - F.col("giant.bytes")).alias("of_s"))
+    dealt = members.join(zone, "zone").withColumn("straggler", F.col("c") != F.col("giant"))
+    every = dealt.select("zone", F.pmod(F.xxhash64("id"), "of_m").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("of_s") - 1)).alias("sb"),
+                         "id", "c", F.lit(False).alias("straggler"))
+    asking = dealt.where("straggler").select("zone", F.explode(F.sequence(F.lit(0), F.col("of_m") - 1)).alias("mb"),
+                                             F.pmod(F.xxhash64("id"), "of_s").cast("int").alias("sb"), "id", "c", F.lit(True).alias("straggler"))
+    return every.unionByName(asking)
 
 
 def _confirm(num: int, den: int):
@@ -215,24 +263,17 @@ def _confirm(num: int, den: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) * den < num * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common * den >= num * (len(both) - common))
+                keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
     return run
 
 
-def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int, in_reach: bool = False) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) within reach whose full sets pass the threshold."""
     sig = sets.select(F.col("id").alias("a"), F.col("long").alias("sa"))
     other = sets.select(F.col("id").alias("b"), F.col("long").alias("sb"))
-    near = staged(pairs if in_reach else pairs.join(sig, "a").join(other, "b").select("a", "b", "sa", "sb")
+    near = staged(pairs.join(sig, "a").join(other, "b").select("a", "b", "sa", "sb")
                   .mapInArrow(_near, "a long, b long"), "near-pairs")
     links = staged(
         near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
@@ -283,12 +324,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     sketch = staged(sketches(docs, k, id_col, text_col), "sketches")
     classes = staged(
         sketch.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).select("id", "sig"), "classes")
+        .agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).select("id", "sig", "n_shingles"), "classes")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     by_key = Window.partitionBy("key")
     members = staged(
-        classes.mapInArrow(_keys, "key long, id long, no int").repartition(n, "key")
+        classes.select("id", "sig").mapInArrow(_keys, "key long, id long, no int").repartition(n, "key")
         .select("key", "id", "no", F.min("id").over(by_key).alias("least"), F.count("id").over(by_key).alias("n"))
         .where("n > 1"), "members")
     # one shuffle of the texts, at every size: the full sets of all documents that meet another one
@@ -311,20 +352,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             order = Window.partitionBy("key").orderBy(F.xxhash64("key", "id", F.lit(turn)))
             placed = placed.withColumn("next", F.lead("id").over(order)).withColumn("nc", F.lead("c").over(order))
         kept = staged(placed, "mixed")
-        if last:  # what is left is compared across components
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            side = F.pmod(F.hash("id"), blocks)
-            dealt = (kept.select("key", "no", "id", "c", side.alias("side"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-                     .select("key", F.least("side", "other").alias("g1"), F.greatest("side", "other").alias("g2"), "no", "id", "c", "side"))
-            pairs = (dealt.join(classes, "id").join(sets.select("id", "long"), "id")
-                     .select("key", "g1", "g2", "no", "id", "c", "side", "sig", "long")
-                     .repartition(n, "key", "g1", "g2").sortWithinPartitions("key", "g1", "g2").mapInArrow(_across, "a long, b long"))
+        if last:  # what is left: stragglers against all members of their zones
+            more = staged(
+                _zone_cells(kept, classes).join(classes.select("id", "sig"), "id").join(sets, "id")
+                .select("zone", "mb", "sb", "id", "c", "straggler", "sig", "long", "shingles")
+                .repartition(n, "zone", "mb", "sb").sortWithinPartitions("zone", "mb", "sb").mapInArrow(_cells(num, den), "a long, b long"), "last-links")
         else:
             draw = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "next")
             drawn = kept.where("c <> nc").groupBy("id").agg(F.min(draw).alias("x"), F.max(draw).alias("y"))
-            pairs = (drawn.select("id", F.explode(F.array("x.next", "y.next")).alias("next"))
-                     .select(F.least("next", "id").alias("a"), F.greatest("next", "id").alias("b")).distinct())
-        more = _links(sets, pairs, num, den, in_reach=last)
+            more = _links(sets, drawn.select("id", F.explode(F.array("x.next", "y.next")).alias("next"))
+                          .select(F.least("next", "id").alias("a"), F.greatest("next", "id").alias("b")).distinct(), num, den)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = staged(components(links), "found")

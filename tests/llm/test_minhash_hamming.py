@@ -99,3 +99,55 @@ def test_dropping_keeps_one_of_a_group(spark):
     ids = [r.doc_id for r in out.collect()]
     assert 1 in ids and 2 not in ids and ids.count(None) == 2
     assert set(out.columns) == set(cases.docs(spark).columns)
+
+
+def near_group(n, seed=0):
+    """A group of near copies around the threshold: many keys hold several components."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(500)]
+    base = [rng.choice(vocab) for _ in range(100)]
+    return [" ".join(rng.choice(vocab) if rng.random() < 0.07 else w for w in base) for _ in range(n)]
+
+
+@pytest.mark.parametrize("block,size", [(1000, 32 << 20), (9, 32 << 20), (1000, 20_000)])
+def test_stragglers_against_their_zone(spark, monkeypatch, block, size):
+    monkeypatch.setattr(M, "ROUNDS", 1)
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "BLOCK_BYTES", size)
+    texts = near_group(70) + near_group(40, 1)
+    assert run(cases.plain(spark, texts), 2) == brute(list(enumerate(texts, 1)), 2)
+
+
+def test_rows_follow_the_group_not_its_square(spark, monkeypatch):
+    rows, cells = [], M._zone_cells
+    links, staged = [], M.staged
+
+    def counting(mixed, classes):
+        out = cells(mixed, classes)
+        rows.append(out.count())
+        return out
+
+    def watching(df, name):
+        out = staged(df, name)
+        if name in ("near-pairs", "last-links"):
+            links.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "_zone_cells", counting)
+    monkeypatch.setattr(M, "staged", watching)
+    made = []
+    for n in (150, 300):
+        rows.clear(), links.clear()
+        M.near_duplicates(cases.plain(spark, near_group(n)), 2).collect()
+        made.append((sum(rows), sum(links)))
+    (r1, l1), (r2, l2) = made
+    assert r2 <= 2.6 * r1 + 50 and l2 <= 2.6 * l1 + 50 and r2 <= 3 * 300 and l2 <= 9 * 300
+
+
+def test_recall_at_the_threshold(spark):
+    """Every pair at 0.8 or more similarity, found by all pairs of sets, is in one component."""
+    texts = near_group(250, 3)
+    sets = [shingle_set(t, 2) for t in texts]
+    component = {r.doc_id: r.component_id for r in M.near_duplicates(cases.plain(spark, texts), 2).collect()}
+    pairs = [(i, j) for i in range(250) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(pairs) > 200 and all(component[i + 1] == component[j + 1] for i, j in pairs)

@@ -682,6 +682,33 @@ def q_header_files(spark, d):
     return headers.header_lookup(headers.read_header_dictionary(spark, [first, second]))
 
 
+def q_catalogue_search_index(spark, d):
+    """Where the questions hold some texts of one to many characters, from the trigram index."""
+    from regionpanel.operators import search
+
+    def make():
+        path = _fresh(spark, "trigrams")
+        search.write_index(_tables(spark, d).questions, path, "question_id", "question")
+        return search.read_index(spark, path)
+
+    index = _kept(spark, d, "trigrams", make)
+    out = None
+    for q in R.SEARCH_TEXTS:
+        one = search.search_places(index, q).select(F.lit(q).alias("query"), F.col("id").alias("question_id"), "first_place", "n_places")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_long_list_facts(spark, d):
+    """Facts of a list of counties taken as too long to broadcast: Bloom filter at the scan, then the semi join."""
+    from regionpanel.operators import dimension
+
+    t = _tables(spark, d)
+    ids = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal < 0").select(K.strip_code("c_custkey").alias("county_key"))
+    kept = dimension.keep_listed(t.responses, "county_key", ids, n=dimension.LIST_BROADCAST + 1)
+    return kept.groupBy("county_key").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -510,4 +510,10 @@ SELECT relation, reason, count(*) AS n_observed, count(*) AS n_written FROM z GR
   SELECT {_LABEL.replace('label', 'name')} AS key, header, ordinal + 1 AS place FROM header_dictionary
   UNION ALL SELECT {_LABEL.replace('label', 'category')}, 'Category', 0 FROM questions
   UNION ALL SELECT {_LABEL.replace('label', 'question')}, 'Question', -1 FROM questions) GROUP BY key""",
+    "catalogue_search_index": _with() + f"""SELECT query, question_id, strpos(t, q)::INTEGER - 1 AS first_place,
+  len(list_filter(range(length(t)), lambda i: substr(t, i + 1, length(q)) = q)) AS n_places
+FROM (SELECT question_id, lower(question) AS t, query, lower(trim(query)) AS q
+      FROM questions, (SELECT UNNEST([{_lit_list(R.SEARCH_TEXTS)}]) AS query)) WHERE contains(t, q)""",
+    "long_list_facts": _with() + """SELECT county_key, count(*) AS n, SUM(value) AS total FROM cr
+WHERE county_key IN (SELECT ltrim(CAST(c_custkey AS STRING), '0') FROM customer WHERE c_acctbal < 0) GROUP BY county_key""",
 }

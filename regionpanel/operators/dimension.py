@@ -7,8 +7,9 @@ spine afterwards, so names never travel with facts through a shuffle.
 
 Parameter lists (user input) become either a literal ``IN`` (pushed into
 the Parquet reader) or, past ``IN_LIST_LIMIT`` items, a broadcast semi join
-against a DataFrame of the list; past ``LIST_BROADCAST`` items the semi join
-is left to shuffle.
+against a DataFrame of the list; past ``LIST_BROADCAST`` items a Bloom filter
+of the list thins the rows out where they are scanned and the semi join
+shuffles what is left.
 """
 
 from __future__ import annotations
@@ -33,9 +34,62 @@ def keep_keys(df: DataFrame, column: str, values: list) -> DataFrame:
     values = sorted(set(values))
     if len(values) <= IN_LIST_LIMIT:
         return df.where(in_list(column, values))
-    spark = df.sparkSession
-    ids = spark.createDataFrame([(v,) for v in values], [column])
-    return df.join(F.broadcast(ids) if len(values) <= LIST_BROADCAST else ids, column, "left_semi")
+    ids = df.sparkSession.createDataFrame([(v,) for v in values], [column])
+    return keep_listed(df, column, ids, len(values))
+
+
+BLOOM_BITS = 12
+BLOOM_MOST = 1 << 26
+BLOOM_HASHES = 6
+
+
+def bloom_size(n: int) -> int:
+    """Bits for ``n`` keys: ``BLOOM_BITS`` each (about 1 % false hits), a multiple
+    of 64, at most ``BLOOM_MOST`` (8 MB) - more keys then pass more rows, no row is lost."""
+    return -(-min(max(64, n * BLOOM_BITS), BLOOM_MOST) // 64) * 64
+
+
+def _bloom_places(key, bits: int) -> list:
+    one, two = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit("second")), F.lit(bits))
+    return [F.pmod(one + two * i, F.lit(bits)) for i in range(BLOOM_HASHES)]
+
+
+def bloom_filter(ids: DataFrame, column: str, bits: int) -> bytes:
+    """The filter of the ids, ``bits / 8`` bytes. Bits are or-ed map-side by words of
+    64; the driver gets at most ``BLOOM_MOST`` bits, whatever the number of ids."""
+    import numpy as np
+
+    at = ids.select(F.explode(F.array(*_bloom_places(F.col(column), bits))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    rows = at.groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(bit).alias("x")).collect()
+    words = np.zeros(bits // 64, "<i8")
+    if rows:
+        words[[r.w for r in rows]] = [r.x for r in rows]
+    return words.tobytes()
+
+
+def might_hold(key, held: bytes):
+    """Whether the filter may hold the key: JVM expressions over one binary literal;
+    the first bit that is not set ends the test of a row."""
+    test = F.lit(True)
+    for place in _bloom_places(key, len(held) * 8):
+        byte = F.conv(F.hex(F.substring(F.lit(held), (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+        test = test & (F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return test
+
+
+def keep_listed(df: DataFrame, column: str, ids: DataFrame, n: int | None = None) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among the ids of a frame of any length.
+
+    A short list (``n`` counted, at most ``LIST_BROADCAST``) is a broadcast semi
+    join. A longer one would shuffle every row of ``df``: a Bloom filter of the
+    list, sized from its count, is tested where ``df`` is scanned, and the
+    shuffle semi join gets only what passes, about the matches."""
+    ids = ids.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
+    n = ids.count() if n is None else n
+    if n <= LIST_BROADCAST:
+        return df.join(F.broadcast(ids), column, "left_semi")
+    return df.where(might_hold(F.col(column), bloom_filter(ids, column, bloom_size(n)))).join(ids.hint("shuffle_merge"), column, "left_semi")
 
 
 def scoped_states(tables: Tables, scope: Scope) -> DataFrame:

@@ -23,6 +23,7 @@ DETAIL_QUESTIONS = (1, 3, 5)
 MATRIX_QUESTIONS = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 STATE_COLUMNS = ("Supplier count(0-n)", "Top balance($)")
 SEARCH_TEXT = "red"
+SEARCH_TEXTS = ("red", "e", "#1", "WIDGET", " rod #1", "large widget #3", "ll")
 
 
 def full_categories() -> tuple[CategoryChoice, ...]:

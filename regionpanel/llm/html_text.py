@@ -4,7 +4,8 @@ Markup is stripped into lines: block elements end a line, inline ones do not;
 ``br`` is white space.  A line's length is the text it brings as content, in
 decoded characters: nothing inside scripts, styles, menus, headers, footers,
 sidebars, forms, notices, adverts or reader comments (by element, role, or the
-words of class and id), and links count for nothing in the curve.
+words of class and id; a heading's, a paragraph's or a section's only if the word
+is nothing else, and never by an id that may be its title), and links count for nothing in the curve.
 
 A word of class or id condemns no element with more than half of the page's
 text, where text in a marked article (or main part) weighs ``WEIGHT`` times; for
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from itertools import groupby
 from statistics import median
 
@@ -47,29 +49,35 @@ SURGE_SHARE = 0.25
 WEIGHT = 4
 
 #: fixed values: elements by their role in a page
-RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "select")
+RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "object", "canvas", "select", "annotation", "annotation-xml")
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "head", "fieldset", "label", "option"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
           "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
-          "tt", "u", "var", "wbr"}
+          "tt", "u", "var", "wbr", "math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mstyle", "mspace", "msup", "msub", "msubsup",
+          "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "mpadded", "semantics"}
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"},
              "dd": {"dt", "dd"}, "option": {"option"}}
 WORDS = ("ad ads advert adverts advertisement advertising adsense banner promo promoted promotion sponsor sponsored sponsors nav navbar "
          "navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets footer foot header masthead topbar "
-         "comment comments disqus replies respond reply discussion notice notices cookie cookies consent gdpr alert popup modal "
+         "comment comments commentlist commentsection commentarea commentbox commentform commentthread disqus replies respond reply discussion notice notices cookie cookies consent gdpr alert popup modal "
          "overlay subscribe subscription newsletter signup login share sharing social related recommended toolbar pagination pager "
          "copyright legal disclaimer paywall").split()
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
 #: words of what others put on the page
 FOREIGN = set("ad ads advert adverts advertisement advertising adsense promo promoted promotion sponsor sponsored sponsors comment "
-              "comments disqus replies respond reply discussion notice notices cookie cookies consent gdpr related recommended".split())
+              "comments commentlist commentsection commentarea commentbox commentform commentthread disqus replies respond reply discussion notice notices cookie cookies consent gdpr related recommended".split())
 #: the words after these tell what a wrapper has or lacks, not what it is
 TELLS = {"no", "non", "not", "has", "have", "with", "without"}
 _WORDS = set(WORDS)
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+#: elements whose id or class is about their text rather than their place in the page
+TEXTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "blockquote", "pre", "figcaption", "caption", "section"}
+#: words that title a part of an article as often as they name a part of a page
+TITLES = set("discussion legal disclaimer notice notices related share sharing consent subscription promotion promotions alert "
+             "response respond replies reply copyright header foot banner menu social navigation recommended advertising".split())
+
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PIECE = re.compile(r"[A-Za-z]+")
@@ -96,8 +104,10 @@ def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool | float:
             return True
         if name in ("class", "id"):
             for word in value.split():
-                for piece in _PIECE.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", word)):
-                    piece = piece.lower()
+                pieces = [x.lower() for x in _PIECE.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", word))]
+                if tag in TEXTS and (name == "id" and (tag != "section" or word.lower() in TITLES) or not _WORDS.issuperset(pieces)):
+                    continue
+                for piece in pieces:
                     if piece in TELLS:
                         break
                     if piece in _WORDS:
@@ -105,6 +115,30 @@ def _is_boiler(tag: str, attrs: str, in_article: bool) -> bool | float:
     return share or False
 
 
+class _Tags:
+    """Where tags end, in one pass over the page: a quote that was found to open
+    a run without end is never followed again."""
+
+    def __init__(self, page: str):
+        self.page, self.endless = page, set()
+
+    def end(self, at: int) -> int:
+        """Position of the ``>`` that ends the tag whose name ends at ``at``, quotes
+        skipped; without one the page's end; where quotes never close, the next ``>``."""
+        page, came, start = self.page, [], at
+        while m := _STOP.search(page, at):
+            if m.group() == ">":
+                return m.start()
+            close = -1 if m.start() in self.endless else page.find(m.group(), m.end())
+            came.append(m.start())
+            if close < 0:
+                self.endless.update(came)
+                plain = page.find(">", start)
+                return plain if plain >= 0 else len(page)
+            at = close + 1
+        return len(page)
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, length without links, inside a marked article) of every content line."""
     out: list[tuple[str, int, int, tuple]] = []  # text, length, articles around, class-condemned elements around
@@ -129,6 +163,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal boiler, article, anchors, around
         while len(stack) > depth:
             tag, bad, art, outer = stack.pop()
+            open_tags[tag] -= 1
             if tag not in INLINE or outer != around:
                 flush()
             boiler -= bad
@@ -136,9 +171,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             anchors -= tag == "a"
             around = outer
 
-    at, n = 0, len(page)
+    at, n, tags, open_tags = 0, len(page), _Tags(page), Counter()
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _OPEN.search(page, at)
         text = page[at:m.start()] if m else page[at:]
         if text and not boiler:
             held.append((text, anchors > 0))
@@ -148,6 +183,12 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         tag = (m.group(2) or "").lower()
         if not tag:
             continue
+        ends = tags.end(at)
+        attrs, at = page[at:ends], min(n, ends + 1)
+        if m.group(1) and not open_tags[tag]:
+            if tag == "br" and not boiler:
+                held.append((" ", False))
+            continue
         if m.group(1):  # closing tag: ends its element and all unclosed ones in it
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
@@ -155,11 +196,9 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     break
                 if stack[depth][0] in ("article", "main", "body") and tag in INLINE | {"p", "li"}:
                     break
-            if tag == "br" and not boiler:
-                held.append((" ", False))
             continue
         if tag in RAW:
-            if not m.group(3).rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             continue
@@ -175,11 +214,11 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if stack and stack[-1][0] in CLOSED_BY.get(tag, ()) or stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
             flush()
-        if m.group(3).rstrip().endswith("/"):
+        if attrs.rstrip().endswith("/"):
             continue
-        kind = not boiler and _is_boiler(tag, m.group(3), article > 0)
+        kind = not boiler and _is_boiler(tag, attrs, article > 0)
         bad = kind is True
-        art = tag in ("article", "main") or 'role="main"' in m.group(3)
+        art = tag in ("article", "main") or 'role="main"' in attrs
         if kind:
             flush()
         outer = around
@@ -189,6 +228,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         elif art and not boiler and not bad:
             marks.append(around)
         stack.append((tag, bad, art, outer))
+        open_tags[tag] += 1
         boiler += bad
         article += art
         anchors += tag == "a"

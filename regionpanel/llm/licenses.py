@@ -10,6 +10,11 @@ span of that license if it covers ``MIN_SHARE`` of the template's grams within
 twice its length.  Hits join on the hash and on the gram's own words, so a
 hash collision never votes.
 
+Sibling licenses differ in a word or two (lesser, affero, noncommercial,
+sharealike), which a merged band would pass over.  Where the text of another
+license covers enough of a template, a span of the template must also hold one of
+the grams that the other text lacks; those grams follow from the templates.
+
 Base places are where a phrase's words stand consecutively ("mit license",
 "apache license", "general public license"); their labels are always kept.
 
@@ -76,16 +81,31 @@ def template_words(text: str) -> list[str]:
     return re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
 
 
+def gram_list(text: str) -> list[str]:
+    words = template_words(text)
+    return [" ".join(words[i:i + K]) for i in range(len(words) - K + 1)]
+
+
+def own_positions(templates) -> list[list[int]]:
+    """For each template the positions of the grams that no other license's text,
+    if it covers ``MIN_SHARE`` of the template, has; empty where none does."""
+    grams = [(label, gram_list(text)) for label, text in templates]
+    out = []
+    for label, mine in grams:
+        siblings = [set(g) for other, g in grams if other != label and sum(x in set(g) for x in mine) >= MIN_SHARE * len(mine)]
+        out.append([i for i, x in enumerate(mine) if not any(x in g for g in siblings)] if siblings else [])
+    return out
+
+
 def template_grams(spark: SparkSession, templates=None) -> DataFrame:
-    """(template, label, n_grams, t_pos, gram, hash): constant rows of the template texts."""
-    rows = []
-    for number, (label, text) in enumerate(templates or TEMPLATES):
-        words = template_words(text)
-        for i in range(len(words) - K + 1):
-            rows.append((number, label, len(words) - K + 1, i, " ".join(words[i:i + K])))
+    """(template, label, n_grams, t_pos, gram, own, hash): constant rows of the template texts."""
+    rows, templates = [], templates or TEMPLATES
+    for number, ((label, text), own) in enumerate(zip(templates, own_positions(templates))):
+        grams = gram_list(text)
+        rows += [(number, label, len(grams), i, gram, f"array({', '.join(map(str, own))})") for i, gram in enumerate(grams)]
     quote = lambda s: s.replace("'", "''")
-    values = ", ".join(f"({n}, '{quote(label)}', {g}, {i}, '{quote(gram)}')" for n, label, g, i, gram in rows)
-    grams = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, n_grams, t_pos, gram)")
+    values = ", ".join(f"({n}, '{quote(label)}', {g}, {i}, '{quote(gram)}', CAST({own} AS ARRAY<INT>))" for n, label, g, i, gram, own in rows)
+    grams = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, label, n_grams, t_pos, gram, own)")
     return grams.withColumn("hash", F.xxhash64(*[F.split("gram", " ")[i] for i in range(K)]))
 
 
@@ -136,7 +156,7 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
                       (F.col("hit.hash") == F.col("t_hash")) & (F.col("hit.gram") == F.col("t_gram")), "left")
     # a diagonal has at most as many distinct template positions as the template has grams
     diagonals = votes.groupBy(*own, "template", "label", "n_grams", (F.col("hit.pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.collect_set("t_pos").alias("at"), F.min("hit.pos").alias("first"), F.max("hit.pos").alias("last"))
+        F.collect_set("t_pos").alias("at"), F.first("own").alias("own"), F.min("hit.pos").alias("first"), F.max("hit.pos").alias("last"))
     along = Window.partitionBy("row", "template").orderBy("diagonal", "first")
     # a band goes on while diagonals are near and the text has not moved on by more than a template
     apart = ((F.col("diagonal") - F.lag("diagonal").over(along) > GAP)
@@ -144,9 +164,10 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     bands = diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
         "band", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = bands.groupBy(*own, "template", "label", "n_grams", "band").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("n_grams"))
-    good = (share >= MIN_SHARE) & (F.col("last") - F.col("first") + K <= 2 * (F.col("n_grams") + K))
+        F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.first("own").alias("own"), F.min("first").alias("first"), F.max("last").alias("last"))
+    share = F.least(F.lit(1.0), F.size("at") / F.col("n_grams"))
+    itself = (F.size("own") == 0) | F.arrays_overlap("at", "own")
+    good = itself & (share >= MIN_SHARE) & (F.col("last") - F.col("first") + K <= 2 * (F.col("n_grams") + K))
     found = spans.groupBy(*own).agg(
         F.collect_set(F.when(good, F.col("label"))).alias("method"), F.max(F.when(good, share)).alias("best"),
         F.sort_array(F.collect_list(F.when(good, F.struct("label", F.col("first").alias("first_word"), (F.col("last") + K - 1).alias("last_word"))))).alias("spans"))

@@ -12,6 +12,10 @@ fixed factor), captures of a hot host are dealt over all salts, so no key
 holds more than its share of a hot host.  Entries are aggregated to intervals
 before; nothing is broadcast without Spark's own size check.
 
+A trailing dot of a host is dropped; an IPv4 or bracketed IPv6 address is one
+label, with no domain above it.  The number of salts follows the number of
+shuffle partitions.
+
 A null or malformed URL matches nothing and is kept with action "none"; a null
 day is before every entry.  Repeated rows give repeated results.  Entries with
 a null pattern or day are void.  Empty tables give empty results or "none".
@@ -23,21 +27,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import partitions
+
 SALTS = 16
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)"
+ADDRESS = r"^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^/?#]+)"
 FIRST_DAY, DAYS = "2024-01-01", 730
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+    """Lower-cased host without trailing dots; "" where there is none."""
+    return F.lower(F.rtrim(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1), F.lit(".")))
 
 
 def patterns(url: Column) -> Column:
     """(specificity, pattern) of everything a URL falls under, from the whole host
     up to its last two labels, and the host with the first path segment."""
     h = host(url)
-    labels = F.split(h, r"\.")
+    # an address has no domains above it
+    labels = F.when(h.rlike(ADDRESS), F.array(h)).otherwise(F.split(h, r"\."))
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.struct(
         (n - i).alias("specificity"), F.array_join(F.slice(labels, i + 1, n), ".").alias("pattern")))
@@ -58,12 +67,13 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures (page_id, url, day) with host, action, pattern, since, until."""
+    salts = max(SALTS, min(256, partitions(captures.sparkSession) // 4))
     # deterministic row key: rows equal in all three columns answer alike and are counted
     rows = captures.groupBy("page_id", "url", "day").agg(F.count(F.lit(1)).alias("copies"))
     asked = rows.select("*", F.explode_outer(patterns(F.col("url"))).alias("p")).select(
         "page_id", "url", "day", "copies", "p.specificity", "p.pattern",
-        F.pmod(F.xxhash64("page_id", "url", "day"), F.lit(SALTS)).alias("salt"))
-    listed = (intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        F.pmod(F.xxhash64("page_id", "url", "day"), F.lit(salts)).alias("salt"))
+    listed = (intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
               .select(F.col("pattern").alias("lp"), F.col("salt").alias("ls"), "action", "since", "until"))
     held = asked.join(listed, (F.col("pattern") == F.col("lp")) & (F.col("salt") == F.col("ls"))
                       & (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))), "left")
@@ -106,9 +116,9 @@ def filtered_captures(pages: DataFrame) -> DataFrame:
 def oracle() -> str:
     return f"""
 WITH c AS (SELECT page_id, url, DATE '{FIRST_DAY}' + (coalesce(page_id, 0) * 37 % {DAYS})::INT AS day,
-    lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host,
+    lower(rtrim(regexp_extract(coalesce(url, ''), '{HOST}', 1), '.')) AS host,
     regexp_extract(coalesce(url, ''), '{SEGMENT}', 1) AS path, row_number() OVER () AS r FROM pages),
-l AS (SELECT *, string_split(host, '.') AS labels FROM c WHERE host <> ''),
+l AS (SELECT *, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN [host] ELSE string_split(host, '.') END AS labels FROM c WHERE host <> ''),
 p AS (SELECT r, page_id, day, len(labels) - i AS specificity, array_to_string(labels[i + 1:], '.') AS pattern
       FROM (SELECT *, unnest(range(0, greatest(len(labels) - 2, 0) + 1)) AS i FROM l)
       UNION ALL SELECT r, page_id, day, len(labels) + 1, host || path FROM l WHERE path <> ''),

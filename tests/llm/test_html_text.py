@@ -80,3 +80,33 @@ def test_links_are_counted_decoded():
 ])
 def test_class_words_of_wrappers(page):
     assert M.main_text(page) == f"{LONG}\nBe."
+
+
+@pytest.mark.parametrize("part, kept", [
+    ("<section id='discussion'><p>Results follow here.</p></section>", "Results follow here."),
+    ("<h2 id='data-sharing-policy'>Data sharing</h2>", "Data sharing"), ("<h2 id=comments>On comments</h2>", "On comments"),
+    ("<p class='legal-analysis'>An opinion.</p>", "An opinion."), ("<li id=related>One point</li>", "One point"),
+    ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>", "where x=2 holds"),
+    ("<section id=comments><p>First!</p></section>", None), ("<p class=advert>Buy</p>", None), ("<ol class=commentlist><li>First!</li></ol>", None),
+    ("<p class='cookie-notice'>We use them</p>", None), ("<div id=disqus>Talk</div>", None),
+])
+def test_words_that_title_or_name(part, kept):
+    assert M.main_text(f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == "\n".join([LONG, *([kept] if kept else []), LONG])
+
+
+def test_a_list_of_reader_comments_outside_the_article_goes():
+    assert M.main_text(f"<div><p>{LONG * 4}</p><p>{LONG * 4}</p></div><ol class='commentlist'><li>{LONG}</li><li>{LONG}</li></ol>") == f"{LONG * 4}\n{LONG * 4}"
+
+
+@pytest.mark.parametrize("unit", ["<a x=\"", "<a x='>\"", "<a x=\">\"", "<a x=\">\" y='", "</x>", "<div", "<!", "<a \"'"])
+def test_hostile_markup_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        page = f"<article><p>{LONG}</p>" + "<div>" * 2000 + unit * n + "'"
+        t = time.perf_counter()
+        M.main_text(page)
+        return time.perf_counter() - t
+
+    seconds(100)
+    assert seconds(40_000) < 20 * seconds(10_000) / 2 + 0.5 and seconds(40_000) < 5

@@ -48,3 +48,64 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = M.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def votes(text, templates=M.TEMPLATES):
+    """Diagonal voting by brute force: labels and best share."""
+    grams = M.gram_list(text)
+    labels, best = set(filter(None, base(text)[4].split(","))), 0.5 if base(text)[1] else 0.0
+    for (label, wording), own in zip(templates, M.own_positions(templates)):
+        mine = M.gram_list(wording)
+        diagonals = {}
+        for pos, g in enumerate(grams):
+            for t, x in enumerate(mine):
+                if g == x:
+                    diagonals.setdefault(pos - t, []).append((pos, t))
+        band, before = [], None
+        for d in [*sorted(diagonals), None]:
+            hits = diagonals.get(d, [])
+            first, last = min((p for p, _ in hits), default=0), max((p for p, _ in hits), default=0)
+            if before is None or d is None or d - before[0] > M.GAP or first - before[1] > len(mine):
+                at = {t for _, t in band}
+                long = max(p for p, _ in band) - min(p for p, _ in band) + M.K if band else 0
+                if len(at) >= M.MIN_SHARE * len(mine) and long <= 2 * (len(mine) + M.K) and (not own or at & set(own)):
+                    labels.add(label)
+                    best = max(best, min(1.0, len(at) / len(mine)))
+                band = []
+            band, before = band + hits, (d, last)
+    return ",".join(sorted(labels)), best
+
+
+def test_every_template_is_itself_and_no_sibling(spark):
+    texts = [f"{cases.STORY} {text}. {cases.OTHER}" for _, text in M.TEMPLATES]
+    for r in scan(spark, cases.plain(spark, texts)):
+        label, text = M.TEMPLATES[r.doc_id - 1]
+        want = {label} | set(filter(None, base(text)[4].split(",")))
+        assert set(r.labels.split(",")) == want and r.score == 1, text
+
+
+def test_sibling_notices(spark):
+    gpl = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License "
+           "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version")
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    texts = [gpl.format(""), gpl.format("Lesser "), gpl.format("Affero "), cc.format(""), cc.format("-NonCommercial"), cc.format("-ShareAlike")]
+    got = {r.doc_id: r.labels for r in scan(spark, cases.plain(spark, texts))}
+    assert [got[i] for i in range(1, 7)] == ["gpl", "gpl,lgpl", "agpl,gpl", "cc-by", "cc-by-nc", "cc-by-sa"]
+
+
+def test_against_brute_force_voting(spark):
+    import random
+    rng = random.Random(12)
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            part = M.template_words(rng.choice(M.TEMPLATES)[1])
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(part) + 1)
+                part = part[:at] + rng.choice([[], ["really"], ["so", "it"], ["lesser"]]) + part[at + rng.randrange(2):]
+            words += part[rng.randrange(3):] + cases.OTHER.split()[:rng.randrange(12)]
+        texts.append(" ".join(words))
+    for r in scan(spark, cases.plain(spark, texts)):
+        labels, best = votes(texts[r.doc_id - 1])
+        assert r.labels == labels and abs(r.score - best) < 1e-12, texts[r.doc_id - 1]

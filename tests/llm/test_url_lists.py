@@ -44,3 +44,12 @@ def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", "")], "page_id long, url string, html string").where(F.lit(True))
     plan = M.filtered_captures(pages)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_addresses_and_trailing_dots(spark):
+    urls = ["http://10.1.2.3/a", "http://[::1]:80/x/y", "http://EX.com./p", "http://a.ex.com..", "http://u@1.2.3.4:9/", "http://1.2.3.4.5/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: [x.pattern for x in r.p] for r in df.select("url", M.patterns(F.col("url")).alias("p")).collect()}
+    assert got[urls[0]] == ["10.1.2.3", "10.1.2.3/a"] and got[urls[1]] == ["[::1]", "[::1]/x"]
+    assert got[urls[2]] == ["ex.com", "ex.com/p"] and got[urls[3]] == ["a.ex.com", "ex.com"]
+    assert got[urls[4]] == ["1.2.3.4"] and got[urls[5]][0] == "1.2.3.4.5" and got[urls[5]][-1] == "4.5"

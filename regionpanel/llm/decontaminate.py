@@ -48,6 +48,8 @@ MIN_PLAIN = 4
 MIN_COVER = 0.5
 RUN_WORDS = 25
 BROADCAST_WINDOWS = 500_000
+#: bytes of the item windows, slots included, up to which they are broadcast
+BROADCAST_BYTES = 64 << 20
 
 #: fixed values
 UNITS = ("mm cm m km mg g kg lb lbs oz ml l litre litres liter liters inch inches foot feet yard yards mile miles second "
@@ -161,7 +163,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -
     short = {r["n_words"] for r in items.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect()}
     right = items.select(F.col("id").alias("item_id"), F.col("pos").alias("b_pos"), "window",
                          F.col("n_words").alias("item_words"), F.col("size").alias("b_size"), F.col("raw").alias("b_raw"), F.col("slots").alias("b_slots"))
-    if wanted is not None and items.count() <= 4 * BROADCAST_WINDOWS:
+    weight = items.agg(F.sum(F.size("slots") * 8 + 80).alias("b")).first().b or 0
+    if wanted is not None and weight <= BROADCAST_BYTES:
         right = F.broadcast(right)
     hits = (docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).mapInArrow(_windows(wanted, short), _ROW)
             .join(right, "window").where((F.size("slots") == F.size("b_slots")) & (F.col("size") == F.col("b_size")) & (F.col("raw") == F.col("b_raw")))

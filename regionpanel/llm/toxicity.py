@@ -10,7 +10,10 @@ Learning uses only labelled rows with crc32(id as text) mod 5 <> 0, at most
 ``FIT_ROWS`` of them (smallest hashes of the id, so the sample is the same on
 every run).  Words and stems get smoothed log-odds from document counts; the
 trees see each row through the list learnt from the other half of the rows,
-so they do not learn the list's own noise.  Rows with remainder 4 only fit the
+so they do not learn the list's own noise.  The list is a parameter of the model: of
+the words and stems of the (at most ``FIT_ROWS``) learning rows the
+``LEXICON_SIZE`` with the largest smoothed log-odds are kept; it bounds
+what is learnt and sent to the tasks, not what is scored.  Rows with remainder 4 only fit the
 isotonic calibration.  The trees and the calibration are Spark ML's.
 
 Null text is empty and is scored like any other; without usable labels, or

@@ -51,6 +51,7 @@ from pyspark.sql.window import Window
 
 from . import textbytes as T
 from .common import partitions, python_batches, release, staged
+from .components import components, joined_components
 
 CHUNKS = 12
 SYMBOLS = 7 * CHUNKS
@@ -283,39 +284,6 @@ def _links(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     return links
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable, for every id in ``edges`` (a, b).
-
-    Each round every vertex moves to the neighbour of smallest hash (xxhash64
-    of one long is a permutation, so vertices stay apart), edges follow and
-    loops vanish; the neighbour minimum combines map-side, so a hub with a
-    third of all edges is no hot group.  Random priorities keep the rounds
-    logarithmic on chains as well.
-    """
-    edges = edges.select(F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y"), "a", "b")
-    names = staged(edges.select(F.explode(F.array(F.struct("x", F.col("a").alias("id")), F.struct(F.col("y").alias("x"), F.col("b").alias("id")))).alias("v"))
-                   .select("v.x", "v.id").distinct(), "vertices")
-    moves = []
-    rest = staged(edges.select("x", "y").where("x <> y").distinct(), "edges")
-    while not rest.isEmpty():
-        both = rest.unionByName(rest.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        move = staged(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("to")), "moves")
-        following = staged(
-            rest.join(move.withColumnRenamed("to", "tx"), "x")
-            .join(move.select(F.col("x").alias("y"), F.col("to").alias("ty")), "y")
-            .select(F.col("tx").alias("x"), F.col("ty").alias("y")).where("x <> y").distinct(), "edges")
-        moves.append(move)
-        release(rest)
-        rest = following
-    root = names.select("id", F.col("x").alias("root"))
-    for move in moves:
-        root = root.join(move.withColumnRenamed("x", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    root = staged(root, "roots")
-    release(rest, names, *moves)
-    least = root.groupBy("root").agg(F.min("id").alias("component"))
-    return root.join(least, "root").select("id", "component")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
@@ -363,8 +331,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
             more = _links(sets, drawn.select("id", F.explode(F.array("x.next", "y.next")).alias("next"))
                           .select(F.least("next", "id").alias("a"), F.greatest("next", "id").alias("b")).distinct(), num, den)
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = staged(components(links), "found")
+            found = joined_components(found, more)
         mixed = kept
 
     # a set held by many documents is dealt over SALTS rows; one document's own salt is enough for the rest

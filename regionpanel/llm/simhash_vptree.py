@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, python_batches, staged
-from .minhash_hamming import components
+from .components import Labels, components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -181,27 +181,6 @@ def shards_of(points: np.ndarray, nodes: list, radius: int = RADIUS):
     return out
 
 
-class Labels:
-    """Smallest reachable position of each position, by vectorised minimum and pointer jumping."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.of[a], self.of[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.of, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = self.of[self.of]
-                if (up == self.of).all():
-                    break
-                self.of = up
-
-
 def local_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For distinct points: the position of the smallest position in reach of each over links within ``radius`` bits."""
     labels = Labels(len(points))

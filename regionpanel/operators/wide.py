@@ -37,22 +37,26 @@ def pivot_by_key(long: DataFrame, key: str, value: str, labels: dict, how: str =
     """
     agg = F.sum if how == "sum" else F.max
 
-    def checked(cell, count):
+    def checked(cell, twice):
         text = f"duplicate facts of one {group} for {key} "
-        return F.when(count > 1, F.raise_error(F.lit(text)).cast("double")).otherwise(cell) if how == "unique" else cell
+        return F.when(twice, F.raise_error(F.lit(text)).cast("double")).otherwise(cell) if how == "unique" else cell
 
     if not labels:
         return long.select(group).distinct()
     extra = [F.sum(value).alias(total)] if total else []
     if len(labels) <= CONDITIONAL_LIMIT:
         k = F.col(key)
+        # a bit per key: a group with more rows than bits has a cell twice. One pair of
+        # aggregates serves all cells
+        slot = F.array_position(F.array(*[F.lit(v) for v in labels]), k).cast("int")
+        bit = F.when(slot > 0, F.call_function("shiftleft", F.lit(1).cast("long"), slot - 1))
+        twice = F.count(bit) > F.coalesce(F.bit_count(F.bit_or(bit)), F.lit(0))
         return long.groupBy(group).agg(
-            *[checked(agg(F.when(k == F.lit(v), F.col(value))), F.count(F.when(k == F.lit(v), 1))).alias(lbl)
-              for v, lbl in labels.items()], *extra)
+            *[checked(agg(F.when(k == F.lit(v), F.col(value))), twice).alias(lbl) for v, lbl in labels.items()], *extra)
     # wide request: O(1) work per input row. Cells per (group, key) first,
     # then Spark's pivot with explicit values (PivotFirst: each cell goes to
     # its slot by a hash lookup, not a scan of the keys).
-    cell = long.groupBy(group, key).agg(checked(agg(value), F.count(F.lit(1))).alias("_cell"))
+    cell = long.groupBy(group, key).agg(checked(agg(value), F.count(F.lit(1)) > 1).alias("_cell"))
     # numbered partitions: AQE would size the pivot stage by its narrow input
     # and may squeeze it into one task, though its output is wide
     n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))

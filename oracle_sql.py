@@ -496,7 +496,7 @@ UNION ALL SELECT *, 2 FROM ({_responses_where(score_wide(ALL, R.SUM_CATEGORIES),
     "score_incremental": _responses_where(score_wide(ALL, R.SUM_CATEGORIES), "l_returnflag <> 'R'"),
     "question_incremental": _responses_where(question_long_dense(ALL, R.MATRIX_QUESTIONS), "l_returnflag <> 'R'"),
     "merge_blocks": _MERGED,
-    "profile_states": profile_sql(True, export_sql("state:N00, n03,N07")),
+    "profile_states": profile_sql(True, export_sql("state:N00, n03,N07")).replace(", 6) AS", ", 4) AS"),
     "export_reuse": export_sql_for("state:N00, n03,N07", [11, 12], [(R.DETAIL_CATEGORY, list(R.DETAIL_QUESTIONS))], ["SMALL"],
                                    [R.STATE_COLUMNS[1]], "Suburban"),
     "measure_rejects": _with() + """, z AS (

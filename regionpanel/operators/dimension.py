@@ -15,8 +15,9 @@ shuffles what is left.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionpanel.functions.keys import in_list
@@ -54,27 +55,34 @@ def _bloom_places(key, bits: int) -> list:
     return [F.pmod(one + two * i, F.lit(bits)) for i in range(BLOOM_HASHES)]
 
 
-def bloom_filter(ids: DataFrame, column: str, bits: int) -> bytes:
-    """The filter of the ids, ``bits / 8`` bytes. Bits are or-ed map-side by words of
-    64; the driver gets at most ``BLOOM_MOST`` bits, whatever the number of ids."""
-    import numpy as np
+BLOOM_BLOCK = 1024
 
+
+class Bloom(NamedTuple):
+    bits: int
+    words: Column  # array<bigint>, 64 bits each: a scalar subquery
+
+
+def bloom_filter(ids: DataFrame, column: str, bits: int) -> Bloom:
+    """The filter of the ids as a scalar subquery of ``bits / 8`` bytes. Bits are
+    or-ed map-side by words of 64, the words (those without a bit too) are put in
+    order by blocks; no plan or plan text holds them, the driver passes on at most
+    ``BLOOM_MOST`` bits, whatever the number of ids."""
     at = ids.select(F.explode(F.array(*_bloom_places(F.col(column), bits))).alias("at"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
-    rows = at.groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(bit).alias("x")).collect()
-    words = np.zeros(bits // 64, "<i8")
-    if rows:
-        words[[r.w for r in rows]] = [r.x for r in rows]
-    return words.tobytes()
+    every = ids.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("x"))
+    words = at.select(F.expr("at div 64").alias("w"), bit.alias("x")).unionByName(every).groupBy("w").agg(F.bit_or("x").alias("x"))
+    blocks = words.groupBy(F.expr(f"w div {BLOOM_BLOCK}").alias("b")).agg(F.sort_array(F.collect_list(F.struct("w", "x")))["x"].alias("xs"))
+    return Bloom(bits, blocks.agg(F.flatten(F.sort_array(F.collect_list(F.struct("b", "xs")))["xs"]).alias("words")).scalar())
 
 
-def might_hold(key, held: bytes):
-    """Whether the filter may hold the key: JVM expressions over one binary literal;
+def might_hold(key, held: Bloom):
+    """Whether the filter may hold the key: JVM expressions over the filter's words;
     the first bit that is not set ends the test of a row."""
     test = F.lit(True)
-    for place in _bloom_places(key, len(held) * 8):
-        byte = F.conv(F.hex(F.substring(F.lit(held), (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
-        test = test & (F.call_function("shiftright", byte, F.pmod(place, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    for place in _bloom_places(key, held.bits):
+        word = F.get(held.words, F.floor(place / 64).cast("int"))
+        test = test & (F.call_function("shiftright", word, F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return test
 
 

@@ -74,6 +74,23 @@ def test_bloom_filter_thins_the_rows_before_the_join(spark):
     assert {r.id for r in kept.collect()} == set(range(0, 40_000, 2))
 
 
+def test_no_plan_holds_the_filter(spark):
+    ids = spark.range(0, 40_000, 2).select(F.col("id").cast("string").alias("k"))
+    rows = spark.range(100_000).select(F.col("id").cast("string").alias("k"))
+    kept = D.keep_listed(rows, "k", ids, n=D.LIST_BROADCAST + 1)
+    assert len(kept._jdf.queryExecution().toString()) < 200_000  # the filter has 1.5 MB, every time it is written out
+    assert kept.count() == 20_000
+
+
+def test_every_word_of_the_filter_is_in_its_place(spark):
+    ids = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    bits = 64 * (2 * D.BLOOM_BLOCK + 5)  # two whole blocks of words and a part
+    words = spark.range(1).select(D.bloom_filter(ids, "k", bits).words.alias("w")).first().w
+    at = ids.select(F.explode(F.array(*D._bloom_places(F.col("k"), bits))).alias("at")).distinct().collect()
+    assert len(words) == bits // 64
+    assert {i * 64 + j for i, x in enumerate(words) for j in range(64) if x >> j & 1} == {r["at"] for r in at}
+
+
 def test_a_filter_that_may_not_grow_still_loses_no_row(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOOM_MOST", 1 << 10)
     ids = spark.range(3000).select(F.col("id").cast("string").alias("k"))

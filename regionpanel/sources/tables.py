@@ -173,10 +173,10 @@ class Tables:
         Facts get ``state_key`` by one join with the county dimension and are
         written partitioned by the padded ``state_id`` (never empty, unlike
         the key of state ``0``, which Hive-style paths would turn into NULL).
-        Inside a state, rows are range-partitioned on (county_key, row hash):
-        the county ranges make min/max statistics useful, the row hash splits
-        a hot county over several files instead of one task. ``partitions``
-        sets the number of write tasks; by default one for each 256 MB that
+        Inside a state, rows lie by ranges of counties, which makes min/max
+        statistics useful; a range with much data, such as a hot county's, is
+        split over several files instead of one task. ``partitions`` sets the
+        number of county ranges; by default one for each 256 MB that
         the facts' input files hold, and ``spark.sql.shuffle.partitions`` at least.
 
         ``layout="bucketed"`` writes the facts in that many buckets of
@@ -203,24 +203,18 @@ class Tables:
         if self.header_dictionary is not None:
             self.header_dictionary.write.mode("overwrite").parquet(f"{path}/header_dictionary")
 
-        county_state = self.counties.select("county_key", "state_key")
         # responses carry their question's category (a read-only snapshot):
         # category sums then filter the scan instead of joining the dictionary
         categories = self.questions.select("question_id", "category")
         responses = self.responses.drop("category").join(categories, "question_id", "left")
+        county_state = self.counties.select("county_key", "state_key").withColumn("state_id", pad_code("state_key", STATE_WIDTH))
         for name, df in (("census_facts", self.census_facts), ("responses", responses)):
             facts = df.drop("state_key", "state_id")
-            located = (facts.join(county_state, "county_key", "inner")
-                       .withColumn("state_id", pad_code("state_key", STATE_WIDTH)))
             n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-_input_bytes(facts) // WRITE_BYTES))
             if layout == "bucketed":
-                notes += _write_bucketed(located, f"{path}/{name}", name, n)
+                notes += _write_bucketed(facts.join(county_state, "county_key", "inner"), f"{path}/{name}", name, n)
                 continue
-            (located
-             .repartitionByRange(n, "state_id", "county_key", F.xxhash64(*facts.columns))
-             .sortWithinPartitions("state_id", "county_key")
-             .write.mode("overwrite").partitionBy("state_id")
-             .parquet(f"{path}/{name}"))
+            _by_place(facts, county_state, n).write.mode("overwrite").partitionBy("state_id").parquet(f"{path}/{name}")
         written = [*dims, "census_facts", "responses"] + (["header_dictionary"] if self.header_dictionary is not None else [])
         spark.createDataFrame([(r,) for r in sorted(written) + notes], "value string").coalesce(1).write.mode("overwrite") \
             .text(f"{path}/{MANIFEST}")
@@ -286,6 +280,21 @@ WRITE_BYTES = 256 << 20
 HOT_BUCKETS = 2
 
 
+def _by_place(facts: DataFrame, county_state: DataFrame, n: int) -> DataFrame:
+    """Facts with their state, dealt out by ``n`` ranges of counties, in their order.
+
+    The ranges are taken from the county dimension, which every fact meets
+    anyway: ranges over the facts themselves would compute their joins twice,
+    once to sample them. How many facts a range has shows when they have been
+    shuffled; AQE then splits a large one and puts small ones together. A
+    county's number in the order of states and counties sorts faster than two texts."""
+    order = ["state_id", "county_key"]
+    placed = (county_state.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .select("*", F.spark_partition_id().alias("_place"), F.monotonically_increasing_id().alias("_number")))
+    return (facts.join(placed, "county_key", "inner").hint("rebalance", n, "_place")
+            .sortWithinPartitions("state_id", "_number").drop("_place", "_number"))
+
+
 def _write_bucketed(facts: DataFrame, path: str, name: str, buckets: int) -> list[str]:
     """Facts in ``buckets`` sorted buckets of county_key, hot counties beside them; notes for the manifest.
 

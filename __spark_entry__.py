@@ -540,15 +540,16 @@ def _kept(spark, d, name, make):
 
 
 def q_snapshot_versions(spark, d):
-    """Two published versions (the second without responses up to 25): the first is read after the second is there."""
+    """Two published versions (the second is the first, loaded, without responses up to 25): the first is read after the second is there."""
     from dataclasses import replace
 
     from regionpanel.sources.versions import SnapshotStore
 
     def make():
-        store, t = SnapshotStore(spark, _fresh(spark, "versions")), _tables(spark, d)
-        store.publish_tables(t)
-        store.publish_tables(replace(t, responses=t.responses.where("value > 25"), _memo={}), based_on=1)
+        store = SnapshotStore(spark, _fresh(spark, "versions"))
+        store.publish_tables(_tables(spark, d))
+        first = store.load(1)
+        store.publish_tables(replace(first, responses=first.responses.where("value > 25"), _memo={}), based_on=1)
         return store
 
     store = _kept(spark, d, "versions", make)

@@ -23,6 +23,7 @@ Two ways in:
 from __future__ import annotations
 
 import hashlib
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -62,6 +63,8 @@ class Tables:
     _memo: dict = field(default_factory=dict, compare=False, repr=False)
     # bucketed layout: relation -> (its whole frame, frames without a common county)
     _apart: dict = field(default_factory=dict, compare=False, repr=False)
+    # loaded snapshot: the questions whose categories the responses carry
+    _categories: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def memo(self, key, compute):
         """Cached small driver-side lookup (dictionary rows of one request).
@@ -204,9 +207,12 @@ class Tables:
             self.header_dictionary.write.mode("overwrite").parquet(f"{path}/header_dictionary")
 
         # responses carry their question's category (a read-only snapshot):
-        # category sums then filter the scan instead of joining the dictionary
-        categories = self.questions.select("question_id", "category")
-        responses = self.responses.drop("category").join(categories, "question_id", "left")
+        # category sums then filter the scan instead of joining the dictionary;
+        # those of a loaded snapshot carry it already, unless its questions were replaced
+        responses = self.responses
+        if self._categories is not self.questions or "category" not in responses.columns:
+            categories = self.questions.select("question_id", "category")
+            responses = responses.drop("category").join(categories, "question_id", "left")
         county_state = self.counties.select("county_key", "state_key").withColumn("state_id", pad_code("state_key", STATE_WIDTH))
         for name, df in (("census_facts", self.census_facts), ("responses", responses)):
             facts = df.drop("state_key", "state_id")
@@ -214,7 +220,8 @@ class Tables:
             if layout == "bucketed":
                 notes += _write_bucketed(facts.join(county_state, "county_key", "inner"), f"{path}/{name}", name, n)
                 continue
-            _by_place(facts, county_state, n).write.mode("overwrite").partitionBy("state_id").parquet(f"{path}/{name}")
+            with _settings(spark, _write_settings(spark)):
+                _by_place(facts, county_state, n).write.mode("overwrite").partitionBy("state_id").parquet(f"{path}/{name}")
         written = [*dims, "census_facts", "responses"] + (["header_dictionary"] if self.header_dictionary is not None else [])
         spark.createDataFrame([(r,) for r in sorted(written) + notes], "value string").coalesce(1).write.mode("overwrite") \
             .text(f"{path}/{MANIFEST}")
@@ -263,11 +270,12 @@ class Tables:
             if f"hot={name}" in listed:
                 parts.append(read_facts(f"{name}_hot"))
             apart[name] = (reduce(DataFrame.unionByName, parts), parts)
+        questions = read("questions")
         t = cls(
             states=read("states"), counties=read("counties"),
             census_variables=read("census_variables"), census_facts=apart["census_facts"][0],
-            questions=read("questions"), responses=apart["responses"][0],
-            state_wide=read("state_wide"), header_dictionary=header, _apart=apart,
+            questions=questions, responses=apart["responses"][0],
+            state_wide=read("state_wide"), header_dictionary=header, _apart=apart, _categories=questions,
         )
         _check_columns(t)
         t.check_keys()
@@ -287,12 +295,39 @@ def _by_place(facts: DataFrame, county_state: DataFrame, n: int) -> DataFrame:
     anyway: ranges over the facts themselves would compute their joins twice,
     once to sample them. How many facts a range has shows when they have been
     shuffled; AQE then splits a large one and puts small ones together. A
-    county's number in the order of states and counties sorts faster than two texts."""
+    county's number in the order of states and counties sorts faster than two texts,
+    and as the only sort column it is sorted by its bits, without a look at the rows."""
     order = ["state_id", "county_key"]
     placed = (county_state.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .select("*", F.spark_partition_id().alias("_place"), F.monotonically_increasing_id().alias("_number")))
     return (facts.join(placed, "county_key", "inner").hint("rebalance", n, "_place")
-            .sortWithinPartitions("state_id", "_number").drop("_place", "_number"))
+            .sortWithinPartitions("_number").drop("_place", "_number"))
+
+
+#: states whose files a writing task holds open; with more it sorts the rest of its rows by state
+OPEN_STATES = 64
+
+
+def _write_settings(spark: SparkSession) -> dict[str, str]:
+    """Settings of the facts' write by state: a task keeps the files of its states
+    open, so that rows in county order need no second order by state; and a join
+    whose smaller side is a few MB a partition hashes that side instead of sorting
+    every fact."""
+    return {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_STATES),
+            "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings while the block runs."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _write_bucketed(facts: DataFrame, path: str, name: str, buckets: int) -> list[str]:
